@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BpeColumns
+from .simhash import near_duplicates
 from .tokencount import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,10 +43,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
         "op6_token_counts": op6_token_counts,
+        "op8_simhash_pigeonring": op8_simhash_pigeonring,
     }
 
 
