@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fertility, gbdt, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
 from .tokencount import token_count
@@ -43,16 +44,50 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def _held_out(folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls into the held-out fold."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
+
+
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), _held_out(4, 2)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out)
+    return _judged(docs.select("doc_id", toxicity.toxicity(docs, model).alias("score")), held_out)
+
+
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _held_out(5, 0)
+    return _judged(gbdt.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out), held_out)
+
+
+def quality_measures(docs: DataFrame) -> Column:
+    """The fertility rules' measures of each text."""
+    path = public_tokenizers.path
+    return fertility.quality_measures(docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
+def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", quality_measures(docs).alias("m")).select("doc_id", "m.*")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
         "op6_token_counts": op6_token_counts,
+        "op7_toxicity_counterfactual": op7_toxicity_counterfactual,
         "op8_simhash_pigeonring": op8_simhash_pigeonring,
+        "op9_quality_gbdt": op9_quality_gbdt,
+        "op10_tokeniser_fertility": op10_tokeniser_fertility,
     }
 
 
