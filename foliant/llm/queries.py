@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, gbdt, toxicity
+from . import fertility, gbdt, mixing, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
 from .tokencount import token_count
@@ -33,6 +33,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_mix_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.schedule(_table(spark, sf_dir, "documents"), mixing.word_count("text")))
+
+
 def op3_bpe_bitmap_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_mix_low_discrepancy": op2_mix_low_discrepancy,
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity_counterfactual": op7_toxicity_counterfactual,
@@ -92,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix_low_discrepancy": mixing.ORACLE_SQL}
