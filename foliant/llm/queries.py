@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, gbdt, mixing, toxicity
+from . import fertility, gbdt, kdshard, mixing, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
 from .tokencount import token_count
@@ -41,6 +41,13 @@ def op3_bpe_bitmap_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    shards = kdshard.kd_shards(docs, kdshard.text_bytes("text"), leaves=16, keep={"text_crc32": crc})
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     n = token_count(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -88,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_mix_low_discrepancy": op2_mix_low_discrepancy,
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
+        "op4_kd_shards": op4_kd_shards,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity_counterfactual": op7_toxicity_counterfactual,
         "op8_simhash_pigeonring": op8_simhash_pigeonring,
