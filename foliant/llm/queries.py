@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import fertility, gbdt, kdshard, mixing, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
+from .tiff import TiffColumns
 from .tokencount import token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,23 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiff = TiffColumns(spark)
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    padded = F.when(n == 0, F.rpad(data, 64, F.lit(b"\0"))).otherwise(F.rpad(data, (F.ceil(n / 64) * 64).cast("int"), F.lit(b"\0")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), padded.alias("payload"))
+    files = docs.select("doc_id", "n_bytes", tiff.store("payload").alias("media"))
+    read = files.withColumn("pages", tiff.pages("media"))
+    back = F.aggregate("pages", F.lit(b""), lambda all_, p: F.concat(all_, p["samples"]))
+    one = lambda p: F.format_string("%d:%dx%d:%s:%s:%d:%.4f:%.4f", p["page"], p["width"], p["height"], p["compression"], p["layout"], p["predictor"], p["mean"], p["spread"])
+    read = read.select("doc_id", "n_bytes", "media", back.alias("back"), F.array_join(F.transform("pages", one), ";").alias("feature"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("back").cast("long").alias("payload_bytes"), F.sha2("back", 256).alias("payload_sha256"),
+        F.crc32(F.substring("back", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op2_mix_low_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.schedule(_table(spark, sf_dir, "documents"), mixing.word_count("text")))
 
@@ -93,6 +111,7 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_tiff_pages": op1_tiff_pages,
         "op2_mix_low_discrepancy": op2_mix_low_discrepancy,
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
         "op4_kd_shards": op4_kd_shards,
