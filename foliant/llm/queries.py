@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import fertility, gbdt, kdshard, mixing, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
+from .urlfilter import Rule, judge
 from .tiff import TiffColumns
 from .tokencount import token_count
 
@@ -66,6 +67,20 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The rules of the op5 query.
+URL_RULES = [
+    Rule("com", "/en/", "block"),
+    Rule("example.com", "/en/7", "allow"),
+    Rule("net", "/de/", "allow"),
+    Rule("example.net", "/de/8", "block"),
+    Rule("org", "/es/", "block"),
+]
+
+
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES).drop("block_score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     n = token_count(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -115,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op2_mix_low_discrepancy": op2_mix_low_discrepancy,
         "op3_bpe_bitmap_queue": op3_bpe_bitmap_queue,
         "op4_kd_shards": op4_kd_shards,
+        "op5_url_trees": op5_url_trees,
         "op6_token_counts": op6_token_counts,
         "op7_toxicity_counterfactual": op7_toxicity_counterfactual,
         "op8_simhash_pigeonring": op8_simhash_pigeonring,
