@@ -1,20 +1,63 @@
-"""A corpus pipeline: each stage works on all that its predecessor kept."""
+"""A corpus pipeline: each stage works on all that its predecessor kept.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return
+the columns of ``documents``.  ``run`` writes each stage's result to the shared
+folder, so that a lost executor costs the stage at hand and no earlier one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm import mixing, queries, simhash, toxicity
+from foliant.llm.staging import staged
+
+VERDICT = "__foliant_verdict"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counting rules and the fertility bands keep."""
+    return docs.withColumn(VERDICT, queries.quality_measures(docs)).where(F.col(VERDICT)["kept"]).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the labels of what is left, scores below 0.3."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, queries.held_out(4, 2))
+    return docs.where(toxicity.toxicity(docs, model) < 0.3)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles)."""
+    return simhash.one_of_each(docs, shingle_words=5, max_distance=8)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at weights 1, 2, 3: a row for each pass over a document."""
+    return mixing.mixed_texts(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return queries.bpe_digests(docs)
 
-from foliant.llm import queries
 
 STAGES = [
-    ("byte_bpe", lambda spark, docs, sf_dir: queries.bpe_digests(docs)),
+    ("quality_rules", quality_rules),
+    ("toxicity", not_toxic),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mix),
+    ("byte_bpe", byte_bpe),
 ]
 
+#: Tokenisation, boosting and fingerprints have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

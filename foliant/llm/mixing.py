@@ -93,16 +93,17 @@ def slots(shares: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     return met.withColumn("within", within).join(counts, ["src", "run"]).select("src", "slot", (F.col("before") + F.col("within")).alias("rank"))
 
 
-def schedule(docs: DataFrame, size: Column, weight=cyclic_weight, most_passes: int = MOST_PASSES, keep: tuple[str, ...] = ()) -> DataFrame:
+def schedule(docs: DataFrame, size: Column, weight=cyclic_weight, most_passes: int = MOST_PASSES, uid: Column | None = None) -> DataFrame:
     """The mix, one row for each document, pass and slot that meet, and one for each document that is not taken.
 
-    Columns: uid (a row of ``docs``), doc_id, source, size, source_size, target, pass,
-    slot, first_word (from 0), words (0 and nulls where not taken), then ``keep``.
+    Columns: uid (a row of ``docs``; its own numbering unless given), doc_id, source,
+    size, source_size, target, pass, slot, first_word (from 0), words (0 and nulls
+    where not taken).
     """
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.col("source"), src.alias("src"), size.alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("h"), *[F.col(c).alias(f"keep_{c}") for c in keep],
+        (F.monotonically_increasing_id() if uid is None else uid).alias("uid"), F.col("doc_id"), F.col("source"), src.alias("src"), size.alias("size"),
+        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("h"),
     )
     rows = staged(rows, "sizes")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -134,7 +135,7 @@ def schedule(docs: DataFrame, size: Column, weight=cyclic_weight, most_passes: i
     out = pieces.join(at, ["src", "rank"], "left")
     return out.select(
         "uid", "doc_id", "source", "size", "source_size", "target", "pass", "slot", (begin - first(F.col("pass"))).alias("first_word"),
-        F.coalesce(F.when(F.col("slot").isNotNull(), end - begin), F.lit(0)).alias("words"), *[F.col(f"keep_{c}").alias(c) for c in keep],
+        F.coalesce(F.when(F.col("slot").isNotNull(), end - begin), F.lit(0)).alias("words"),
     )
 
 
@@ -150,12 +151,15 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     A document that a pass takes in part keeps its first words, joined by a space;
     n_chars follows the text where there is such a column.
     """
-    mix = schedule(docs.withColumn("__row", F.monotonically_increasing_id()), word_count("text"), keep=tuple(docs.columns))
-    passes = mix.where("words > 0").groupBy("uid", "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"), *[F.first(F.col(c)).alias(f"keep_{c}") for c in docs.columns])
-    cut = F.array_join(F.slice(F.regexp_extract_all("keep_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") >= F.col("size"), F.col("keep_text")).otherwise(cut)
-    named = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return passes.select(*[named[c].alias(c) if c in named else F.col(f"keep_{c}").alias(c) for c in docs.columns])
+    columns = [F.col(c).alias(f"doc_{c}") for c in docs.columns]
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("uid"), *columns), "to-mix")
+    sized = rows.select(F.col("uid").alias("uid"), F.col("doc_doc_id").alias("doc_id"), F.col("doc_source").alias("source"), F.col("doc_text").alias("text"))
+    mix = schedule(sized, word_count("text"), uid=F.col("uid"))
+    passes = mix.where("words > 0").groupBy("uid", "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("doc_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") >= F.col("size"), F.col("doc_text")).otherwise(cut)
+    named = {"text": text, "n_chars": F.when(F.col("words") >= F.col("size"), F.col("doc_n_chars")).otherwise(F.char_length(cut).cast("long")) if "n_chars" in docs.columns else None}
+    return rows.join(passes, "uid").select(*[named[c].alias(c) if c in named else F.col(f"doc_{c}").alias(c) for c in docs.columns])
 
 
 #: DuckDB's form of the op2 query: the same targets and slots; what a document gets follows from its place in the stream.

@@ -88,19 +88,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-def _held_out(folds: int, fold: int) -> Column:
+def held_out(folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the held-out fold."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold
 
 
-def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+def _judged(scored: DataFrame, out: Column) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = _table(spark, sf_dir, "documents"), _held_out(4, 2)
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), held_out)
-    return _judged(docs.select("doc_id", toxicity.toxicity(docs, model).alias("score")), held_out)
+    docs, out = _table(spark, sf_dir, "documents"), held_out(4, 2)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), out)
+    return _judged(docs.select("doc_id", toxicity.toxicity(docs, model).alias("score")), out)
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +109,8 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = _held_out(5, 0)
-    return _judged(gbdt.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out), held_out)
+    out = held_out(5, 0)
+    return _judged(gbdt.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), out), out)
 
 
 def quality_measures(docs: DataFrame) -> Column:
