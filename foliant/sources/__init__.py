@@ -1 +1 @@
-"""Part of foliant."""
+"""Files into elements: rows (doc_id, elem_idx, type, text, position, level, extra)."""
