@@ -486,6 +486,6 @@ def answer_frames(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("conv_id", "turn", F.size(T.frames("text")).alias("frames"))
 
 
-@query("select event_type, time_bucket(interval '1 day', ts) day, count(*)::bigint n, round(sum(value), 4) total from events group by all")
+@query("""select event_type, date_trunc('day', ts)::timestamp as "day", count(*)::bigint n, round(sum(value), 4) total from events group by all""")
 def daily_counters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

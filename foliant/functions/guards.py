@@ -55,7 +55,7 @@ def injection_verdict(text: Column | str) -> Column:
 def is_card(value: Column) -> Column:
     """13 to 19 digits whose check digit is right."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return F.length(digits).between(13, 19) & F.luhn_check(digits)
+    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
 def mask(kind: Column, value: Column) -> Column:
@@ -68,13 +68,13 @@ def mask(kind: Column, value: Column) -> Column:
 
 def pii_matches(text: Column | str) -> Column:
     """Array of (type, value, masked), in order of type, then of place."""
-    out = []
-    for kind, pattern in PII.items():
+    def matches(kind: str, pattern: str) -> Column:
         values = F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(0))
         if kind == "credit_card":
             values = F.filter(values, is_card)
-        out.append(F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("type"), v.alias("value"), mask(F.lit(kind), v).alias("masked"))))
-    return F.concat(*out)
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), mask(F.lit(kind), v).alias("masked")))
+
+    return F.concat(*[matches(kind, pattern) for kind, pattern in PII.items()])
 
 
 def pii_masked(text: Column | str, compat: bool = False) -> Column:

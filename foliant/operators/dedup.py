@@ -27,32 +27,33 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def minhash(shingle_hashes: Column) -> Column:
-    """32 slots from an array of 64-bit shingle hashes: one multiplier per slot; [] without shingles."""
-
-    @F.pandas_udf("array<bigint>")
-    def slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            out = []
-            for hashes in rows:
-                if hashes is None or not len(hashes):
-                    out.append(np.zeros(0, np.int64))
-                    continue
-                h = np.asarray(hashes, np.int64).view(np.uint64)
-                best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):
-                    mixed = h[at : at + 4096, None] * _MULTIPLY[None, :]
-                    best = np.minimum(best, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-                out.append(best.view(np.int64))
-            yield pd.Series(out, dtype=object)
-
-    return slots(shingle_hashes)
-
-
-def signature(text: Column | str, k: int = 5) -> Column:
-    """Signature of a text's k-word shingles."""
+def slots_of(hashes) -> np.ndarray:
+    """32 slots from 64-bit shingle hashes: one multiplier per slot; [] without shingles."""
+    if hashes is None or not len(hashes):
+        return np.zeros(0, np.int64)
+    h = np.asarray(hashes, np.int64).view(np.uint64)
+    best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        mixed = h[at : at + 4096, None] * _MULTIPLY[None, :]
+        best = np.minimum(best, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return best.view(np.int64)
+
+
+def shingle_hashes(text: Column | str, k: int = 5) -> Column:
+    """64-bit hashes of a text's distinct k-word shingles."""
     words = F.filter(F.split(T.fold(text), " "), lambda w: w != "")
-    return minhash(F.transform(T.shingles(words, k), lambda s: F.xxhash64(s)))
+    return F.transform(T.shingles(words, k), lambda s: F.xxhash64(s))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """(id, sig): the MinHash signature of every text with a word."""
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "sig": [slots_of(h) for h in batch["h"]]})
+
+    hashed = docs.select(F.col(id_col).alias("id"), shingle_hashes(text, k).alias("h")).where(F.size("h") > 0)
+    return hashed.mapInPandas(sign, "id long, sig array<bigint>")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -69,8 +70,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id",
     """
     unequal = SLOTS - math.ceil(SLOTS * threshold)
     bands = next(b for b in (1, 2, 4, 8, 16, 32) if b > unequal)
-    signed = docs.select(F.col(id_col).alias("id"), signature(text).alias("sig")).where(F.size("sig") > 0)
-    classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
+    classes = signatures(docs, id_col, text).groupBy("sig").agg(F.min("id").alias("id"))
     width = SLOTS // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * width + 1, width)) for i in range(bands)])
     banded = classes.select("id", "sig", F.explode(keys).alias("band"))
@@ -85,14 +85,13 @@ def drop_near_within(elements: DataFrame, threshold: float, types: tuple[str, ..
     The fold is in order: an element is compared with kept ones only, and only the
     given types are dropped.
     """
-    signed = elements.withColumn("__sig", signature("text"))
+    hashed = elements.withColumn("__shingles", shingle_hashes("text"))
     schema = elements.schema
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("elem_idx")
         kept, keep = [], []
-        for kind, sig in zip(rows["type"], rows["__sig"], strict=True):
-            sig = np.asarray(sig)
+        for kind, sig in zip(rows["type"], map(slots_of, rows["__shingles"]), strict=True):
             near = bool(kept) and len(sig) and ((np.stack(kept) == sig).mean(axis=1).max() >= threshold)
             drop = bool(near) and kind in types
             keep.append(not drop)
@@ -100,4 +99,4 @@ def drop_near_within(elements: DataFrame, threshold: float, types: tuple[str, ..
                 kept.append(sig)
         return rows.loc[keep, schema.names]
 
-    return signed.groupBy("doc_id").applyInPandas(fold, schema)
+    return hashed.groupBy("doc_id").applyInPandas(fold, schema)
