@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import fold_repeats
 
 EDGE_LINES, PAGE_SHARE, MIN_PAGES, MAX_CHROME = 2, 0.6, 3, 80
 
@@ -64,17 +65,14 @@ def exact_repeats(elements: DataFrame) -> DataFrame:
 
 def clean(elements: DataFrame, near: float = 0.92) -> tuple[DataFrame, DataFrame]:
     """Cleaned elements, and one row of counters per document."""
-    from .dedup import drop_near_within
-
     start = elements.withColumn("text", T.normalize_text("text"))
     counted = start.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements_in"))
     stripped = strip_chrome(start.where(F.col("text") != ""))
     chrome = stripped.groupBy("doc_id").agg(F.sum("removed").alias("chrome_lines_removed"))
     full = stripped.where(F.col("text") != "").drop("removed").withColumn("boilerplate", is_boilerplate("text"))
-    repeats = exact_repeats(full.where("not boilerplate"))
-    kept = drop_near_within(repeats.where("not is_repeat").drop("boilerplate", "is_repeat"), near, NEAR_TYPES)
+    judged = fold_repeats(full.where("not boilerplate").drop("boilerplate"), near, NEAR_TYPES)
     stats = counted.join(chrome, "doc_id", "left")
     stats = stats.join(full.groupBy("doc_id").agg(F.count_if("boilerplate").alias("boilerplate_dropped")), "doc_id", "left")
-    stats = stats.join(repeats.groupBy("doc_id").agg(F.count_if("is_repeat").alias("exact_duplicates_dropped"), F.count_if(~F.col("is_repeat")).alias("__left")), "doc_id", "left")
-    stats = stats.join(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements_out")), "doc_id", "left").na.fill(0)
-    return kept, stats.withColumn("near_duplicates_dropped", F.col("__left") - F.col("elements_out")).drop("__left")
+    fates = [F.count_if(F.col("fate") == f).alias(n) for f, n in (("exact", "exact_duplicates_dropped"), ("near", "near_duplicates_dropped"), ("kept", "elements_out"))]
+    stats = stats.join(judged.groupBy("doc_id").agg(*fates), "doc_id", "left").na.fill(0)
+    return judged.where("fate = 'kept'").drop("fate"), stats

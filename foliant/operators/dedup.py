@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SLOTS = 32
-_MULTIPLY = (np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,13 +28,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def slots_of(hashes) -> np.ndarray:
-    """32 slots from 64-bit shingle hashes: one multiplier per slot; [] without shingles."""
+    """32 slots from 64-bit shingle hashes, mixed anew for each slot; [] without shingles."""
     if hashes is None or not len(hashes):
         return np.zeros(0, np.int64)
     h = np.asarray(hashes, np.int64).view(np.uint64)
     best = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 4096):
-        mixed = h[at : at + 4096, None] * _MULTIPLY[None, :]
+        mixed = (h[at : at + 4096, None] ^ _SEEDS[None, :]) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
         best = np.minimum(best, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
     return best.view(np.int64)
 
@@ -63,40 +64,51 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(first_id, second_id, similarity) between texts whose signatures agree enough.
+    """(first_id, second_id, similarity) between different texts whose signatures agree enough.
 
-    Documents with one signature count as one, under their least id, so that large
-    groups of copies meet as a single row.
+    Equal texts count once, under their least id.  Texts with one signature are each
+    paired with the least of them, which alone is compared with other signatures: so
+    large groups meet as a single row.
     """
     unequal = SLOTS - math.ceil(SLOTS * threshold)
     bands = next(b for b in (1, 2, 4, 8, 16, 32) if b > unequal)
-    classes = signatures(docs, id_col, text).groupBy("sig").agg(F.min("id").alias("id"))
+    texts = docs.groupBy(F.sha2(T.fold(text), 256).alias("digest")).agg(F.min(id_col).alias("id"), F.first(text).alias("text"))
+    signed = signatures(texts, "id", "text")
+    classes = signed.groupBy("sig").agg(F.min("id").alias("least"))
+    same = signed.join(classes, "sig").where("id <> least").select(F.col("least").alias("first_id"), F.col("id").alias("second_id"), F.lit(1.0).alias("similarity"))
     width = SLOTS // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * width + 1, width)) for i in range(bands)])
-    banded = classes.select("id", "sig", F.explode(keys).alias("band"))
+    banded = classes.select(F.col("least").alias("id"), "sig", F.explode(keys).alias("band"))
     other = banded.select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), "band")
     pairs = banded.join(other, "band").where("id < other").withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
-    return pairs.where(F.col("similarity") >= threshold).select(F.col("id").alias("first_id"), F.col("other").alias("second_id"), "similarity").distinct()
+    near = pairs.where(F.col("similarity") >= threshold).select(F.col("id").alias("first_id"), F.col("other").alias("second_id"), "similarity").distinct()
+    return near.unionByName(same)
 
 
-def drop_near_within(elements: DataFrame, threshold: float, types: tuple[str, ...]) -> DataFrame:
-    """Elements without those that nearly repeat an earlier kept one of their document.
+def fold_repeats(elements: DataFrame, threshold: float, types: tuple[str, ...]) -> DataFrame:
+    """``fate`` of each element: kept, or an exact or near repeat of an earlier kept one of its document.
 
-    The fold is in order: an element is compared with kept ones only, and only the
-    given types are dropped.
+    The fold is in order.  Only the given types are near repeats; an element of another
+    type that is near a kept one is kept.
     """
-    hashed = elements.withColumn("__shingles", shingle_hashes("text"))
-    schema = elements.schema
+    hashed = elements.withColumns({"__digest": F.sha2(T.fold("text"), 256), "__shingles": shingle_hashes("text")})
+    names = elements.columns
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("elem_idx")
-        kept, keep = [], []
-        for kind, sig in zip(rows["type"], map(slots_of, rows["__shingles"]), strict=True):
-            near = bool(kept) and len(sig) and ((np.stack(kept) == sig).mean(axis=1).max() >= threshold)
-            drop = bool(near) and kind in types
-            keep.append(not drop)
-            if not drop and len(sig):
+        kept, digests, fates = [], set(), []
+        for kind, digest, sig in zip(rows["type"], rows["__digest"], map(slots_of, rows["__shingles"]), strict=True):
+            if digest in digests:
+                fates.append("exact")
+                continue
+            if kind in types and kept and len(sig) and (np.stack(kept) == sig).mean(axis=1).max() >= threshold:
+                fates.append("near")
+                continue
+            fates.append("kept")
+            digests.add(digest)
+            if len(sig):
                 kept.append(sig)
-        return rows.loc[keep, schema.names]
+        return rows.assign(fate=fates)[[*names, "fate"]]
 
-    return hashed.groupBy("doc_id").applyInPandas(fold, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in elements.schema)
+    return hashed.groupBy("doc_id").applyInPandas(fold, f"{schema}, fate string")

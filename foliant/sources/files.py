@@ -56,6 +56,7 @@ class _Html(HTMLParser):
         self.out: list[Element] = []
         self.title: list[str] = []
         self.skip = 0
+        self.lists = 0
         self.in_title = False
         self.open: list[dict] = []
         self.tables: list[dict] = []
@@ -76,12 +77,16 @@ class _Html(HTMLParser):
                 self.tables[-1]["rows"].append([])
             elif tag in ("td", "th") and self.tables[-1]["rows"]:
                 self.tables[-1]["rows"][-1].append([])
+        elif tag in ("ul", "ol"):
+            self.lists += 1
         elif tag in BLOCKS:
             if tag == "p":
                 self._close("p")
+            elif tag == "li" and any(b["tag"] == "li" and b["lists"] == self.lists for b in self.open):
+                self._close("li")  # its end tag may be left out
             slot = element("heading" if BLOCKS[tag] else "list_item" if tag == "li" else "paragraph", "", level=BLOCKS[tag] or None)
             self.out.append(slot)
-            self.open.append({"tag": tag, "slot": slot, "parts": []})
+            self.open.append({"tag": tag, "slot": slot, "parts": [], "lists": self.lists})
 
     def _close(self, tag: str) -> None:
         if any(b["tag"] == tag for b in self.open):
@@ -104,6 +109,10 @@ class _Html(HTMLParser):
             rows = [r for r in rows if any(r)]
             table["slot"]["text"] = "\n".join(" | ".join(r) for r in rows)
             table["slot"]["extra"] = {"rows": str(len(rows))}
+        elif tag in ("ul", "ol"):
+            self.lists = max(0, self.lists - 1)
+            while self.open and self.open[-1]["tag"] == "li" and self.open[-1]["lists"] > self.lists:
+                self._close("li")
         elif tag in BLOCKS and not self.tables:
             self._close(tag)
 
@@ -142,7 +151,8 @@ def parse_csv(data: bytes) -> list[Element]:
     try:
         dialect = csv.Sniffer().sniff(text[:4096], delimiters=",;\t|")
     except csv.Error:
-        dialect = type("Own", (csv.excel,), {"delimiter": "\t" if "\t" in text[:4096] else ","})
+        first = text.partition("\n")[0]  # what the first line has most of, of its own file alone
+        dialect = type("Own", (csv.excel,), {"delimiter": max(",;\t|", key=first.count)})
     rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), dialect)]
     rows = [r for r in rows if any(r)]
     if not rows:
