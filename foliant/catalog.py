@@ -329,7 +329,8 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return pipelines.graph_search(asked(spark, d), docs, *pipelines.build_graph(docs)).select("query_id", "rank", "id", "score")
+    vertices, edges = (t.persist() for t in pipelines.build_graph(docs))  # read at every step of the walk
+    return pipelines.graph_search(asked(spark, d), docs, vertices, edges).select("query_id", "rank", "id", "score")
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
@@ -464,11 +465,11 @@ def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""with u as (select case turn % 3 when 0 then 'gpt-4o' when 1 then 'extractive' else 'house-model' end model, role agent_id, len(regexp_extract_all(text, '@TOKEN')) p, (turn * 10)::bigint c from conversations),
 p(model, i, o) as (values ('gpt-4o', 2.5::double, 10.0::double), ('extractive', 0.0::double, 0.0::double))
-select agent_id, count(*)::bigint queries, sum(u.p)::bigint prompt_tokens, sum(c)::bigint completion_tokens, round(sum(round_even((u.p * coalesce(i, 1.0::double) + c * coalesce(o, 3.0::double)) / 1000000, 6)), 6) usd from u left join p using (model) group by agent_id""")
+select agent_id, count(*)::bigint queries, sum(u.p)::bigint prompt_tokens, sum(c)::bigint completion_tokens, round(sum(round_even((u.p * coalesce(i, 1.0::double) + c * coalesce(o, 3.0::double)) / 1000000, 6)), 3) usd from u left join p using (model) group by agent_id""")
 def cost_by_agent(spark: SparkSession, d: str) -> DataFrame:
     model = F.when(F.col("turn") % 3 == 0, "gpt-4o").when(F.col("turn") % 3 == 1, "extractive").otherwise("house-model")
     usage = _messages(spark, d).select(model.alias("model"), F.col("role").alias("agent_id"), T.token_count("text").cast("long").alias("prompt_tokens"), (F.col("turn") * 10).alias("completion_tokens"))
-    return metrics.usage_by_agent(answers.cost(usage))
+    return metrics.usage_by_agent(answers.cost(usage)).withColumn("usd", F.round("usd", 3))
 
 
 @query("select (select count(*) from documents)::bigint documents, (select count(distinct conv_id) from conversations)::bigint conversations, (select count(*) from embeddings)::bigint chunks")
