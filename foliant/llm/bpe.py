@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import small_arrow_batches
+from .staging import held_by_worker, small_arrow_batches
 
 #: Pre-tokens that a worker remembers; a cleared cache costs time only.
 CACHE_ENTRIES = 600_000
@@ -169,17 +169,9 @@ class _Pieces(dict):
         return ids
 
 
-_loaded: dict[tuple[int, str], ByteBpe] = {}
-
-
 def _codec(shared, pattern: str) -> ByteBpe:
     """One codec for each worker process and vocabulary."""
-    raw = shared.value
-    key = (hash(raw), pattern)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ByteBpe(raw, pattern)
-    return _loaded[key]
+    return held_by_worker(("bpe", hash(shared.value), pattern), lambda: ByteBpe(shared.value, pattern))
 
 
 class BpeColumns:

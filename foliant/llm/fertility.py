@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import small_arrow_batches
+from .staging import held_by_worker, small_arrow_batches
 
 #: (characters per token from, to; byte-fallback share up to; bits of token entropy from) by script.
 #: Wide on purpose: what they reject is text that hardly any language produces.
@@ -57,7 +57,7 @@ SCRIPTS = {
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 CACHE_BYTES = 48
 #: Words taken at once, so that a very long text is measured in bounded memory.
 CHUNK = 1 << 18
@@ -150,9 +150,6 @@ def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BAND
     return (n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, script, per_token, share, entropy, kept)
 
 
-_loaded: dict[tuple, WordTokens] = {}
-
-
 def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS) -> Column:
     """A struct column of FIELDS.  Both vocabularies (about 1 MB each) are broadcast."""
     small_arrow_batches(spark)
@@ -163,11 +160,8 @@ def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pa
     @F.pandas_udf(FIELDS)
     def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranks, pieces = shared.value
-        key = (hash(ranks), hash(pieces), pattern)
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = WordTokens(ranks, pattern, pieces)
+        tokens = held_by_worker(("fertility", hash(ranks), hash(pieces), pattern), lambda: WordTokens(ranks, pattern, pieces))
         for texts in batches:
-            yield pd.DataFrame([measure(t, _loaded[key], bands, min_words) for t in texts], columns=names)
+            yield pd.DataFrame([measure(t, tokens, bands, min_words) for t in texts], columns=names)
 
     return measures(text)

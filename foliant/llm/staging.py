@@ -36,3 +36,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def small_arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+_held: dict = {}
+
+
+def held_by_worker(key: tuple, build):
+    """What ``build`` gives, kept for the worker process's next tasks.
+
+    A worker keeps one such thing only: the next operator's replaces it, so caches of
+    operators that are done don't add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small_arrow_batches
+from .staging import held_by_worker, small_arrow_batches
 
 SEED_DOCUMENTS = 2000
 FREQUENT = 32_768
@@ -111,15 +111,9 @@ class TextCounter:
         return n
 
 
-_loaded: dict[tuple, TextCounter] = {}
-
-
 def _counter(spec, pattern: str, packed) -> TextCounter:
-    key = (hash(spec.value), pattern, hash(packed.value["blob"]))
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = TextCounter(spec.value, pattern, unpack(packed.value))
-    return _loaded[key]
+    key = ("tokens", hash(spec.value), pattern, hash(packed.value["blob"]))
+    return held_by_worker(key, lambda: TextCounter(spec.value, pattern, unpack(packed.value)))
 
 
 def frequent_table(docs: DataFrame, spec, pattern: str, text: str = "text") -> dict[str, int]:

@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gbdt import labelled_sample
-from .staging import small_arrow_batches, staged
+from .staging import held_by_worker, small_arrow_batches, staged
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 20_000
 #: Standard errors by which a feature must be more frequent in toxic texts.
 LEAST_Z = 4.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longer words are junk as features and not remembered.
 LONGEST_WORD = 40
 
@@ -178,7 +178,8 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Model(*shared.value)
+        bias, weights = shared.value
+        scorer = held_by_worker(("toxicity", bias, hash(frozenset(weights.items()))), lambda: Model(bias, weights))
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
