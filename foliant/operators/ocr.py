@@ -124,3 +124,29 @@ def confidence(words: DataFrame) -> DataFrame:
     """(doc_id, confidence, low): the mean to one place, and whether it warns."""
     mean = F.round(F.avg("confidence"), 1)
     return usable(words).groupBy("doc_id").agg(mean.alias("confidence"), (mean < LOW_CONFIDENCE).alias("low"))
+
+
+def otsu(histogram: DataFrame) -> DataFrame:
+    """(image_id, threshold) from (image_id, level, n): the level that parts dark from light best.
+
+    The between-class variance of every level comes from running sums; the first of
+    equal ones wins.
+    """
+    along = Window.partitionBy("image_id").orderBy("level")
+    whole = Window.partitionBy("image_id")
+    mass = F.col("level") * F.col("n")
+    rows = histogram.withColumns({"dark": F.sum("n").over(along), "all": F.sum("n").over(whole), "dark_mass": F.sum(mass).over(along), "mass": F.sum(mass).over(whole)})
+    light = F.col("all") - F.col("dark")
+    apart = F.try_divide(F.col("dark_mass"), F.col("dark")) - F.try_divide(F.col("mass") - F.col("dark_mass"), light)
+    spread = F.coalesce(F.col("dark").cast("double") * light * apart * apart, F.lit(0.0))
+    return rows.groupBy("image_id").agg(F.max_by("level", F.struct(spread, -F.col("level"))).alias("threshold"))
+
+
+def elements(words: DataFrame) -> DataFrame:
+    """Recognised pages as elements: blocks in reading order, tables with aligned cells."""
+    lined = lines(words)
+    cells_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.array_join("cells", " | ").alias("t")))), lambda r: r["t"]), "\n")
+    tables = table_rows(lined).groupBy("doc_id", "page", "block").agg(cells_text.alias("table_text"))
+    rows = blocks(lined).join(tables, ["doc_id", "page", "block"], "left")
+    number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "block")) - 1).alias("elem_idx")
+    return rows.select("doc_id", number, F.col("kind").alias("type"), F.coalesce("table_text", "text").alias("text"), F.col("page").alias("position"), F.lit(None).cast("int").alias("level"))

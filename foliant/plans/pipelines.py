@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import answers as A
-from ..operators import chunking, cleaning, graph, retrieval
+from ..operators import chunking, cleaning, evaluation, graph, retrieval
 
 
 def clean_and_chunk(elements: DataFrame, strategy: str = "semantic") -> tuple[DataFrame, DataFrame]:
@@ -67,3 +67,26 @@ def ask(questions: DataFrame, docs: DataFrame, k: int = 6) -> DataFrame:
     agent = F.when(F.col("verdict.allowed"), A.route("text")).otherwise("guardrail")
     tokens = T.token_count(F.coalesce("masked", F.lit("")))
     return rows.select("query_id", agent.alias("agent_id"), F.col("verdict.score").alias("injection_score"), "masked", "faithfulness", "trustworthy", T.token_count("text").alias("prompt_tokens"), tokens.alias("completion_tokens"))
+
+
+def evaluate_retrieval(hits: DataFrame, relevant: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Metrics of each query, and their means."""
+    cases = evaluation.retrieval_metrics(hits, relevant, k)
+    return cases, evaluation.mean_report(cases)
+
+
+def evaluate_answers(cases: DataFrame, answered: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row of means; ``cases`` has query_id and expected_keywords, ``answered`` query_id and answer."""
+    grounded = A.groundedness(answered, hits).select("query_id", F.col("score").alias("faithfulness"))
+    cited = A.check_citations(answered, hits)
+    rows = cases.join(answered, "query_id").join(grounded, "query_id").join(cited, "query_id")
+    rows = rows.withColumns({
+        "citation_accuracy": evaluation.citation_accuracy(F.col("valid"), T.citations("answer")),
+        "keyword_coverage": evaluation.keyword_coverage(F.col("answer"), F.col("expected_keywords")),
+    })
+    return evaluation.answer_report(rows)
+
+
+def report_json(report: DataFrame) -> DataFrame:
+    """(value): each row as JSON, to write as text."""
+    return report.select(F.to_json(F.struct("*")).alias("value"))

@@ -278,3 +278,22 @@ def test_streams(spark, tmp_path):
     q = jobs.register_versions(stream).writeStream.format("memory").queryName("versions_seen").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
     q.awaitTermination()
     assert sorted((r.version, r.is_duplicate) for r in spark.table("versions_seen").collect()) == [(1, False), (1, True), (2, False)]
+
+
+def test_otsu_and_page_elements(spark):
+    levels = [(1, 10, 50), (1, 12, 40), (1, 200, 30), (1, 210, 60), (2, 5, 9)]
+    got = {r.image_id: r.threshold for r in ocr.otsu(spark.createDataFrame(levels, "image_id long, level int, n long")).collect()}
+    assert got == {1: 12, 2: 5}
+    found = ocr.elements(receipt(spark)).orderBy("elem_idx").collect()
+    assert [(e.type, e.position) for e in found] == [("paragraph", 1), ("table", 1)] and found[1].text.startswith("Item | Price\n")
+
+
+def test_answer_report(spark):
+    from foliant.plans.pipelines import evaluate_answers, report_json
+
+    answered = spark.createDataFrame([(1, "Paid leave lasts twenty working days [1]. Unrelated claims about quantum teapots everywhere [7].")], "query_id long, answer string")
+    hits = spark.createDataFrame([(1, 1, "Paid leave lasts twenty working days per year")], "query_id long, rank int, text string")
+    cases = spark.createDataFrame([(1, ["leave", "salary"])], "query_id long, expected_keywords array<string>")
+    row = evaluate_answers(cases, answered, hits).first()
+    assert (row.faithfulness, row.hallucination_rate, row.citation_accuracy, row.keyword_coverage, row.grounded_share) == (0.5, 0.5, 0.5, 0.5, 0.0)
+    assert '"faithfulness":0.5' in report_json(evaluate_answers(cases, answered, hits)).first().value
