@@ -20,6 +20,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that one broadcast holds; more go in blocks.
 QUERY_BLOCK = 4096
+#: Queries of one call; a larger batch is several calls.
+MAX_QUERIES = 65_536
 
 
 def metadata_filter(filters: dict) -> Column:
@@ -79,7 +81,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     A block of query vectors is broadcast; each task multiplies its batches with it
     and keeps its own k best per query, so little more than the result is shuffled.
     """
-    rows = queries.select(F.col("query_id"), F.col("vector")).orderBy("query_id").collect()
+    rows = queries.select(F.col("query_id"), F.col("vector")).orderBy("query_id").limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} query vectors; call once for each part of the batch")
     out = None
     for at in range(0, max(1, len(rows)), QUERY_BLOCK):
         block = rows[at : at + QUERY_BLOCK]
