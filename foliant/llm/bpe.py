@@ -21,6 +21,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .staging import held_by_worker, small_arrow_batches
 
 #: Pre-tokens that a worker remembers; a cleared cache costs time only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are rarely met again and are not remembered.
 CACHE_CHARS = 48
 #: Characters beyond which a text's matches are streamed, not listed.
@@ -181,7 +182,7 @@ class BpeColumns:
     """
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str) -> None:
-        small_arrow_batches(spark)
+        small_arrow_batches(spark, 500)
         with open(rank_path, "rb") as f:
             shared = spark.sparkContext.broadcast(f.read())
 
@@ -197,7 +198,14 @@ class BpeColumns:
             for rows in batches:
                 yield pd.Series([b"" if ids is None else codec.decode(ids.tolist() if hasattr(ids, "tolist") else ids) for ids in rows], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids array<int>, decoded binary")
+        def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            codec = _codec(shared, pattern)
+            for texts in batches:
+                ids = [codec.encode(t) if t else [] for t in texts]
+                yield pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "decoded": [codec.decode(x) for x in ids]})
+
+        self._encode, self._decode, self._round_trip = encode, decode, round_trip
 
     def encode(self, text: Column | str) -> Column:
         """Ids of the whole text, as ``array<int>``; null and empty give []."""
@@ -206,3 +214,7 @@ class BpeColumns:
     def decode(self, ids: Column | str) -> Column:
         """The bytes that ids stand for."""
         return self._decode(ids)
+
+    def round_trip(self, text: Column | str) -> Column:
+        """Struct of ids and the bytes they decode to, both by one worker."""
+        return self._round_trip(text)

@@ -25,8 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode every text; keep digests of both results."""
     bpe = BpeColumns(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = docs.select("doc_id", bpe.encode("text").alias("ids"))
-    decoded = encoded.withColumn("decoded", bpe.decode("ids"))
+    decoded = docs.select("doc_id", bpe.round_trip("text").alias("r")).select("doc_id", "r.ids", "r.decoded")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
