@@ -8,8 +8,14 @@ Fertility: two public vocabularies measure how a text's words fall into tokens.
 The byte-level one gives characters per token and the entropy of the token
 distribution; the one with byte fallback gives the share of its tokens that are
 single bytes.  A text is rejected if a measure leaves the band of its dominant
-script.  Words are tokenised one by one (with a leading space), so what a worker
-learns of a word holds wherever the word occurs.
+script and its language.  Words are tokenised one by one (with a leading space), so
+what a worker learns of a word holds wherever the word occurs.
+
+Bands: ``fit_bands`` sets them from texts labelled clean, at most ``MAX_CLEAN``, those
+with the least hash of the id: outer quantiles with a margin.  Entropy grows with a
+text's length, so it has a band for each class of lengths (half octaves of words).
+A language (or one of its classes) with fewer than ``LEAST_TEXTS`` such texts takes
+its script's bands, a script with fewer takes the wide ones of ``BANDS``, as all do without labels.
 
 Defined results: null and empty texts have no words and fail the base; whole
 texts are measured; repeated rows measure alike; a text without letters takes the
@@ -19,6 +25,7 @@ bands of script ``other``.
 from __future__ import annotations
 
 import base64
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -26,9 +33,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .gbdt import labelled_sample
 from .staging import held_by_worker, small_arrow_batches
 
 #: (characters per token from, to; byte-fallback share up to; bits of token entropy from) by script.
@@ -55,6 +63,14 @@ SCRIPTS = {
     "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF)),
 }
 
+#: Clean texts that bands are fitted to; fewest for a band of their own.
+MAX_CLEAN = 10_000
+LEAST_TEXTS = 100
+#: Share of clean texts beyond each end of a band, and the margin added there, relative to the median.
+OUTER, MARGIN = 0.005, 0.02
+#: Margin of the byte-fallback share.
+BYTE_MARGIN = 0.02
+
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 CACHE_ENTRIES = 200_000
@@ -120,7 +136,52 @@ class WordTokens(dict):
         return found
 
 
-def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS) -> tuple:
+def length_class(n_words: int) -> int:
+    """Half octaves of a number of words."""
+    return int(2 * math.log2(n_words))
+
+
+def bands_of(clean: pd.DataFrame, least: int = LEAST_TEXTS, outer: float = OUTER, margin: float = MARGIN) -> dict[tuple, tuple]:
+    """Fitted bands by (script, language), and by (script, None) for its other languages.
+
+    ``clean`` has lang and FIELDS of clean texts.  A band is (characters per token
+    from, to; byte-fallback share up to; rows of (length class, bits from, to)).
+    """
+
+    def ends(values: pd.Series) -> tuple[float, float]:
+        wide = margin * abs(float(values.median()))
+        return float(values.quantile(outer)) - wide, float(values.quantile(1 - outer)) + wide
+
+    found = {}
+    clean = clean.assign(size=[length_class(n) for n in clean["n_words"]])
+    by_script = (((s, None), rows) for s, rows in clean.groupby("script"))
+    for key, rows in chain(by_script, clean.dropna(subset="lang").groupby(["script", "lang"])):
+        if len(rows) >= least:
+            bits = {int(size): ends(of["token_entropy"]) for size, of in rows.groupby("size") if len(of) >= least}
+            if key[1] is not None:
+                bits = {size: (low, high) for size, low, high in found[key[0], None][3]} | bits
+            found[key] = (*ends(rows["chars_per_token"]), float(rows["byte_share"].quantile(1 - outer)) + BYTE_MARGIN, tuple((size, *bits[size]) for size in sorted(bits)))
+    return found
+
+
+def within(fitted: dict[tuple, tuple], script: str, lang: str | None, n_words: int, per_token: float, share: float, entropy: float) -> bool:
+    """Whether the fitted bands of a script and language hold the measures; true without any.
+
+    A class of lengths without a band is bounded by the next shorter one from below
+    and by the next longer one from above, as entropy grows with length.
+    """
+    band = fitted.get((script, lang)) or fitted.get((script, None))
+    if band is None:
+        return True
+    low, high, most_bytes, bits = band
+    if not low <= per_token <= high or share > most_bytes:
+        return False
+    sizes, size = [b[0] for b in bits], length_class(n_words)
+    shorter, longer = bisect.bisect_right(sizes, size) - 1, bisect.bisect_left(sizes, size)
+    return (shorter < 0 or entropy >= bits[shorter][1]) and (longer == len(bits) or entropy <= bits[longer][2])
+
+
+def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS, lang: str | None = None, fitted: dict[tuple, tuple] | None = None) -> tuple:
     """One row of FIELDS for a text."""
     if not text:
         return (0, 0, 0, 0, 0, True, "other", 0.0, 0.0, 0.0, False)
@@ -147,10 +208,11 @@ def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BAND
     per_token, share = word_chars / total, n_bytes / max(1, n_pieces)
     low, high, most_bytes, least_bits = bands[script]
     kept = not failed and low <= per_token <= high and share <= most_bytes and entropy >= least_bits
+    kept = kept and within(fitted or {}, script, lang, n, per_token, share, entropy)
     return (n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, script, per_token, share, entropy, kept)
 
 
-def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS) -> Column:
+def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS, lang: Column | str | None = None, fitted: dict[tuple, tuple] | None = None) -> Column:
     """A struct column of FIELDS.  Both vocabularies (about 1 MB each) are broadcast."""
     small_arrow_batches(spark)
     with open(rank_path, "rb") as f, open(piece_path, "rb") as g:
@@ -158,10 +220,18 @@ def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pa
     names = [x.split()[0] for x in FIELDS.split(", ")]
 
     @F.pandas_udf(FIELDS)
-    def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def measures(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         ranks, pieces = shared.value
         tokens = held_by_worker(("fertility", hash(ranks), hash(pieces), pattern), lambda: WordTokens(ranks, pattern, pieces))
-        for texts in batches:
-            yield pd.DataFrame([measure(t, tokens, bands, min_words) for t in texts], columns=names)
+        for texts, langs in batches:
+            yield pd.DataFrame([measure(t, tokens, bands, min_words, x, fitted) for t, x in zip(texts, langs, strict=True)], columns=names)
+
+    return measures(text, F.lit(None).cast("string") if lang is None else lang)
+
 
-    return measures(text)
+def fit_bands(docs: DataFrame, labels: DataFrame, measures: Column, lang: str = "lang", most: int = MAX_CLEAN) -> dict[tuple, tuple]:
+    """Bands from documents labelled clean (quality 1) that pass the base; one row an id."""
+    sample = labelled_sample(labels, "quality", F.col("quality") == 1, most).select("doc_id").distinct()
+    rows = docs.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", F.struct(F.col(lang).alias("lang"), measures.alias("m")).alias("r"))
+    one = rows.where("not r.m.base_failed").groupBy("doc_id").agg(F.min("r").alias("r"))
+    return bands_of(one.select("r.lang", "r.m.script", "r.m.n_words", "r.m.chars_per_token", "r.m.byte_share", "r.m.token_entropy").toPandas())

@@ -112,15 +112,19 @@ def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(gbdt.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), out), out)
 
 
-def quality_measures(docs: DataFrame) -> Column:
-    """The fertility rules' measures of each text."""
+def quality_measures(docs: DataFrame, labels: DataFrame | None = None) -> Column:
+    """The fertility rules' measures of each text, by bands fitted to ``labels`` if given."""
     path = public_tokenizers.path
-    return fertility.quality_measures(docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    public = (docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+    if labels is None:
+        return fertility.quality_measures(*public)
+    fitted = fertility.fit_bands(docs, labels, fertility.quality_measures(*public))
+    return fertility.quality_measures(*public, lang="lang", fitted=fitted)
 
 
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality_measures(docs).alias("m")).select("doc_id", "m.*")
+    return docs.select("doc_id", quality_measures(docs, _table(spark, sf_dir, "labels")).alias("m")).select("doc_id", "m.*")
 
 
 def queries() -> dict[str, Query]:

@@ -250,3 +250,22 @@ def test_pipeline_end_to_end(spark):
     assert kept[0] == {r.doc_id for r in base}
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) == docs.count() and (out["n_tokens"] > 0).all()
+
+
+def test_fertility_bands_reject_junk_that_passes_the_base(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    path = [P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("piece_bpe_32k.model")]
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    fitted = fertility.fit_bands(docs, labels.where(~fold), fertility.quality_measures(spark, "text", *path))
+    assert ("latin", None) in fitted
+    measured = docs.select("doc_id", fertility.quality_measures(spark, "text", *path, lang="lang", fitted=fitted).alias("m")).select("doc_id", "m.*")
+    rows = measured.join(labels.where(fold), "doc_id").where("not base_failed").toPandas()
+    assert rows[rows["quality"] == 1]["kept"].mean() > 0.95  # labels not learnt from
+    junk = rows[rows["quality"] == 0]["kept"]
+    assert len(junk) and junk.mean() < 0.5
+    tokens, rng = fertility.WordTokens(RAW, P.PATTERN, open(path[2], "rb").read()), random.Random(6)
+    for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"):
+        text = " ".join("".join(rng.choices(letters, k=12)) for _ in range(200))
+        wide, fit = fertility.measure(text, tokens), fertility.measure(text, tokens, lang="en", fitted=fitted)
+        assert not wide[5] and wide[-1] and not fit[-1]
