@@ -269,3 +269,30 @@ def test_fertility_bands_reject_junk_that_passes_the_base(spark):
         text = " ".join("".join(rng.choices(letters, k=12)) for _ in range(200))
         wide, fit = fertility.measure(text, tokens), fertility.measure(text, tokens, lang="en", fitted=fitted)
         assert not wide[5] and wide[-1] and not fit[-1]
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_are_similar(spark):
+    rng, texts = random.Random(9), []
+    for _ in range(12):
+        words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(120)]
+        for _ in range(6):
+            texts.append(" ".join(words))
+            words = [w if rng.random() > 0.01 else "Z" for w in words]
+    # one phrase in over half of the shingles decides every bit: equal fingerprints, unlike texts
+    texts += ["spam " * 200 + " ".join(f"{name}{i}" for i in range(40)) for name in ("river", "stone", "cloud")] + ["", "  "]
+    prints, sets = [simhash.fingerprint(t, 5) for t in texts], [_shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if alike and (prints[i] ^ prints[j]).bit_count() <= 8 and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert prints[72] == prints[73] == prints[74] and len(set(group[72:75])) == 3
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(group)
