@@ -54,8 +54,10 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", filters: dict | None = None) -> DataFrame:
-    """Top k by BM25.  Statistics are those of all documents; filters apply after.
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", filters: dict | None = None, scope: DataFrame | None = None) -> DataFrame:
+    """Top k by BM25.  Statistics are those of all documents; filters and ``scope`` apply after, before the ranking.
+
+    ``scope`` (query_id, id) names the documents that each query may find; a query without any finds none.
 
     A query term that occurs twice counts twice.  Only the queries' terms leave the
     scan: the others are dropped before any shuffle.
@@ -72,6 +74,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
     scored = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     if filters:
         scored = scored.join(docs.where(metadata_filter(filters)).select(F.col(id_col).alias("id")), "id", "left_semi")
+    if scope is not None:
+        scored = scored.join(scope, ["query_id", "id"], "left_semi")
     return ranked(scored, k).select("query_id", "rank", "id", "score")
 
 

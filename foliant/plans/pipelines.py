@@ -51,8 +51,7 @@ def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges
     related = reached.join(vertices.where("type <> 'document'").select("key", "name"), "key").select("seed", "name")
     names = seeds.join(related, seeds["key"] == related["seed"]).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("more"))
     richer = queries.join(names, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
-    wide = retrieval.bm25(richer, docs, 10 * candidates).join(scope.withColumnRenamed("source", "id"), ["query_id", "id"], "left_semi")
-    second = retrieval.ranked(wide.drop("rank"), candidates)
+    second = retrieval.bm25(richer, docs, candidates, scope=scope.withColumnRenamed("source", "id"))
     return retrieval.normalized(retrieval.fuse({"vector": first, "graph": second}, k))
 
 

@@ -297,3 +297,14 @@ def test_answer_report(spark):
     row = evaluate_answers(cases, answered, hits).first()
     assert (row.faithfulness, row.hallucination_rate, row.citation_accuracy, row.keyword_coverage, row.grounded_share) == (0.5, 0.5, 0.5, 0.5, 0.0)
     assert '"faithfulness":0.5' in report_json(evaluate_answers(cases, answered, hits)).first().value
+
+
+def test_graph_leg_searches_inside_its_scope(spark):
+    """Documents outside the scope outrank the one that the graph implicates."""
+    from foliant.plans.pipelines import build_graph, graph_search
+
+    rows = [(0, "Jane Doe " + "filler words follow here " * 50)] + [(i, "jane doe budget memo") for i in range(1, 61)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vertices, edges = build_graph(docs)
+    asked = spark.createDataFrame([(7, "Jane Doe budget memo")], "query_id long, text string")
+    assert 0 in {r.id for r in graph_search(asked, docs, vertices, edges, candidates=2).collect()}
