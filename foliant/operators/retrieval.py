@@ -7,21 +7,22 @@ rounded to six places, so float noise can't flip them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B = 1.5, 0.75
 RRF_K = 60
-#: Query vectors that one broadcast holds; more go in blocks.
+#: Query vectors that one broadcast holds, about; more go in blocks.
 QUERY_BLOCK = 4096
-#: Queries of one call; a larger batch is several calls.
-MAX_QUERIES = 65_536
 
 
 def metadata_filter(filters: dict) -> Column:
@@ -84,34 +85,51 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
 
     A block of query vectors is broadcast; each task multiplies its batches with it
     and keeps its own k best per query, so little more than the result is shuffled.
+    Several blocks take turns: the driver holds one, and its hits are written before the next.
     """
-    rows = queries.select(F.col("query_id"), F.col("vector")).orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; call once for each part of the batch")
-    out = None
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = [r.query_id for r in block]
-        matrix = _unit(np.array([r.vector for r in block], np.float64)) if block else np.zeros((0, 1))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                own = batch["id"].to_numpy()
-                score = np.round(matrix @ _unit(np.array(batch["v"].tolist(), np.float64)).T, 6) + 0.0
-                if exclude_self:
-                    score[np.array(ids)[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                found = pd.DataFrame({"query_id": np.array(ids)[q], "id": own[order.ravel()], "score": score[q, order.ravel()]})
-                yield found[np.isfinite(found["score"])]
-
-        local = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null").mapInPandas(best, "query_id long, id long, score double")
-        out = local if out is None else out.unionByName(local)
-    return ranked(out, k).select("query_id", "rank", "id", "score")
+    asked = queries.select("query_id", "vector")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return ranked(_best_of_block(asked, vectors, k, id_col, vector, exclude_self)[0], k).select("query_id", "rank", "id", "score")
+    spark = queries.sparkSession
+    folder = _shared_folder(spark)
+    asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.monotonically_increasing_id()), F.lit(blocks))).write.parquet(f"{folder}/queries")
+    numbered = spark.read.parquet(f"{folder}/queries")
+    for i in range(blocks):
+        found, shared = _best_of_block(numbered.where(F.col("block") == i), vectors, k, id_col, vector, exclude_self)
+        ranked(found, k).write.mode("append").parquet(f"{folder}/hits")
+        shared.destroy()
+    return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or a temporary one without that setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-")
+    return f"{named.rstrip('/')}/foliant-vectors-{uuid.uuid4().hex}"
+
+
+def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
+    """Each task's k best (query_id, id, score) for one block of queries, and the broadcast it reads."""
+    block = queries.collect()
+    matrix = _unit(np.array([r.vector for r in block], np.float64)) if block else np.zeros((0, 1))
+    shared = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in block], matrix))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix = shared.value
+        for batch in batches:
+            if not len(batch) or not ids:
+                continue
+            own = batch["id"].to_numpy()
+            score = np.round(matrix @ _unit(np.array(batch["v"].tolist(), np.float64)).T, 6) + 0.0
+            if exclude_self:
+                score[np.array(ids)[:, None] == own[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+            q = np.repeat(np.arange(len(ids)), order.shape[1])
+            found = pd.DataFrame({"query_id": np.array(ids)[q], "id": own[order.ravel()], "score": score[q, order.ravel()]})
+            yield found[np.isfinite(found["score"])]
+
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
+    return rows.mapInPandas(best, "query_id long, id long, score double"), shared
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,14 @@ def test_graph_leg_searches_inside_its_scope(spark):
     vertices, edges = build_graph(docs)
     asked = spark.createDataFrame([(7, "Jane Doe budget memo")], "query_id long, text string")
     assert 0 in {r.id for r in graph_search(asked, docs, vertices, edges, candidates=2).collect()}
+
+
+def test_vector_queries_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "vec_id long, embedding array<double>")
+    asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = lambda: sorted(map(tuple, retrieval.vector_topk(asked, vectors, 3, exclude_self=True).collect()))
+    whole = found()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 20, raising=False)
+    assert len(whole) == 120 and found() == whole
