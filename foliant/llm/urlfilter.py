@@ -4,11 +4,11 @@ Rules name a host and the beginning of a path, and fit the host's subdomains too
 of the rules that fit, the longest wins.  URLs that a rule decides are the labelled
 ones.  Trees learn from them what the others get: lengths, depths, digit and
 letter ratios, entropy, counts of parameters, and how often labelled URLs with the
-same host ending were blocked (smoothed, from the labelled URLs alone).
+same host ending were blocked (smoothed, from the labelled URLs alone, all of them).
 
 Everything is built from SQL functions and the ML library's own trees.  At most
-``MAX_LABELLED`` labelled URLs are learnt from, those with the least hash: a bound
-on what the trees are grown on.  The table of host endings is joined, not
+``MAX_LABELLED`` labelled URLs grow the trees, those with the least hash: a bound
+on what the trees are grown on, and on nothing else.  The table of host endings is joined, not
 broadcast by force, so its size is checked before any broadcast.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits
@@ -132,12 +132,12 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "pag
     parsed = staged(with_lexical(parsed.withColumns({"rule": name, "ruled": verdict})), "urls")
     labelled = parsed.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
     sample = staged(labelled.orderBy(F.xxhash64("url", "key"), "url", "key").limit(MAX_LABELLED), "labelled-urls")
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
+    seen = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
     if not seen.n or seen.blocked in (0.0, float(seen.n)):
         default = "block" if seen.n and seen.blocked else "allow"
         return parsed.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     overall = seen.blocked / seen.n
-    endings = [staged(_shares(sample, e, overall), "endings") for e in ("top", "domain")]
+    endings = [staged(_shares(labelled, e, overall), "endings") for e in ("top", "domain")]
 
     def featured(rows: DataFrame) -> DataFrame:
         for e, table in zip(("top", "domain"), endings, strict=True):

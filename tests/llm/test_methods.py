@@ -296,3 +296,17 @@ def test_near_copies_are_similar(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert prints[72] == prints[73] == prints[74] and len(set(group[72:75])) == 3
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(group)
+
+
+def test_url_shares_cover_all_labelled(spark, monkeypatch):
+    """Hosts differ in their labelled URLs alone, most of which the trees' sample leaves out."""
+    from foliant.llm import urlfilter
+
+    hosts = [a + b for a in "bcdfgh" for b in "aeiou"]
+    verdicts = {h: "block" if (i * 7) % 30 < 15 else "allow" for i, h in enumerate(hosts)}
+    urls = [f"http://{h}.test/{p}{i:02d}" for h in hosts for p, n in (("a", 20), ("b", 1)) for i in range(n)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(urlfilter, "MAX_LABELLED", 40)
+    out = judge(pages, [Rule(f"{h}.test", "/a", v) for h, v in verdicts.items()]).where("rule is null").toPandas()
+    assert len(out) == 30
+    assert [verdicts[h.split(".")[0]] for h in out["host"]] == out["verdict"].tolist()
