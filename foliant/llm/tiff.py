@@ -2,13 +2,14 @@
 
 Reading walks the chain of image directories (either byte order, classic and
 64-bit offsets, a repeated directory ends the walk), decodes strips or tiles
-stored plain, by PackBits, LZW or deflate, undoes the horizontal predictor for 8,
-16 and 32 bits and returns the samples row by row in little-endian order, pixels
-interleaved.  Writing stores bytes as 8-bit grey pages for the same reader.
-
-Defined results: a null or empty file has no page; a file or directory that breaks
-the format gives one row with ``error`` set and no samples, and the walk ends
-there; whole files are read; only the media column is needed.
+stored plain, by PackBits, LZW or deflate, undoes the horizontal predictor for 8 to
+64 bits and the floating-point one for 16 to 64 bits, and returns the samples row by
+row in little-endian order, pixels interleaved; samples of 1, 2 and 4 bits take a
+byte each.  Writing stores bytes as 8-bit grey pages for the same reader.
+
+Defined results: a null or empty file has no page; a page that breaks
+the format or is of another kind gives one row with ``error`` set and no samples, and
+the walk goes on; where the next directory's place can't be read, such a row ends it; whole files are read; only the media column is needed.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 TYPE_LETTERS = {1: "B", 3: "H", 4: "I", 13: "I", 16: "Q"}
 #: Fixed values of the format: tags read here.
 TAGS = {
-    256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strip_offsets", 277: "samples",
-    278: "strip_rows", 279: "strip_sizes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_sizes",
+    256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 266: "fill_order", 273: "strip_offsets", 277: "samples",
+    278: "strip_rows", 279: "strip_sizes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_sizes", 339: "sample_format",
 }
 
 PAGE_FIELDS = "page int, width int, height int, samples_per_pixel int, bits int, compression string, predictor int, layout string, samples binary, mean double, spread double, error string"
@@ -173,8 +174,15 @@ def _decode(kind: str, data: bytes, size: int) -> bytes:
     return raw[:size]
 
 
-def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict, int]:
-    """Values by tag name, and the offset of the next directory."""
+def _following(data: bytes, at: int, order: str, big: bool) -> int:
+    """The offset of the directory after the one at ``at``."""
+    head, entry = ("Q", 20) if big else ("H", 12)
+    (n,) = struct.unpack_from(order + head, data, at)
+    return struct.unpack_from(order + ("Q" if big else "I"), data, at + struct.calcsize(head) + n * entry)[0]
+
+
+def _directory(data: bytes, at: int, order: str, big: bool) -> dict:
+    """Values by tag name."""
     head, entry, inline = ("Q", 20, 8) if big else ("H", 12, 4)
     (n,) = struct.unpack_from(order + head, data, at)
     at += struct.calcsize(head)
@@ -188,8 +196,23 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict, int]:
         if count * TYPE_SIZES[kind] > inline:
             (where,) = struct.unpack_from(order + ("Q" if big else "I"), data, where)
         found[TAGS[tag]] = struct.unpack_from(f"{order}{count}{TYPE_LETTERS[kind]}", data, where)
-    (following,) = struct.unpack_from(order + ("Q" if big else "I"), data, at + n * entry)
-    return found, following
+    return found
+
+
+def _samples(raw: bytes, rows: int, across: int, each: int, bits: int, predictor: int, wide: np.dtype) -> np.ndarray:
+    """A decoded strip or tile as rows, pixels, samples, its predictor undone."""
+    flat = np.frombuffer(raw, np.uint8)
+    if bits < 8:
+        single = np.unpackbits(flat.reshape(rows, -1), axis=1)[:, : across * each * bits].reshape(rows, across, each, bits)
+        return single @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+    if predictor == 3:  # bytes of a row: all the high ones first, each less the one before
+        planes = np.cumsum(flat.reshape(rows, across * wide.itemsize, each), axis=1, dtype=np.uint8).reshape(rows, wide.itemsize, across * each)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(wide.newbyteorder(">")).reshape(rows, across, each)
+    chunk = flat.view(wide).reshape(rows, across, each)
+    return np.cumsum(chunk, axis=1, dtype=wide.newbyteorder("=")) if predictor == 2 else chunk
+
+
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
 def _page(data: bytes, tags: dict, order: str) -> dict:
@@ -197,9 +220,11 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
     width, height, samples = one("width"), one("height"), one("samples", 1)
     bits, predictor, planar = one("bits", 1), one("predictor", 1), one("planar", 1)
     kind = COMPRESSIONS.get(one("compression", 1))
-    if not width or not height or kind is None or bits not in (8, 16, 32) or predictor not in (1, 2) or len(set(tags.get("bits", (bits,)))) > 1:
+    if not width or not height or kind is None or bits not in (1, 2, 4, 8, 16, 32, 64) or predictor not in (1, 2, 3) or len(set(tags.get("bits", (bits,)))) > 1:
         raise ValueError("a size, compression, sample depth or predictor that is not supported")
-    if width * height * samples * bits // 8 > MAX_PAGE_BYTES:
+    if predictor > 1 and bits < 8 * (predictor - 1):
+        raise ValueError("a predictor that such samples don't have")
+    if width * height * samples * max(8, bits) // 8 > MAX_PAGE_BYTES:
         raise ValueError("a page beyond the size limit")
     tiled = "tile_offsets" in tags
     if tiled:
@@ -210,29 +235,40 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     if len(offsets) < across * down * planes or len(sizes) < len(offsets):
         raise ValueError("too few strips or tiles")
-    wide = np.dtype(f"{'<' if order == '<' else '>'}u{bits // 8}")
+    wide = np.dtype(f"{'<' if order == '<' else '>'}u{max(8, bits) // 8}")
     image = np.zeros((planes, height, width, each), wide.newbyteorder("<"))
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         top, left = cell // across * ch, cell % across * cw
         rows = ch if tiled else min(ch, height - top)
-        raw = _decode(kind, data[offsets[k] : offsets[k] + sizes[k]], rows * cw * each * wide.itemsize)
-        chunk = np.frombuffer(raw, wide).reshape(rows, cw, each)
-        if predictor == 2:
-            chunk = np.cumsum(chunk, axis=1, dtype=wide.newbyteorder("="))
+        stored = data[offsets[k] : offsets[k] + sizes[k]]
+        if one("fill_order", 1) == 2:
+            stored = stored.translate(_REVERSED)
+        raw = _decode(kind, stored, rows * -(-cw * each * bits // 8))
+        chunk = _samples(raw, rows, cw, each, bits, predictor, wide)
         image[plane, top : top + rows, left : left + cw] = chunk[: height - top, : width - left]
     image = np.moveaxis(image, 0, -1).reshape(height, width, samples) if planes > 1 else image[0]
+    floats = bits >= 16 and (predictor == 3 or one("sample_format", 1) == 3)
+    values = np.ascontiguousarray(image).view(f"<f{bits // 8}").astype(np.float64) if floats else image
     return {
         "width": width, "height": height, "samples_per_pixel": samples, "bits": bits, "compression": kind, "predictor": predictor, "layout": "tiles" if tiled else "strips",
-        "samples": image.tobytes(), "mean": float(image.mean()), "spread": float(image.std()),
+        "samples": image.tobytes(), "mean": float(values.mean()), "spread": float(values.std()),
     }
 
 
+#: What reading a broken or unsupported page raises.
+_BROKEN = (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, ZeroDivisionError, OverflowError)
+
+
 def pages(data: bytes | None) -> list[dict]:
     """Every page of a file, in the order of its directories."""
     if not data:
         return []
     found: list[dict] = []
+
+    def failed(error: Exception) -> dict:
+        return {"page": len(found), "error": f"{type(error).__name__}: {error}"[:200]}
+
     try:
         order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
         (magic,) = struct.unpack_from(order + "H", data, 2)
@@ -241,10 +277,13 @@ def pages(data: bytes | None) -> list[dict]:
         seen = set()
         while at and at not in seen:
             seen.add(at)
-            tags, at = _directory(data, at, order, big)
-            found.append(_page(data, tags, order) | {"page": len(found)})
-    except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as error:
-        found.append({"page": len(found), "error": f"{type(error).__name__}: {error}"[:200]})
+            here, at = at, _following(data, at, order, big)
+            try:
+                found.append(_page(data, _directory(data, here, order, big), order) | {"page": len(found)})
+            except _BROKEN as error:
+                found.append(failed(error))
+    except _BROKEN as error:
+        found.append(failed(error))
     return found
 
 

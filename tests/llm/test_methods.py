@@ -310,3 +310,43 @@ def test_url_shares_cover_all_labelled(spark, monkeypatch):
     out = judge(pages, [Rule(f"{h}.test", "/a", v) for h, v in verdicts.items()]).where("rule is null").toPandas()
     assert len(out) == 30
     assert [verdicts[h.split(".")[0]] for h in out["host"]] == out["verdict"].tolist()
+
+
+def _tiff(*made):
+    """A big-endian file of one-strip pages: (tags, bytes of the strip) each."""
+    out, patch = bytearray(b"MM\0*\0\0\0\0"), 4
+    for tags, strip in made:
+        fields = sorted((tags | {273: len(out), 278: tags[257], 279: len(strip)}).items())
+        out += strip
+        struct.pack_into(">I", out, patch, len(out))
+        out += struct.pack(">H", len(fields)) + b"".join(struct.pack(">HHII", t, 4, 1, v) for t, v in fields)
+        patch = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+def test_tiff_walk_goes_on_after_a_page_that_fails():
+    grey = {256: 3, 257: 2, 258: 8, 259: 1}
+    found = tiff.pages(_tiff((grey, b"abcdef"), (grey | {259: 7}, b"abcdef"), (grey, b"uvwxyz")))
+    assert [p.get("samples") for p in found] == [b"abcdef", None, b"uvwxyz"]
+    assert [p["page"] for p in found] == [0, 1, 2] and "error" in found[1]
+
+
+def test_tiff_small_samples_and_floating_predictor():
+    rng = np.random.default_rng(1)
+    for bits in (1, 2, 4):
+        values = rng.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+        single = np.unpackbits(values[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1)
+        packed = np.packbits(single, axis=1).tobytes()
+        tags = {256: 11, 257: 5, 258: bits, 259: 32773}
+        turned = bytes(int(f"{b:08b}"[::-1], 2) for b in tiff.pack_bits(packed))
+        for page in tiff.pages(_tiff((tags, tiff.pack_bits(packed)), (tags | {266: 2}, turned))):
+            assert page["samples"] == values.tobytes() and page["bits"] == bits
+    for kind in ("f2", "f4", "f8"):
+        values = rng.normal(size=(4, 7, 3)).astype(f">{kind}")
+        size = values.itemsize
+        planes = values.reshape(4, 21).view(np.uint8).reshape(4, 21, size).transpose(0, 2, 1).reshape(4, -1, 3)
+        coded = np.diff(planes, axis=1, prepend=np.zeros((4, 1, 3), np.uint8)).tobytes()
+        (page,) = tiff.pages(_tiff(({256: 7, 257: 4, 258: 8 * size, 259: 1, 277: 3, 317: 3, 339: 3}, coded)))
+        assert page["samples"] == values.astype(f"<{kind}").tobytes()
+        assert abs(page["mean"] - values.astype(float).mean()) < 1e-9
