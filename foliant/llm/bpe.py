@@ -17,17 +17,17 @@ decode to nothing, and so does a null id array.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import held_by_worker, small_arrow_batches
+from .staging import held_by_worker
 
 #: Pre-tokens that a worker remembers; a cleared cache costs time only.
 CACHE_ENTRIES = 400_000
@@ -120,6 +120,7 @@ class ByteBpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         size = max(self.ranks.values(), default=0) + 1
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
+        self.decimal = [str(i) for i in range(size)]
         self.split = regex.compile(pattern)
         self.queue = RankQueue(size)
         self.cache = _Pieces(self)
@@ -153,6 +154,12 @@ class ByteBpe:
         except KeyError:
             return b"".join(table.get(i, b"") for i in ids)
 
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, and the lowercase hex SHA-256 of the ids joined by spaces and of the decoded bytes."""
+        ids = self.encode(text) if text else []
+        listed = " ".join(map(self.decimal.__getitem__, ids))
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
 
 class _Pieces(dict):
     """What a worker remembers of pre-tokens it has met."""
@@ -182,7 +189,6 @@ class BpeColumns:
     """
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str) -> None:
-        small_arrow_batches(spark, 500)
         with open(rank_path, "rb") as f:
             shared = spark.sparkContext.broadcast(f.read())
 
@@ -198,14 +204,13 @@ class BpeColumns:
             for rows in batches:
                 yield pd.Series([b"" if ids is None else codec.decode(ids.tolist() if hasattr(ids, "tolist") else ids) for ids in rows], dtype=object)
 
-        @F.pandas_udf("ids array<int>, decoded binary")
-        def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             codec = _codec(shared, pattern)
             for texts in batches:
-                ids = [codec.encode(t) if t else [] for t in texts]
-                yield pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "decoded": [codec.decode(x) for x in ids]})
+                yield pd.DataFrame([codec.digests(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-        self._encode, self._decode, self._round_trip = encode, decode, round_trip
+        self._encode, self._decode, self._digests = encode, decode, digests
 
     def encode(self, text: Column | str) -> Column:
         """Ids of the whole text, as ``array<int>``; null and empty give []."""
@@ -215,6 +220,6 @@ class BpeColumns:
         """The bytes that ids stand for."""
         return self._decode(ids)
 
-    def round_trip(self, text: Column | str) -> Column:
-        """Struct of ids and the bytes they decode to, both by one worker."""
-        return self._round_trip(text)
+    def digests(self, text: Column | str) -> Column:
+        """Struct of the number of ids, SHA-256 of the ids in decimal and of what they decode to; neither leaves the worker."""
+        return self._digests(text)

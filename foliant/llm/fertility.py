@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .gbdt import labelled_sample
-from .staging import held_by_worker, small_arrow_batches
+from .staging import held_by_worker
 
 #: (characters per token from, to; byte-fallback share up to; bits of token entropy from) by script.
 #: Wide on purpose: what they reject is text that hardly any language produces.
@@ -214,7 +214,6 @@ def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BAND
 
 def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS, lang: Column | str | None = None, fitted: dict[tuple, tuple] | None = None) -> Column:
     """A struct column of FIELDS.  Both vocabularies (about 1 MB each) are broadcast."""
-    small_arrow_batches(spark)
     with open(rank_path, "rb") as f, open(piece_path, "rb") as g:
         shared = spark.sparkContext.broadcast((f.read(), g.read()))
     names = [x.split()[0] for x in FIELDS.split(", ")]

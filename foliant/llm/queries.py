@@ -25,13 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode and decode every text; keep digests of both results."""
     bpe = BpeColumns(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    decoded = docs.select("doc_id", bpe.round_trip("text").alias("r")).select("doc_id", "r.ids", "r.decoded")
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return docs.select("doc_id", bpe.digests("text").alias("r")).select("doc_id", "r.*")
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +36,7 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), padded.alias("payload"))
     files = docs.select("doc_id", "n_bytes", tiff.store("payload").alias("media"))
     read = files.withColumn("pages", tiff.pages("media"))
-    back = F.aggregate("pages", F.lit(b""), lambda all_, p: F.concat(all_, p["samples"]))
+    back = F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["samples"])), ""))
     one = lambda p: F.format_string("%d:%dx%d:%s:%s:%d:%.4f:%.4f", p["page"], p["width"], p["height"], p["compression"], p["layout"], p["predictor"], p["mean"], p["spread"])
     read = read.select("doc_id", "n_bytes", "media", back.alias("back"), F.array_join(F.transform("pages", one), ";").alias("feature"))
     return read.select(

@@ -2,12 +2,13 @@
 
 A staged table cuts lineage: a lost executor makes Spark re-read files, not
 re-run the stages before them.  The folder is the one the session names in
-``spark.checkpoint.dir``; only a session without one (a unit test) gets a
-temporary folder.
+``spark.checkpoint.dir``.  Without that setting a local session (a unit test) gets
+a temporary folder, and any other raises: its executors share no local folder.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,8 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, tempfile.mkdtemp(prefix="foliant-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="foliant-")
+        named = _own[app]
     return named.rstrip("/")
 
 
@@ -33,11 +38,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 _held: dict = {}
 
 

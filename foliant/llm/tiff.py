@@ -9,7 +9,8 @@ byte each.  Writing stores bytes as 8-bit grey pages for the same reader.
 
 Defined results: a null or empty file has no page; a page that breaks
 the format or is of another kind gives one row with ``error`` set and no samples, and
-the walk goes on; where the next directory's place can't be read, such a row ends it; whole files are read; only the media column is needed.
+the walk goes on; where the next directory's place can't be read, such a row ends it; a page whose samples exceed 2 GiB,
+the most that Spark's binary type holds, gives such a row too; repeated rows read alike; whole files are read; only the media column is needed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import small_arrow_batches
 
 #: Fixed values of the format: compression codes.
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32773: "packbits", 32946: "deflate"}
@@ -38,7 +38,8 @@ TAGS = {
 }
 
 PAGE_FIELDS = "page int, width int, height int, samples_per_pixel int, bits int, compression string, predictor int, layout string, samples binary, mean double, spread double, error string"
-MAX_PAGE_BYTES = 1 << 30
+#: What one binary value of Spark holds; a page beyond it can't be a row.
+MAX_PAGE_BYTES = (1 << 31) - 64
 
 ROW = 64
 PAGE_ROWS = 1024
@@ -225,7 +226,7 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
     if predictor > 1 and bits < 8 * (predictor - 1):
         raise ValueError("a predictor that such samples don't have")
     if width * height * samples * max(8, bits) // 8 > MAX_PAGE_BYTES:
-        raise ValueError("a page beyond the size limit")
+        raise ValueError("more samples than a binary value holds")
     tiled = "tile_offsets" in tags
     if tiled:
         cw, ch, offsets, sizes = one("tile_width"), one("tile_height"), tags["tile_offsets"], tags["tile_sizes"]
@@ -329,7 +330,7 @@ def write(payload: bytes, compression: str = "deflate", tiled: bool = False, pre
 def store(payload: bytes) -> bytes:
     """A file for ``payload``; its checksum picks codec, layout and predictor, so that a corpus holds every kind."""
     pick = zlib.crc32(payload)
-    compression = {0: "lzw", 1: "packbits"}.get(pick % 8, "deflate")
+    compression = ("lzw", "packbits", "deflate")[pick % 3]
     return write(payload, compression, tiled=bool(pick >> 8 & 1), predictor=1 + (pick >> 9 & 1))
 
 
@@ -337,7 +338,6 @@ class TiffColumns:
     """Writing and reading TIFF files as column functions."""
 
     def __init__(self, spark: SparkSession) -> None:
-        small_arrow_batches(spark, 500)
 
         @F.pandas_udf("binary")
         def stored(payloads: pd.Series) -> pd.Series:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import held_by_worker, small_arrow_batches
+from .staging import held_by_worker
 
 SEED_DOCUMENTS = 2000
 FREQUENT = 32_768
@@ -138,7 +138,6 @@ def frequent_table(docs: DataFrame, spec, pattern: str, text: str = "text") -> d
 def token_count(docs: DataFrame, tokenizer_path: str, pattern: str, text: str = "text") -> Column:
     """A column with the number of tokens of ``text``; ``docs`` seeds the frequent tier."""
     spark = docs.sparkSession
-    small_arrow_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     packed = spark.sparkContext.broadcast(pack(frequent_table(docs, spec, pattern, text)))

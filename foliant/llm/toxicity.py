@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .gbdt import labelled_sample
-from .staging import held_by_worker, small_arrow_batches, staged
+from .staging import held_by_worker, staged
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 20_000
@@ -137,7 +137,6 @@ def train(rows: list[tuple[int, list[int], list[int]]], width: int, fairness: fl
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", text: str = "text", fairness: float = 1.0, least: int = 3) -> Model:
     """Fit to the labels that ``held_out`` (over doc_id) does not hold for."""
-    small_arrow_batches(docs.sparkSession)
     sample = labelled_sample(labels, label, F.coalesce(~held_out, F.lit(False)), MAX_LABELLED)
     texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -173,7 +172,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The model's probability for each whole text."""
-    small_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
     @F.pandas_udf("double")
