@@ -4,22 +4,24 @@ Base: words are runs of ``[^\\x20\\x09-\\x0D]``.  A text fails the base with few
 than 50 words, or if over half of its words lie in three-word windows that occur
 twice or more.
 
-Fertility: two public vocabularies measure how a text's words fall into tokens.
+Fertility: two public vocabularies tokenise the whole text, white space included.
 The byte-level one gives characters per token and the entropy of the token
 distribution; the one with byte fallback gives the share of its tokens that are
-single bytes.  A text is rejected if a measure leaves the band of its dominant
-script and its language.  Words are tokenised one by one (with a leading space), so
-what a worker learns of a word holds wherever the word occurs.
+single bytes.  A text that passes the base is rejected if a measure leaves the band
+of its dominant script and its language.
 
-Bands: ``fit_bands`` sets them from texts labelled clean, at most ``MAX_CLEAN``, those
-with the least hash of the id: outer quantiles with a margin.  Entropy grows with a
-text's length, so it has a band for each class of lengths (half octaves of words).
-A language (or one of its classes) with fewer than ``LEAST_TEXTS`` such texts takes
-its script's bands, a script with fewer takes the wide ones of ``BANDS``, as all do without labels.
+Bands: ``fit_bands`` sets them from all texts labelled clean that pass the base:
+outer quantiles with a margin, by a distributed aggregate (an id counts once).
+Entropy grows with a text's length, so it has a band for each class of lengths
+(half octaves of words).  A language (or one of its classes) with fewer than
+``LEAST_TEXTS`` such texts takes its script's bands, as do all but the ``MAX_BANDS``
+most frequent pairs of script and language; a script with fewer takes the wide ones
+of ``BANDS``, as all do without labels.
 
 Defined results: null and empty texts have no words and fail the base; whole
-texts are measured; repeated rows measure alike; a text without letters takes the
-bands of script ``other``.
+texts are measured (those above ``PART`` characters in parts cut before a space);
+repeated rows measure alike; a text without letters has script ``other``; a null
+language takes its script's bands; empty tables give no rows and the wide bands.
 """
 
 from __future__ import annotations
@@ -27,17 +29,14 @@ from __future__ import annotations
 import base64
 import bisect
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .gbdt import labelled_sample
-from .staging import held_by_worker
+from .staging import held_by_worker, staged
 
 #: (characters per token from, to; byte-fallback share up to; bits of token entropy from) by script.
 #: Wide on purpose: what they reject is text that hardly any language produces.
@@ -63,9 +62,9 @@ SCRIPTS = {
     "cjk": ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF)),
 }
 
-#: Clean texts that bands are fitted to; fewest for a band of their own.
-MAX_CLEAN = 10_000
+#: Fewest clean texts for a band of their own; most pairs of script and language with bands.
 LEAST_TEXTS = 100
+MAX_BANDS = 1000
 #: Share of clean texts beyond each end of a band, and the margin added there, relative to the median.
 OUTER, MARGIN = 0.005, 0.02
 #: Margin of the byte-fallback share.
@@ -73,12 +72,11 @@ BYTE_MARGIN = 0.02
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
-CACHE_ENTRIES = 200_000
-CACHE_BYTES = 48
-#: Words taken at once, so that a very long text is measured in bounded memory.
-CHUNK = 1 << 18
+#: Characters tokenised at once, so that a very long text is measured in bounded memory.
+PART = 1 << 20
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, byte_share double, token_entropy double, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, byte_share double, token_entropy double"
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -111,80 +109,51 @@ def dominant_script(text: str) -> str:
     return best[1] if best[0] else "other"
 
 
-class WordTokens(dict):
-    """(token ids, pieces, byte-fallback pieces) of single words; remembers what it has met."""
+class Tokenizers:
+    """The two vocabularies of one worker process."""
 
     def __init__(self, rank_file: bytes, pattern: str, pieces: bytes) -> None:
         import sentencepiece
         import tiktoken
 
-        super().__init__()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         self.bpe = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.bytes = {i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i)}
-
-    def __missing__(self, word: bytes) -> tuple[list[int], int, int]:
-        text = word.decode("utf-8", "replace")
-        pieces = self.pieces.encode(text)
-        n_bytes = 0 if self.bytes.isdisjoint(pieces) else sum(p in self.bytes for p in pieces)
-        found = (self.bpe.encode_ordinary(" " + text), len(pieces), n_bytes)
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = found
-        return found
+        self.single = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+
+    def fertility(self, text: str) -> tuple[float, float, float]:
+        """Characters per token, byte-fallback share and bits of token entropy of a text that isn't empty."""
+        counts, n_pieces, n_bytes = np.zeros(self.bpe.n_vocab, np.int64), 0, 0
+        for part in parts(text):
+            counts += np.bincount(self.bpe.encode_to_numpy(part, disallowed_special=()), minlength=len(counts))
+            pieces = np.array(self.pieces.encode(part), np.int64)
+            n_pieces += len(pieces)
+            n_bytes += int(self.single[pieces].sum())
+        total, filled = int(counts.sum()), counts[counts > 0]
+        entropy = math.log2(total) - float((filled * np.log2(filled)).sum()) / total
+        return len(text) / total, n_bytes / max(1, n_pieces), max(0.0, entropy)
+
+
+def parts(text: str, most: int = PART) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut before a space where there is one."""
+    at = 0
+    while len(text) - at > most:
+        cut = text.rfind(" ", at + 1, at + most)
+        cut = at + most if cut < 0 else cut
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 def length_class(n_words: int) -> int:
     """Half octaves of a number of words."""
-    return int(2 * math.log2(n_words))
-
-
-def bands_of(clean: pd.DataFrame, least: int = LEAST_TEXTS, outer: float = OUTER, margin: float = MARGIN) -> dict[tuple, tuple]:
-    """Fitted bands by (script, language), and by (script, None) for its other languages.
-
-    ``clean`` has lang and FIELDS of clean texts.  A band is (characters per token
-    from, to; byte-fallback share up to; rows of (length class, bits from, to)).
-    """
-
-    def ends(values: pd.Series) -> tuple[float, float]:
-        wide = margin * abs(float(values.median()))
-        return float(values.quantile(outer)) - wide, float(values.quantile(1 - outer)) + wide
-
-    found = {}
-    clean = clean.assign(size=[length_class(n) for n in clean["n_words"]])
-    by_script = (((s, None), rows) for s, rows in clean.groupby("script"))
-    for key, rows in chain(by_script, clean.dropna(subset="lang").groupby(["script", "lang"])):
-        if len(rows) >= least:
-            bits = {int(size): ends(of["token_entropy"]) for size, of in rows.groupby("size") if len(of) >= least}
-            if key[1] is not None:
-                bits = {size: (low, high) for size, low, high in found[key[0], None][3]} | bits
-            found[key] = (*ends(rows["chars_per_token"]), float(rows["byte_share"].quantile(1 - outer)) + BYTE_MARGIN, tuple((size, *bits[size]) for size in sorted(bits)))
-    return found
-
+    return int(2 * math.log2(n_words)) if n_words else 0
 
-def within(fitted: dict[tuple, tuple], script: str, lang: str | None, n_words: int, per_token: float, share: float, entropy: float) -> bool:
-    """Whether the fitted bands of a script and language hold the measures; true without any.
 
-    A class of lengths without a band is bounded by the next shorter one from below
-    and by the next longer one from above, as entropy grows with length.
-    """
-    band = fitted.get((script, lang)) or fitted.get((script, None))
-    if band is None:
-        return True
-    low, high, most_bytes, bits = band
-    if not low <= per_token <= high or share > most_bytes:
-        return False
-    sizes, size = [b[0] for b in bits], length_class(n_words)
-    shorter, longer = bisect.bisect_right(sizes, size) - 1, bisect.bisect_left(sizes, size)
-    return (shorter < 0 or entropy >= bits[shorter][1]) and (longer == len(bits) or entropy <= bits[longer][2])
-
-
-def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS, lang: str | None = None, fitted: dict[tuple, tuple] | None = None) -> tuple:
+def measure(text: str | None, tokens: Tokenizers, min_words: int = MIN_WORDS) -> tuple:
     """One row of FIELDS for a text."""
     if not text:
-        return (0, 0, 0, 0, 0, True, "other", 0.0, 0.0, 0.0, False)
+        return (0, 0, 0, 0, 0, True, "other", 0.0, 0.0, 0.0)
     data = text.encode()
     words = data.split()
     n = len(words)
@@ -193,44 +162,96 @@ def measure(text: str | None, tokens: WordTokens, bands: dict[str, tuple] = BAND
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     repeats = repeat_words(words)
     failed = n < min_words or 100 * repeats > 50 * n
-    script, word_chars = dominant_script(text), len(text) - spaces
-    if n == 0:
-        return (0, 0, symbols, len(lines) - len(set(lines)), 0, True, script, 0.0, 0.0, 0.0, False)
-    tally, n_pieces, n_bytes = Counter(), 0, 0
-    for at in range(0, n, CHUNK):
-        ids, pieces, single = zip(*map(tokens.__getitem__, words[at : at + CHUNK]), strict=True)
-        tally.update(chain.from_iterable(ids))
-        n_pieces += sum(pieces)
-        n_bytes += sum(single)
-    counts = np.fromiter(tally.values(), np.int64, len(tally))
-    total = int(counts.sum())
-    entropy = math.log2(total) - float((counts * np.log2(counts)).sum()) / total
-    per_token, share = word_chars / total, n_bytes / max(1, n_pieces)
-    low, high, most_bytes, least_bits = bands[script]
-    kept = not failed and low <= per_token <= high and share <= most_bytes and entropy >= least_bits
-    kept = kept and within(fitted or {}, script, lang, n, per_token, share, entropy)
-    return (n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, script, per_token, share, entropy, kept)
-
-
-def quality_measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, bands: dict[str, tuple] = BANDS, min_words: int = MIN_WORDS, lang: Column | str | None = None, fitted: dict[tuple, tuple] | None = None) -> Column:
-    """A struct column of FIELDS.  Both vocabularies (about 1 MB each) are broadcast."""
+    return (n, len(text) - spaces, symbols, len(lines) - len(set(lines)), repeats, failed, dominant_script(text), *tokens.fertility(text))
+
+
+def measures(spark: SparkSession, text: Column | str, rank_path: str, pattern: str, piece_path: str, min_words: int = MIN_WORDS) -> Column:
+    """A struct column of FIELDS.  Both vocabularies (about 1 MB each, files of fixed size) are broadcast."""
     with open(rank_path, "rb") as f, open(piece_path, "rb") as g:
         shared = spark.sparkContext.broadcast((f.read(), g.read()))
-    names = [x.split()[0] for x in FIELDS.split(", ")]
 
     @F.pandas_udf(FIELDS)
-    def measures(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranks, pieces = shared.value
-        tokens = held_by_worker(("fertility", hash(ranks), hash(pieces), pattern), lambda: WordTokens(ranks, pattern, pieces))
-        for texts, langs in batches:
-            yield pd.DataFrame([measure(t, tokens, bands, min_words, x, fitted) for t, x in zip(texts, langs, strict=True)], columns=names)
+        tokens = held_by_worker(("fertility", hash(ranks), hash(pieces), pattern), lambda: Tokenizers(ranks, pattern, pieces))
+        for texts in batches:
+            yield pd.DataFrame([measure(t, tokens, min_words) for t in texts], columns=NAMES)
+
+    return measured(text)
 
-    return measures(text, F.lit(None).cast("string") if lang is None else lang)
 
+class Bands:
+    """Wide bands by script, and what was fitted by (script, language) or (script, None).
 
-def fit_bands(docs: DataFrame, labels: DataFrame, measures: Column, lang: str = "lang", most: int = MAX_CLEAN) -> dict[tuple, tuple]:
-    """Bands from documents labelled clean (quality 1) that pass the base; one row an id."""
-    sample = labelled_sample(labels, "quality", F.col("quality") == 1, most).select("doc_id").distinct()
-    rows = docs.join(F.broadcast(sample), "doc_id", "left_semi").select("doc_id", F.struct(F.col(lang).alias("lang"), measures.alias("m")).alias("r"))
-    one = rows.where("not r.m.base_failed").groupBy("doc_id").agg(F.min("r").alias("r"))
-    return bands_of(one.select("r.lang", "r.m.script", "r.m.n_words", "r.m.chars_per_token", "r.m.byte_share", "r.m.token_entropy").toPandas())
+    A fitted band is (characters per token from, to; byte-fallback share up to; rows
+    of (length class, bits from, to)).
+    """
+
+    def __init__(self, fitted: dict[tuple, tuple] | None = None, wide: dict[str, tuple] = BANDS) -> None:
+        self.fitted, self.wide = fitted or {}, wide
+
+    def hold(self, script: str, lang: str | None, n_words: int, per_token: float, share: float, entropy: float) -> bool:
+        """Whether the bands of a script and language hold the measures.
+
+        A class of lengths without a band is bounded by the next shorter one from below
+        and by the next longer one from above, as entropy grows with length.
+        """
+        low, high, most_bytes, least_bits = self.wide[script]
+        if not (low <= per_token <= high and share <= most_bytes and entropy >= least_bits):
+            return False
+        band = self.fitted.get((script, lang)) or self.fitted.get((script, None))
+        if band is None:
+            return True
+        low, high, most_bytes, bits = band
+        if not low <= per_token <= high or share > most_bytes:
+            return False
+        sizes, size = [b[0] for b in bits], length_class(n_words)
+        shorter, longer = bisect.bisect_right(sizes, size) - 1, bisect.bisect_left(sizes, size)
+        return (shorter < 0 or entropy >= bits[shorter][1]) and (longer == len(bits) or entropy <= bits[longer][2])
+
+    def kept(self, measured: Column, lang: Column | None = None) -> Column:
+        """Whether a text passes the base and its bands, from a struct of FIELDS."""
+        bands = self
+
+        @F.pandas_udf("boolean")
+        def judged(rows: pd.DataFrame, langs: pd.Series) -> pd.Series:
+            columns = (rows[c] for c in ("base_failed", "script", "n_words", "chars_per_token", "byte_share", "token_entropy"))
+            return pd.Series([not failed and bands.hold(script, lang, n, *of) for failed, script, n, *of, lang in zip(*columns, langs, strict=True)], dtype=bool)
+
+        needed = F.struct(*[measured[c].alias(c) for c in ("base_failed", "script", "n_words", "chars_per_token", "byte_share", "token_entropy")])
+        return judged(needed, F.lit(None).cast("string") if lang is None else lang.cast("string"))
+
+
+def fit_bands(measured: DataFrame, labels: DataFrame, label: str = "quality", least: int = LEAST_TEXTS, outer: float = OUTER, margin: float = MARGIN) -> Bands:
+    """Bands from the rows (doc_id, lang, m: FIELDS) that ``labels`` call clean (1) and that pass the base.
+
+    Values are rounded to thousandths, so that a group's quantiles are exact and its
+    table of counts bounded.  What comes to the driver is a row for each group of
+    ``least`` texts or more of the ``MAX_BANDS`` most frequent scripts and languages.
+    """
+    clean = labels.where(F.col(label) == 1).select("doc_id").distinct()
+    rows = measured.where("not m.base_failed").join(clean, "doc_id", "left_semi")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("m", "lang")).alias("r")).select("r.m.*", "r.lang")
+    one = staged(one.select("script", F.col("lang").cast("string").alias("lang"), F.floor(2 * F.log2("n_words")).cast("int").alias("size"), *[F.round(c, 3).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy")]), "clean")
+    ends = lambda c: F.percentile(c, F.array(F.lit(outer), F.lit(0.5), F.lit(1 - outer))).alias(c)
+    found = []
+    for by in (["script"], ["script", "lang"]):
+        known = one.dropna(subset=by)
+        own = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ends("chars_per_token"), ends("byte_share")).where(F.col("n") >= least)
+        own = own.orderBy(F.desc("n"), *by).limit(MAX_BANDS)
+        bits = known.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("n"), ends("token_entropy")).where(F.col("n") >= least)
+        bits = bits.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("size", "token_entropy"))).alias("bits"))
+        found += own.join(bits, by, "left").collect()
+
+    def band(values: list[float]) -> tuple[float, float]:
+        low, middle, high = values
+        return low - margin * abs(middle), high + margin * abs(middle)
+
+    fitted: dict[tuple, tuple] = {}
+    for r in found:
+        lang = r["lang"] if "lang" in r else None
+        bits = {b["size"]: (b["size"], *band(b["token_entropy"])) for b in r["bits"] or []}
+        if lang is not None:
+            bits = {b[0]: b for b in fitted.get((r["script"], None), (0, 0, 0, ()))[3]} | bits
+        fitted[r["script"], lang] = (*band(r["chars_per_token"]), r["byte_share"][2] + BYTE_MARGIN, tuple(bits[size] for size in sorted(bits)))
+    return Bands(fitted)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from . import fertility, gbdt, kdshard, mixing, toxicity
 from .bpe import BpeColumns
 from .simhash import near_duplicates
-from .urlfilter import Rule, judge
+from .staging import staged
 from .tiff import TiffColumns
 from .tokencount import token_count
+from .urlfilter import Rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,19 +107,23 @@ def op9_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(gbdt.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), out), out)
 
 
-def quality_measures(docs: DataFrame, labels: DataFrame | None = None) -> Column:
-    """The fertility rules' measures of each text, by bands fitted to ``labels`` if given."""
+def quality_measures(docs: DataFrame) -> Column:
+    """The counts and the fertility of each text."""
     path = public_tokenizers.path
-    public = (docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
-    if labels is None:
-        return fertility.quality_measures(*public)
-    fitted = fertility.fit_bands(docs, labels, fertility.quality_measures(*public))
-    return fertility.quality_measures(*public, lang="lang", fitted=fitted)
+    return fertility.measures(docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
+def quality_bands(docs: DataFrame, labels: DataFrame) -> fertility.Bands:
+    """Bands fitted to the documents labelled clean, of which alone the texts are measured."""
+    clean = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return fertility.fit_bands(clean.select("doc_id", "lang", quality_measures(docs).alias("m")), labels)
 
 
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", quality_measures(docs, _table(spark, sf_dir, "labels")).alias("m")).select("doc_id", "m.*")
+    measured = staged(docs.select("doc_id", "lang", quality_measures(docs).alias("m")), "fertility")
+    bands = fertility.fit_bands(measured, _table(spark, sf_dir, "labels"))
+    return measured.select("doc_id", "m.*", bands.kept(F.col("m"), F.col("lang")).alias("kept"))
 
 
 def queries() -> dict[str, Query]:
