@@ -18,8 +18,9 @@ VERDICT = "__foliant_verdict"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the fertility bands, fitted to the labels, keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return docs.withColumn(VERDICT, queries.quality_measures(docs, labels)).where(F.col(VERDICT)["kept"]).select(*docs.columns)
+    bands = queries.quality_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    measured = docs.withColumn(VERDICT, queries.quality_measures(docs))
+    return measured.where(bands.kept(F.col(VERDICT), F.col("lang"))).select(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
