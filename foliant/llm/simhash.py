@@ -38,6 +38,8 @@ from .staging import staged
 
 #: Shingles hashed at once; bounds the memory that a very long text takes.
 CHUNK = 1 << 16
+#: Edges at one end that a task of a star step takes, about.
+HUB_ROWS = 4096
 
 
 def shingle_hashes(text: str | None, shingle_words: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -70,23 +72,6 @@ def fingerprint(text: str | None, shingle_words: int, seed: int = 42) -> int:
     return fingerprint_of(shingle_hashes(text, shingle_words, seed))
 
 
-def simhash_and_set(docs: DataFrame, text: str = "text", shingle_words: int = 5) -> Column:
-    """A struct of fp, the set of the shingles' hashes, and id: a digest of both, equal for equal sets only."""
-
-    @F.pandas_udf("fp bigint, id binary, shingles array<bigint>")
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                parts = list(shingle_hashes(text, shingle_words))
-                fp = fingerprint_of(parts)
-                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                rows.append((_signed(fp), xxhash.xxh3_128_digest(fp.to_bytes(8, "little") + own.tobytes()), own.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "id", "shingles"])
-
-    return made(F.col(text))
-
-
 def simhash(docs: DataFrame, text: str = "text", shingle_words: int = 4) -> Column:
     """The fingerprint of a text column, as a signed long with the same bits."""
 
@@ -160,26 +145,35 @@ def cross_links(grouped: DataFrame, max_distance: int) -> DataFrame:
     return probe.join(index, meets).select("a", "b").distinct()
 
 
+def _least_of(both: DataFrame, keep: str, salts: int) -> DataFrame:
+    """``both`` (u, v) with m, the least of u's neighbours; a hub's rows are dealt over ``salts`` tasks."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    if salts == 1:
+        return both.join(least, "u").where(keep)
+    dealt = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["u", "salt"]).where(keep).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(fp, grp): the least fingerprint that each linked one can reach.
 
     Alternating large-star and small-star steps; each is an aggregate and a join,
-    and the edge list is written to the shared folder between rounds.
+    and the edge list is written to the shared folder between rounds.  Steps are
+    salted by the largest number of edges that meet at one end.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
-        small = small.select("u", "v").unionByName(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
-        edges = staged(small, "stars")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("fp"), F.col("v").alias("grp"))
         seen = state
+        salts = -(-(both.groupBy("u").count().agg(F.max("count")).first()[0] or 1) // HUB_ROWS)
+        large = _least_of(both, "v > u", salts).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        small = _least_of(large, "true", salts).select(F.col("u").alias("w"), F.col("m"), F.col("v").alias("x"))
+        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = staged(small, "stars")
 
 
 def groups(prints: DataFrame, max_distance: int) -> DataFrame:
@@ -199,62 +193,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = staged(classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("grp", "fp").alias("grp")), "classes")
     named = found.groupBy("grp").agg(F.min("least").alias("component_id"))
     return prints.join(found.join(named, "grp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more; ``sets`` has id and shingles, repeats allowed."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = staged(sets.join(asked, "id", "left_semi").select("id", "shingles").dropDuplicates(["id"]), "sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= least * (F.size("s") + F.size("t") - shared)).select("a", "b")
-
-
-def similar_groups(nodes: DataFrame, sets: DataFrame, max_distance: int, least: float) -> DataFrame:
-    """(id, grp) for each node (id, fp) linked to another: within ``max_distance`` bits, and sets of similarity ``least``.
-
-    Candidates come as in ``groups``: from each key's least node, then between
-    groups that are still apart; each one's sets are compared before it counts.
-    """
-    edges = _edges(max_distance)
-    keys = F.explode(F.array(*[_key(F.col("fp"), edges, s) for s in range(len(edges))])).alias("key")
-    hubs = nodes.select("id", "fp", keys).groupBy("key").agg(F.min(F.struct(F.col("fp").alias("hub_fp"), F.col("id").alias("b"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub.*")
-    met = nodes.select(F.col("id").alias("a"), "fp", keys).join(hubs, "key").where((F.col("a") != F.col("b")) & (_distance("fp", "hub_fp") <= max_distance))
-    near = components(similar(staged(met.select("a", "b").distinct(), "star"), sets, least)).withColumnRenamed("fp", "id")
-    grouped = staged(nodes.join(near, "id", "left").select("id", "fp", F.coalesce("grp", "id").alias("grp")), "grouped")
-    index = grouped.select(F.col("id").alias("b"), F.col("fp").alias("fp_b"), F.col("grp").alias("grp_b"), keys)
-    variants = [_key(F.col("fp"), edges, s, flip) for s in range(len(edges)) for flip in (None, *range(edges[(s + 1) % len(edges)][1]))]
-    probe = grouped.select(F.col("id").alias("a"), F.col("fp").alias("fp_a"), F.col("grp").alias("grp_a"), F.explode(F.array(*variants)).alias("key"))
-    start = F.pmod(probe["key"], F.lit(64))
-    meets = (probe["key"] == index["key"]) & (F.col("a") < F.col("b")) & (F.col("grp_a") != F.col("grp_b")) & (_distance("fp_a", "fp_b") <= max_distance) & _chain(edges, max_distance, start, "fp_a", "fp_b")
-    cross = similar(staged(probe.join(index, meets).select("a", "b").distinct(), "cross"), sets, least)
-    member = grouped.where("id <> grp").select(F.col("id").alias("a"), F.col("grp").alias("b"))
-    return components(cross.unionByName(member)).withColumnRenamed("fp", "id")
-
-
-def similar_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, max_distance: int = 8, least: float = 0.8) -> DataFrame:
-    """One row per document: doc_id and component_id, of links that the shingles confirm."""
-    made = docs.select(F.col(doc_id).alias("doc_id"), simhash_and_set(docs, text, shingle_words).alias("m"))
-    prints = staged(made.select("doc_id", "m.*"), "prints")
-    classes = staged(prints.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "classes")
-    linked = similar_groups(classes.select("id", "fp"), prints.select("id", "shingles"), max_distance, least)
-    found = staged(classes.join(linked, "id", "left").select("id", "least", F.coalesce("grp", "id").alias("grp")), "classes")
-    named = found.groupBy("grp").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "id").join(found.join(named, "grp").select("id", "component_id"), "id").select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle_words: int = 5, max_distance: int = 8, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of the least id.
-
-    A fingerprint of 64 bits that differs in 8 estimates a cosine of 0.92, that is a
-    Jaccard similarity of 0.8 or more of the five-word shingles; a link counts only if
-    the sets of shingles have that similarity.  Rows that share an id are one document,
-    kept once; rows with a null id stay.
-    """
-    found = staged(similar_duplicates(docs, shingle_words=shingle_words, max_distance=max_distance, least=least).where("doc_id is not null"), "duplicates")
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = staged(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import fertility, gbdt, kdshard, mixing, queries, simhash, toxicity
+from foliant.llm import fertility, gbdt, kdshard, mixing, queries, simhash, simring, toxicity
 from foliant.llm.bpe import BpeColumns
 from foliant.llm.tiff import TiffColumns
 from foliant.llm.tokencount import token_count
@@ -105,7 +105,7 @@ def test_simhash(docs):
     if rows:
         assert by_text[2].fp == by_text[3].fp == by_text[4].fp == 0
         assert {by_text[i].component_id for i in (2, 3, 4)} == {2}
-        left = sorted(r.doc_id or 0 for r in simhash.one_of_each(docs).collect())
+        left = sorted(r.doc_id or 0 for r in simring.one_of_each(docs).collect())
         assert left == [0, 1, 2, 5, 6, 7]
 
 
@@ -117,10 +117,18 @@ def test_fertility(docs):
     for r in same_count(docs, docs.select("text", queries.quality_measures(docs).alias("q"))):
         assert r.q.n_words == len((r.text or "").encode().split())
         if not r.text or r.q.n_words < 50:
-            assert r.q.base_failed and not r.q.kept
+            assert r.q.base_failed
     assert set(fertility.BANDS) == {*fertility.SCRIPTS, "other"}
 
 
+def test_fertility_bands(docs, labels):
+    measured = docs.select("doc_id", "lang", queries.quality_measures(docs).alias("m"), "kept")
+    bands = fertility.fit_bands(measured, labels, least=1)
+    for r in same_count(docs, measured.select("m.base_failed", bands.kept(F.col("m"), F.col("lang")).alias("k"))):
+        assert not (r.base_failed and r.k)
+    assert fertility.fit_bands(measured, labels.where("false")).fitted == {}
+
+
 def test_stages_keep_columns(docs, labels, tmp_path, spark):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     now = docs

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import fertility, gbdt, mixing, queries, simhash, tiff, toxicity
+from foliant.llm import fertility, gbdt, mixing, queries, simhash, simring, tiff, toxicity
 from foliant.llm.bpe import ByteBpe
 from foliant.llm.tokencount import TextCounter, pack, unpack
 from foliant.llm.urlfilter import Rule, judge
@@ -223,17 +223,60 @@ def test_repeat_words_equal_plain(words):
     assert fertility.repeat_words(words) == _repeat_words_plain(words)
 
 
+TOKENS = fertility.Tokenizers(RAW, P.PATTERN, open(P.path("piece_bpe_32k.model"), "rb").read())
+
+
+def _kept(text, bands, lang=None):
+    m = dict(zip(fertility.NAMES, fertility.measure(text, TOKENS), strict=True))
+    assert not m["base_failed"]
+    return bands.hold(m["script"], lang, m["n_words"], m["chars_per_token"], m["byte_share"], m["token_entropy"])
+
+
 def test_fertility_measures():
-    tokens = fertility.WordTokens(RAW, P.PATTERN, open(P.path("piece_bpe_32k.model"), "rb").read())
-    text = " ".join(f"word{i} different thing" for i in range(40)) + "\n#tag $5\n#tag $5"
-    n, chars, symbols, dup_lines, *_ = fertility.measure(text, tokens)
-    assert (n, symbols, dup_lines) == (len(text.split()), 4, 1)
+    import sentencepiece
+
+    text = " ".join(f"word{i} different thing" for i in range(40)) + "\n#tag $5\n#tag $5\n\n    漢字 \u1100\u1101\n"
+    n, chars, symbols, dup_lines, _, failed, script, per_token, share, entropy = fertility.measure(text, TOKENS)
+    assert (n, symbols, dup_lines, failed, script) == (len(text.split()), 4, 1, False, "latin")
     assert chars == sum(map(len, text.split()))
-    rng = random.Random(4)
-    good = fertility.measure(" ".join(rng.choice("river stone cloud paper window garden letter bridge winter market silver orange planet doctor summer".split()) + rng.choice(["", "s", "ing", "ed", "ly"]) for _ in range(300)), tokens)
-    assert good[-1] is True
-    noise = fertility.measure(" ".join("".join(chr(random.Random(i * 9 + k).randint(0x1100, 0x11FF)) for k in range(6)) for i in range(80)), tokens)
-    assert noise[8] > 0.9
+    # whole texts: the libraries' own tokens, white space included
+    ids = LIBRARY.encode_ordinary(text)
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    pieces = model.encode(text)
+    assert per_token == len(text) / len(ids)
+    assert share == sum(map(model.is_byte, pieces)) / len(pieces) > 0
+    counts = [ids.count(i) / len(ids) for i in set(ids)]
+    assert abs(entropy + sum(p * np.log2(p) for p in counts)) < 1e-9
+    assert fertility.measure(" " * 100 + text, TOKENS)[7] != per_token
+
+
+def test_parts_make_up_the_text():
+    text = "ab cde " * 50 + "x" * 100 + " y" * 9
+    found = list(fertility.parts(text, 30))
+    assert "".join(found) == text and max(map(len, found)) <= 30 and all(p[0] == " " for p in found[1:10])
+    assert list(fertility.parts("", 5)) == [""]
+
+
+def test_each_fertility_measure_rejects(spark):
+    """Texts that pass the base and leave one band each."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    bands = queries.quality_bands(docs, labels)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and length(text) > 2000").orderBy("doc_id").first().text
+    low, high, most_bytes, bits = bands.fitted["latin", "en"]
+    assert _kept(good, bands, "en")
+    m = dict(zip(fertility.NAMES, fertility.measure(good, TOKENS), strict=True))
+    inside = [m["n_words"], m["chars_per_token"], m["byte_share"], m["token_entropy"]]
+    assert bands.hold("latin", "en", *inside)
+    for at, value in ((1, low - 0.01), (1, high + 0.01), (2, most_bytes + 0.01), (3, 1.0)):
+        assert not bands.hold("latin", "en", *[value if i == at else x for i, x in enumerate(inside)])
+    narrow = fertility.Bands({("latin", None): (1.0, 9.0, 0.5, ((10, 5.0, 6.0), (14, 6.0, 7.0)))})
+    for n_words, entropy, held in ((40, 5.5, True), (40, 6.1, False), (40, 4.9, False), (90, 5.5, True), (90, 7.1, False), (900, 9.0, True), (900, 5.9, False), (20, 4.9, True)):
+        assert narrow.hold("latin", "xx", n_words, 4.0, 0.0, entropy) is held
+    rng = random.Random(6)
+    assert not _kept(" ".join("".join(rng.choices("0123456789abcdef", k=12)) for _ in range(300)), bands, "en")  # characters per token
+    assert not _kept(good + " ".join(chr(0x1100 + rng.randrange(250)) for _ in range(len(good))), bands, "en")  # byte fallback
+    assert queries.quality_bands(docs, labels).fitted == bands.fitted  # reruns agree
 
 
 def test_pipeline_end_to_end(spark):
@@ -246,8 +289,7 @@ def test_pipeline_end_to_end(spark):
         assert docs.columns == first.columns
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
     assert all(b <= a for a, b in zip(kept, kept[1:], strict=False))
-    base = first.select("doc_id", queries.quality_measures(first).alias("m")).where("m.kept").select("doc_id").collect()
-    assert kept[0] == {r.doc_id for r in base}
+    assert kept[0] == {r.doc_id for r in queries.op10_tokeniser_fertility(spark, SMALL).where("kept").select("doc_id").collect()}
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) == docs.count() and (out["n_tokens"] > 0).all()
 
@@ -255,20 +297,18 @@ def test_pipeline_end_to_end(spark):
 def test_fertility_bands_reject_junk_that_passes_the_base(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    path = [P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("piece_bpe_32k.model")]
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
-    fitted = fertility.fit_bands(docs, labels.where(~fold), fertility.quality_measures(spark, "text", *path))
-    assert ("latin", None) in fitted
-    measured = docs.select("doc_id", fertility.quality_measures(spark, "text", *path, lang="lang", fitted=fitted).alias("m")).select("doc_id", "m.*")
-    rows = measured.join(labels.where(fold), "doc_id").where("not base_failed").toPandas()
+    bands = queries.quality_bands(docs, labels.where(~fold))
+    assert ("latin", None) in bands.fitted
+    measured = docs.select("doc_id", "lang", queries.quality_measures(docs).alias("m"))
+    rows = measured.select("doc_id", "m.*", bands.kept(F.col("m"), F.col("lang")).alias("kept")).join(labels.where(fold), "doc_id").where("not base_failed").toPandas()
     assert rows[rows["quality"] == 1]["kept"].mean() > 0.95  # labels not learnt from
     junk = rows[rows["quality"] == 0]["kept"]
     assert len(junk) and junk.mean() < 0.5
-    tokens, rng = fertility.WordTokens(RAW, P.PATTERN, open(path[2], "rb").read()), random.Random(6)
+    rng = random.Random(6)
     for letters in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz"):
         text = " ".join("".join(rng.choices(letters, k=12)) for _ in range(200))
-        wide, fit = fertility.measure(text, tokens), fertility.measure(text, tokens, lang="en", fitted=fitted)
-        assert not wide[5] and wide[-1] and not fit[-1]
+        assert _kept(text, fertility.Bands()) and not _kept(text, bands, "en")
 
 
 def _shingles(text):
@@ -276,26 +316,60 @@ def _shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
+def _hashes(text):
+    parts = list(simhash.shingle_hashes(text, 5))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
 def test_near_copies_are_similar(spark):
+    """Groups by the full fingerprints of all pairs; similar sets of shingles meet, unlike ones don't."""
     rng, texts = random.Random(9), []
-    for _ in range(12):
-        words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(120)]
-        for _ in range(6):
-            texts.append(" ".join(words))
-            words = [w if rng.random() > 0.01 else "Z" for w in words]
-    # one phrase in over half of the shingles decides every bit: equal fingerprints, unlike texts
+    for size in (12, 30, 60, 120, 400):
+        for _ in range(8):
+            words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(size)]
+            for _ in range(6):
+                texts.append(" ".join(words))
+                words = [w if rng.random() > 0.012 else "Z" for w in words]
+    # one phrase in over half of the shingles decides every bit of a short fingerprint: unlike texts
     texts += ["spam " * 200 + " ".join(f"{name}{i}" for i in range(40)) for name in ("river", "stone", "cloud")] + ["", "  "]
-    prints, sets = [simhash.fingerprint(t, 5) for t in texts], [_shingles(t) for t in texts]
-    group = list(range(len(texts)))
+    own = [_hashes(t) for t in texts]
+    prints, sets = [int.from_bytes(simring.long_fingerprint(x).tobytes(), "little") for x in own], [_shingles(t) for t in texts]
+    most = simring.budget(0.8, 64 * simring.WORDS, simring.SLACK)
+    group, alike, met = list(range(len(texts))), 0, 0
     for i in range(len(texts)):
         for j in range(i):
-            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-            if alike and (prints[i] ^ prints[j]).bit_count() <= 8 and group[i] != group[j]:
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
+            link = (prints[i] ^ prints[j]).bit_count() <= most and len(own[i]) and len(own[j]) or sets[i] == sets[j]
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                alike, met = alike + 1, met + bool(link)
+            if link:
+                assert len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])
+                if group[i] != group[j]:
+                    a, b = sorted((group[i], group[j]))
+                    group = [a if g == b else g for g in group]
+    assert alike > 100 and met >= 0.95 * alike
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert prints[72] == prints[73] == prints[74] and len(set(group[72:75])) == 3
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(group)
+    found = simring.similar_documents(docs).toPandas().sort_values("doc_id")["component_id"].tolist()
+    assert len({*found[240:243]}) == 3 and found[243] == found[244]
+    # every group is one of brute force's or a part of it; hardly any link has no segment in common
+    assert all(group[i] == group[found[i]] for i in range(len(texts)))
+    assert len(set(found)) <= len(set(group)) + 2
+    assert {r.doc_id for r in simring.one_of_each(docs).collect()} == set(found)
+
+
+def test_long_fingerprint_and_ring_by_definition():
+    own = _hashes(" ".join(f"w{i}" for i in range(700)))
+    mix = lambda x: int(simring._mixed(np.array([x % 2**64], np.uint64))[0])
+    for word in (0, 15):
+        hashes = [mix(int(h) + (word + 1) * 0x9E3779B97F4A7C15) for h in own]
+        assert int(simring.long_fingerprint(own)[word]) == sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+    at, prints = simring.ring(own, 7)
+    for i, fp in zip(at, prints, strict=True):
+        part = [int(h) for h in own if mix(int(h) ^ 0x9E3779B97F4A7C15) >> 57 == i]
+        assert int(fp) == sum((2 * sum(h >> b & 1 for h in part) > len(part)) << b for b in range(64))
+    sizes = [simring.ring_bits(n) for n in range(1, 5000)]
+    assert sizes == sorted(sizes)
+    for n in range(5, 2000):  # a set and one larger by a quarter share a ring
+        assert {simring.ring_bits(n), simring.ring_bits(int(n / 0.8 + 1e-9))} & {simring.ring_bits(int(n / 0.8 + 1e-9))}
 
 
 def test_url_shares_cover_all_labelled(spark, monkeypatch):
