@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import mixing, queries, simhash, toxicity
+from foliant.llm import mixing, queries, simring, toxicity
 from foliant.llm.staging import staged
 
 VERDICT = "__foliant_verdict"
@@ -31,8 +31,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles)."""
-    return simhash.one_of_each(docs, shingle_words=5, max_distance=8)
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return simring.one_of_each(docs, shingle_words=5, least=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
