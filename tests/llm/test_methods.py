@@ -115,13 +115,32 @@ def test_shards_are_even(spark):
     rows = queries.op4_kd_shards(spark, SMALL).toPandas()
     size = rows.groupby("shard")["size"].sum()
     assert len(size) == 16 and (size - size.mean()).abs().max() <= rows["size"].max()
-    big = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("one").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
     from foliant.llm.kdshard import kd_shards
 
-    even = kd_shards(big, F.lit(10).cast("long"), target_bytes=8000).groupBy("shard").count().toPandas()["count"]
+    # one id, or none, or one of few, on all rows: the law of bytes holds all the same
+    base = spark.range(4000).select(F.col("id"), F.lit("t").alias("text"), F.lit("one").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
+    for doc_id in (F.col("id"), F.lit(7).cast("long"), F.lit(None).cast("long"), F.col("id") % 3):
+        big = base.withColumn("doc_id", doc_id)
+        even = kd_shards(big, F.lit(10).cast("long"), leaves=16).groupBy("shard").count().toPandas()["count"]
+        assert len(even) == 16 and even.max() - even.min() <= 12
+    even = kd_shards(base.withColumn("doc_id", F.col("id")), F.lit(10).cast("long"), target_bytes=8000).groupBy("shard").count().toPandas()["count"]
     assert len(even) == 5 and even.max() <= 1.05 * even.min()
 
 
+def test_shards_equal_a_tree_grown_in_memory(spark):
+    """Sources of equal bytes and separate codes: every split falls between codes, so brute force gives the same leaves."""
+    from foliant.llm.kdshard import kd_shards
+
+    rows = [(i, "x" * 9, f"s{i % 8}", ("de", "en")[i % 2], 10 ** (i % 4)) for i in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = kd_shards(docs, F.lit(10).cast("long"), leaves=8, numbers=[], strings=["source"]).toPandas()
+    by = {r[0]: r[2] for r in rows}
+    assert all(by[i] == f"s{shard}" for i, shard in zip(got["doc_id"], got["shard"], strict=True))
+    both = kd_shards(docs, F.lit(10).cast("long"), leaves=2, numbers=["n_chars"], strings=["lang"]).toPandas()
+    left = {r[0] for r in rows if r[4] <= 10}  # sizes spread wider than two languages do
+    assert set(both[both["shard"] == 0]["doc_id"]) == left
+
+
 def test_url_rules_and_trees(spark):
     pages = spark.createDataFrame([
         (1, "http://a.Example.COM/en/71?x"), (2, "http://example.com/en/8"), (3, "https://x.net/de/8"), (4, "http://m.example.net/de/81#f"), (5, "http://notexample.net/de/8"), (6, "nothing"), (7, None), (8, "http://b.org?/es/"),
