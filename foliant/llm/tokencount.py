@@ -6,9 +6,9 @@ for the rest, filled by the tokenizer itself.  Counting is a map over documents:
 no pre-token is ever shuffled, and neither tier changes a result; they only
 spare calls of the tokenizer.
 
-The frequent table comes from at most ``SEED_DOCUMENTS`` documents and holds at
-most ``FREQUENT`` pre-tokens: both are fixed bounds on what one task and the
-driver hold.  Which documents they are has no influence on any count.
+The frequent table comes from a sample of about ``SEED_DOCUMENTS`` documents, tallied
+where they lie, and holds at most ``FREQUENT`` pre-tokens: both are fixed bounds on
+what one task and the driver hold.  Which documents they are has no influence on any count.
 
 Defined results: null and empty texts have 0 tokens; whole texts are counted,
 whatever their length; strings of special tokens inside a text count as the
@@ -117,7 +117,11 @@ def _counter(spec, pattern: str, packed) -> TextCounter:
 
 
 def frequent_table(docs: DataFrame, spec, pattern: str, text: str = "text") -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a bounded seed."""
+    """Token counts of the most frequent pre-tokens of a sample of about ``SEED_DOCUMENTS`` documents.
+
+    Each task tallies its share of the sample; packed tallies, no texts and no
+    pre-token rows, come to the driver.
+    """
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter, seen = TextCounter(spec.value, pattern, {}), Counter()
@@ -127,12 +131,19 @@ def frequent_table(docs: DataFrame, spec, pattern: str, text: str = "text") -> d
                     seen.update(p for p in counter.matches(part) if len(p) <= CACHE_CHARS)
             if len(seen) > 16 * FREQUENT:  # the rare ones go, so that a worker's memory is bounded
                 seen = Counter(dict(seen.most_common(4 * FREQUENT)))
-        top = [p for p, _ in seen.most_common(FREQUENT)]
-        yield pd.DataFrame({"p": top, "n": [counter.pieces[p] for p in top]})
-
-    seed = docs.select(F.col(text).alias("t")).limit(SEED_DOCUMENTS)
-    rows = seed.mapInPandas(tally, "p string, n int").limit(FREQUENT).collect()
-    return {r.p: r.n for r in rows}
+        if seen:
+            top = seen.most_common(FREQUENT)
+            packed = pack({p: min(counter.pieces[p], 65_535) for p, _ in top})
+            yield pd.DataFrame({**{k: [v] for k, v in packed.items()}, "met": [np.array([n for _, n in top], np.uint32).tobytes()]})
+
+    share = min(1.0, SEED_DOCUMENTS / max(1, docs.count()))
+    seed = docs.select(F.col(text).alias("t")).sample(share, seed=7) if share < 1 else docs.select(F.col(text).alias("t"))
+    met, tokens = Counter(), {}
+    for r in seed.mapInPandas(tally, "blob binary, sizes binary, tokens binary, met binary").toLocalIterator():
+        found = unpack(r.asDict())
+        tokens |= found
+        met.update(dict(zip(found, np.frombuffer(r.met, np.uint32).tolist(), strict=True)))
+    return {p: tokens[p] for p, _ in met.most_common(FREQUENT)}
 
 
 def token_count(docs: DataFrame, tokenizer_path: str, pattern: str, text: str = "text") -> Column:
