@@ -143,14 +143,25 @@ def document_statistics(docs: DataFrame, text: str = "text") -> Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, learn: Column, most: int = MAX_LABELLED) -> DataFrame:
-    """At most ``most`` rows (doc_id, label): those that ``learn`` holds for, by least hash of the id."""
+    """At most ``most`` rows (doc_id, label): those that ``learn`` holds for, by least hash of the id.
+
+    The hashes are cut at a share that leaves hardly more than ``most`` rows before they are sorted.
+    """
     rows = labels.where(learn).select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    return least_hashed(rows, F.xxhash64("doc_id"), ["doc_id", "label"], most, rows.count())
+
+
+def least_hashed(rows: DataFrame, hashed: Column, ties: list[str], most: int, n: int) -> DataFrame:
+    """The ``most`` of ``n`` rows with the least signed 64-bit hash; each task sorts about its share of them only."""
+    share = (most + 10 * math.sqrt(most)) / max(1, n)
+    if share < 1:
+        rows = rows.where(hashed <= F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(hashed, *ties).limit(most)
 
 
 def fit(stats: DataFrame, sample: DataFrame, **options) -> Forest:
-    """Grow a forest; ``stats`` has doc_id and stats, ``sample`` doc_id and label (bounded)."""
-    rows = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "stats").toPandas().sort_values(["doc_id", "label"])
+    """Grow a forest; ``stats`` has doc_id and stats, ``sample`` doc_id and label (bounded); an id counts once for each label."""
+    rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("stats").alias("stats")).toPandas().sort_values(["doc_id", "label"])
     x = np.array(rows["stats"].tolist(), np.float32).reshape(-1, len(STATISTICS))
     return grow(x, rows["label"].to_numpy(np.float64), **options)
 

@@ -4,7 +4,8 @@ Rules name a host and the beginning of a path, and fit the host's subdomains too
 of the rules that fit, the longest wins.  URLs that a rule decides are the labelled
 ones.  Trees learn from them what the others get: lengths, depths, digit and
 letter ratios, entropy, counts of parameters, and how often labelled URLs with the
-same host ending were blocked (smoothed, from the labelled URLs alone, all of them).
+same host ending were blocked: smoothed, from all the labelled URLs, and for a URL that
+trees learn from those of the other folds only, so that none is told its own verdict.
 
 Everything is built from SQL functions and the ML library's own trees.  At most
 ``MAX_LABELLED`` labelled URLs grow the trees, those with the least hash: a bound
@@ -28,11 +29,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .gbdt import least_hashed
 from .staging import staged
 
 MAX_LABELLED = 50_000
 #: Weight of the overall share in an ending's smoothed share.
 SMOOTHING = 20.0
+#: Folds of the labelled URLs' shares.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -119,34 +123,41 @@ def with_lexical(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _shares(labelled: DataFrame, ending: str, overall: float) -> DataFrame:
-    """Smoothed share of blocked URLs by host ending."""
-    share = (F.sum("label") + SMOOTHING * overall) / (F.count(F.lit(1)) + SMOOTHING)
-    return labelled.groupBy(ending).agg(share.alias(f"{ending}_share"))
+    """Smoothed share of blocked URLs by host ending and fold: of all folds (fold -1), or of all but one."""
+    own = labelled.groupBy(ending, "fold").agg(F.sum("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy(ending).agg(F.sum("label").alias("all_label"), F.sum("n").alias("all_n"))
+    others = own.join(whole, ending).select(ending, "fold", (F.col("all_label") - F.col("label")).alias("label"), (F.col("all_n") - F.col("n")).alias("n"))
+    both = whole.select(ending, F.lit(-1).alias("fold"), F.col("all_label").alias("label"), F.col("all_n").alias("n")).unionByName(others)
+    return both.select(ending, "fold", ((F.col("label") + SMOOTHING * overall) / (F.col("n") + SMOOTHING)).alias(f"{ending}_share"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", trees: int = 15, depth: int = 4, seed: int = 7) -> DataFrame:
-    """key, host, path, rule, verdict and block_score (null where a rule decides) of every URL."""
+def judge(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id", trees: int = 15, depth: int = 4, seed: int = 7, learn: Column | None = None) -> DataFrame:
+    """key, host, path, rule, verdict and block_score of every URL; the score is null where the trees learnt from it.
+
+    ``learn`` (over host, path and url) keeps URLs that rules decide from the trees, to measure them by.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     name, verdict = longest_rule(rules, F.col("host"), F.col("path"))
-    parsed = staged(with_lexical(parsed.withColumns({"rule": name, "ruled": verdict})), "urls")
-    labelled = parsed.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = staged(labelled.orderBy(F.xxhash64("url", "key"), "url", "key").limit(MAX_LABELLED), "labelled-urls")
+    known = F.col("ruled").isNotNull() & (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False)))
+    parsed = staged(with_lexical(parsed.withColumns({"rule": name, "ruled": verdict}).withColumn("known", known)).withColumn("fold", F.lit(-1)), "urls")
+    labelled = parsed.where("known").withColumns({"label": (F.col("ruled") == "block").cast("double"), "fold": F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")})
     seen = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
     if not seen.n or seen.blocked in (0.0, float(seen.n)):
         default = "block" if seen.n and seen.blocked else "allow"
         return parsed.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    sample = staged(least_hashed(labelled, F.xxhash64("url", "key"), ["url", "key"], MAX_LABELLED, seen.n), "labelled-urls")
     overall = seen.blocked / seen.n
     endings = [staged(_shares(labelled, e, overall), "endings") for e in ("top", "domain")]
 
     def featured(rows: DataFrame) -> DataFrame:
         for e, table in zip(("top", "domain"), endings, strict=True):
-            rows = rows.join(table, e, "left").withColumn(f"{e}_share", F.coalesce(f"{e}_share", F.lit(overall)))
+            rows = rows.join(table, [e, "fold"], "left").withColumn(f"{e}_share", F.coalesce(f"{e}_share", F.lit(overall)))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     trainer = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, cacheNodeIds=False)
     model = trainer.fit(featured(sample).select("label", "features"))
     scored = model.transform(featured(parsed))
-    score = F.when(F.col("ruled").isNull(), vector_to_array("probability")[1])
+    score = F.when(~F.col("known"), vector_to_array("probability")[1])
     verdict = F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     return scored.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), score.alias("block_score"))
