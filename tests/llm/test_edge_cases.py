@@ -139,6 +139,13 @@ def test_stages_keep_columns(docs, labels, tmp_path, spark):
     corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
 
 
+def test_no_labels(docs, labels):
+    none = labels.where("false")
+    model = toxicity.fit(docs, none, queries.held_out(4, 2))
+    assert {round(r.s, 6) for r in same_count(docs, docs.select(toxicity.toxicity(docs, model).alias("s")))} <= {0.5}
+    assert {r.score for r in same_count(docs, gbdt.quality_scores(docs, none, queries.held_out(5, 0)))} <= {0.5}
+
+
 def test_held_out_is_crc(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"), queries.held_out(4, 2).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)

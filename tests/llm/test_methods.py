@@ -158,6 +158,27 @@ def test_url_rules_and_trees(spark):
     assert ((out["page_id"] % 2 == 0) == (out["verdict"] == "block")).mean() > 0.95
 
 
+def test_url_trees_on_held_out_rules(spark):
+    """URLs that rules decide, a third of them kept from the trees."""
+    d = "/root/testdata/sf0.1"
+    kept = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(3)) > 0
+    rows = judge(spark.read.parquet(f"{d}/pages.parquet"), queries.URL_RULES, learn=kept).where("rule is not null and block_score is not null").toPandas()
+    rows["block"] = (rows["verdict"] == "block").astype(int)
+    auc = _held_out_auc(rows.rename(columns={"block_score": "score"}), "block")
+    print("held-out URLs", len(rows), "AUC", auc)
+    assert len(rows) > 100 and auc > 0.75
+
+
+def test_equally_long_rules_take_the_first(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/xy")], "page_id long, url string")
+    rules = [Rule("a.com", "/x", "allow"), Rule("com", "/xy", "block"), Rule("com", "/q", "block"), Rule("a.com", "/", "allow")]
+    assert len(rules[0].name) > len(rules[1].name)
+    tied = [Rule("com", "/xy", "block"), Rule("a.com", "/", "allow")]
+    assert len(tied[0].name) == len(tied[1].name)
+    for order in (tied, tied[::-1]):
+        assert judge(pages, order).first().rule == order[0].name
+
+
 def _brute_components(texts, words, most):
     prints = [simhash.fingerprint(t, words) for t in texts]
     group = list(range(len(texts)))
@@ -222,14 +243,74 @@ def test_toxicity_held_out_and_swaps(spark):
     rows = queries.op7_toxicity_counterfactual(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
     assert _held_out_auc(rows, "toxic") > 0.75
     assert toxicity.swapped({"women", "the"}) == {"men", "the"}
+    ((plus, minus),) = toxicity.pairs_of({"women", "the"}, 0)
+    assert "women" in plus and "men" in minus and "the" not in plus | minus
+    (swap, mention) = toxicity.pairs_of({"the"}, 5)
+    assert swap[0] and swap[1] and mention == (swap[0] | mention[0], set())
     # identity term 0 goes with the label as often as insult 1; term 2 is its counterpart
-    data = [(1, [0, 1], [2, 1])] * 30 + [(0, [3], [3])] * 30 + [(0, [2, 3], [0, 3])] * 30
+    data = [(1, [0, 1], [([0], [2])])] * 30 + [(0, [3], [([], [])])] * 30 + [(0, [2, 3], [([2], [0])])] * 30
     _, free = toxicity.train(data, 4, fairness=0.0)
     _, fair = toxicity.train(data, 4, fairness=10.0)
     assert abs(fair[0] - fair[2]) < 0.2 * abs(free[0] - free[2])
     assert fair[1] > 1
 
 
+def _planted(rows, seed):
+    """Insults make a text toxic; toxic texts name one group five times as often as its counterpart."""
+    rng, made = random.Random(seed), []
+    for i in range(rows):
+        toxic = int(rng.random() < 0.3)
+        words = [rng.choice("river stone cloud paper window garden letter bridge winter market silver orange".split()) for _ in range(30)]
+        if rng.random() < 0.4:
+            words.append("muslims" if rng.random() < (0.8 if toxic else 0.15) else "christians")
+        if toxic and rng.random() < 0.8:
+            words.append(rng.choice(["idiot", "moron", "scum"]))
+        rng.shuffle(words)
+        made.append((i, " ".join(words), toxic))
+    return made
+
+
+def test_counterfactual_penalty_lowers_the_score_change_of_swaps(spark):
+    made = _planted(3000, 1)
+    docs = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in made], "doc_id long, toxic int")
+    models = {fair: toxicity.fit(docs, labels, F.col("doc_id") < 1000, fairness=fair) for fair in (0.0, 1.0, 10.0)}
+    held = [r for r in made if r[0] < 1000]
+    named = [r for r in held if not toxicity.words_of(r[1]).isdisjoint(toxicity.SWAPS)]
+    gap, neutral, auc = {}, {}, {}
+    for fair, model in models.items():
+        assert model.pairs > 1000
+        gap[fair] = float(np.mean([model.swap_gap(r[1]) for r in named]))
+        neutral[fair] = model.score("the muslims met by the river")
+        rank = np.argsort(np.argsort([model.score(r[1]) for r in held]))
+        y = np.array([r[2] for r in held])
+        auc[fair] = (rank[y == 1].mean() - rank[y == 0].mean()) / len(y) + 0.5
+    print("mean score change under swaps", gap, "neutral mention", neutral, "held-out AUC", auc)
+    assert gap[1.0] < 0.5 * gap[0.0] and gap[10.0] < 0.2 * gap[0.0]
+    assert neutral[10.0] < neutral[1.0] < neutral[0.0]
+    assert auc[10.0] > 0.85 and auc[10.0] > auc[0.0] - 0.05
+
+
+def test_all_weights_move_with_pairs_on_the_given_table(spark):
+    """The given texts name no group, yet every labelled one has its pairs, and they act."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    free, fair = (toxicity.fit(docs, labels, queries.held_out(4, 2), fairness=f) for f in (0.0, 1.0))
+    assert fair.pairs >= labels.where(~queries.held_out(4, 2)).where("toxic is not null").count()
+    weight = lambda m, term: sum(m.weights.get(f, 0.0) for f in toxicity.word_features(term))
+    apart = lambda m: sum(abs(weight(m, a) - weight(m, b)) for a, b in toxicity.SWAPS.items())
+    print("logits apart, summed over terms", apart(free), apart(fair))
+    assert 0 < apart(fair) < 0.8 * apart(free)
+
+
+def test_samples_are_the_least_hashed(spark):
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    got = {r.doc_id for r in gbdt.labelled_sample(labels, "toxic", F.lit(True), 500).collect()}
+    best = labels.orderBy(F.xxhash64("doc_id")).limit(500).collect()
+    assert got == {r.doc_id for r in best}
+    assert gbdt.labelled_sample(labels.where("doc_id < 40"), "toxic", F.lit(True), 500).count() == 40
+
+
 def _repeat_words_plain(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
