@@ -1,7 +1,8 @@
 """Chunking: token windows, recursive splits, structure-aware groups; validation.
 
-Elements of a document are folded in order by one task per document; everything
-else is relational.
+Structure is found by windows over a document's elements: breadcrumbs, hard breaks
+and topic shifts are columns.  Only where a token budget decides, which depends on
+what went before, two short folds run over a document's numbers, never its texts.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from ..functions.vectors import chunk_id
 
 MAX_TOKENS, OVERLAP, MIN_PROSE, MIN_CHUNK, COHESION = 512, 64, 64, 20, 0.08
 HEADINGS = ("heading", "slide_title")
+#: Heading levels of the formats that are read; deeper ones count as the last.
+LEVELS = 9
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_PROSE = re.compile(r"[a-z]{3,}")
-_STOP = frozenset(T.COHESION_STOP)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -64,93 +65,130 @@ def recursive_split(text: str, size: int = MAX_TOKENS, level: int = 0) -> list[s
     return [p.strip() for p in joined] if level == 0 else joined
 
 
-def cohesion(a: str, b: str) -> float:
+def cohesion(a: Column, b: Column) -> Column:
     """Overlap of two passages' content words; 1 without evidence."""
-    x, y = ({w for w in _PROSE.findall(t.lower()) if w not in _STOP} for t in (a, b))
-    return len(x & y) / len(x | y) if x and y else 1.0
-
-
-def group_elements(rows: list[dict], size: int = MAX_TOKENS, least: int = MIN_PROSE, shift: float = COHESION, similar=cohesion) -> list[dict]:
-    """Groups of elements: a heading opens one, a table is one by itself, prose breaks at the budget or a topic shift."""
-    groups: list[dict] = []
-    path: list[str] = []
-    now: list[dict] = []
-    opened: tuple[str, ...] = ()
-
-    def close(whole: bool = False) -> None:
-        nonlocal now, opened
-        if now:
-            groups.append({"elements": now, "path": list(opened), "whole": whole})
-        now, opened = [], tuple(path)
-
-    for row in rows:
-        only_headings = bool(now) and all(e["type"] in HEADINGS for e in now)
-        if row["type"] in HEADINGS:
-            if now and not only_headings:
-                close()
-            level = 1 if pd.isna(row["level"]) else int(row["level"])
-            del path[max(0, level - 1) :]
-            path.append(row["text"])
-            now.append(row)
-            opened = tuple(path)
-        elif row["type"] == "table":
-            if not only_headings:
-                close()
-            now.append(row)
-            close(whole=True)
-        else:
-            if now and not only_headings:
-                held = _count("\n\n".join(e["text"] for e in now))
-                last = now[-1]
-                apart = last["type"] not in HEADINGS and held >= least and similar(last["text"], row["text"]) < shift
-                if held + _count(row["text"]) > size or apart:
-                    close()
-            now.append(row)
-    close()
-    return groups
-
-
-def _pieces(groups: list[dict], size: int, least: int) -> list[dict]:
-    """Groups as texts: oversized prose split, fragments folded into a neighbour."""
-    pieces = []
-    for g in groups:
-        text = "\n\n".join(e["text"] for e in g["elements"])
-        pages = sorted({int(e["position"]) for e in g["elements"] if not pd.isna(e["position"])})
-        about = {"heading_path": g["path"], "pages": pages, "element_types": sorted({e["type"] for e in g["elements"]}), "keep_whole": g["whole"]}
-        parts = [text] if g["whole"] or _count(text) <= size else recursive_split(text, size)
-        pieces += [{"text": p, **about} for p in parts]
-
-    def fits(a: dict, b: dict) -> bool:
-        return not a["keep_whole"] and not b["keep_whole"] and _count(a["text"]) + _count(b["text"]) <= size
-
-    def joined(a: dict, b: dict) -> dict:
-        both = {k: sorted({*a[k], *b[k]}) for k in ("pages", "element_types")}
-        return {"text": f"{a['text']}\n\n{b['text']}", "heading_path": a["heading_path"], "keep_whole": False, **both}
-
-    out: list[dict] = []
-    for piece in pieces:
-        if out and _count(piece["text"]) < least and fits(out[-1], piece):
-            out[-1] = joined(out[-1], piece)
-        else:
-            out.append(piece)
-    if len(out) > 1 and _count(out[0]["text"]) < least and fits(out[0], out[1]):
-        out[:2] = [joined(out[0], out[1])]
-    return out
+    return T.let(T.cohesion_words(a), lambda x: T.let(T.cohesion_words(b), lambda y: T.jaccard(x, y)))
+
+
+def breadcrumbs(elements: DataFrame) -> DataFrame:
+    """``elements`` with path: the headings above each one, itself included.
+
+    A heading sits one below the last one at most: the k-th is at the least of
+    level_j + k - j over all headings j up to it, a running minimum.  On each depth
+    the last heading so far counts, down to the depth of the last one.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heading = F.col("type").isin(*HEADINGS)
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(LEVELS))
+    rows = elements.withColumn("k", F.sum(heading.cast("int")).over(so_far))
+    rows = rows.withColumn("depth", F.when(heading, F.col("k") + F.least(F.lit(0), F.min(F.when(heading, level - F.col("k"))).over(so_far))))
+    rows = rows.withColumn("now", F.coalesce(F.last("depth", ignorenulls=True).over(so_far), F.lit(0)))
+    trail = F.array(*[F.last(F.when(F.col("depth") == d, F.col("text")), ignorenulls=True).over(so_far) for d in range(1, LEVELS + 1)])
+    return rows.withColumn("path", F.slice(trail, F.lit(1), F.col("now"))).drop("k", "depth", "now")
+
+
+def break_columns(elements: DataFrame, shift: float = COHESION, similar=cohesion) -> DataFrame:
+    """``elements`` with n (tokens), opens (a group starts here) and may: after prose, whether the topic shifts (else null).
+
+    A run of headings opens a group and what follows belongs to it; a table ends the group.
+    """
+    order = Window.partitionBy("doc_id").orderBy("elem_idx")
+    kind = F.when(F.col("type").isin(*HEADINGS), "heading").when(F.col("type") == "table", "table").otherwise("prose")
+    rows = elements.withColumns({"kind": kind, "n": T.token_count("text")}).withColumns({"last": F.lag("kind").over(order), "said": F.lag("text").over(order)})
+    opens = F.col("last").isNull() | (F.col("last") == "table") | ((F.col("last") == "prose") & (F.col("kind") != "prose"))
+    may = F.when((F.col("kind") == "prose") & (F.col("last") == "prose"), similar(F.col("said"), F.col("text")) < shift)
+    return rows.withColumns({"opens": opens, "may": may}).drop("last", "said")
+
+
+def _numbered(step) -> Column:
+    """A pandas UDF over arrays of structs that numbers each array's entries by ``step(entries)``."""
+
+    @F.pandas_udf("array<int>")
+    def numbers(rows: pd.Series) -> pd.Series:
+        return rows.map(step)
+
+    return numbers
+
+
+def _group_numbers(size: int, least: int):
+    """Prose breaks before an element that passes the budget, or at a topic shift once enough is held."""
+
+    def step(entries) -> list[int]:
+        out, group, held = [], -1, 0
+        for e in entries:
+            soft = e["may"] is not None and (held + e["n"] > size or (e["may"] and held >= least))
+            if e["opens"] or soft:
+                group, held = group + 1, 0
+            held += e["n"]
+            out.append(group)
+        return out
+
+    return step
+
+
+def _chunk_numbers(size: int, least: int):
+    """A fragment joins the chunk before it, or, being the first, the one after it, where the budget allows; tables stay alone."""
+
+    def step(entries) -> list[int]:
+        out, held = [], []
+        for e in entries:
+            n, free = e["n"], not e["keep_whole"]
+            if held and free and n < least and held[-1][1] and held[-1][0] + n <= size:
+                held[-1] = (held[-1][0] + n, True)
+            else:
+                held.append((n, free))
+            out.append(len(held) - 1)
+        forward = len(held) > 1 and held[0][1] and held[1][1] and held[0][0] < least and held[0][0] + held[1][0] <= size
+        return [max(0, i - 1) for i in out] if forward else out
+
+    return step
+
+
+def _ordered(rows: DataFrame, order: list[str], numbered: list[str], step, name: str) -> DataFrame:
+    """``rows`` with their number ``name`` within the document; the fold sees the columns ``numbered`` only."""
+    whole = F.struct(*order, *[c for c in rows.columns if c not in (*order, "doc_id")])
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(whole)).alias("rows"))
+    numbers = _numbered(step)(F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in numbered])))
+    return docs.withColumn("numbers", numbers).select("doc_id", F.inline(F.arrays_zip("rows", "numbers"))).select("doc_id", "rows.*", F.col("numbers").alias(name))
+
+
+def _texts(order: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["text"]), "\n\n")
 
 
 CHUNK = "doc_id long, chunk_index int, text string, token_count int, keep_whole boolean, heading_path array<string>, pages array<int>, element_types array<string>"
 
 
 def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MIN_CHUNK, similar=cohesion) -> DataFrame:
-    """Structure-aware chunks; one task folds a document's elements in order."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("elem_idx")
-        out = _pieces(group_elements(rows.to_dict("records"), size, similar=similar), size, least)
-        return pd.DataFrame([{"doc_id": rows["doc_id"].iloc[0], "chunk_index": i, "token_count": _count(p["text"]), **p} for i, p in enumerate(out)], columns=[f.split()[0] for f in CHUNK.split(", ")])
+    """Structure-aware chunks (CHUNK).
 
+    A heading opens a group, a table is whole, prose breaks at the budget or a topic
+    shift; oversized prose is split, fragments join a neighbour.  Everything is keyed
+    by document, so elements are shuffled once.
+    """
     need = elements.select("doc_id", "elem_idx", "type", "text", F.col("position").cast("int").alias("position"), F.col("level").cast("int").alias("level"))
-    return need.groupBy("doc_id").applyInPandas(fold, CHUNK)
+    rows = break_columns(breadcrumbs(need), similar=similar)
+    groups = _ordered(rows.select("doc_id", "elem_idx", "text", "type", "kind", "position", "path", "n", "opens", "may"), ["elem_idx"], ["n", "opens", "may"], _group_numbers(size, MIN_PROSE), "group")
+    # a group's path is that of its last heading: of all its elements
+    groups = groups.groupBy("doc_id", "group").agg(
+        _texts(F.struct("elem_idx", "text")).alias("text"), F.sum("n").cast("int").alias("n"), F.max_by("path", "elem_idx").alias("heading_path"), F.collect_set("position").alias("pages"),
+        F.collect_set("type").alias("element_types"), F.bool_or(F.col("kind") == "table").alias("keep_whole"),
+    )
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else recursive_split(t, size))
+
+    large = (F.col("n") > size) & ~F.col("keep_whole")
+    parts = groups.withColumn("parts", split(F.when(large, F.col("text")))).withColumn("parts", F.when(large, F.col("parts")).otherwise(F.array("text")))
+    pieces = parts.select("doc_id", "group", F.posexplode("parts").alias("part", "piece"), "heading_path", "pages", "element_types", "keep_whole").withColumnRenamed("piece", "text").withColumn("n", T.token_count("text"))
+    pieces = _ordered(pieces, ["group", "part"], ["n", "keep_whole"], _chunk_numbers(size, least), "chunk_index")
+    made = pieces.groupBy("doc_id", "chunk_index").agg(
+        _texts(F.struct("group", "part", "text")).alias("text"), F.sum("n").cast("int").alias("token_count"), F.bool_or("keep_whole").alias("keep_whole"),
+        F.min_by("heading_path", F.struct("group", "part")).alias("heading_path"), F.collect_set("pages").alias("pages"), F.collect_set("element_types").alias("element_types"),
+    )
+    merged = {c: F.array_sort(F.array_distinct(F.flatten(c))) for c in ("pages", "element_types")}
+    return made.withColumns(merged).select(*[f.split()[0] for f in CHUNK.split(", ")])
 
 
 def _split_chunks(docs: DataFrame, cut) -> DataFrame:
