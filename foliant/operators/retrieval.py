@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
 
@@ -23,6 +27,9 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that one broadcast holds, about; more go in blocks.
 QUERY_BLOCK = 4096
+#: (query, term) rows that one broadcast of BM25 weights holds, about; scores held at once in a task.
+TERM_BLOCK = 1_000_000
+SCORES = 2_000_000
 
 
 def metadata_filter(filters: dict) -> Column:
@@ -56,28 +63,117 @@ def document_frequency(index: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", filters: dict | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """Top k by BM25.  Statistics are those of all documents; filters and ``scope`` apply after, before the ranking.
+    """Top k by BM25 over the whole corpus; the filters apply to hits, not to the statistics.
 
     ``scope`` (query_id, id) names the documents that each query may find; a query without any finds none.
 
-    A query term that occurs twice counts twice.  Only the queries' terms leave the
-    scan: the others are dropped before any shuffle.
+    A query term that occurs twice counts twice.  A document is cut into words once:
+    those that no query has are dropped, the others' codes and counts are written as
+    postings.  Scoring is a map over these with the queries' weights as a broadcast; each
+    task keeps its own k best per query, so no (query, document) pair is shuffled but
+    those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows.
     """
+    spark = queries.sparkSession
     asked = queries.select("query_id", F.explode(T.terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    index = postings(docs, id_col, text).join(vocabulary, "term", "left_semi")
-    totals = corpus_stats(docs, text)
-    weighted = document_frequency(index).crossJoin(F.broadcast(totals))  # one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = weighted.select("term", idf.alias("idf"), "avg_len")
-    norm = F.col("tf") + K1 * (1 - B + B * F.try_divide(F.col("len"), F.col("avg_len")))
-    parts = index.join(weighted, "term").join(asked, "term").withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm)
-    scored = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    if filters:
-        scored = scored.join(docs.where(metadata_filter(filters)).select(F.col(id_col).alias("id")), "id", "left_semi")
-    if scope is not None:
-        scored = scored.join(scope, ["query_id", "id"], "left_semi")
-    return ranked(scored, k).select("query_id", "rank", "id", "score")
+    rows = docs.select(F.col(id_col).alias("id"), T.terms(text).alias("w"), metadata_filter(filters).alias("ok"))
+    if scope is None:
+        rows = rows.withColumn("only", F.lit(None).cast(ArrayType(queries.schema["query_id"].dataType)))
+    else:
+        rows = rows.join(scope.groupBy("id").agg(F.collect_set("query_id").alias("only")), "id", "left").withColumn("ok", F.col("ok") & F.col("only").isNotNull())
+    blocks = -(-asked.count() // TERM_BLOCK)
+    folder = _shared_folder(spark, "bm25")
+    if blocks <= 1:
+        return ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score")
+    asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
+    numbered = spark.read.parquet(f"{folder}/asked")
+    for i in range(blocks):
+        found = _block_scores(numbered.where(F.col("block") == i), rows, k, f"{folder}/postings-{i}")
+        ranked(found, k).write.mode("append").parquet(f"{folder}/hits")
+    return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
+
+
+def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataFrame:
+    """Each task's k best (query_id, id, score) for one block of queries."""
+    spark = rows.sparkSession
+    block = asked.select("query_id", "term", "qtf").collect()
+    query_ids = sorted({r.query_id for r in block})
+    vocabulary = sorted({r.term for r in block})
+    shared_terms = spark.sparkContext.broadcast(vocabulary)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared_terms.value, pa.string())
+        for batch in batches:
+            words = batch.column("w")
+            length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            code = pc.index_in(words.flatten(), value_set=known)
+            doc = np.repeat(np.arange(len(length)), length)
+            held = code.is_valid().to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(doc[held] * np.int64(len(known)) + code.drop_null().to_numpy(), return_counts=True)
+            doc, code = np.divmod(pair, max(1, len(known)))
+            ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(length))))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(length.astype(np.int32)), batch.column("ok"), batch.column("only"), *lists], names=["id", "len", "ok", "only", "codes", "tfs"])
+
+    types = {c: rows.schema[c].dataType for c in ("id", "only")}
+    schema = StructType().add("id", types["id"]).add("len", "integer").add("ok", "boolean").add("only", types["only"]).add("codes", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    rows.mapInArrow(coded, schema).write.parquet(path)
+    index = spark.read.schema(schema).parquet(path)
+    totals = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len")).first()
+    df = np.zeros(len(vocabulary))
+    for r in index.select(F.explode("codes").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df")).toLocalIterator():
+        df[r.c] = r.df
+    idf = np.log((totals.n - df + 0.5) / (df + 0.5) + 1)
+    term_of, query_of = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(query_ids)}
+    entries = np.array(sorted((term_of[r.term], query_of[r.query_id], r.qtf) for r in block), np.int64).reshape(-1, 3)
+    weights = entries[:, 2] * idf[entries[:, 0]]
+    starts = np.searchsorted(entries[:, 0], np.arange(len(vocabulary) + 1))
+    shared = spark.sparkContext.broadcast((query_ids, starts, entries[:, 1].astype(np.int32), weights, float(totals.avg_len)))
+    hits = StructType().add("query_id", asked.schema["query_id"].dataType).add("id", types["id"]).add("score", "double")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, starts, to, weights, avg_len = shared.value
+        at_once = max(1, SCORES // max(1, len(queries)))
+        place = {q: i for i, q in enumerate(queries)}
+        for batch in batches:
+            batch = batch.filter(batch.column("ok"))
+            for first in range(0, len(batch), at_once):
+                part = batch.slice(first, at_once)
+                score = _scores(part, starts, to, weights, avg_len, len(queries))
+                only = part.column("only").to_pylist()
+                if any(x is not None for x in only):
+                    may = np.zeros(score.shape, bool)
+                    for i, named in enumerate(only):
+                        may[[place[q] for q in named or () if q in place], i] = True
+                    score[~may] = 0
+                q, doc = _best(score, part.column("id").to_numpy(zero_copy_only=False), k)
+                found = pa.array([queries[i] for i in q.tolist()], to_arrow_type(hits["query_id"].dataType))
+                yield pa.RecordBatch.from_arrays([found, part.column("id").take(pa.array(doc)), pa.array(score[q, doc])], names=["query_id", "id", "score"])
+
+    return index.where("ok").mapInArrow(scored, hits)
+
+
+def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: np.ndarray, avg_len: float, n_queries: int) -> np.ndarray:
+    """Rounded scores, a row for each query and a column for each document."""
+    length = part.column("len").to_numpy().astype(np.float64)
+    codes, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "tfs"))
+    doc = np.repeat(np.arange(len(length)), pc.list_value_length(part.column("codes")).to_numpy(zero_copy_only=False))
+    norm = tf + K1 * (1 - B + B * (length[doc] / avg_len if avg_len else 0.0))
+    gain = tf * (K1 + 1) / norm
+    many = starts[codes + 1] - starts[codes]
+    entry = np.repeat(starts[codes] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(codes) else np.zeros(0, np.int64)
+    cell = to[entry].astype(np.int64) * len(length) + np.repeat(doc, many)
+    sums = np.bincount(cell, weights[entry] * np.repeat(gain, many), n_queries * len(length))
+    return np.round(sums.reshape(n_queries, len(length)), 6)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k best positive scores, ties by id."""
+    place = np.unique(ids, return_inverse=True)[1]
+    order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+    q = np.repeat(np.arange(len(score)), order.shape[1])
+    doc = order.ravel()
+    held = score[q, doc] > 0
+    return q[held], doc[held]
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
@@ -92,7 +188,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     if blocks <= 1:
         return ranked(_best_of_block(asked, vectors, k, id_col, vector, exclude_self)[0], k).select("query_id", "rank", "id", "score")
     spark = queries.sparkSession
-    folder = _shared_folder(spark)
+    folder = _shared_folder(spark, "vectors")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.monotonically_increasing_id()), F.lit(blocks))).write.parquet(f"{folder}/queries")
     numbered = spark.read.parquet(f"{folder}/queries")
     for i in range(blocks):
@@ -102,10 +198,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one without that setting."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-")
-    return f"{named.rstrip('/')}/foliant-vectors-{uuid.uuid4().hex}"
+def _shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; without that setting a local session gets a temporary one, any other raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="foliant-")
+    return f"{named.rstrip('/')}/foliant-{label}-{uuid.uuid4().hex}"
 
 
 def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
