@@ -113,10 +113,11 @@ def quality_measures(docs: DataFrame) -> Column:
     return fertility.measures(docs.sparkSession, "text", path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
 
 
-def quality_bands(docs: DataFrame, labels: DataFrame) -> fertility.Bands:
-    """Bands fitted to the documents labelled clean, of which alone the texts are measured."""
-    clean = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    return fertility.fit_bands(clean.select("doc_id", "lang", quality_measures(docs).alias("m")), labels)
+def quality_kept(docs: DataFrame, labels: DataFrame, verdict: str = "__foliant_verdict") -> DataFrame:
+    """The documents that the rules keep, by bands fitted to those labelled clean; every text is measured once."""
+    measured = staged(docs.withColumn(verdict, quality_measures(docs)), "measured")
+    bands = fertility.fit_bands(measured.select("doc_id", "lang", F.col(verdict).alias("m")), labels)
+    return measured.where(bands.kept(F.col(verdict), F.col("lang"))).select(*docs.columns)
 
 
 def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
