@@ -361,7 +361,7 @@ def test_each_fertility_measure_rejects(spark):
     """Texts that pass the base and leave one band each."""
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    bands = queries.quality_bands(docs, labels)
+    bands = fertility.fit_bands(docs.select("doc_id", "lang", queries.quality_measures(docs).alias("m")), labels)
     good = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and length(text) > 2000").orderBy("doc_id").first().text
     low, high, most_bytes, bits = bands.fitted["latin", "en"]
     assert _kept(good, bands, "en")
@@ -376,7 +376,8 @@ def test_each_fertility_measure_rejects(spark):
     rng = random.Random(6)
     assert not _kept(" ".join("".join(rng.choices("0123456789abcdef", k=12)) for _ in range(300)), bands, "en")  # characters per token
     assert not _kept(good + " ".join(chr(0x1100 + rng.randrange(250)) for _ in range(len(good))), bands, "en")  # byte fallback
-    assert queries.quality_bands(docs, labels).fitted == bands.fitted  # reruns agree
+    again = fertility.fit_bands(docs.repartition(7).select("doc_id", "lang", queries.quality_measures(docs).alias("m")), labels)
+    assert again.fitted == bands.fitted  # reruns agree
 
 
 def test_pipeline_end_to_end(spark):
@@ -398,9 +399,9 @@ def test_fertility_bands_reject_junk_that_passes_the_base(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
-    bands = queries.quality_bands(docs, labels.where(~fold))
-    assert ("latin", None) in bands.fitted
     measured = docs.select("doc_id", "lang", queries.quality_measures(docs).alias("m"))
+    bands = fertility.fit_bands(measured, labels.where(~fold))
+    assert ("latin", None) in bands.fitted
     rows = measured.select("doc_id", "m.*", bands.kept(F.col("m"), F.col("lang")).alias("kept")).join(labels.where(fold), "doc_id").where("not base_failed").toPandas()
     assert rows[rows["quality"] == 1]["kept"].mean() > 0.95  # labels not learnt from
     junk = rows[rows["quality"] == 0]["kept"]
