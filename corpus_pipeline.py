@@ -1,5 +1,9 @@
 """A corpus pipeline: each stage works on all that its predecessor kept.
 
+Every stage: null and empty texts fail the quality rules, and elsewhere are documents
+like others; repeated rows are judged alike; ties go to the least id; empty tables
+give empty ones; columns beside those of ``documents`` are kept as they are.
+
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return
 the columns of ``documents``.  ``run`` writes each stage's result to the shared
 folder, so that a lost executor costs the stage at hand and no earlier one.
@@ -8,19 +12,14 @@ folder, so that a lost executor costs the stage at hand and no earlier one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliant.llm import mixing, queries, simring, toxicity
 from foliant.llm.staging import staged
 
-VERDICT = "__foliant_verdict"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the fertility bands, fitted to the labels, keep."""
-    bands = queries.quality_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    measured = docs.withColumn(VERDICT, queries.quality_measures(docs))
-    return measured.where(bands.kept(F.col(VERDICT), F.col("lang"))).select(*docs.columns)
+    return queries.quality_kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
