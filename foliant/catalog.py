@@ -141,6 +141,24 @@ def leg_overlap(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.leg_overlap(first.where("rank <= 8"), retrieval.rerank(first, q, docs, 8))
 
 
+def _asked_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").join(asked_vectors(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+
+
+_ASKED_DOCS = _bm25(50).replace("from benchmark", "from (select doc_id item_id, text from documents where doc_id in (select vec_id from embeddings where vec_id % 20 = 0))")
+
+
+@query(f"""with {_ASKED_DOCS}, {_VECTORS.replace('@W', 'true').replace('rank <= 10', 'rank <= 50')},
+legs as (select query_id, id, rank from bm25 union all select query_id, id, rank from top),
+fused as (select query_id, id, round(sum(1.0::double / (60 + rank)), 6) score from legs group by all),
+best as (select *, row_number() over (partition by query_id order by score desc, id) rank from fused)
+select query_id, id, round(score / max(score) over (partition by query_id), 4) score, rank::int rank from best where rank <= 8""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and vectors of the asked rows, both legs over the whole tables."""
+    made = retrieval.hybrid(_asked_documents(spark, d), table(spark, d, "documents"), asked_vectors(spark, d), table(spark, d, "embeddings"))
+    return made.select("query_id", "id", "score", "rank")
+
+
 _FOLD = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
 
@@ -288,7 +306,11 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return stores.embed_with_cache(docs, cache, key, vectors.hash_embedding)[2]
 
 
-@query()
+@query(r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
+f as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from w),
+h as (select doc_id, ('0x' || substr(md5(f), 1, 8))::bigint % 384 slot, case when (instr('0123456789abcdef', substr(md5(f), 12, 1)) - 1) % 2 = 1 then 1 else -1 end s from f),
+v as (select doc_id, slot, sum(s) v from h group by all having sum(s) <> 0), n as (select doc_id, count(*) n from v group by doc_id)
+select doc_id, case when n is null then 0.0 else 1.0 end::double norm, coalesce(n, 0)::int filled from documents left join n using (doc_id)""")
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     made = table(spark, d, "documents").select("doc_id", vectors.hash_embedding("text").alias("v"))
     return made.select("doc_id", F.round(F.sqrt(vectors.dot("v", "v")), 4).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).alias("filled"))
@@ -428,8 +450,10 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     hits = retrieval.vector_topk(asked_vectors(spark, d), e, 5, exclude_self=True)
     own = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = own.join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id <> id").select("query_id", "id")
-    return evaluation.retrieval_metrics(hits, relevant, 5)
+    sizes = e.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))  # a query isn't relevant to itself
+    label = e.select(F.col("vec_id").alias("id"), F.col("label").alias("met"))
+    top = hits.join(own, "query_id").join(label, "id").withColumn("good", F.col("label") == F.col("met"))
+    return evaluation.flagged_metrics(top, own.join(sizes, "label").select("query_id", "n_relevant"), own.select("query_id"))
 
 
 _RANKED = """with v as (select event_type, list_sort(list(value)) v from events group by event_type)
@@ -438,8 +462,7 @@ select event_type, v[greatest(1, round_even(0.5 * len(v), 0))::int] p50, v[great
 
 @query(_RANKED)
 def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return v.select("event_type", evaluation.nearest_rank(F.col("v"), 50).alias("p50"), evaluation.nearest_rank(F.col("v"), 95).alias("p95"))
+    return evaluation.nearest_ranks(table(spark, d, "events"), "event_type", "value", {"p50": 50, "p95": 95})
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
@@ -477,9 +500,69 @@ def analytics_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics.summary(documents=table(spark, d, "documents"), conversations=_messages(spark, d).select("conv_id").distinct(), chunks=table(spark, d, "embeddings"))
 
 
-@query("select event_id, props from events where false")
-def json_replies_empty(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where(T.json_value("props").isNull()).select("event_id", "props")
+@query("select event_id, case when event_id % 4 = 3 then -1 else (props->>'$.k')::int end k from events")
+def json_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that are JSON, hold it in a fence, hold it in prose, and hold none."""
+    which, props = F.col("event_id") % 4, F.col("props")
+    reply = F.when(which == 0, props).when(which == 1, F.concat(F.lit("Here:\n```json\n"), props, F.lit("\n```\nDone."))).when(which == 2, F.concat(F.lit("It is "), props, F.lit(" as asked"))).otherwise("none { here")
+    return table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object(T.json_value(reply), "$.k").cast("int"), F.lit(-1)).alias("k"))
+
+
+@query("""select o_orderkey trace_id, 'order' "name", null::varchar parent, 1000.5::double ms, 1 depth from orders
+union all select l_orderkey, 'line ' || l_linenumber, 'order', round(max(l_quantity)::double / 4, 3), 2 from lineitem where l_orderkey in (select o_orderkey from orders) group by l_orderkey, l_linenumber""")
+def span_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as traces: a root span around one for each line."""
+    mark = lambda seq, ts, name, opens: F.struct(seq.cast("int").alias("seq"), ts.cast("double").alias("ts"), name.alias("name"), F.lit(opens).alias("opens"))
+    at, line = F.col("l_linenumber") * 100, F.concat(F.lit("line "), F.col("l_linenumber"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    lines = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    items = lines.select(F.col("l_orderkey").alias("trace_id"), F.explode(F.array(mark(at, at, line, True), mark(at + 1, at + F.col("q").cast("double") / 4, line, False))).alias("m"))
+    roots = table(spark, d, "orders").select(F.col("o_orderkey").alias("trace_id"), F.explode(F.array(mark(F.lit(0), F.lit(0), F.lit("order"), True), mark(F.lit(9999), F.lit(1000.5), F.lit("order"), False))).alias("m"))
+    return metrics.span_tree(roots.unionByName(items).select("trace_id", "m.*"))
+
+
+@query("""select o_orderkey trace_id, 1000.5::double total_ms from orders""")
+def root_totals(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.root_total(span_tree(spark, d))
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that orders mention."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("key"), F.lit("supplier").alias("type"), "l_linenumber", "l_returnflag").select("source", "key", "type", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("name"), F.col("l_linenumber").alias("place"))
+
+
+_ENTITIES = """select 'supplier:' || l_suppkey "key", arg_min(l_returnflag || l_linenumber, {'s': l_orderkey, 'p': l_linenumber, 'n': l_returnflag || l_linenumber}) "name", min(l_orderkey) source, count(*)::bigint mentions from lineitem"""
+
+
+@query(_ENTITIES + " group by 1")
+def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entities(_mentions(spark, d)).select("key", "name", "source", "mentions")
+
+
+@query(_ENTITIES + " where l_orderkey not in (select o_orderkey from orders where o_orderpriority = '1-URGENT') group by 1")
+def graph_delete(spark: SparkSession, d: str) -> DataFrame:
+    """The graph without what the urgent orders said."""
+    gone = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("source"))
+    mentions = _mentions(spark, d)
+    return graph.delete_by_source(mentions, graph.document_edges(mentions)[1], gone)[0].select("key", "name", "source", "mentions")
+
+
+@query("select n_nationkey \"key\", n_name \"name\" from nation where contains(lower(n_name), 'on') order by n_nationkey limit 10")
+def node_search(spark: SparkSession, d: str) -> DataFrame:
+    return graph.search_nodes(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "ON", 10)
+
+
+@query("select conv_id, turn, role, text from conversations where conv_id = 7")
+def conversation_history(spark: SparkSession, d: str) -> DataFrame:
+    return stores.lookup(_messages(spark, d), "conv_id", 7).select("conv_id", "turn", "role", "text")
+
+
+@query("""select conv_id, turn, role, text from conversations union all
+select conv_id, (last + row_number() over (partition by conv_id order by turn)), role, text from (select conv_id, turn, 'user' as role, text, max(turn) over (partition by conv_id) last from conversations) where turn <= 2""")
+def appended_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation, its first two turns said again at its end."""
+    said = _messages(spark, d).select("conv_id", "turn", "role", "text")
+    return memory.append_messages(said, said.where("turn <= 2").withColumn("role", F.lit("user")))
 
 
 @query(r"""select conv_id, turn, ceil(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) / 4.0)::int frames from conversations""")

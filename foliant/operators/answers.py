@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +79,11 @@ NO_COVER = "The indexed documents don't appear to cover this question."
 LEAD = "**Most relevant passages** (extractive mode — configure an LLM API key for synthesized answers):\n\n"
 
 
+def json_rules(schema: dict) -> str:
+    """What to tell a model that must answer in JSON of a schema."""
+    return f"Answer with one JSON object of this schema, without other text or fences:\n{json.dumps(schema, indent=2)}"
+
+
 def shorten(text: Column, width: int = 400, mark: str = " …") -> Column:
     """Whole words up to a width, with a mark if some are left out."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")

@@ -57,6 +57,10 @@ def strip_chrome(elements: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).drop("all", "kept", "chrome")
 
 
+def tables(elements: DataFrame) -> DataFrame:
+    return elements.where("type = 'table'")
+
+
 def exact_repeats(elements: DataFrame) -> DataFrame:
     """``is_repeat``: whether an earlier element of the document says the same."""
     order = Window.partitionBy("doc_id", F.sha2(T.fold("text"), 256)).orderBy("elem_idx")

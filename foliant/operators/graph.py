@@ -86,10 +86,22 @@ def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def entities(mentions: DataFrame) -> DataFrame:
     """Vertices: mentions add up, the first name and source stay."""
-    first = F.struct("source", "place")
+    first = F.struct("source", "place", "name")
     return mentions.groupBy("key").agg(F.min_by("name", first).alias("name"), F.first("type").alias("type"), F.min("source").alias("source"), F.count(F.lit(1)).alias("mentions"))
 
 
+def delete_by_source(mentions: DataFrame, edges: DataFrame, sources: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges without what ``sources`` (source) said.
+
+    Vertices are built anew from the other sources' mentions.  With ``compat`` a vertex
+    goes with the source that named it first, whoever else mentions it.
+    """
+    left = edges.join(sources.select(F.col("source").alias("source_document")), "source_document", "left_anti").select(*edges.columns)
+    if compat:
+        return entities(mentions).join(sources, "source", "left_anti").select("key", "name", "type", "source", "mentions"), left
+    return entities(mentions.join(sources, "source", "left_anti")), left
+
+
 def classify(type_a: Column, type_b: Column, between: Column) -> Column:
     """The relation of two mentions, or null."""
     cue = reduce(lambda c, x: c.when((type_a == x[2]) & (type_b == x[3]) & between.rlike(x[0]), x[1]), CUES, F.when(F.lit(False), F.lit("")))
@@ -162,13 +174,33 @@ def incident_edges(reached: DataFrame, edges: DataFrame, depth: int) -> DataFram
     return one.unionByName(two).distinct()
 
 
+def _grams(label: Column) -> Column:
+    """Distinct runs of one to three characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(label), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(label, i, n) for n in (1, 2, 3)]))))
+
+
 def query_seeds(queries: DataFrame, vertices: DataFrame) -> DataFrame:
     """(query_id, key): vertices whose name contains an entity of the query, or else one of its longer words."""
     named = entity_mentions(queries, "query_id").select(F.col("source").alias("query_id"), F.lower("name").alias("term")).distinct()
     words = queries.join(named, "query_id", "left_anti").select("query_id", F.explode(F.filter(F.split("text", r"\s+"), lambda w: F.char_length(w) > 3)).alias("term"))
     terms = named.unionByName(words.select("query_id", F.lower("term").alias("term"))).distinct()
-    named_vertices = vertices.select("key", F.lower("name").alias("label"))
-    return terms.join(named_vertices, F.contains(F.col("label"), F.col("term"))).select("query_id", "key").distinct()
+    # a label that contains a term contains the term's first three characters: an equality to join on
+    named_vertices = vertices.select("key", F.lower("name").alias("label")).withColumn("gram", F.explode(_grams(F.col("label"))))
+    asked = terms.withColumn("gram", F.substring("term", 1, 3))
+    return asked.join(named_vertices, "gram").where(F.contains(F.col("label"), F.col("term"))).select("query_id", "key").distinct()
+
+
+def graph_relations(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, related, relations): names near a query's vertices, and its typed edges but for mentions."""
+    keys = seeds.select(F.col("key").alias("seed")).distinct()
+    reached = neighbors(keys, edges, depth)
+    names = reached.where("level > 0").join(vertices.where("type <> 'document'").select("key", "name"), "key").groupBy("seed").agg(F.collect_set("name").alias("names"))
+    typed = incident_edges(reached, edges, depth).where("type <> 'MENTIONED_IN'")
+    said = typed.groupBy("seed").agg(F.collect_set(F.struct("source_key", "type", "target_key")).alias("edges"))
+    per_seed = keys.join(names, "seed", "left").join(said, "seed", "left")
+    found = seeds.join(per_seed, seeds["key"] == per_seed["seed"]).groupBy("query_id")
+    return found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("related"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("relations"))
 
 
 def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: What a fact can belong to.
+SCOPES = ("user", "project", "conversation")
+
+
+def append_messages(messages: DataFrame, fresh: DataFrame, conv: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``messages`` with ``fresh`` ones after them, numbered on within each conversation."""
+    last = messages.groupBy(conv).agg(F.max(order).alias("__last"))
+    numbered = fresh.join(last, conv, "left").withColumn(order, F.coalesce("__last", F.lit(0)) + F.row_number().over(Window.partitionBy(conv).orderBy(order)))
+    return messages.unionByName(numbered.select(*[F.col(c).cast(messages.schema[c].dataType) for c in messages.columns]))
+
+
+def append_facts(facts: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``facts`` with ``fresh`` ones; a scope beside ``SCOPES`` stops the write."""
+    message = F.concat(F.lit(f"scope must be one of {SCOPES}, got "), F.coalesce("scope", F.lit("null")))
+    checked = F.when(F.col("scope").isin(*SCOPES), F.col("scope")).otherwise(F.raise_error(message).cast("string"))
+    return facts.unionByName(fresh.withColumn("scope", checked))
+
+
+def forget(facts: DataFrame, gone: DataFrame, key: str = "fact_id") -> DataFrame:
+    """``facts`` without those of ``gone``."""
+    return facts.join(gone.select(key), key, "left_anti").select(*facts.columns)
+
+
 def context_window(messages: DataFrame, budget: int = 2000, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """The newest messages of each conversation that fit the budget; the newest always stays."""
     newest = Window.partitionBy(conv).orderBy(F.desc(order))

@@ -60,6 +60,23 @@ def root_total(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.round(F.sum(F.when(F.col("parent").isNull(), F.col("ms"))), 3).alias("total_ms"))
 
 
+def span_tree(marks: DataFrame) -> DataFrame:
+    """(trace_id, name, parent, ms, depth) of spans from their open and close marks (trace_id, seq, ts, name, opens).
+
+    A span's depth is the number of open ones; its close is the next mark of that
+    depth, its parent the last span opened one level up.  Times are in milliseconds.
+    """
+    along = Window.partitionBy("trace_id").orderBy("seq")
+    rows = marks.withColumn("depth", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(along) + F.when(F.col("opens"), 0).otherwise(1))
+    level = Window.partitionBy("trace_id", "depth").orderBy("seq")
+    spans = rows.withColumn("end", F.lead("ts").over(level)).where("opens")
+    both = spans.select("*", F.explode(F.array(F.col("depth"), F.col("depth") + 1)).alias("among"))
+    above = Window.partitionBy("trace_id", "among").orderBy("seq")
+    parent = F.last(F.when(F.col("depth") < F.col("among"), F.col("name")), ignorenulls=True).over(above)
+    named = both.withColumn("parent", parent).where("depth = among")
+    return named.select("trace_id", "name", "parent", F.round(F.col("end") - F.col("ts"), 3).alias("ms"), F.col("depth").cast("int").alias("depth"))
+
+
 def summary(**tables: DataFrame) -> DataFrame:
     """One wide row: the number of rows of each table, each counted by itself."""
     out = None

@@ -49,6 +49,11 @@ def supersede(index: DataFrame, fresh: DataFrame, source: str = "source") -> tup
     return index.join(sources, source, "left_anti").unionByName(fresh), flags
 
 
+def lookup(table: DataFrame, key: str, value) -> DataFrame:
+    """The rows of one key; none if it is missing or null."""
+    return table.where(F.col(key) == F.lit(value))
+
+
 def same_dimension(vectors: DataFrame, dim: int, vector: str = "embedding") -> Column:
     """Whether a vector fits the collection."""
     return F.size(vector) == dim

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import answers as A
-from ..operators import chunking, cleaning, evaluation, graph, retrieval
+from ..operators import chunking, cleaning, evaluation, graph, retrieval, stores
 
 
 def clean_and_chunk(elements: DataFrame, strategy: str = "semantic") -> tuple[DataFrame, DataFrame]:
@@ -42,9 +42,10 @@ def build_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graph.entities(mentions).select(columns).unionByName(documents.select(columns)), graph.relations(docs, mentions).select(edge).unionByName(mentioned.select(edge))
 
 
-def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges: DataFrame, k: int = 8, candidates: int = 30, depth: int = 2) -> DataFrame:
-    """BM25 fused with BM25 over the documents that the graph implicates for each query."""
-    first = retrieval.bm25(queries, docs, candidates)
+def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges: DataFrame, k: int = 8, candidates: int = 30, depth: int = 2, embed=hash_embedding) -> DataFrame:
+    """Vector search fused with BM25 over the documents that the graph implicates for each query."""
+    asked = queries.select("query_id", embed(F.col("text")).alias("vector"))
+    first = retrieval.vector_topk(asked, docs.select("doc_id", embed(F.col("text")).alias("embedding")), candidates, id_col="doc_id")
     seeds = graph.query_seeds(queries, vertices)
     scope = graph.graph_documents(seeds, vertices, edges, depth)
     reached = graph.neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth).where("level > 0")
@@ -55,12 +56,36 @@ def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges
     return retrieval.normalized(retrieval.fuse({"vector": first, "graph": second}, k))
 
 
-def ask(questions: DataFrame, docs: DataFrame, k: int = 6) -> DataFrame:
-    """Screened, routed, retrieved, answered and checked questions (query_id, text)."""
+def index_documents(elements: DataFrame, index: DataFrame, embed=hash_embedding, strategy: str = "semantic") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean, chunk, validate, embed and supersede: the new index, the validation report, (doc_id, superseded_previous).
+
+    Only documents that pass validation reach the index; each replaces its former chunks.
+    """
+    made, _ = clean_and_chunk(elements, strategy)
+    ordered = F.array_sort(F.collect_list(F.struct("elem_idx", "text")))
+    docs = elements.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda e: e["text"]), "\n\n").alias("text"))
+    good, report = valid_only(made, docs)
+    fresh = embed_chunks(good, embed).select(*index.columns)
+    grown, flags = stores.supersede(index, fresh, "doc_id")
+    return grown, report, flags
+
+
+def prompts(questions: DataFrame, hits: DataFrame, template: str = A.ANSWER_PROMPT) -> DataFrame:
+    """(query_id, prompt): the template with each question's hits (rank, source, text)."""
+    located = hits.withColumns({"heading_path": F.array().cast("array<string>"), "pages": F.array().cast("array<int>")})
+    rows = questions.join(A.context(located), "query_id", "left")
+    return rows.select("query_id", A.render(template, context=F.col("context"), graph_context=F.lit(""), question=F.col("text")).alias("prompt"))
+
+
+def ask(questions: DataFrame, docs: DataFrame, k: int = 6, model=None) -> DataFrame:
+    """Screened, routed, retrieved, answered and checked questions (query_id, text).
+
+    ``model`` maps a prompt column to an answer column; without it answers are extracts.
+    """
     screened = A.screen_input(questions)
     open_ = screened.where("verdict.allowed").select("query_id", "text")
     hits = retrieval.bm25(open_, docs, k).join(docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source")), "id")
-    answered = A.extractive_answers(open_, hits)
+    answered = A.extractive_answers(open_, hits) if model is None else prompts(open_, hits).select("query_id", model(F.col("prompt")).alias("answer"))
     out = A.screen_output(answered, hits).withColumnRenamed("score", "faithfulness")
     rows = screened.join(out, "query_id", "left")
     agent = F.when(F.col("verdict.allowed"), A.route("text")).otherwise("guardrail")

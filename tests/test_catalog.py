@@ -37,7 +37,7 @@ def test_equals_duckdb(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"graph_search"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() >= 0
 
