@@ -203,9 +203,10 @@ def graph_relations(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, dep
     return found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("related"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("relations"))
 
 
-def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """(query_id, source): documents that the neighbourhood of a query's vertices implicates."""
-    reached = neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth)
+def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2, reached: DataFrame | None = None) -> DataFrame:
+    """(query_id, source): documents that the neighbourhood of a query's vertices implicates; ``reached`` if it is known."""
+    if reached is None:
+        reached = neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth)
     touched = incident_edges(reached, edges, depth).select("seed", F.col("source_document").alias("source"))
     nodes = reached.join(vertices.where("type = 'document'").select("key", "source"), "key").select("seed", "source")
     per_seed = touched.unionByName(nodes).distinct()

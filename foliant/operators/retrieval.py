@@ -7,8 +7,6 @@ rounded to six places, so float noise can't flip them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +14,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
+from ..staging import new_folder
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -81,7 +80,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
     else:
         rows = rows.join(scope.groupBy("id").agg(F.collect_set("query_id").alias("only")), "id", "left").withColumn("ok", F.col("ok") & F.col("only").isNotNull())
     blocks = -(-asked.count() // TERM_BLOCK)
-    folder = _shared_folder(spark, "bm25")
+    folder = new_folder(spark, "bm25")
     if blocks <= 1:
         return ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
@@ -188,7 +187,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     if blocks <= 1:
         return ranked(_best_of_block(asked, vectors, k, id_col, vector, exclude_self)[0], k).select("query_id", "rank", "id", "score")
     spark = queries.sparkSession
-    folder = _shared_folder(spark, "vectors")
+    folder = new_folder(spark, "vectors")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.monotonically_increasing_id()), F.lit(blocks))).write.parquet(f"{folder}/queries")
     numbered = spark.read.parquet(f"{folder}/queries")
     for i in range(blocks):
@@ -198,16 +197,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str
     return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
 
 
-def _shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; without that setting a local session gets a temporary one, any other raises."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="foliant-")
-    return f"{named.rstrip('/')}/foliant-{label}-{uuid.uuid4().hex}"
-
-
 def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector: str, exclude_self: bool) -> tuple[DataFrame, Broadcast]:
     """Each task's k best (query_id, id, score) for one block of queries, and the broadcast it reads."""
     block = queries.collect()

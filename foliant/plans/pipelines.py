@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import answers as A
 from ..operators import chunking, cleaning, evaluation, graph, retrieval, stores
+from ..staging import staged
 
 
 def clean_and_chunk(elements: DataFrame, strategy: str = "semantic") -> tuple[DataFrame, DataFrame]:
@@ -34,8 +35,8 @@ def valid_only(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def build_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of a corpus, documents among them."""
-    mentions = graph.entity_mentions(docs)
+    """Vertices and edges of a corpus, documents among them; texts are searched for entities once."""
+    mentions = staged(graph.entity_mentions(docs), "mentions")
     documents, mentioned = graph.document_edges(mentions)
     columns = ["key", "name", "type", "source", "mentions"]
     edge = ["source_key", "target_key", "type", "evidence", "source_document"]
@@ -46,10 +47,10 @@ def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges
     """Vector search fused with BM25 over the documents that the graph implicates for each query."""
     asked = queries.select("query_id", embed(F.col("text")).alias("vector"))
     first = retrieval.vector_topk(asked, docs.select("doc_id", embed(F.col("text")).alias("embedding")), candidates, id_col="doc_id")
-    seeds = graph.query_seeds(queries, vertices)
-    scope = graph.graph_documents(seeds, vertices, edges, depth)
-    reached = graph.neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth).where("level > 0")
-    related = reached.join(vertices.where("type <> 'document'").select("key", "name"), "key").select("seed", "name")
+    seeds = staged(graph.query_seeds(queries, vertices), "seeds")
+    reached = staged(graph.neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth), "reached")
+    scope = staged(graph.graph_documents(seeds, vertices, edges, depth, reached), "scope")
+    related = reached.where("level > 0").join(vertices.where("type <> 'document'").select("key", "name"), "key").select("seed", "name")
     names = seeds.join(related, seeds["key"] == related["seed"]).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("more"))
     richer = queries.join(names, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
     second = retrieval.bm25(richer, docs, candidates, scope=scope.withColumnRenamed("source", "id"))
