@@ -1,42 +1,10 @@
-"""Tables between two stages of a job, kept where every executor can read them.
-
-A staged table cuts lineage: a lost executor makes Spark re-read files, not
-re-run the stages before them.  The folder is the one the session names in
-``spark.checkpoint.dir``.  Without that setting a local session (a unit test) gets
-a temporary folder, and any other raises: its executors share no local folder.
-"""
+"""Staged tables, and what a worker process keeps for its next tasks."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="foliant-")
-        named = _own[app]
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..staging import shared_dir, staged
 
+__all__ = ["held_by_worker", "shared_dir", "staged"]
 
 _held: dict = {}
 
