@@ -480,7 +480,11 @@ def histogram_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return metrics.snapshot(_observations(spark, d), 500)
 
 
-@query()
+@query(f"""with c as (select event_type, round(sum(value), 4) v from events group by event_type),
+r as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) n from events), v as (select event_type, list_sort(list(value)) v from r where n <= {metrics.RING} group by event_type),
+s as (select event_type, len(v) n, round(v[greatest(1, round_even(0.5 * len(v), 0))::int], 3) p50, round(v[greatest(1, round_even(0.95 * len(v), 0))::int], 3) p95 from v)
+select 'latency_ms{{type="' || event_type || '"}} ' || v::varchar line from c union all select 'latency_ms_count{{type="' || event_type || '"}} ' || n::varchar from s
+union all select 'latency_ms{{type="' || event_type || '",quantile="p50"}} ' || p50::varchar from s union all select 'latency_ms{{type="' || event_type || '",quantile="p95"}} ' || p95::varchar from s""")
 def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
     seen = _observations(spark, d)
     return metrics.exposition(metrics.counters(seen).withColumn("value", F.round("value", 4)), metrics.snapshot(seen))

@@ -33,18 +33,16 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, parsers: dict | None =
 
 
 def register_versions(uploads: DataFrame, key: str = "document_key", digest: str = "sha256") -> DataFrame:
-    """Version and duplicate flags of uploads as they arrive; the state is each key's digests in order."""
+    """Version and duplicate flags of uploads as they arrive; the state is each key's distinct digests in order, one for each version."""
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(state.get[0]) if state.exists else []
+        known = {sha: i for i, sha in enumerate(state.get[0], 1)} if state.exists else {}
         out = []
         for batch in batches:
             for sha in batch[digest]:
                 new = sha not in known
-                if new:
-                    known.append(sha)
-                out.append((group[0], sha, known.index(sha) + 1, not new))
-        state.update((known,))
+                out.append((group[0], sha, known.setdefault(sha, len(known) + 1), not new))
+        state.update((list(known),))
         yield pd.DataFrame(out, columns=["document_key", "sha256", "version", "is_duplicate"])
 
     return uploads.groupBy(key).applyInPandasWithState(update, "document_key string, sha256 string, version int, is_duplicate boolean", "digests array<string>", "append", GroupStateTimeout.NoTimeout)
