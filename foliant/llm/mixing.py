@@ -12,9 +12,9 @@ the source's r-th slot takes its r-th block, over and over again up to
 ``MOST_PASSES`` times.
 
 Scale: whatever is ranked or summed along a source is done in two levels: within
-buckets (by hash, or by runs of slots), and over the buckets' totals.  A source
-with most of the rows is so spread over many tasks.  One row per source is all
-that a single task sees.
+buckets (by hash, or by runs of slots), and over the buckets' totals; what is summed
+along the sources, within range partitions and over theirs.  A source with most of
+the rows is so spread over many tasks, and so are very many sources.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; repeated rows are separate rows of
@@ -49,27 +49,41 @@ def cyclic_weight(order: Column) -> Column:
     return F.pmod(order - 1, F.lit(3)) + 1
 
 
+def _before(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with upto, the running sum of ``value`` in the order of the range partitions ``part``, and last, the one before it."""
+    within = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    rows = rows.withColumn("within", F.sum(value).over(within))
+    parts = rows.groupBy("part").agg(F.max("within").alias("in_part"))
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(along), F.lit(0)).alias("before"))
+    rows = rows.join(F.broadcast(parts), "part")
+    return rows.withColumns({"upto": F.col("before") + F.col("within"), "last": F.col("before") + F.coalesce(F.lag("within").over(within), F.lit(0))}).drop("within", "before")
+
+
 def targets(sizes: DataFrame, weight=cyclic_weight, most_passes: int = MOST_PASSES) -> DataFrame:
     """One row per source: src, source, source_size, weight, target, low and high share.
 
-    ``sizes`` has src (a non-null key), source, size.  The sources, one row each,
-    are sorted in one task.
+    ``sizes`` has src (a non-null key), source, size.  Sources are sorted by range
+    partitions, of which only the totals meet in one task.  The level of the targets
+    rises until no source is above its most; a step is one aggregate, two numbers.
     """
     w = sizes.groupBy("src").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    w = w.withColumn("weight", weight(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).cast("double"))
-    w = w.withColumn("most", (most_passes * F.col("source_size")).cast("double"))
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, everything = filling.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    w = w.withColumn("level", left / weights)
-    open_ = F.col("level") <= F.col("most") / F.col("weight")
-    w = w.withColumn("open", open_).withColumn("final", F.max(F.when(open_, F.col("level"))).over(everything))
-    w = w.withColumn("target", F.when(F.col("open"), F.col("final") * F.col("weight")).otherwise(F.col("most")))
-    along = Window.orderBy(F.col("source").asc_nulls_last())
-    high = F.round(F.sum("target").over(along) / F.sum("target").over(everything), 12)
-    w = w.withColumn("high", F.coalesce(high, F.lit(0.0)))
-    return w.select("src", "source", "source_size", "weight", "target", F.coalesce(F.lag("high").over(along), F.lit(0.0)).alias("low"), "high")
+    w = staged(w.repartitionByRange(F.col("source").asc_nulls_last()).withColumns({"part": F.spark_partition_id(), "one": F.lit(1)}), "sources")
+    w = _before(w, "one").withColumn("weight", weight(F.col("upto")).cast("double")).drop("upto", "last", "one")
+    w = staged(w.withColumn("most", (most_passes * F.col("source_size")).cast("double")), "weights")
+    total = w.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        open_ = F.col("most") / F.col("weight") >= level
+        seen = w.agg(F.count_if(~open_).alias("full"), F.sum(F.when(open_, F.col("weight"))).alias("weights"), F.coalesce(F.sum(F.when(~open_, F.col("most"))), F.lit(0.0)).alias("taken")).first()
+        if seen.full == full or not seen.weights:
+            break
+        level, full = (total - seen.taken) / seen.weights, seen.full
+    target = F.when(F.col("most") / F.col("weight") >= level, F.lit(level) * F.col("weight")).otherwise(F.col("most"))
+    w = _before(w.withColumn("target", target), "target")
+    whole = F.lit(w.agg(F.max("upto")).first()[0] or 0.0)
+    share = lambda c: F.coalesce(F.round(F.try_divide(F.col(c), whole), 12), F.lit(0.0))
+    return w.select("src", "source", "source_size", "weight", "target", share("last").alias("low"), share("upto").alias("high"))
 
 
 def point(k: Column, bits: int) -> Column:
