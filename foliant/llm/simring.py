@@ -22,6 +22,7 @@ Keys that one text alone has are dropped first, so the rest of the work grows wi
 the near copies.  ``ROUNDS`` rounds link every text to one hub of each of its keys,
 a new one each time; what is then still apart is compared within each key, in
 buckets of ``BUCKET`` texts, so that a key with very many texts is spread over tasks.
+The full check is part of that join: it emits links between groups, not candidates.
 
 Defined results: null and empty texts have the empty set and are one another's
 copies; rows with a null id are dropped from the groups' names, never from
@@ -43,7 +44,8 @@ from .simhash import components, shingle_hashes
 from .staging import staged
 
 #: 64-bit words of the full fingerprint, segments of a ring, hub rounds, texts in a bucket of a key.
-WORDS, RING, ROUNDS, BUCKET = 16, 16, 3, 256
+WORDS, RING, ROUNDS, BUCKET = 16, 16, 3, 1024
+NAMES = [f"w{i}" for i in range(WORDS)]
 #: Standard deviations that the budgets of fingerprint and first word allow above the expectation.
 SLACK, FIRST_SLACK = 1.65, 3.0
 #: Shingles whose long fingerprint is summed at once.
@@ -142,12 +144,15 @@ def _chained(a: str, b: str, least: float) -> Column:
     return after & (_differ(F.col(f"{a}.w0"), F.col(f"{b}.w0")) <= budget(least, 64, FIRST_SLACK))
 
 
+def _near(a: str, b: str, least: float) -> Column:
+    """The full check: whether the fingerprints are within the budget."""
+    return sum((_differ(F.col(f"{a}.{n}"), F.col(f"{b}.{n}")) for n in NAMES[1:]), _differ(F.col(f"{a}.w0"), F.col(f"{b}.w0"))) <= budget(least, 64 * WORDS, SLACK)
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose full fingerprints are within the budget."""
-    names = [f"w{i}" for i in range(WORDS)]
-    both = pairs.join(nodes.select(F.col("id").alias("a"), *[F.col(n).alias(f"a{n}") for n in names]), "a").join(nodes.select(F.col("id").alias("b"), *[F.col(n).alias(f"b{n}") for n in names]), "b")
-    differ = sum((_differ(F.col(f"a{n}"), F.col(f"b{n}")) for n in names[1:]), _differ(F.col("aw0"), F.col("bw0")))
-    return both.where(differ <= budget(least, 64 * WORDS, SLACK)).select("a", "b")
+    both = pairs.join(nodes.select(F.col("id").alias("a"), F.struct(*NAMES).alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.struct(*NAMES).alias("y")), "b")
+    return both.where(_near("x", "y", least)).select("a", "b")
 
 
 def _with_groups(met: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -176,12 +181,13 @@ def linked_groups(nodes: DataFrame, least: float) -> DataFrame:
         meets = _chained("x", "hub", least) & (F.col("x.grp") != F.col("hub.grp"))
         pairs = rows.alias("x").join(hubs.alias("hub"), "key").where(meets).select(F.col("x.id").alias("a"), F.col("hub.id").alias("b")).distinct()
         groups = staged(_grown(confirmed(pairs, nodes, least), groups), "groups")
-    rows = staged(_with_groups(met, groups).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")), "apart")
+    left = _with_groups(met.drop("w0"), groups).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).join(nodes.select("id", *NAMES), "id")
+    rows = staged(left, "apart")
     index = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     probe = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = _chained("x", "y", least) & (F.col("x.id") < F.col("y.id")) & (F.col("x.grp") != F.col("y.grp"))
-    pairs = probe.alias("x").join(index.alias("y"), ["key", "bucket"]).where(meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _grown(confirmed(pairs, nodes, least), groups)
+    meets = _chained("x", "y", least) & (F.col("x.id") < F.col("y.id")) & (F.col("x.grp") != F.col("y.grp")) & _near("x", "y", least)
+    links = probe.alias("x").join(index.alias("y"), ["key", "bucket"]).where(meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return _grown(links, groups)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, least: float = 0.8) -> DataFrame:
