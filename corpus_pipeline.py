@@ -17,13 +17,24 @@ from foliant.llm import mixing, queries, simring, toxicity
 from foliant.llm.staging import staged
 
 
+#: Rows of whole texts in one Arrow batch; the five stages share executors, so what they hold adds up.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """This program's own setting for its session; the operators set nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the fertility bands, fitted to the labels, keep."""
+    _small_batches(spark)
     return queries.quality_kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels of what is left, scores below 0.3."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, queries.held_out(4, 2))
     return docs.where(toxicity.toxicity(docs, model) < 0.3)
@@ -31,6 +42,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    _small_batches(spark)
     return simring.one_of_each(docs, shingle_words=5, least=0.8)
 
 
@@ -41,6 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    _small_batches(spark)
     return queries.bpe_digests(docs)
 
 
