@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import guards, vectors
 from .functions import text as T
-from .operators import answers, chunking, cleaning, dedup, evaluation, graph, memory, metrics, retrieval, stores
+from .operators import answers, chunking, cleaning, dedup, evaluation, graph, memory, metrics, ocr, retrieval, stores
 from .plans import pipelines
 from .sources import files
 
@@ -259,6 +259,63 @@ def chunk_validation(spark: SparkSession, d: str) -> DataFrame:
     return chunking.validate(chunking.chunks(docs, "recursive"), docs)
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as recognised pages: ten words a line in two columns, twenty lines a page in two blocks."""
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(T.extract("text", "[!-~]+")).alias("i", "text"))
+    row, col, n = F.floor(F.col("i") % 200 / 10), F.col("i") % 10, F.char_length("text")
+    x0 = (col * 50 + F.when(col >= 5, 200).otherwise(0)).cast("double")
+    y0 = (row * 30 + F.when(row >= 10, 100).otherwise(0)).cast("double")
+    sure = F.when(n % 7 == 0, -1).otherwise(n * 13 % 101).cast("double")
+    return words.select("doc_id", F.floor(F.col("i") / 200).cast("int").alias("page"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 20).alias("y1"), sure.alias("confidence"))
+
+
+_OCR = """w as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 i from (select doc_id, regexp_extract_all(text, '[!-~]+') w from documents)),
+words as (select doc_id, (i // 200)::int page, (i % 10 * 50 + case when i % 10 >= 5 then 200 else 0 end)::double x0,
+  ((i % 200) // 10 * 30 + case when (i % 200) // 10 >= 10 then 100 else 0 end)::double y0, (case when length(word) % 7 = 0 then -1 else length(word) * 13 % 101 end)::double confidence from w),
+placed as (select *, (dense_rank() over (partition by doc_id, page order by y0) - 1)::int line from words where confidence >= 0),
+gaps as (select *, case when x0 - lag(x0) over (partition by doc_id, page, line order by x0) - 40 > 30 then 1 else 0 end wide from placed),
+cells as (select doc_id, page, line, any_value(y0) y0, count(*)::bigint words, (1 + sum(wide))::bigint cells from gaps group by doc_id, page, line)"""
+
+
+@query(f"with {_OCR} select doc_id, page, line, words, cells from cells")
+def ocr_cells(spark: SparkSession, d: str) -> DataFrame:
+    lined = ocr.lines(_words(spark, d))
+    counts = lined.groupBy("doc_id", "page", "line").agg(F.count(F.lit(1)).alias("words"))
+    return ocr.cells(lined).groupBy("doc_id", "page", "line").agg(F.count(F.lit(1)).alias("cells")).join(counts, ["doc_id", "page", "line"])
+
+
+@query(f"""with {_OCR}, far as (select *, case when y0 - lag(y0) over (partition by doc_id, page order by line) - 20 > 36 then 1 else 0 end far from cells),
+numbered as (select *, sum(far) over (partition by doc_id, page order by line) block from far)
+select doc_id, page, block::bigint block, case when count(*) >= 2 and count(*) filter (where cells >= 2) / count(*) >= 0.6 then 'table' else 'paragraph' end kind from numbered group by doc_id, page, block""")
+def ocr_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.blocks(ocr.lines(_words(spark, d))).select("doc_id", "page", F.col("block").cast("long").alias("block"), "kind")
+
+
+@query(f"with {_OCR} select doc_id, round(avg(confidence), 1) confidence, round(avg(confidence), 1) < 60 low from placed group by doc_id")
+def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.confidence(_words(spark, d))
+
+
+@query("""with h as (select l_suppkey image_id, l_quantity::int lvl, count(*) n from lineitem group by all),
+r as (select *, sum(n) over a dark, sum(n) over w total, sum(lvl * n) over a dark_mass, sum(lvl * n) over w mass from h window a as (partition by image_id order by lvl), w as (partition by image_id)),
+s as (select image_id, lvl, coalesce(dark::double * (total - dark) * power(dark_mass / dark - (mass - dark_mass) / nullif(total - dark, 0), 2), 0) v from r)
+select image_id, arg_max(lvl, {'v': round(v, 3), 'l': -lvl})::int threshold from s group by image_id""")
+def otsu_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as images, quantities as grey levels."""
+    histogram = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image_id"), F.col("l_quantity").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return ocr.otsu(histogram)
+
+
+@query("""select o_orderkey, 'INV-' || o_orderkey invoice, strftime(o_orderdate::date, '%Y-%m-%d') "date", printf('%.2f', (o_orderkey % 1000 + 1)::double) total from orders""")
+def receipt_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as receipts with a subtotal before the total."""
+    money = lambda c: F.format_string("%.2f", c.cast("double"))
+    whole = F.col("o_orderkey") % 1000 + 1
+    text = F.concat(F.lit("Invoice No: INV-"), F.col("o_orderkey"), F.lit("\nDate "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\nTotal: $ "), money(whole - 0.5), F.lit("\nTax 5% 0.50\nGrand Total | "), money(whole))
+    rows = table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+    return rows.select("o_orderkey", ocr.receipt_field(F.col("text"), "invoice_number").alias("invoice"), ocr.receipt_field(F.col("text"), "date").alias("date"), ocr.receipt_field(F.col("text"), "total").alias("total"))
+
+
 def _uploads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("document_key"), F.col("o_orderpriority").alias("sha256"), F.col("o_orderkey").alias("seq"))
 
