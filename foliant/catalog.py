@@ -231,6 +231,25 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return files.html_elements(table(spark, d, "pages")).select("doc_id", "elem_idx", "type", "text", "level")
 
 
+@query("""select s_nationkey, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::int line, 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name "text" from supplier""")
+def csv_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV file for each nation's suppliers, read as elements."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda r: F.concat_ws(",", r["s_suppkey"].cast("string"), r["s_name"])), "\n")
+    made = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("s_suppkey,s_name\n"), line).cast("binary").alias("content"))
+    read = files.explode_elements(made.select("s_nationkey", files.elements_of(F.col("content"), F.lit(".csv"))["elements"].alias("elements")), "s_nationkey")
+    return read.where("type = 'row'").select("s_nationkey", F.col("position").alias("line"), "text")
+
+
+@query("""select c_custkey doc_id, 0 elem_idx, 'heading' "type", c_name "text", 2 lvl from customer union all select c_custkey, 1, 'paragraph', 'Segment ' || c_mktsegment || ' & more', 0 from customer
+union all select c_custkey, 2, 'list_item', 'nation ' || c_nationkey, 0 from customer union all select c_custkey, 3, 'table', 'key | ' || c_custkey, 0 from customer""")
+def html_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each customer, read as elements; navigation and scripts are left out."""
+    parts = ["<html><head><title>t</title><script>var x;</script></head><body><nav>Home</nav><h2>", "c_name", "</h2>\n<p>Segment <b>", "c_mktsegment", "</b> &amp;\nmore</p><ul><li>nation ", "c_nationkey", "</li></ul><table><tr><td>key</td><td>", "c_custkey", "</td></tr></table></body>"]
+    html = F.concat(*[F.col(x).cast("string") if x.startswith("c_") else F.lit(x) for x in parts])
+    made = files.html_elements(table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
+    return made.select("doc_id", "elem_idx", "type", "text", F.coalesce("level", F.lit(0)).alias("lvl"))
+
+
 @query("""select c_custkey, 'c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment || ' | c_nationkey: ' || c_nationkey::varchar "text" from customer""")
 def row_render(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", files.row_text("c_name", "c_mktsegment", "c_nationkey").alias("text"))
