@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SLOTS = 32
+#: Signatures of one band that are compared in one task; a band with more is dealt over several.
+BUCKET = 1024
 _SEEDS = np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,8 +81,11 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id",
     width = SLOTS // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * width + 1, width)) for i in range(bands)])
     banded = classes.select(F.col("least").alias("id"), "sig", F.explode(keys).alias("band"))
-    other = banded.select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), "band")
-    pairs = banded.join(other, "band").where("id < other").withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
+    shared = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "parts")
+    banded = banded.join(shared, "band")
+    other = banded.select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("bucket"))
+    probe = banded.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = probe.join(other, ["band", "bucket"]).where("id < other").withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
     near = pairs.where(F.col("similarity") >= threshold).select(F.col("id").alias("first_id"), F.col("other").alias("second_id"), "similarity").distinct()
     return near.unionByName(same)
 
