@@ -74,6 +74,7 @@ def render(template: str, **values: Column) -> Column:
     return F.concat(*[x for literal, name in parts for x in ((F.lit(literal),) if not name else (F.lit(literal), F.coalesce(values[name].cast("string"), F.lit(""))))])
 
 
+#: The texts around prompts and extractive answers; groundedness knows their words as stop words.
 ANSWER_PROMPT = "Sources:\n\n{context}\n\n{graph_context}\n\nQuestion: {question}\n\nAnswer with citations:"
 NO_COVER = "The indexed documents don't appear to cover this question."
 LEAD = "**Most relevant passages** (extractive mode — configure an LLM API key for synthesized answers):\n\n"
