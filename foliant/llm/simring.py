@@ -2,10 +2,10 @@
 
 Sets: the distinct shingles of a text (words and hashes as in ``simhash``).  Two
 texts link if their fingerprints of ``WORDS`` times 64 bits differ in no more bits
-than sets of similarity ``least`` do with 95 % probability: the share of differing
-bits is the angle between the sets over pi.  At 1,024 bits and a similarity of
-0.8 that is 174 bits; sets of similarity 0.75 pass in two cases of five, of 0.7 in
-one of a hundred, and unlike texts never.
+than sets of similarity ``least`` are expected to, and ``SLACK`` standard deviations:
+the share of differing bits is the angle between the sets over pi.  At 1,024 bits and
+a similarity of 0.8 that is 164 bits: sets of similarity 0.85 pass in 99 cases of a
+hundred, of 0.8 in 79, of 0.75 in 16, of 0.7 in one, and unlike texts never.
 
 Ring: the shingles are dealt by a hash into parts of two to five; the first
 ``RING`` parts are the segments of a ring, each with its own 64-bit SimHash.  A
@@ -47,7 +47,7 @@ from .staging import staged
 WORDS, RING, ROUNDS, BUCKET = 16, 16, 3, 1024
 NAMES = [f"w{i}" for i in range(WORDS)]
 #: Standard deviations that the budgets of fingerprint and first word allow above the expectation.
-SLACK, FIRST_SLACK = 1.65, 3.0
+SLACK, FIRST_SLACK = 0.8, 3.0
 #: Shingles whose long fingerprint is summed at once.
 ROWS = 4096
 
