@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .retrieval import metadata_filter
 
 
@@ -49,6 +50,11 @@ def supersede(index: DataFrame, fresh: DataFrame, source: str = "source") -> tup
     return index.join(sources, source, "left_anti").unionByName(fresh), flags
 
 
+def save(table: DataFrame, path: str) -> None:
+    """Replace the table at ``path``, also by what was read from there; until the last step the old one stays."""
+    staged(table, "save").write.mode("overwrite").parquet(path)
+
+
 def lookup(table: DataFrame, key: str, value) -> DataFrame:
     """The rows of one key; none if it is missing or null."""
     return table.where(F.col(key) == F.lit(value))

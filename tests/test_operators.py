@@ -320,3 +320,56 @@ def test_vector_queries_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     monkeypatch.setattr(retrieval, "MAX_QUERIES", 20, raising=False)
     assert len(whole) == 120 and found() == whole
+
+
+def test_a_table_is_replaced_by_what_was_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    stores.save(spark.range(3).withColumn("version", F.lit(1)), path)
+    old = spark.read.parquet(path)
+    stores.save(old.withColumn("version", F.col("version") + 1), path)
+    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").collect()] == [(0, 2), (1, 2), (2, 2)]
+
+
+def test_spans_scopes_deletes_and_relations(spark):
+    marks = [(1, 1, 0.0, "root", True), (1, 2, 1.0, "a", True), (1, 3, 2.0, "b", True), (1, 4, 2.5, "b", False), (1, 5, 4.0, "a", False), (1, 6, 5.0, "c", True), (1, 7, 6.0, "c", False), (1, 8, 9.0, "root", False)]
+    spans = metrics.span_tree(spark.createDataFrame(marks, "trace_id long, seq int, ts double, name string, opens boolean"))
+    assert sorted((r.name, r.parent, r.ms, r.depth) for r in spans.collect()) == [("a", "root", 3.0, 2), ("b", "a", 0.5, 3), ("c", "root", 1.0, 2), ("root", None, 9.0, 1)]
+    facts = spark.createDataFrame([("user", 1, "x", 1)], "scope string, scope_id long, content string, fact_id long")
+    assert memory.append_facts(facts, facts.withColumn("scope", F.lit("project"))).count() == 2
+    with pytest.raises(Exception, match="scope must be one of"):
+        memory.append_facts(facts, facts.withColumn("scope", F.lit("planet"))).collect()
+    assert memory.forget(facts, facts).count() == 0
+    mentions = spark.createDataFrame([(1, "p:a", "person", "A", 0), (2, "p:a", "person", "A", 0), (2, "p:b", "person", "B", 5)], "source long, key string, type string, name string, place int")
+    edges = graph.document_edges(mentions)[1]
+    gone = spark.createDataFrame([(1,)], "source long")
+    left, edges_left = graph.delete_by_source(mentions, edges, gone)
+    assert sorted((r.key, r.mentions) for r in left.collect()) == [("p:a", 1), ("p:b", 1)] and edges_left.count() == 2
+    assert [r.key for r in graph.delete_by_source(mentions, edges, gone, compat=True)[0].collect()] == ["p:b"]
+    seeds = spark.createDataFrame([(7, "p:a")], "query_id long, key string")
+    vertices = graph.entities(mentions)
+    typed = spark.createDataFrame([("p:a", "p:b", "REPORTS_TO", "e", 2)], "source_key string, target_key string, type string, evidence string, source_document long")
+    (found,) = graph.graph_relations(seeds, vertices, typed).collect()
+    assert found.related == ["B"] and [tuple(r) for r in found.relations] == [("p:a", "REPORTS_TO", "p:b")]
+
+
+def test_prompts_reach_a_model(spark):
+    from foliant.plans import pipelines
+
+    docs = spark.createDataFrame([(1, "The leave policy grants twenty days of vacation every year.", "hr")], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(5, "How many vacation days does the leave policy grant?")], "query_id long, text string")
+    (row,) = pipelines.ask(asked, docs, model=lambda prompt: F.concat(F.lit("Twenty [1]. "), F.substring(prompt, 1, 8))).collect()
+    assert row.masked.startswith("Twenty [1]. Sources:")
+
+
+def test_documents_are_indexed_in_one_step(spark):
+    from foliant.plans import pipelines
+
+    text = "Employees receive twenty days of paid leave in each calendar year, and unused days lapse in spring. " * 3
+    rows = [(d, i, "paragraph", f"{text} Part {i} of {d}.", None, None) for d in (1, 2) for i in range(2)]
+    elements_ = spark.createDataFrame(rows, "doc_id long, elem_idx int, type string, text string, position int, level int")
+    empty = pipelines.embed_chunks(pipelines.clean_and_chunk(elements_)[0]).where("false")
+    index, report, flags = pipelines.index_documents(elements_, empty)
+    assert report.where("ok").count() == 2 and {r.superseded_previous for r in flags.collect()} == {False}
+    kept = spark.createDataFrame(index.collect(), index.schema)
+    again, _, flags = pipelines.index_documents(elements_.where("doc_id = 1"), kept)
+    assert again.count() == kept.count() and [(r.doc_id, r.superseded_previous) for r in flags.collect()] == [(1, True)]
