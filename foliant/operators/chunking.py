@@ -29,9 +29,14 @@ def window_count(n: Column, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> C
     return F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / (size - overlap)) + 1).cast("int")
 
 
-def token_windows(text: str, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[str]:
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Where the default tokenizer's tokens begin and end."""
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def token_windows(text: str, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer=token_spans) -> list[str]:
     """Sliding windows over a text's tokens, cut from the text itself."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    spans = tokenizer(text)
     if len(spans) <= size:
         return [text.strip()] if spans else []
     starts = range(0, len(spans) - overlap, size - overlap)
@@ -191,23 +196,28 @@ def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MI
     return made.withColumns(merged).select(*[f.split()[0] for f in CHUNK.split(", ")])
 
 
-def _split_chunks(docs: DataFrame, cut) -> DataFrame:
+def _split_chunks(docs: DataFrame, cut, tokenizer=token_spans) -> DataFrame:
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: cut(t) if t else [])
 
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(tokenizer(t)))
+
     rows = docs.select("doc_id", F.posexplode(split("text")).alias("chunk_index", "text"))
-    return rows.withColumns({"token_count": T.token_count("text"), "keep_whole": F.lit(False)})
+    return rows.withColumns({"token_count": T.token_count("text") if tokenizer is token_spans else counted("text"), "keep_whole": F.lit(False)})
 
 
 def recursive_chunks(docs: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     return _split_chunks(docs, lambda t: recursive_split(t, size))
 
 
-def token_chunks(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+def token_chunks(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer=token_spans) -> DataFrame:
+    """Windows of ``size`` tokens; ``tokenizer`` gives a text's token spans."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
-    return _split_chunks(docs, lambda t: token_windows(t, size, overlap))
+    return _split_chunks(docs, lambda t: token_windows(t, size, overlap, tokenizer), tokenizer)
 
 
 def chunks(docs_or_elements: DataFrame, strategy: str = "semantic", **options) -> DataFrame:

@@ -373,3 +373,13 @@ def test_documents_are_indexed_in_one_step(spark):
     kept = spark.createDataFrame(index.collect(), index.schema)
     again, _, flags = pipelines.index_documents(elements_.where("doc_id = 1"), kept)
     assert again.count() == kept.count() and [(r.doc_id, r.superseded_previous) for r in flags.collect()] == [(1, True)]
+
+
+def test_windows_of_another_tokenizer(spark):
+    def letters(text):
+        return [(i, i + 1) for i in range(len(text))]
+
+    docs = spark.createDataFrame([(1, "abcdefghij")], "doc_id long, text string")
+    got = sorted((r.chunk_index, r.text, r.token_count) for r in chunking.token_chunks(docs, 4, 1, letters).collect())
+    assert got == [(0, "abcd", 4), (1, "defg", 4), (2, "ghij", 4)]
+    assert chunking.token_chunks(docs, 4, 1).collect()[0].token_count == 1
