@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, gbdt, kdshard, mixing, toxicity
+from . import audit, fertility, gbdt, kdshard, mixing, spelling, toxicity, warc
 from .bpe import BpeColumns
 from .simhash import near_duplicates
 from .staging import staged
@@ -127,6 +127,18 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("doc_id", "m.*", bands.kept(F.col("m"), F.col("lang")).alias("kept"))
 
 
+def op11_spelling_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(_table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_tiff_pages": op1_tiff_pages,
@@ -139,8 +151,11 @@ def queries() -> dict[str, Query]:
         "op8_simhash_pigeonring": op8_simhash_pigeonring,
         "op9_quality_gbdt": op9_quality_gbdt,
         "op10_tokeniser_fertility": op10_tokeniser_fertility,
+        "op11_spelling_parity": op11_spelling_parity,
+        "op12_warc_revisits": op12_warc_revisits,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_low_discrepancy": mixing.ORACLE_SQL}
+    return {"op2_mix_low_discrepancy": mixing.ORACLE_SQL, "op12_warc_revisits": warc.ORACLE_SQL, "op13_filter_audit": audit.ORACLE_SQL}

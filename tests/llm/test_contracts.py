@@ -35,7 +35,7 @@ def run(spark, n):
 
 
 def test_all_are_registered():
-    assert sorted(NAMES) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(NAMES) == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_op1(spark, docs):
@@ -197,3 +197,23 @@ def test_op10(spark, docs):
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
         assert (r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(lines) - len(set(lines)), len(covered), failed)
         assert not (failed and r.kept)
+
+
+def test_op11(spark, docs):
+    from .test_variants_archives_audit import as_found, brute_groups
+
+    assert as_found(run(spark, 11)) == brute_groups(docs.items())
+
+
+def test_op12(spark):
+    from .test_variants_archives_audit import expected_pages
+
+    assert {r.page_id: tuple(r)[1:] for r in run(spark, 12)} == expected_pages([(p.page_id, p.html) for p in table("pages").itertuples()])
+
+
+def test_op13(spark):
+    from .test_variants_archives_audit import brute_audit
+
+    rows = [(d.doc_id, d.text, d.source) for d in table("documents").itertuples()]
+    labels = [(x.doc_id, x.quality, x.toxic) for x in table("labels").itertuples()]
+    assert Counter(map(tuple, run(spark, 13))) == brute_audit(rows, labels)
