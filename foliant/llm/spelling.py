@@ -5,13 +5,15 @@ counted over whole texts.  ``runs`` counts within tasks first, so a frequent wor
 a row or few per task when it is shuffled.
 
 Near words: a word's mask has a bit for each letter that occurs an odd number of times,
-in three bands of bits (a letter's code point modulo 3 names its band).  An insertion
-or deletion flips one bit, a replacement two, so of two near words at least one band
-is equal.  Rows with an equal band and length (replacements) or with an equal band and
-lengths that differ by one (insertions, of which two bands are equal: the join key has
-both) meet in a join; the join's condition counts the flipped bits of all three bands
-and then verifies the edit, so only true pairs leave it.  Keys with more than ``BUCKET``
-words are dealt over buckets: one side once, the other to each bucket.
+in three bands of 21 bits (a letter's code point modulo 3 names its band).  A
+replacement flips two bits or none, so a band at least is equal: words of one length
+with an equal band meet.  An insertion or deletion flips one bit, so two bands are
+equal: words with two equal bands and lengths that differ by one meet.  Rows are brought
+together by band and length and sorted; in each group arrays of masks are compared, pairs with at
+most two flipped bits are verified letter by letter, and only true pairs leave.  A
+pair is given by its first equal band, so it appears once.  Groups with more than
+``BUCKET`` words are dealt over buckets: a word lies in one of them and is compared in
+each, in blocks, so a task holds one bucket and one block.
 
 Forms: a word's form is its near word of largest count, if that is at least ``LEAD``
 times its own; roots are found by doubling the steps along forms, whose counts grow
@@ -29,17 +31,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import LongType
 
 from .staging import staged
 
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: Different words that a task counts before it passes the counts on; words in a bucket of a join key.
 HELD, BUCKET = 200_000, 2048
+#: Bits of a band; pairs of masks, or letters of pairs, that are compared at once.
+BAND, CELLS = 21, 1 << 20
 #: How often a form must be as frequent as the word that it leads.
 LEAD = 2
 
@@ -80,46 +85,102 @@ def runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", one_in: in
     return said.mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def parity_bands(words: pd.Series) -> pd.Series:
-    """Three bands of a word's letter parities; the letter of code point c is bit c div 3 mod 31 of band c mod 3."""
-    def bands(word: str) -> list[int]:
-        out = [0, 0, 0]
+@F.pandas_udf(LongType())
+def parity_mask(words: pd.Series) -> pd.Series:
+    """A word's letter parities: code point c is bit c div 3 mod 21 of band c mod 3."""
+    bit = [1 << (BAND * (c % 3) + c // 3 % BAND) for c in range(256)]
+
+    def mask(word: str) -> int:
+        out = 0
         for c in word:
-            at = ord(c)
-            out[at % 3] ^= 1 << (at // 3 % 31)
+            out ^= bit[ord(c)]
         return out
 
-    return pd.Series([bands(w) for w in words])
+    return pd.Series([mask(w) for w in words], dtype="int64")
+
+
+def _letters(words: list[str], length: int) -> np.ndarray:
+    """A row of code points for each word of this length."""
+    return np.array(words, f"<U{length}").view(np.uint32).reshape(len(words), length)
 
 
-def _flips(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(3)), F.lit(0))
+def replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of letters differ in exactly one place."""
+    return (a != b).sum(axis=1) == 1
 
 
-def _met(left: DataFrame, right: DataFrame, both_orders: bool) -> DataFrame:
-    """(a, b) with equal keys that are one edit apart; the right side is bucketed, the left one goes to every bucket."""
-    sizes = right.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"))
-    probe = left.join(sizes, "key").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    index = right.join(sizes, "key").withColumn("bucket", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")).drop("parts")
-    meets = (_flips("x", "y") <= (2 if both_orders else 1)) & (F.levenshtein(F.col("x.word"), F.col("y.word"), 1) == 1)
-    if both_orders:
-        meets = (F.col("x.word") < F.col("y.word")) & meets
-    return probe.alias("x").join(index.alias("y"), ["key", "bucket"]).where(meets).select(F.col("x.word").alias("a"), F.col("y.word").alias("b"))
+def inserted(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which rows of ``long`` are those of ``short`` with one letter more."""
+    n = short.shape[1]
+    never = np.zeros((len(short), 1), bool)
+    before = np.argmin(np.hstack([short == long[:, :n], never]), axis=1)
+    after = np.argmin(np.hstack([(short == long[:, 1:])[:, ::-1], never]), axis=1)
+    return before + after >= n
+
+
+def _near_pairs(place: tuple, index: dict, probe: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of index, rows of probe) that are one edit apart, of one group."""
+    (_, longer, band, size), own, other = place, index["mask"], probe["mask"]
+    own_letters = _letters(index["word"], size)
+    step = max(1, CELLS // len(own))
+    for at in range(0, len(other), step):
+        flips = own[:, None] ^ other[None, at : at + step]
+        meets = np.bitwise_count(flips) <= (1 if longer else 2)
+        if not longer and band:  # bands before this one differ: the pair isn't met there
+            for k in range(band):
+                meets &= (flips >> np.int64(BAND * k)) & np.int64((1 << BAND) - 1) != 0
+        i, j = np.nonzero(meets)
+        for first in range(0, len(i), many := max(1, CELLS // size)):
+            x, y = i[first : first + many], j[first : first + many] + at
+            there = np.unique(y)
+            letters = _letters([probe["word"][k] for k in there.tolist()], size + longer)[np.searchsorted(there, y)]
+            held = (inserted if longer else replaced)(own_letters[x], letters)
+            if not longer:
+                held &= probe["rank"][y] > index["rank"][x]
+            if held.any():
+                yield x[held], y[held]
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, b), once per pair: the words that one insertion, deletion or replacement of a letter tells apart."""
-    rows = words.select("word", F.char_length("word").alias("len"), parity_bands("word").alias("m"))
-    rows = staged(rows.select("word", "len", *[F.col("m")[i].alias(f"b{i}") for i in range(3)]), "bands")
-    columns = ["word", "b0", "b1", "b2"]
-    one = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"b{i}").alias("value"), "len") for i in range(3)]))
-    single = rows.select(*columns, one.alias("key"))
-    two = [F.struct(F.lit(i).alias("band"), F.col(f"b{(i + 1) % 3}").alias("one"), F.col(f"b{(i + 2) % 3}").alias("other"), "size") for i in range(3)]
-    double = lambda size: rows.withColumn("size", size).select(*columns, F.explode(F.array(*two)).alias("key"))
-    replaced = _met(single, single, both_orders=True)
-    inserted = _met(double(F.col("len")), double(F.col("len") - 1), both_orders=False)
-    return replaced.unionByName(inserted).distinct()
+    """(word, other, other_n), both ways: the words that one insertion, deletion or replacement of a letter tells apart."""
+    rows = staged(words.select("word", "n", F.char_length("word").alias("len"), parity_mask("word").alias("mask"), F.xxhash64("word").alias("rank")), "masks")
+    value = lambda k: F.shiftright("mask", BAND * k).bitwiseAND(F.lit((1 << BAND) - 1))
+    one = lambda side: [F.struct(F.lit(0).alias("longer"), F.lit(k).alias("band"), value(k).alias("value"), F.col("len").alias("size"), F.lit(side).alias("side")) for k in range(3)]
+    two = lambda side: [F.struct(F.lit(1).alias("longer"), F.lit(k).alias("band"), F.shiftleft(value((k + 1) % 3), BAND).bitwiseOR(value((k + 2) % 3)).alias("value"), (F.col("len") - side).alias("size"), F.lit(side).alias("side")) for k in range(3)]
+    fields, place = ["word", "n", "mask", "rank"], ["value", "longer", "band", "size"]
+    index = rows.select(*fields, F.explode(F.array(*one(0), *two(0))).alias("k")).select(*fields, "k.*")
+    probe = rows.select(*fields, F.explode(F.array(*one(1), *two(1))).alias("k")).select(*fields, "k.*")
+    parts = staged(index.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")), "parts")
+    many = parts.where("parts > 1")
+    index = index.join(many, place, "left").withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("word", F.lit(1)), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    probe = probe.join(many, place, "left").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    met = index.unionByName(probe).repartition(*place, "bucket").sortWithinPartitions(*place, "bucket", "side")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index = None, None
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "mask", "rank", *place, "bucket", "side")}
+            words = batch.column("word").to_pylist()
+            marks = np.stack([columns[c].astype(np.int64) for c in (*place, "bucket", "side")])
+            cuts = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [len(words)])) if words else [0]
+            found: list[list] = [[], [], []]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                *group, side = marks[:, a].tolist()
+                part = {"word": words[a:b], **{c: columns[c][a:b] for c in ("n", "mask", "rank")}}
+                if not side:
+                    if group == now:
+                        index = {"word": index["word"] + part["word"], **{c: np.concatenate([index[c], part[c]]) for c in ("n", "mask", "rank")}}
+                    else:
+                        now, index = group, part
+                elif group == now:
+                    for x, y in _near_pairs(tuple(group[:4]), index, part):
+                        xs, ys = [index["word"][i] for i in x.tolist()], [part["word"][i] for i in y.tolist()]
+                        for out, more in zip(found, (xs + ys, ys + xs, [part["n"][y], index["n"][x]]), strict=True):
+                            out.extend(more)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(np.concatenate(found[2]))], names=["word", "other", "other_n"])
+
+    return met.mapInArrow(compared, "word string, other string, other_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -136,10 +197,7 @@ def roots(forms: DataFrame) -> DataFrame:
 def spelling_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_length: int = 5, least_count: int = 3, one_in: int = 97) -> DataFrame:
     """One row per word: word, n, n_near, form, form_n, root."""
     words = staged(runs(docs, doc_id, text, one_in, least_length).where(F.col("n") >= least_count), "words")
-    pairs = near_words(words)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("bn")), "b")
-    best = counted.groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("bn")).alias("less"), F.col("b").alias("form"))).alias("best"))
+    best = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best"))
     leads = -F.col("best.less") >= LEAD * F.col("n")
     found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(leads, F.col("best.form")).alias("form"), F.when(leads, -F.col("best.less")).alias("form_n"))
     found = staged(found, "forms")
