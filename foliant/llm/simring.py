@@ -1,37 +1,42 @@
-"""Near-duplicate documents by long SimHash fingerprints, candidates from a ring of segments.
+"""Near-duplicate documents: candidates by SimHash rings, links by the exact similarity.
 
 Sets: the distinct shingles of a text (words and hashes as in ``simhash``).  Two
-texts link if their fingerprints of ``WORDS`` times 64 bits differ in no more bits
-than sets of similarity ``least`` are expected to, and ``SLACK`` standard deviations:
-the share of differing bits is the angle between the sets over pi.  At 1,024 bits and
-a similarity of 0.8 that is 164 bits: sets of similarity 0.85 pass in 99 cases of a
-hundred, of 0.8 in 79, of 0.75 in 16, of 0.7 in one, and unlike texts never.
+texts link if the Jaccard similarity of their sets, counted hash by hash, is
+``least`` or more.  What the exact count is made of are pairs that pass three cheaper tests.
 
 Ring: the shingles are dealt by a hash into parts of two to five; the first
 ``RING`` parts are the segments of a ring, each with its own 64-bit SimHash.  A
 candidate pair has a chain of consecutive segments within proportional budgets: an
 equal segment, and with the next one at most twice a segment's share of bits
 (in rings of eight segments or more).  The equal segment is the join key, the rest
-of the chain and 64 bits of the fingerprint are join conditions, and what passes
-goes to the full check.  Of pairs with similarity 0.8 fewer than one in a hundred
+of the chain and 64 bits of the fingerprint are join conditions.  Of pairs with similarity 0.8 fewer than one in a hundred
 share no segment, since a change of a fifth leaves most parts of the ring untouched
 in one place at least.  Sizes of similar sets differ by a quarter at most: a text
-near the border of two ring sizes enters both.
+near the border of two ring sizes enters both, and pairs of other sizes fall out.
+
+Fingerprint: ``WORDS`` times 64 bits, of which two sets may differ in as many as sets of
+similarity ``least`` are expected to, and ``SLACK`` standard deviations (the share
+of differing bits is the angle between the sets over pi).  At 1,024 bits and a
+similarity of 0.8 that is 177 bits: sets of similarity 0.8 pass in 97 cases of
+a hundred, of 0.76 in half of them.  So recall is that of an estimate, precision is exact.
 
 Keys that one text alone has are dropped first, so the rest of the work grows with
 the near copies.  ``ROUNDS`` rounds link every text to one hub of each of its keys,
 a new one each time; what is then still apart is compared within each key, in
 buckets of ``BUCKET`` texts, so that a key with very many texts is spread over tasks.
-The full check is part of that join: it emits links between groups, not candidates.
+Texts themselves are fetched once for the candidates, by their digest, and travel
+to the exact count with the pairs that passed all else.
 
 Defined results: null and empty texts have the empty set and are one another's
-copies; rows with a null id are dropped from the groups' names, never from
-``one_of_each``; repeated rows are copies; other columns are neither read nor needed.
+copies; rows, not ids, are judged: rows that share an id and differ in text are
+different documents; a null id sorts after all others; repeated rows are copies;
+other columns are neither read nor needed.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +52,14 @@ from .staging import staged
 WORDS, RING, ROUNDS, BUCKET = 16, 16, 3, 1024
 NAMES = [f"w{i}" for i in range(WORDS)]
 #: Standard deviations that the budgets of fingerprint and first word allow above the expectation.
-SLACK, FIRST_SLACK = 0.8, 3.0
+SLACK, FIRST_SLACK = 1.9, 3.0
+#: Pairs at one text that a task of the exact count takes, about; bytes of hashed texts that such a task keeps.
+HUB_PAIRS, KEPT_BYTES = 1024, 16 << 20
 #: Shingles whose long fingerprint is summed at once.
 ROWS = 4096
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MADE = "digest binary, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", keys array<bigint>, nexts array<bigint>"
+_MADE = "digest binary, size bigint, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", keys array<bigint>, nexts array<bigint>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -114,10 +121,9 @@ def ring_columns(text: Column | str, shingle_words: int = 5, least: float = 0.8)
         for texts in batches:
             rows = []
             for t in texts:
-                hashes = list(shingle_hashes(t, shingle_words))
-                own = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+                own = shingle_set(t, shingle_words)
                 keys, nexts = ring_keys(own, least)
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), *long_fingerprint(own).view(np.int64).tolist(), keys.view(np.int64), nexts.view(np.int64)))
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), *long_fingerprint(own).view(np.int64).tolist(), keys.view(np.int64), nexts.view(np.int64)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _MADE.split(", ")])
 
     return made(text)
@@ -139,13 +145,14 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def _chained(a: str, b: str, least: float) -> Column:
-    """Whether rows that share a key may link: the next segment and the first word are within their budgets."""
+    """Whether rows that share a key may link: sizes, the next segment and the first word are within their budgets."""
+    sizes = F.least(f"{a}.size", f"{b}.size") >= F.lit(least) * F.greatest(f"{a}.size", f"{b}.size")
     after = (F.col(f"{a}.next") == 0) | (F.col(f"{b}.next") == 0) | (_differ(F.col(f"{a}.next"), F.col(f"{b}.next")) <= 2 * budget(least, 64, 1.0))
-    return after & (_differ(F.col(f"{a}.w0"), F.col(f"{b}.w0")) <= budget(least, 64, FIRST_SLACK))
+    return sizes & after & (_differ(F.col(f"{a}.w0"), F.col(f"{b}.w0")) <= budget(least, 64, FIRST_SLACK))
 
 
 def _near(a: str, b: str, least: float) -> Column:
-    """The full check: whether the fingerprints are within the budget."""
+    """Whether the fingerprints are within the budget."""
     return sum((_differ(F.col(f"{a}.{n}"), F.col(f"{b}.{n}")) for n in NAMES[1:]), _differ(F.col(f"{a}.w0"), F.col(f"{b}.w0"))) <= budget(least, 64 * WORDS, SLACK)
 
 
@@ -155,6 +162,53 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.where(_near("x", "y", least)).select("a", "b")
 
 
+def shingle_set(text: str | None, shingle_words: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    hashes = list(shingle_hashes(text, shingle_words))
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+
+
+def similarity(own: np.ndarray, other: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 for two empty ones."""
+    met = len(np.intersect1d(own, other, assume_unique=True))
+    every = len(own) + len(other) - met
+    return met / every if every else 1.0
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are at least so similar; ``texts`` has id and text.
+
+    Texts join the pairs on either side; the pairs of a text that very many have are dealt over tasks.
+    """
+
+    @F.pandas_udf("double")
+    def similar(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
+        held = 0
+
+        def hashed(key: bytes, text: str) -> np.ndarray:
+            nonlocal held
+            own = kept.pop(key, None)
+            if own is None:
+                own = shingle_set(text, shingle_words)
+                held += own.nbytes
+            kept[key] = own
+            while held > KEPT_BYTES and len(kept) > 2:
+                held -= kept.popitem(last=False)[1].nbytes
+            return own
+
+        for a, text_a, b, text_b in batches:
+            yield pd.Series([similarity(hashed(bytes(i), s), hashed(bytes(j), t)) for i, s, j, t in zip(a, text_a, b, text_b, strict=True)], dtype="float64")
+
+    pairs = staged(pairs, "pairs")
+    most = pairs.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+    salts = -(-most // HUB_PAIRS) or 1
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    hubs = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("b"), F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    both = dealt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(hubs, ["b", "salt"])
+    return both.where(similar("a", "ta", "b", "tb") >= least).select("a", "b")
+
+
 def _with_groups(met: DataFrame, groups: DataFrame | None) -> DataFrame:
     """The key rows with their group, of the keys in which two groups meet; n counts a key's rows."""
     rows = met.withColumn("grp", F.col("id")) if groups is None else met.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
@@ -169,47 +223,95 @@ def _grown(links: DataFrame, groups: DataFrame | None) -> DataFrame:
     return components(links).withColumnRenamed("fp", "id")
 
 
-def linked_groups(nodes: DataFrame, least: float) -> DataFrame:
-    """(id, grp) for each node linked to another; ``nodes`` has id, the fingerprint's words, keys and nexts."""
-    keyed = nodes.select("id", "w0", F.explode(F.arrays_zip("keys", "nexts")).alias("k")).select("id", "w0", F.col("k.keys").alias("key"), F.col("k.nexts").alias("next"))
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Key rows (id, w0, size, key, next) of the keys that two texts or more share, staged."""
+    keyed = nodes.select("id", "w0", "size", F.explode(F.arrays_zip("keys", "nexts")).alias("k")).select("id", "w0", "size", F.col("k.keys").alias("key"), F.col("k.nexts").alias("next"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = staged(keyed.join(shared, "key", "left_semi"), "met")
+    return staged(keyed.join(shared, "key", "left_semi"), "met")
+
+
+def linked_groups(nodes: DataFrame, texts_of, shingle_words: int, least: float) -> DataFrame:
+    """(id, grp) for each node linked to another.
+
+    ``nodes`` has id, size, the fingerprint's words, keys and nexts; ``texts_of`` gives (id, text) of a table of ids.
+    """
+    met = candidates(nodes)
+    texts = staged(texts_of(met.select("id").distinct()), "texts")
     groups = None
     for k in range(ROUNDS):
         rows = staged(_with_groups(met, groups), "apart")
-        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "w0", "next", "grp")).alias("hub")).select("key", "hub.*")
+        hubs = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "w0", "size", "next", "grp")).alias("hub")).select("key", "hub.*")
         meets = _chained("x", "hub", least) & (F.col("x.grp") != F.col("hub.grp"))
         pairs = rows.alias("x").join(hubs.alias("hub"), "key").where(meets).select(F.col("x.id").alias("a"), F.col("hub.id").alias("b")).distinct()
-        groups = staged(_grown(confirmed(pairs, nodes, least), groups), "groups")
+        groups = staged(_grown(exact_links(confirmed(pairs, nodes, least), texts, shingle_words, least), groups), "groups")
     left = _with_groups(met.drop("w0"), groups).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).join(nodes.select("id", *NAMES), "id")
     rows = staged(left, "apart")
     index = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     probe = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = _chained("x", "y", least) & (F.col("x.id") < F.col("y.id")) & (F.col("x.grp") != F.col("y.grp")) & _near("x", "y", least)
     links = probe.alias("x").join(index.alias("y"), ["key", "bucket"]).where(meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _grown(links, groups)
+    return _grown(exact_links(links, texts, shingle_words, least), groups)
+
+
+def _text_id(text: Column) -> Column:
+    """The digest by which a text is known; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def grouped_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per document: doc_id, text_id (a digest of its text), grp (the same for near copies); staged."""
+    said = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = said.select("doc_id", _text_id(F.col("text")).alias("text_id"), ring_columns(F.col("text"), shingle_words, least).alias("m"))
+    prints = staged(made.select("doc_id", "text_id", "m.*"), "rings")
+    # of equal sets one text stands for all, and one row for that text
+    classes = staged(prints.groupBy("digest").agg(F.min(F.struct("text_id", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("r")).select("digest", F.col("r.text_id").alias("id"), F.col("r.doc_id").alias("doc_id")), "classes")
+    stands = (F.col("p.text_id") == F.col("c.id")) & F.col("p.doc_id").eqNullSafe(F.col("c.doc_id"))
+    nodes = prints.alias("p").join(classes.alias("c"), stands, "left_semi").drop("doc_id", "digest").withColumnRenamed("text_id", "id")
+    nodes = staged(nodes.dropDuplicates(["id"]), "nodes")  # rows repeated in full: they agree in all columns
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "id", "left_semi").alias("c")
+        rows = said.withColumn("text_id", _text_id(F.col("text"))).alias("p")
+        return rows.join(wanted, stands, "left_semi").select(F.col("text_id").alias("id"), "text").dropDuplicates(["id"])
+
+    linked = linked_groups(nodes, texts_of, shingle_words, least)
+    found = classes.join(linked, "id", "left").select("digest", F.coalesce("grp", "id").alias("grp"))
+    return staged(prints.select("doc_id", "text_id", "digest").join(found, "digest").drop("digest"), "grouped")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, least: float = 0.8) -> DataFrame:
     """One row per document: doc_id and component_id, the least id of its group."""
-    made = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), ring_columns(F.col(text), shingle_words, least).alias("m"))
-    prints = staged(made.select("uid", "doc_id", "m.*"), "rings")
-    classes = staged(prints.groupBy("digest").agg(F.min("uid").alias("id"), F.min("doc_id").alias("least")), "classes")
-    nodes = staged(prints.withColumnRenamed("uid", "id").join(classes.select("id"), "id", "left_semi").drop("doc_id", "digest"), "nodes")
-    found = staged(classes.join(linked_groups(nodes, least), "id", "left").select("digest", "least", F.coalesce("grp", "id").alias("grp")), "classes")
-    named = found.groupBy("grp").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "digest").join(found.join(named, "grp").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    rows = grouped_rows(docs, doc_id, text, shingle_words, least)
+    return rows.join(rows.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "grp").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one of the least id.
+    """``docs`` with one row of each near-duplicate group: the one of the least id, then text, then other columns.
 
-    Rows that share an id are one document, kept once; rows with a null id stay.
+    Rows are judged, not ids: rows with one id and unlike texts all stay.
     """
-    found = staged(similar_documents(docs, shingle_words=shingle_words, least=least).where("doc_id is not null"), "duplicates")
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = staged(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
+    rows = grouped_rows(docs, shingle_words=shingle_words, least=least)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    kept = staged(rows.groupBy("grp").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n")).select("grp", "k.doc_id", "k.text_id", "n"), "kept")
+    chosen = rows.alias("r").join(kept.where("n > 1").alias("k"), "grp")
+    same = F.col("r.text_id").eqNullSafe(F.col("k.text_id")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
+    chosen = staged(chosen.select("r.doc_id", "r.text_id", same.alias("same")).groupBy("doc_id", "text_id").agg(F.first("same").alias("same"), F.count(F.lit(1)).alias("n")), "chosen")
+    # every row of a group but its kept one goes; of a kept row that is repeated in the table one stays
+    gone = chosen.where("not same").select("doc_id", "text_id")
+    left = _without(docs, gone)
+    again = chosen.where("same and n > 1").select("doc_id", "text_id")
+    if again.isEmpty():
         return left
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = left.withColumn("__text_id", _text_id(F.col("text"))).alias("x").join(again.alias("g"), _is_row("x.__text_id"), "left_semi")
+    one = whole.groupBy("doc_id", "__text_id").agg(F.min(F.struct(*[F.col(c).alias(n) for c, n in named.items()])).alias("__one"))
+    return _without(left, again).unionByName(one.select(*[F.col(f"__one.{n}").alias(c) for c, n in named.items()]))
+
+
+def _is_row(text_id: str) -> Column:
+    return F.col("x.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(text_id) == F.col("g.text_id"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids and texts."""
+    return docs.withColumn("__text_id", _text_id(F.col("text"))).alias("x").join(gone.alias("g"), _is_row("x.__text_id"), "left_anti").select(*[F.col(f"x.{c}") for c in docs.columns])
