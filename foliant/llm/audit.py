@@ -9,7 +9,8 @@ partition keeps, by fingerprint, a chain of the texts that have it: full text, l
 id so far and how many rows have that id.  A row whose id isn't the least of its text
 leaves at once as a copy.  The same chains are built before the shuffle (and emptied
 at ``CHAIN_BYTES``), so of a text with very many copies a row or few per input partition
-travel, and no task holds them all.
+travel, and no task holds them all.  A first count of the table's bytes sets
+the number of partitions, so that the chains of one stay within ``PARTITION_BYTES``, about.
 
 Counts: (part, mask) counts of rows, of good and of toxic ones are vectors that
 ``combineByKey`` merges, map side first; one vector per part is all that the
@@ -52,6 +53,8 @@ CHECKS: dict[str, Check] = {
 COPIES = "E"
 #: Bytes of texts that the chains before the shuffle hold at once.
 CHAIN_BYTES = 32 << 20
+#: Bytes of texts that a partition after the shuffle holds, about, were all of them different.
+PARTITION_BYTES = 32 << 20
 
 
 class _Chains:
@@ -119,7 +122,8 @@ def masks(docs: DataFrame, checks: dict[str, Check], doc_id: str = "doc_id", tex
             for name, n in parts.items():
                 yield id_, name, mask, n
 
-    dealt = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = max(-(-held // PARTITION_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapPartitions(routed).partitionBy(dealt, lambda print_: print_).mapPartitions(met)
 
 

@@ -12,7 +12,7 @@ from . import audit, fertility, gbdt, kdshard, mixing, spelling, toxicity, warc
 from .bpe import BpeColumns
 from .simhash import near_duplicates
 from .staging import staged
-from .tiff import TiffColumns
+from .tiff import TiffColumns, file_rows
 from .tokencount import token_count
 from .urlfilter import Rule, judge
 
@@ -36,7 +36,7 @@ def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.when(n == 0, F.rpad(data, 64, F.lit(b"\0"))).otherwise(F.rpad(data, (F.ceil(n / 64) * 64).cast("int"), F.lit(b"\0")))
     docs = _table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), padded.alias("payload"))
     files = docs.select("doc_id", "n_bytes", tiff.store("payload").alias("media"))
-    read = files.withColumn("pages", tiff.pages("media"))
+    read = file_rows(files)
     back = F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["samples"])), ""))
     one = lambda p: F.format_string("%d:%dx%d:%s:%s:%d:%.4f:%.4f", p["page"], p["width"], p["height"], p["compression"], p["layout"], p["predictor"], p["mean"], p["spread"])
     read = read.select("doc_id", "n_bytes", "media", back.alias("back"), F.array_join(F.transform("pages", one), ";").alias("feature"))

@@ -9,12 +9,17 @@ byte each.  Writing stores bytes as 8-bit grey pages for the same reader.
 
 Defined results: a null or empty file has no page; a page that breaks
 the format or is of another kind gives one row with ``error`` set and no samples, and
-the walk goes on; where the next directory's place can't be read, such a row ends it; a page whose samples exceed 2 GiB,
-the most that Spark's binary type holds, gives such a row too; repeated rows read alike; whole files are read; only the media column is needed.
+the walk goes on; where the next directory's place can't be read, such a row ends it; a page whose decoded samples
+exceed ``most_page_bytes`` (64 MiB unless given) gives such a row too, before anything of it is decoded; repeated rows
+read alike; whole files are read; only the media column is needed.
+
+Memory: a worker holds the file, one page's samples at most twice, and a block of numbers for mean and
+spread; rows leave in pieces of ``PIECE_BYTES`` of samples, or one page.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -22,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Fixed values of the format: compression codes.
 COMPRESSIONS = {1: "none", 5: "lzw", 8: "deflate", 32773: "packbits", 32946: "deflate"}
@@ -38,8 +44,10 @@ TAGS = {
 }
 
 PAGE_FIELDS = "page int, width int, height int, samples_per_pixel int, bits int, compression string, predictor int, layout string, samples binary, mean double, spread double, error string"
-#: What one binary value of Spark holds; a page beyond it can't be a row.
-MAX_PAGE_BYTES = (1 << 31) - 64
+_PAGE_TYPE = StructType([StructField(f.split()[0], {"int": IntegerType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType()}[f.split()[1]]) for f in PAGE_FIELDS.split(", ")])
+_PAGE = pa.struct([(f.split()[0], {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in PAGE_FIELDS.split(", ")])
+#: Decoded bytes of one page, unless given; samples that leave a worker at once; samples whose moments are summed at once.
+MOST_PAGE_BYTES, PIECE_BYTES, BLOCK = 64 << 20, 16 << 20, 1 << 18
 
 ROW = 64
 PAGE_ROWS = 1024
@@ -216,7 +224,16 @@ def _samples(raw: bytes, rows: int, across: int, each: int, bits: int, predictor
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
-def _page(data: bytes, tags: dict, order: str) -> dict:
+def _moments(values: np.ndarray, kind: np.dtype) -> tuple[float, float]:
+    """Mean and standard deviation of all samples, read as ``kind``, in blocks."""
+    flat = values.reshape(-1).view(kind)
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(flat), BLOCK)]
+    mean = sum(float(flat[b].sum(dtype=np.float64)) for b in blocks) / len(flat)
+    return mean, math.sqrt(sum(float(np.square(flat[b].astype(np.float64) - mean).sum()) for b in blocks) / len(flat))
+
+
+def _page(data: bytes, tags: dict, order: str, most_bytes: int) -> dict:
+    """A page's fields; ``samples`` is a view of its decoded bytes."""
     one = lambda name, default=None: tags[name][0] if tags.get(name) else default
     width, height, samples = one("width"), one("height"), one("samples", 1)
     bits, predictor, planar = one("bits", 1), one("predictor", 1), one("planar", 1)
@@ -225,8 +242,8 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
         raise ValueError("a size, compression, sample depth or predictor that is not supported")
     if predictor > 1 and bits < 8 * (predictor - 1):
         raise ValueError("a predictor that such samples don't have")
-    if width * height * samples * max(8, bits) // 8 > MAX_PAGE_BYTES:
-        raise ValueError("more samples than a binary value holds")
+    if width * height * samples * max(8, bits) // 8 > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes of samples")
     tiled = "tile_offsets" in tags
     if tiled:
         cw, ch, offsets, sizes = one("tile_width"), one("tile_height"), tags["tile_offsets"], tags["tile_sizes"]
@@ -237,7 +254,10 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
     if len(offsets) < across * down * planes or len(sizes) < len(offsets):
         raise ValueError("too few strips or tiles")
     wide = np.dtype(f"{'<' if order == '<' else '>'}u{max(8, bits) // 8}")
-    image = np.zeros((planes, height, width, each), wide.newbyteorder("<"))
+    if cw * ch * each * max(8, bits) // 8 > most_bytes:
+        raise ValueError(f"strips or tiles of more than {most_bytes} bytes")
+    whole = across * down * planes == 1 and (cw, ch) == (width, height)  # the only cell is the page itself
+    image = None if whole else np.zeros((planes, height, width, each), wide.newbyteorder("<"))
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         top, left = cell // across * ch, cell % across * cw
@@ -247,28 +267,31 @@ def _page(data: bytes, tags: dict, order: str) -> dict:
             stored = stored.translate(_REVERSED)
         raw = _decode(kind, stored, rows * -(-cw * each * bits // 8))
         chunk = _samples(raw, rows, cw, each, bits, predictor, wide)
+        if whole:
+            image = chunk.astype(wide.newbyteorder("<"), copy=False)[None]
+            break
         image[plane, top : top + rows, left : left + cw] = chunk[: height - top, : width - left]
-    image = np.moveaxis(image, 0, -1).reshape(height, width, samples) if planes > 1 else image[0]
+    image = np.ascontiguousarray(np.moveaxis(image, 0, -1).reshape(height, width, samples) if planes > 1 else image[0])
     floats = bits >= 16 and (predictor == 3 or one("sample_format", 1) == 3)
-    values = np.ascontiguousarray(image).view(f"<f{bits // 8}").astype(np.float64) if floats else image
+    mean, spread = _moments(image, np.dtype(f"<f{bits // 8}") if floats else image.dtype)
     return {
         "width": width, "height": height, "samples_per_pixel": samples, "bits": bits, "compression": kind, "predictor": predictor, "layout": "tiles" if tiled else "strips",
-        "samples": image.tobytes(), "mean": float(values.mean()), "spread": float(values.std()),
+        "samples": memoryview(image.reshape(-1).view(np.uint8)), "mean": mean, "spread": spread,
     }
 
 
 #: What reading a broken or unsupported page raises.
-_BROKEN = (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, ZeroDivisionError, OverflowError)
+_BROKEN = (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, ZeroDivisionError, OverflowError, MemoryError)
 
 
-def pages(data: bytes | None) -> list[dict]:
-    """Every page of a file, in the order of its directories."""
+def walk(data: bytes | None, most_page_bytes: int = MOST_PAGE_BYTES) -> Iterator[dict]:
+    """The pages of a file one by one, in the order of its directories; ``samples`` are views."""
     if not data:
-        return []
-    found: list[dict] = []
+        return
+    n = 0
 
     def failed(error: Exception) -> dict:
-        return {"page": len(found), "error": f"{type(error).__name__}: {error}"[:200]}
+        return {"page": n, "error": f"{type(error).__name__}: {error}"[:200]}
 
     try:
         order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
@@ -280,12 +303,18 @@ def pages(data: bytes | None) -> list[dict]:
             seen.add(at)
             here, at = at, _following(data, at, order, big)
             try:
-                found.append(_page(data, _directory(data, here, order, big), order) | {"page": len(found)})
+                page = _page(data, _directory(data, here, order, big), order, most_page_bytes) | {"page": n}
             except _BROKEN as error:
-                found.append(failed(error))
+                page = failed(error)
+            yield page
+            n += 1
     except _BROKEN as error:
-        found.append(failed(error))
-    return found
+        yield failed(error)
+
+
+def pages(data: bytes | None, most_page_bytes: int = MOST_PAGE_BYTES) -> list[dict]:
+    """Every page of a file, samples as bytes."""
+    return [p | {"samples": bytes(p["samples"])} if "samples" in p else p for p in walk(data, most_page_bytes)]
 
 
 def write(payload: bytes, compression: str = "deflate", tiled: bool = False, predictor: int = 1, width: int = ROW, page_rows: int = PAGE_ROWS, chunk_rows: int = CHUNK_ROWS) -> bytes:
@@ -335,7 +364,7 @@ def store(payload: bytes) -> bytes:
 
 
 class TiffColumns:
-    """Writing and reading TIFF files as column functions."""
+    """Writing TIFF files as a column function."""
 
     def __init__(self, spark: SparkSession) -> None:
 
@@ -343,31 +372,69 @@ class TiffColumns:
         def stored(payloads: pd.Series) -> pd.Series:
             return pd.Series([None if p is None else store(bytes(p)) for p in payloads], dtype=object)
 
-        @F.pandas_udf(_page_type())
-        def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            names = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
-            for files in batches:
-                yield pd.Series([[{n: p.get(n) for n in names} for p in pages(None if f is None else bytes(f))] for f in files], dtype=object)
-
-        self._stored, self._read = stored, read
+        self._stored = stored
 
     def store(self, payload: Column | str) -> Column:
         """A TIFF file for each payload; its size must be a multiple of 64."""
         return self._stored(payload)
 
-    def pages(self, media: Column | str) -> Column:
-        """All pages of each file, as an array of PAGE_FIELDS."""
-        return self._read(media)
-
 
-def _page_type() -> str:
-    return "array<struct<" + ",".join(":".join(f.split()) for f in PAGE_FIELDS.split(", ")) + ">>"
-
-
-def page_rows(files: DataFrame, media: str = "media") -> DataFrame:
+def _page_array(found: list[dict]) -> pa.StructArray:
+    """Pages as an Arrow array; the samples of a single page aren't copied."""
+    parts = []
+    for field in _PAGE:
+        if field.name == "samples" and len(found) == 1 and "samples" in found[0]:
+            view = found[0]["samples"]
+            parts.append(pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(view)], np.int32)), pa.py_buffer(view)]))
+        else:
+            parts.append(pa.array([p.get(field.name) for p in found], field.type))
+    return pa.StructArray.from_arrays(parts, fields=list(_PAGE))
+
+
+def _pieces(batch: pa.RecordBatch, most_page_bytes: int) -> Iterator[tuple[list[int], list[dict]]]:
+    """(rows, their pages) of a batch whose last column is the file, at most ``PIECE_BYTES`` of samples or one page."""
+    rows, found, held = [], [], 0
+    for row in range(batch.num_rows):
+        for page in walk(batch.column(batch.num_columns - 1)[row].as_py(), most_page_bytes):
+            size = len(page.get("samples", b""))
+            if found and held + size > PIECE_BYTES:
+                yield rows, found
+                rows, found, held = [], [], 0
+            rows.append(row)
+            found.append(page)
+            held += size
+    if found:
+        yield rows, found
+
+
+def page_rows(files: DataFrame, media: str = "media", most_page_bytes: int = MOST_PAGE_BYTES) -> DataFrame:
     """One row per page: the other columns of ``files``, then PAGE_FIELDS as struct ``tiff``.
 
     Files without a page have no row.
     """
-    read = TiffColumns(files.sparkSession).pages(F.col(media))
-    return files.withColumn("tiff", F.explode(read)).drop(media)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, found in _pieces(batch, most_page_bytes):
+                own = batch.take(pa.array(rows, pa.int32())).columns[:-1] if batch.num_columns > 1 else []
+                yield pa.RecordBatch.from_arrays([*own, _page_array(found)], names=[*batch.schema.names[:-1], "tiff"])
+
+    rows = files.select(*[c for c in files.columns if c != media], F.col(media).alias("__media"))
+    return rows.mapInArrow(read, StructType(rows.schema.fields[:-1]).add("tiff", _PAGE_TYPE))
+
+
+def file_rows(files: DataFrame, media: str = "media", most_page_bytes: int = MOST_PAGE_BYTES) -> DataFrame:
+    """One row per file: its columns, the file last, then ``pages``, an array of PAGE_FIELDS; a row holds all pages of its file."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, held, lists = 0, 0, []
+            for row in range(batch.num_rows):
+                lists.append(pages(batch.column(batch.num_columns - 1)[row].as_py(), most_page_bytes))
+                held += sum(len(p.get("samples", b"")) for p in lists[-1])
+                if held > PIECE_BYTES or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, len(lists)).columns, pa.array(lists, pa.list_(_PAGE))], names=[*batch.schema.names, "pages"])
+                    at, held, lists = row + 1, 0, []
+
+    rows = files.select(*[c for c in files.columns if c != media], media)
+    return rows.mapInArrow(read, StructType(list(rows.schema.fields)).add("pages", ArrayType(_PAGE_TYPE)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from foliant.llm import fertility, gbdt, kdshard, mixing, queries, simhash, simring, toxicity
 from foliant.llm.bpe import BpeColumns
-from foliant.llm.tiff import TiffColumns
+from foliant.llm.tiff import TiffColumns, file_rows
 from foliant.llm.tokencount import token_count
 from foliant.llm.urlfilter import judge
 
@@ -51,7 +51,7 @@ def test_tiff(docs):
     tiff = TiffColumns(docs.sparkSession)
     data = F.coalesce("text", F.lit("")).cast("binary")
     padded = F.rpad(data, (F.greatest(F.ceil(F.octet_length(data) / 64), F.lit(1)) * 64).cast("int"), F.lit(b"\0"))
-    rows = same_count(docs, docs.select("doc_id", "text", tiff.pages(tiff.store(padded)).alias("p")))
+    rows = same_count(docs, file_rows(docs.select("doc_id", "text", "size", tiff.store(padded).alias("media"))).withColumnRenamed("pages", "p"))
     for r in rows:
         raw = (r.text or "").encode()
         assert b"".join(p.samples for p in r.p) == raw + b"\0" * (64 * max(1, -(-len(raw) // 64)) - len(raw))

@@ -1,11 +1,16 @@
 """Each method against a library, a brute-force version, an exact round trip or held-out labels."""
 
 import base64
+import os
 import random
 import struct
+import subprocess
+import sys
+import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -561,3 +566,49 @@ def test_tiff_small_samples_and_floating_predictor():
         (page,) = tiff.pages(_tiff(({256: 7, 257: 4, 258: 8 * size, 259: 1, 277: 3, 317: 3, 339: 3}, coded)))
         assert page["samples"] == values.astype(f"<{kind}").tobytes()
         assert abs(page["mean"] - values.astype(float).mean()) < 1e-9
+
+
+def _grey(width, height, data):
+    return _tiff(({256: width, 257: height, 258: 8, 259: 8, 277: 1}, data))
+
+
+_PEAK = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+from foliant.llm import tiff
+(page,) = tiff.walk(sys.stdin.buffer.read(), 1 << 28)
+assert len(page["samples"]) == 200_000_000 and page["mean"] == page["spread"] == 0
+assert len(tiff._page_array([page])) == 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+
+
+def test_large_page_in_bounded_memory():
+    """A process of its own decodes a 200 MB page under 600 MB; at the default bound it is refused."""
+    data = _grey(20_000, 10_000, zlib.compress(bytes(200_000_000), 1))
+    assert [list(p) for p in tiff.walk(data)] == [["page", "error"]]
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ran = subprocess.run([sys.executable, "-c", _PEAK, root], input=data, capture_output=True, check=True)
+    assert int(ran.stdout) < 600_000  # KB
+
+
+def test_pages_leave_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "PIECE_BYTES", 5000)
+    payload = [bytes([i]) * 64 * 40 for i in range(7)]
+    files = [tiff.write(p, "packbits", page_rows=13) for p in payload]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(files)], names=["i", "media"])
+    pieces = list(tiff._pieces(batch, 1 << 20))
+    assert len(pieces) > 3 and all(sum(len(p["samples"]) for p in found) <= 5000 for _, found in pieces)
+    rows = tiff.page_rows(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "i int, media binary")).collect()
+    for i, p in enumerate(payload):
+        assert b"".join(bytes(r.tiff.samples) for r in sorted(rows, key=lambda r: r.tiff.page) if r.i == i) == p
+
+
+def test_pages_beyond_the_bound_and_moments():
+    assert "more than" in next(tiff.walk(_grey(1 << 15, 1 << 15, zlib.compress(bytes(1000)))))["error"]
+    tags = {256: 8, 257: 8, 258: 8, 259: 8, 277: 1, 322: 1 << 16, 323: 1 << 16, 324: 8, 325: 10}
+    assert "error" in next(tiff.walk(_tiff((tags, b""))))
+    values = np.arange(400_000, dtype=">f4").reshape(400, 1000)
+    (page,) = tiff.walk(_tiff(({256: 1000, 257: 400, 258: 32, 259: 8, 277: 1, 339: 3}, zlib.compress(values.tobytes()))))
+    assert abs(page["mean"] - values.mean(dtype=float)) < 1e-6 and abs(page["spread"] - values.std(dtype=float)) < 1e-6
+    assert bytes(page["samples"]) == values.astype("<f4").tobytes()
