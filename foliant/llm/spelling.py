@@ -30,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,8 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 HELD, BUCKET = 200_000, 2048
 #: Bits of a band; pairs of masks, or letters of pairs, that are compared at once.
 BAND, CELLS = 21, 1 << 20
+#: Pairs of a group from which it is compared by itself.
+LARGE = 1 << 14
 #: How often a form must be as frequent as the word that it leads.
 LEAD = 2
 
@@ -99,9 +102,9 @@ def parity_mask(words: pd.Series) -> pd.Series:
     return pd.Series([mask(w) for w in words], dtype="int64")
 
 
-def _letters(words: list[str], length: int) -> np.ndarray:
+def _letters(words: np.ndarray, length: int) -> np.ndarray:
     """A row of code points for each word of this length."""
-    return np.array(words, f"<U{length}").view(np.uint32).reshape(len(words), length)
+    return words.astype(f"<U{length}").view(np.uint32).reshape(len(words), length)
 
 
 def replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,25 +121,48 @@ def inserted(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return before + after >= n
 
 
-def _near_pairs(place: tuple, index: dict, probe: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of index, rows of probe) that are one edit apart, of one group."""
-    (_, longer, band, size), own, other = place, index["mask"], probe["mask"]
-    own_letters = _letters(index["word"], size)
+def _alike(i: np.ndarray, j: np.ndarray, rows: dict) -> np.ndarray:
+    """Which pairs of rows (index i, probe j) have few enough flipped bits, in no earlier band than theirs."""
+    flips, longer, band = rows["mask"][i] ^ rows["mask"][j], rows["longer"][i] == 1, rows["band"][i]
+    meets = np.bitwise_count(flips) <= np.where(longer, 1, 2)
+    for k in range(2):
+        meets &= longer | (band <= k) | ((flips >> np.int64(BAND * k)) & np.int64((1 << BAND) - 1) != 0)
+    return meets & (longer | (rows["rank"][j] > rows["rank"][i]))
+
+
+def _few(groups: np.ndarray, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike pairs of many small groups (start, first probe, end) at once."""
+    start, probe, end = groups.T
+    cells = (probe - start) * (end - probe)
+    for part in np.split(np.arange(len(groups)), np.flatnonzero(np.diff(np.cumsum(cells) // CELLS)) + 1):
+        n, across = cells[part], (end - probe)[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        across = np.repeat(across, n)
+        i, j = np.repeat(start[part], n) + at // across, np.repeat(probe[part], n) + at % across
+        held = _alike(i, j, rows)
+        yield i[held], j[held]
+
+
+def _many(start: int, probe: int, end: int, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike pairs of one large group, block by block."""
+    own, most = rows["mask"][start:probe], 1 if rows["longer"][start] else 2
     step = max(1, CELLS // len(own))
-    for at in range(0, len(other), step):
-        flips = own[:, None] ^ other[None, at : at + step]
-        meets = np.bitwise_count(flips) <= (1 if longer else 2)
-        if not longer and band:  # bands before this one differ: the pair isn't met there
-            for k in range(band):
-                meets &= (flips >> np.int64(BAND * k)) & np.int64((1 << BAND) - 1) != 0
-        i, j = np.nonzero(meets)
-        for first in range(0, len(i), many := max(1, CELLS // size)):
-            x, y = i[first : first + many], j[first : first + many] + at
-            there = np.unique(y)
-            letters = _letters([probe["word"][k] for k in there.tolist()], size + longer)[np.searchsorted(there, y)]
-            held = (inserted if longer else replaced)(own_letters[x], letters)
-            if not longer:
-                held &= probe["rank"][y] > index["rank"][x]
+    for at in range(probe, end, step):
+        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ rows["mask"][None, at : min(end, at + step)]) <= most)
+        held = _alike(i + start, j + at, rows)
+        yield i[held] + start, j[held] + at
+
+
+def _verified(i: np.ndarray, j: np.ndarray, rows: dict, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that are one edit apart."""
+    kind = rows["size"][i] * 2 + rows["longer"][i]
+    for which in np.unique(kind).tolist():
+        size, longer = divmod(which, 2)
+        mine = np.flatnonzero(kind == which)
+        for at in range(0, len(mine), many := max(1, CELLS // size)):
+            x, y = i[mine[at : at + many]], j[mine[at : at + many]]
+            own, other = _letters(words[x], size), _letters(words[y], size + longer)
+            held = inserted(own, other) if longer else replaced(own, other)
             if held.any():
                 yield x[held], y[held]
 
@@ -157,28 +183,26 @@ def near_words(words: DataFrame) -> DataFrame:
     met = index.unionByName(probe).repartition(*place, "bucket").sortWithinPartitions(*place, "bucket", "side")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index = None, None
+        names = ("n", "mask", "rank", *place, "bucket", "side")
+        kept = None  # the words of the bucket that the last batch ended in
         for batch in batches:
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "mask", "rank", *place, "bucket", "side")}
-            words = batch.column("word").to_pylist()
-            marks = np.stack([columns[c].astype(np.int64) for c in (*place, "bucket", "side")])
-            cuts = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, [len(words)])) if words else [0]
-            found: list[list] = [[], [], []]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                *group, side = marks[:, a].tolist()
-                part = {"word": words[a:b], **{c: columns[c][a:b] for c in ("n", "mask", "rank")}}
-                if not side:
-                    if group == now:
-                        index = {"word": index["word"] + part["word"], **{c: np.concatenate([index[c], part[c]]) for c in ("n", "mask", "rank")}}
-                    else:
-                        now, index = group, part
-                elif group == now:
-                    for x, y in _near_pairs(tuple(group[:4]), index, part):
-                        xs, ys = [index["word"][i] for i in x.tolist()], [part["word"][i] for i in y.tolist()]
-                        for out, more in zip(found, (xs + ys, ys + xs, [part["n"][y], index["n"][x]]), strict=True):
-                            out.extend(more)
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(np.concatenate(found[2]))], names=["word", "other", "other_n"])
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in names}
+            words = np.array(batch.column("word").to_pylist(), object)
+            if kept:
+                rows, words = {c: np.concatenate([kept[0][c], rows[c]]) for c in names}, np.concatenate([kept[1], words])
+            marks = np.stack([rows[c] for c in (*place, "bucket")])
+            starts = np.concatenate(([0], np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1))
+            ends = np.append(starts[1:], len(words))
+            before = np.concatenate(([0], np.cumsum(rows["side"] == 0)))
+            probes = starts + before[ends] - before[starts]
+            kept = ({c: rows[c][starts[-1] : probes[-1]] for c in names}, words[starts[-1] : probes[-1]])
+            groups = np.stack([starts, probes, ends], axis=1)[(probes > starts) & (ends > probes)]
+            large = (groups[:, 1] - groups[:, 0]) * (groups[:, 2] - groups[:, 1]) > LARGE
+            alike = chain(_few(groups[~large], rows) if (~large).any() else (), *(_many(*g, rows) for g in groups[large].tolist()))
+            for x, y in ((x, y) for i, j in alike for x, y in _verified(i, j, rows, words)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((words[x], words[y]), (words[y], words[x]), (rows["n"][y], rows["n"][x]))], names=["word", "other", "other_n"])
 
     return met.mapInArrow(compared, "word string, other string, other_n long")
 
