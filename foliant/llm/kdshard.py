@@ -6,7 +6,9 @@ point order, weighted by bytes.  From the root on, each node is split along the
 dimension in which its codes spread widest, at the weighted median of that
 dimension; documents with the very code in which the median lies are divided by a
 hash of their row, new at each level, so that one value (or one id) that a third of
-the corpus has can still be split, as often as it takes.
+the corpus has can still be split, as often as it takes.  The hash is of all that
+is known of the row, and of its number among equal ones, so a rerun over other
+partitions gives the same rows.
 
 Each level takes two aggregations with map-side sums: one histogram of bytes over
 (node, dimension, code), one over the hash steps of the median's code.  A node's
@@ -121,6 +123,24 @@ def _grow(placed: DataFrame, leaves: int) -> DataFrame:
     return placed
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows``, staged, with h: a hash of all columns, and of a number from 0 among rows that are equal in all.
+
+    Only rows that have an equal one are numbered, in two levels, so that a row which very many
+    repeat isn't ranked in one task; which of them has which number tells nobody apart.
+    """
+    rows = staged(rows.withColumn("same", F.xxhash64(*rows.columns)), "metadata")
+    repeated = rows.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("deals"))
+    repeated = staged(repeated, "repeated")
+    alone = rows.join(repeated, "same", "left_anti").withColumn("h", F.xxhash64("same", F.lit(0).cast("long")))
+    again = staged(rows.join(repeated, "same").withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.col("deals"))).drop("deals"), "again")
+    counts = again.groupBy("same", "deal").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("same", "deal", (F.sum("n").over(Window.partitionBy("same").orderBy("deal")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("same", "deal").orderBy(F.lit(0))) - 1
+    numbered = again.withColumn("within", within).join(counts, ["same", "deal"]).withColumn("h", F.xxhash64("same", (F.col("before") + F.col("within")).cast("long")))
+    return alone.unionByName(numbered.select(*alone.columns)).drop("same")
+
+
 def kd_shards(docs: DataFrame, size: Column, leaves: int | None = None, target_bytes: int | None = None, numbers: list[str] = ("n_chars",), strings: list[str] = ("source", "lang"), keep: dict[str, Column] | None = None, doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, size, the columns of ``keep``, shard, slot (from 0 without gaps in each shard).
 
@@ -129,10 +149,10 @@ def kd_shards(docs: DataFrame, size: Column, leaves: int | None = None, target_b
     keep = keep or {}
     num, text = [f"num_{c}" for c in numbers], [f"str_{c}" for c in strings]
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), size.alias("size"), F.xxhash64(F.col(doc_id), F.monotonically_increasing_id()).alias("h"), *[c.alias(f"keep_{n}") for n, c in keep.items()],
+        F.col(doc_id).alias("doc_id"), size.alias("size"), *[c.alias(f"keep_{n}") for n, c in keep.items()],
         *[F.col(c).alias(n) for c, n in zip(numbers, num, strict=True)], *[F.col(c).cast("string").alias(n) for c, n in zip(strings, text, strict=True)],
     )
-    rows = staged(rows, "metadata")
+    rows = _hashed(rows)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     if leaves is None:
         leaves = max(1, -(-total.bytes // target_bytes))
