@@ -6,7 +6,7 @@ for the rest, filled by the tokenizer itself.  Counting is a map over documents:
 no pre-token is ever shuffled, and neither tier changes a result; they only
 spare calls of the tokenizer.
 
-The frequent table comes from a sample of about ``SEED_DOCUMENTS`` documents, tallied
+The frequent table comes from about ``SEED_DOCUMENTS`` documents of a few partitions, tallied
 where they lie, and holds at most ``FREQUENT`` pre-tokens: both are fixed bounds on
 what one task and the driver hold.  Which documents they are has no influence on any count.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .staging import held_by_worker
 
-SEED_DOCUMENTS = 2000
+SEED_DOCUMENTS, SEED_TASKS = 2000, 64
 FREQUENT = 32_768
 CACHE_ENTRIES = 400_000
 CACHE_CHARS = 48
@@ -117,32 +118,32 @@ def _counter(spec, pattern: str, packed) -> TextCounter:
 
 
 def frequent_table(docs: DataFrame, spec, pattern: str, text: str = "text") -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of a sample of about ``SEED_DOCUMENTS`` documents.
+    """Token counts of the most frequent pre-tokens of about ``SEED_DOCUMENTS`` documents.
 
-    Each task tallies its share of the sample; packed tallies, no texts and no
-    pre-token rows, come to the driver.
+    ``SEED_TASKS`` partitions, evenly spaced, are all that is read for it: each tallies its first
+    documents; packed tallies, no texts and no pre-token rows, come to the driver.
     """
+    rows, spark = docs.select(F.col(text)).rdd, docs.sparkSession
+    n = rows.getNumPartitions()
+    chosen = sorted({i * n // SEED_TASKS for i in range(min(n, SEED_TASKS))}) if n > SEED_TASKS else list(range(n))
+    per_task = -(-SEED_DOCUMENTS // max(1, len(chosen)))
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(part: Iterator) -> Iterator[tuple[dict, bytes]]:
         counter, seen = TextCounter(spec.value, pattern, {}), Counter()
-        for batch in batches:
-            for t in batch["t"]:
-                for part in counter.parts(t or "")[0]:
-                    seen.update(p for p in counter.matches(part) if len(p) <= CACHE_CHARS)
+        for (t,) in islice(part, per_task):
+            for piece in counter.parts(t or "")[0]:
+                seen.update(p for p in counter.matches(piece) if len(p) <= CACHE_CHARS)
             if len(seen) > 16 * FREQUENT:  # the rare ones go, so that a worker's memory is bounded
                 seen = Counter(dict(seen.most_common(4 * FREQUENT)))
         if seen:
             top = seen.most_common(FREQUENT)
-            packed = pack({p: min(counter.pieces[p], 65_535) for p, _ in top})
-            yield pd.DataFrame({**{k: [v] for k, v in packed.items()}, "met": [np.array([n for _, n in top], np.uint32).tobytes()]})
+            yield pack({p: min(counter.pieces[p], 65_535) for p, _ in top}), np.array([k for _, k in top], np.uint32).tobytes()
 
-    share = min(1.0, SEED_DOCUMENTS / max(1, docs.count()))
-    seed = docs.select(F.col(text).alias("t")).sample(share, seed=7) if share < 1 else docs.select(F.col(text).alias("t"))
     met, tokens = Counter(), {}
-    for r in seed.mapInPandas(tally, "blob binary, sizes binary, tokens binary, met binary").toLocalIterator():
-        found = unpack(r.asDict())
+    for packed, times in spark.sparkContext.runJob(rows, tally, chosen):
+        found = unpack(packed)
         tokens |= found
-        met.update(dict(zip(found, np.frombuffer(r.met, np.uint32).tolist(), strict=True)))
+        met.update(dict(zip(found, np.frombuffer(times, np.uint32).tolist(), strict=True)))
     return {p: tokens[p] for p, _ in met.most_common(FREQUENT)}
 
 
