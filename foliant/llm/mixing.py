@@ -159,21 +159,29 @@ def taken(mix: DataFrame) -> DataFrame:
     return per_row.drop("uid")
 
 
-def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each document and pass.
-
-    A document that a pass takes in part keeps its first words, joined by a space;
-    n_chars follows the text where there is such a column.
+def mixed_texts(docs: DataFrame, schedule_columns: bool = False) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each document and pass, in the order of the schedule.
+
+    A row stands where the first of its slots does: partitions hold runs of slots, and rows in
+    them are sorted by slot, so that whoever reads the files in order reads the sources
+    interleaved as scheduled.  With ``schedule_columns`` rows also tell mix_slot and mix_pass.  A
+    document that a pass takes in part keeps its first words, joined by a space; n_chars
+    follows the text where there is such a column.
     """
+    spark = docs.sparkSession
     columns = [F.col(c).alias(f"doc_{c}") for c in docs.columns]
     rows = staged(docs.select(F.monotonically_increasing_id().alias("uid"), *columns), "to-mix")
     sized = rows.select(F.col("uid").alias("uid"), F.col("doc_doc_id").alias("doc_id"), F.col("doc_source").alias("source"), F.col("doc_text").alias("text"))
     mix = schedule(sized, word_count("text"), uid=F.col("uid"))
-    passes = mix.where("words > 0").groupBy("uid", "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"))
+    passes = staged(mix.where("words > 0").groupBy("uid", "pass").agg(F.sum("words").alias("words"), F.first("size").alias("size"), F.min("slot").alias("slot")), "passes")
     cut = F.array_join(F.slice(F.regexp_extract_all("doc_text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") >= F.col("size"), F.col("doc_text")).otherwise(cut)
     named = {"text": text, "n_chars": F.when(F.col("words") >= F.col("size"), F.col("doc_n_chars")).otherwise(F.char_length(cut).cast("long")) if "n_chars" in docs.columns else None}
-    return rows.join(passes, "uid").select(*[named[c].alias(c) if c in named else F.col(f"doc_{c}").alias(c) for c in docs.columns])
+    slots_end = (passes.agg(F.max("slot")).first()[0] or 0) + 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.join(passes, "uid").repartitionById(parts, F.floor(F.col("slot") * parts / slots_end).cast("int")).sortWithinPartitions("slot", "pass", "doc_doc_id", "uid")
+    more = [F.col("slot").alias("mix_slot"), F.col("pass").alias("mix_pass")] if schedule_columns else []
+    return placed.select(*[named[c].alias(c) if c in named else F.col(f"doc_{c}").alias(c) for c in docs.columns], *more)
 
 
 #: DuckDB's form of the op2 query: the same targets and slots; what a document gets follows from its place in the stream.

@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import fertility, gbdt, mixing, queries, simhash, simring, tiff, toxicity
+from foliant.llm import fertility, gbdt, kdshard, mixing, queries, simhash, simring, tiff, toxicity
 from foliant.llm.bpe import ByteBpe
 from foliant.llm.tokencount import TextCounter, pack, unpack
 from foliant.llm.urlfilter import Rule, judge
@@ -612,3 +612,31 @@ def test_pages_beyond_the_bound_and_moments():
     (page,) = tiff.walk(_tiff(({256: 1000, 257: 400, 258: 32, 259: 8, 277: 1, 339: 3}, zlib.compress(values.tobytes()))))
     assert abs(page["mean"] - values.mean(dtype=float)) < 1e-6 and abs(page["spread"] - values.std(dtype=float)) < 1e-6
     assert bytes(page["samples"]) == values.astype("<f4").tobytes()
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs.where("doc_id % 10 = 0").withColumn("doc_id", F.lit(7).cast("long"))).unionByName(docs.limit(1).crossJoin(spark.range(300)).select(docs.columns))
+    found = [sorted(map(tuple, kdshard.kd_shards(d, kdshard.text_bytes("text"), leaves=16).collect())) for d in (docs.repartition(3), docs.repartition(7, "lang"))]
+    assert found[0] == found[1]
+
+
+def test_mix_is_in_the_order_of_its_slots(spark):
+    rows = [(i, f"{s} " * (20 + i % 7), "en", s, 40) for i in range(400) for s in ("a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mixed_texts(docs, schedule_columns=True).collect()
+    slots = [r.mix_slot for r in mixed]
+    assert slots == sorted(slots) and {r.mix_pass for r in mixed} == {0, 1}
+    share = lambda part: sum(len(r.text.split()) for r in part if r.source == "c") / sum(len(r.text.split()) for r in part)
+    assert all(abs(share(mixed[at : at + 100]) - 0.5) < 0.1 for at in range(0, len(mixed) - 100, 100))
+
+
+def test_frequent_table_reads_few_partitions(spark, monkeypatch):
+    from foliant.llm import tokencount
+
+    monkeypatch.setattr(tokencount, "SEED_TASKS", 3)
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = spark.sparkContext.broadcast(f.read())
+    docs = spark.range(12, numPartitions=12).select(F.concat(F.lit("only"), F.col("id").cast("string"), F.lit("letter")).alias("text"))
+    table = tokencount.frequent_table(docs, spec, P.PATTERN)
+    assert {"only0letter", "only4letter", "only8letter"} & set(table) or len(table) <= 9
