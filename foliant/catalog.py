@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import staging
 from .functions import guards, vectors
 from .functions import text as T
-from .operators import answers, chunking, cleaning, dedup, evaluation, graph, memory, metrics, ocr, retrieval, stores
+from .operators import answers, chunking, cleaning, dedup, evaluation, graph, lexical, memory, metrics, ocr, retrieval, stores
 from .plans import pipelines
 from .sources import files
 
@@ -74,6 +75,32 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(asked(spark, d), table(spark, d, "documents"), 5, filters={"lang": ["de", "fr"]})
 
 
+_CHANGED = """(select doc_id, text, lang, source from documents where lang in ('en', 'fr') union all select doc_id, text || ' addendum to the former text', lang, source from documents where lang = 'de')"""
+_INDEXED = _bm25(10).replace("from documents", f"from {_CHANGED} x where doc_id % 7 <> 0")
+
+
+@query(f"with {_INDEXED} select query_id, rank::int rank, id, score from bm25")
+def index_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index: documents written, others added, some rewritten, some deleted; then searched."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text", "lang", "source"), staging.new_folder(spark, "index")
+    lexical.apply(path, docs.where("lang in ('en', 'de')"))
+    changed = docs.where("lang = 'fr'").unionByName(docs.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" addendum to the former text"))))
+    lexical.apply(path, changed)
+    lexical.apply(path, deletes=docs.where("doc_id % 7 = 0"))
+    return lexical.search(asked(spark, d), path, 10)[0]
+
+
+@query(f"with {_INDEXED.replace('rank <= 10', 'true')} select query_id, rank::int rank, id, score from (select query_id, row_number() over (partition by query_id order by score desc, id) rank, id, score from bm25 where id in (select doc_id from documents where lang in ('de', 'fr'))) where rank <= 5")
+def compacted_index_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same changes in another order, compacted, searched with a filter."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text", "lang", "source"), staging.new_folder(spark, "index")
+    lexical.apply(path, docs.where("lang in ('en', 'de', 'es', 'fr')"))
+    lexical.apply(path, docs.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" addendum to the former text"))), docs.where("doc_id % 7 = 0 or lang = 'es'"))
+    lexical.apply(path, deletes=docs.where("doc_id % 7 = 0"))
+    lexical.compact(spark, path)
+    return lexical.search(asked(spark, d), path, 5, {"lang": ["de", "fr"]})[0]
+
+
 @query(r"select count(*)::bigint n_docs, round(avg(len(regexp_extract_all(lower(coalesce(text, '')), '@TERM'))), 6) avg_len from documents")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.corpus_stats(table(spark, d, "documents")).withColumn("avg_len", F.round("avg_len", 6))

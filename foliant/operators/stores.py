@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from .. import tables
 from .retrieval import metadata_filter
 
 
@@ -50,9 +50,17 @@ def supersede(index: DataFrame, fresh: DataFrame, source: str = "source") -> tup
     return index.join(sources, source, "left_anti").unionByName(fresh), flags
 
 
-def save(table: DataFrame, path: str) -> None:
-    """Replace the table at ``path``, also by what was read from there; until the last step the old one stays."""
-    staged(table, "save").write.mode("overwrite").parquet(path)
+def save(table: DataFrame, path: str, vector: str | None = None) -> None:
+    """Replace the table at ``path``, also by what was read from there; until the last step the old one stays.
+
+    A collection names its ``vector`` column: the first write records the dimension, later ones must have it.
+    """
+    tables.save(table, path, vector)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The table that was saved last."""
+    return tables.load(spark, path)
 
 
 def lookup(table: DataFrame, key: str, value) -> DataFrame:

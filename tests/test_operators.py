@@ -325,9 +325,9 @@ def test_vector_queries_go_in_blocks(spark, monkeypatch):
 def test_a_table_is_replaced_by_what_was_read_from_it(spark, tmp_path):
     path = str(tmp_path / "versions")
     stores.save(spark.range(3).withColumn("version", F.lit(1)), path)
-    old = spark.read.parquet(path)
+    old = stores.load(spark, path)
     stores.save(old.withColumn("version", F.col("version") + 1), path)
-    assert [tuple(r) for r in spark.read.parquet(path).orderBy("id").collect()] == [(0, 2), (1, 2), (2, 2)]
+    assert [tuple(r) for r in stores.load(spark, path).orderBy("id").collect()] == [(0, 2), (1, 2), (2, 2)]
 
 
 def test_spans_scopes_deletes_and_relations(spark):
