@@ -21,11 +21,12 @@ similarity of 0.8 that is 177 bits: sets of similarity 0.8 pass in 97 cases of
 a hundred, of 0.76 in half of them.  So recall is that of an estimate, precision is exact.
 
 Keys that one text alone has are dropped first, so the rest of the work grows with
-the near copies.  ``ROUNDS`` rounds link every text to one hub of each of its keys,
-a new one each time; what is then still apart is compared within each key, in
-buckets of ``BUCKET`` texts, so that a key with very many texts is spread over tasks.
-Texts themselves are fetched once for the candidates, by their digest, and travel
-to the exact count with the pairs that passed all else.
+the near copies.  A round links every text to one hub of each of its keys.  Of what is then
+still apart, a semi join finds the texts that have a candidate; these are brought together by key
+and compared in tiles of two buckets of at most ``BUCKET`` texts, so that a key with very many
+texts is spread over tasks.  A tile's task counts candidate pairs of different groups
+exactly, joins groups as it finds links, and emits only the links that joined two; no pair
+is ever a row of a join.  Texts are fetched once for the candidates, by their digest.
 
 Defined results: null and empty texts have the empty set and are one another's
 copies; rows, not ids, are judged: rows that share an id and differ in text are
@@ -41,15 +42,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .simhash import components, shingle_hashes
 from .staging import staged
 
-#: 64-bit words of the full fingerprint, segments of a ring, hub rounds, texts in a bucket of a key.
-WORDS, RING, ROUNDS, BUCKET = 16, 16, 3, 1024
+#: 64-bit words of the full fingerprint, segments of a ring, hub rounds; texts, and their shingles, in a bucket of a key.
+WORDS, RING, ROUNDS, BUCKET, BUCKET_SHINGLES = 16, 16, 1, 1024, 1 << 21
 NAMES = [f"w{i}" for i in range(WORDS)]
 #: Standard deviations that the budgets of fingerprint and first word allow above the expectation.
 SLACK, FIRST_SLACK = 1.9, 3.0
@@ -244,13 +247,82 @@ def linked_groups(nodes: DataFrame, texts_of, shingle_words: int, least: float)
         meets = _chained("x", "hub", least) & (F.col("x.grp") != F.col("hub.grp"))
         pairs = rows.alias("x").join(hubs.alias("hub"), "key").where(meets).select(F.col("x.id").alias("a"), F.col("hub.id").alias("b")).distinct()
         groups = staged(_grown(exact_links(confirmed(pairs, nodes, least), texts, shingle_words, least), groups), "groups")
-    left = _with_groups(met.drop("w0"), groups).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).join(nodes.select("id", *NAMES), "id")
+    left = _with_groups(met, groups).withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")).join(nodes.select("id", *NAMES[1:]), "id")
     rows = staged(left, "apart")
     index = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     probe = rows.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = _chained("x", "y", least) & (F.col("x.id") < F.col("y.id")) & (F.col("x.grp") != F.col("y.grp")) & _near("x", "y", least)
-    links = probe.alias("x").join(index.alias("y"), ["key", "bucket"]).where(meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _grown(exact_links(links, texts, shingle_words, least), groups)
+    meets = _chained("x", "y", least) & (F.col("x.grp") != F.col("y.grp")) & _near("x", "y", least)
+    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.bucket") == F.col("y.bucket"))
+    open_ = probe.alias("x").join(index.alias("y"), both & meets, "left_semi").dropDuplicates(["id", "key"])
+    links = tile_links(staged(open_.select("key", "id", "grp", "size", *NAMES), "open"), texts, shingle_words, least)
+    return _grown(links, groups)
+
+
+def tile_links(rows: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """(a, b): links between groups, as many as join all groups that have one; ``rows`` has key, id, grp, size and the words."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET), F.ceil(F.sum("size") / BUCKET_SHINGLES)).cast("int")
+    dealt = rows.join(rows.groupBy("key").agg(parts.alias("parts")), "key").withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = ["key", "low", "high"]
+    tiles = dealt.select("key", F.least("bucket", "other").alias("low"), F.greatest("bucket", "other").alias("high"), "bucket", "id", "grp", "size", *NAMES)
+    tiles = tiles.join(texts, "id").repartition(*place).sortWithinPartitions(*place)
+    most = budget(least, 64 * WORDS, SLACK)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile = None, None
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in (*place, "bucket", "id", "grp", "size", "text")}
+            words = np.stack([batch.column(n).to_numpy() for n in NAMES], axis=1).view(np.uint64)
+            found = []
+            for at, here in enumerate(zip(*(columns[c] for c in place), strict=True)):
+                if here != now:
+                    now, tile = here, _Tile(shingle_words, least, most)
+                own = here[1] == here[2]
+                found += tile.add(*(columns[c][at] for c in ("id", "grp", "size", "text")), words[at], None if own else columns["bucket"][at])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], batch.schema.field("id").type) for i in (0, 1)], names=["a", "b"])
+
+    return tiles.mapInArrow(linked, StructType().add("a", rows.schema["id"].dataType).add("b", rows.schema["id"].dataType))
+
+
+class _Tile:
+    """Texts that share a key, compared as they come; groups that a link joins count as one from then on."""
+
+    def __init__(self, shingle_words: int, least: float, most: int) -> None:
+        self.shingle_words, self.least, self.most = shingle_words, least, most
+        self.ids, self.groups, self.sets, self.texts = [], [], [], []
+        self.words, self.sizes, self.sides = np.zeros((16, WORDS), np.uint64), np.zeros(16, np.int64), np.zeros(16, np.int64)
+        self.root: dict = {}
+
+    def _top(self, group):
+        while group in self.root:
+            group = self.root[group]
+        return group
+
+    def _set(self, at: int) -> np.ndarray:
+        if self.sets[at] is None:  # most texts are never counted
+            self.sets[at], self.texts[at] = shingle_set(self.texts[at], self.shingle_words), None
+        return self.sets[at]
+
+    def add(self, id_, group, size: int, text: str, words: np.ndarray, side: int | None) -> list[tuple]:
+        """Links of this text with earlier ones, each of which joins two groups; only other sides count, if there are sides."""
+        n = len(self.ids)
+        if n == len(self.words):
+            self.words, self.sizes, self.sides = np.concatenate([self.words] * 2), np.tile(self.sizes, 2), np.tile(self.sides, 2)
+        self.words[n], self.sizes[n], self.sides[n] = words, size, -1 if side is None else side
+        for held, value in ((self.ids, id_), (self.groups, group), (self.sets, None), (self.texts, text)):
+            held.append(value)
+        near = np.bitwise_count(self.words[:n] ^ words).sum(axis=1) <= self.most
+        near &= np.minimum(self.sizes[:n], size) >= self.least * np.maximum(self.sizes[:n], size)
+        if side is not None:
+            near &= self.sides[:n] != side
+        found = []
+        for i in np.flatnonzero(near).tolist():
+            a, b = self._top(group), self._top(self.groups[i])
+            if a != b and similarity(self._set(n), self._set(i)) >= self.least:
+                self.root[a] = b
+                found.append((id_, self.ids[i]))
+        return found
 
 
 def _text_id(text: Column) -> Column:

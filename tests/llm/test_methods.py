@@ -496,6 +496,10 @@ def test_hot_hubs_are_dealt(spark, monkeypatch):
     texts = [" ".join(w if k != i * 9 else "new" for k, w in enumerate(words)) for i in range(20)]
     docs = spark.createDataFrame([*enumerate(texts, 1), (0, " ".join(words))], "doc_id long, text string")
     assert {r.component_id for r in simring.similar_documents(docs).collect()} == {0}
+    monkeypatch.setattr(simring, "BUCKET", 4)
+    monkeypatch.setattr(simring, "BUCKET_SHINGLES", 500)
+    monkeypatch.setattr(simring, "ROUNDS", 0)
+    assert {r.component_id for r in simring.similar_documents(docs).collect()} == {0}
 
 
 def test_long_fingerprint_and_ring_by_definition():
