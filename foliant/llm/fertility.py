@@ -210,16 +210,28 @@ class Bands:
         return (shorter < 0 or entropy >= bits[shorter][1]) and (longer == len(bits) or entropy <= bits[longer][2])
 
     def kept(self, measured: Column, lang: Column | None = None) -> Column:
-        """Whether a text passes the base and its bands, from a struct of FIELDS."""
-        bands = self
-
-        @F.pandas_udf("boolean")
-        def judged(rows: pd.DataFrame, langs: pd.Series) -> pd.Series:
-            columns = (rows[c] for c in ("base_failed", "script", "n_words", "chars_per_token", "byte_share", "token_entropy"))
-            return pd.Series([not failed and bands.hold(script, lang, n, *of) for failed, script, n, *of, lang in zip(*columns, langs, strict=True)], dtype=bool)
-
-        needed = F.struct(*[measured[c].alias(c) for c in ("base_failed", "script", "n_words", "chars_per_token", "byte_share", "token_entropy")])
-        return judged(needed, F.lit(None).cast("string") if lang is None else lang.cast("string"))
+        """Whether a text passes the base and its bands, from a struct of FIELDS: lookups in constant maps, as in ``hold``."""
+        script, per_token, share, entropy = (measured[c] for c in ("script", "chars_per_token", "byte_share", "token_entropy"))
+        wide = _constant_map({k: F.struct(*[F.lit(float(x)).alias(f"x{i}") for i, x in enumerate(v)]) for k, v in self.wide.items()})[script]
+        passes = per_token.between(wide["x0"], wide["x1"]) & (share <= wide["x2"]) & (entropy >= wide["x3"])
+        if self.fitted:
+            rows = lambda bits: F.array(*[F.struct(F.lit(s).alias("size"), F.lit(x).alias("low"), F.lit(y).alias("high")) for s, x, y in bits]).cast("array<struct<size:int,low:double,high:double>>")
+            fitted = {f"{k}\x01{g or ''}": F.struct(F.lit(v[0]).alias("low"), F.lit(v[1]).alias("high"), F.lit(v[2]).alias("share"), rows(v[3]).alias("bits")) for (k, g), v in self.fitted.items()}
+            named = lambda g: F.concat(script, F.lit("\x01"), g)
+            table = _constant_map(fitted)
+            own = F.lit(None).cast("string") if lang is None else F.nullif(lang.cast("string"), F.lit(""))
+            band = F.coalesce(table[named(own)], table[named(F.lit(""))])
+            size = F.when(measured["n_words"] > 0, F.floor(2 * F.log2(measured["n_words"]))).otherwise(0)
+            shorter, longer = F.filter(band["bits"], lambda b: b["size"] <= size), F.filter(band["bits"], lambda b: b["size"] >= size)
+            fits = per_token.between(band["low"], band["high"]) & (share <= band["share"])
+            fits &= (F.size(shorter) == 0) | (entropy >= F.try_element_at(shorter, F.lit(-1))["low"])
+            fits &= (F.size(longer) == 0) | (entropy <= F.try_element_at(longer, F.lit(1))["high"])
+            passes &= band.isNull() | fits
+        return F.coalesce(~measured["base_failed"] & passes, F.lit(False))
+
+
+def _constant_map(entries: dict[str, Column]) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*entries.values()))
 
 
 def fit_bands(measured: DataFrame, labels: DataFrame, label: str = "quality", least: int = LEAST_TEXTS, outer: float = OUTER, margin: float = MARGIN) -> Bands:

@@ -400,6 +400,18 @@ def test_pipeline_end_to_end(spark):
     assert len(out) == docs.count() and (out["n_tokens"] > 0).all()
 
 
+def test_band_columns_equal_the_function(spark):
+    rng = random.Random(8)
+    bits = ((10, 5.0, 6.0), (14, 6.0, 7.0))
+    bands = fertility.Bands({("latin", None): (1.0, 9.0, 0.5, bits), ("latin", "en"): (2.0, 5.0, 0.3, bits[:1]), ("greek", "el"): (0.5, 3.0, 0.6, ())})
+    rows = [(rng.random() < 0.1, rng.choice(["latin", "greek", "cjk"]), rng.choice(["en", "el", None, ""]), rng.choice([0, 1, 30, 32, 33, 128, 200, 5000]), rng.uniform(0, 13), rng.uniform(0, 1), rng.uniform(2, 8)) for _ in range(600)]
+    names = "base_failed boolean, script string, lang string, n_words long, chars_per_token double, byte_share double, token_entropy double"
+    made = spark.createDataFrame(rows, names)
+    for b in (bands, fertility.Bands()):
+        got = made.select("*", b.kept(F.struct("*"), F.col("lang")).alias("k")).collect()
+        assert all(r.k == (not r.base_failed and b.hold(r.script, r.lang or None, r.n_words, r.chars_per_token, r.byte_share, r.token_entropy)) for r in got) and len({r.k for r in got}) == 2
+
+
 def test_fertility_bands_reject_junk_that_passes_the_base(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
