@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from ..functions import text as T
 
@@ -56,7 +57,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
             yield pd.DataFrame({"id": batch["id"], "sig": [slots_of(h) for h in batch["h"]]})
 
     hashed = docs.select(F.col(id_col).alias("id"), shingle_hashes(text, k).alias("h")).where(F.size("h") > 0)
-    return hashed.mapInPandas(sign, "id long, sig array<bigint>")
+    return hashed.mapInPandas(sign, StructType().add("id", hashed.schema["id"].dataType).add("sig", ArrayType(LongType())))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -65,6 +66,41 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(same / SLOTS)
 
 
+def banded(signed: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(id, sig, band): a row for each band; signatures with ``threshold`` equal slots have an equal band."""
+    unequal = SLOTS - math.ceil(SLOTS * threshold)
+    bands = next(b for b in (1, 2, 4, 8, 16, 32) if b > unequal)
+    width = SLOTS // bands
+    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * width + 1, width)) for i in range(bands)])
+    return signed.select("id", "sig", F.explode(keys).alias("band"))
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two banded tables that share a band; ``right`` is dealt over buckets, ``left`` enters each."""
+    shared = right.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"))
+    other = right.join(shared, "band").select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("bucket"))
+    probe = left.join(shared, "band").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return probe.join(other, ["band", "bucket"])
+
+
+def nearest_registered(docs: DataFrame, registered: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, match, kind, similarity) of each text that a registered one equals or is near to.
+
+    An equal text (case and spacing aside) wins, the least id of several; else the registered text of
+    greatest similarity, the least id on a tie.  Texts without a word are near nothing.  Of registered texts
+    that are equal, or have one signature, the least id stands for all, so large groups meet as a row.
+    """
+    keyed = lambda d: d.select(F.col(id_col).alias("id"), F.sha2(T.fold(text), 256).alias("digest"), F.col(text).alias("text"))
+    known = keyed(registered).groupBy("digest").agg(F.min("id").alias("match"), F.first("text").alias("text"))
+    asked = keyed(docs)
+    exact = asked.join(known.select("digest", "match"), "digest").select("id", "match", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
+    others = asked.join(known.select("digest"), "digest", "left_anti")
+    classes = signatures(known, "match", "text").groupBy("sig").agg(F.min("id").alias("id"))
+    met = _meeting(banded(signatures(others, "id", "text"), threshold), banded(classes, threshold)).withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
+    best = met.where(F.col("similarity") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "other")).alias("m"))
+    return exact.unionByName(best.select("id", F.col("m.other").alias("match"), F.lit("near").alias("kind"), F.round(-F.col("m.less"), 3).alias("similarity")))
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(first_id, second_id, similarity) between different texts whose signatures agree enough.
 
@@ -72,20 +108,13 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id",
     paired with the least of them, which alone is compared with other signatures: so
     large groups meet as a single row.
     """
-    unequal = SLOTS - math.ceil(SLOTS * threshold)
-    bands = next(b for b in (1, 2, 4, 8, 16, 32) if b > unequal)
     texts = docs.groupBy(F.sha2(T.fold(text), 256).alias("digest")).agg(F.min(id_col).alias("id"), F.first(text).alias("text"))
     signed = signatures(texts, "id", "text")
     classes = signed.groupBy("sig").agg(F.min("id").alias("least"))
     same = signed.join(classes, "sig").where("id <> least").select(F.col("least").alias("first_id"), F.col("id").alias("second_id"), F.lit(1.0).alias("similarity"))
-    width = SLOTS // bands
-    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("sig", i * width + 1, width)) for i in range(bands)])
-    banded = classes.select(F.col("least").alias("id"), "sig", F.explode(keys).alias("band"))
-    shared = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "parts")
-    banded = banded.join(shared, "band")
-    other = banded.select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), "band", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("bucket"))
-    probe = banded.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = probe.join(other, ["band", "bucket"]).where("id < other").withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
+    rows = banded(classes.withColumnRenamed("least", "id"), threshold)
+    rows = rows.join(rows.groupBy("band").count().where("count > 1").select("band"), "band", "left_semi")
+    pairs = _meeting(rows, rows).where("id < other").withColumn("similarity", similarity(F.col("sig"), F.col("other_sig")))
     near = pairs.where(F.col("similarity") >= threshold).select(F.col("id").alias("first_id"), F.col("other").alias("second_id"), "similarity").distinct()
     return near.unionByName(same)
 
