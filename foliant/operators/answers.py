@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.guards import injection_verdict, pii_masked, pii_matches
+from ..staging import staged
+
+#: Sources of a query that hold one word, about, in a bucket of the search for support.
+WORD_SOURCES = 4096
+#: Sources of a query that hold a word which is looked up before all others.
+RARE = 64
 
 #: Agents and the words that point to them, in order of precedence on a tie.
 ROSTER = (
@@ -127,12 +133,54 @@ def claims(answers: DataFrame) -> DataFrame:
     return rows.where(F.size("words") >= 4)
 
 
+def _word_set(words: Column) -> list[Column]:
+    """The words in order, and a digest that names the set."""
+    return [F.array_sort(words).alias("set"), F.md5(F.array_join(F.array_sort(words), " ").cast("binary")).alias("named")]
+
+
+def supported_sets(claimed: DataFrame, sources: DataFrame, least: float) -> DataFrame:
+    """(query_id, named) of the claims' word sets of which a source of their query holds the share ``least``.
+
+    Both tables have query_id, set and named, each set once.  Of a set of m words that must
+    share t, one of any m - t + 1 is shared: only its rarest so many words are looked up in the
+    sources, a source that has one is compared in full.  Words that few sources have are looked up
+    first, others only for the sets that are still unsupported; their rows are dealt over buckets.
+    """
+    held = sources.select("query_id", "named", F.explode("set").alias("word"))
+    df = staged(held.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("df")), "words")
+    needed = F.greatest(F.ceil(F.size("set") * F.lit(least) - 1e-9), F.lit(1))
+    words = claimed.select("query_id", "named", (F.size("set") - needed + 1).alias("first"), F.explode("set").alias("word"))
+    rare = Window.partitionBy("query_id", "named").orderBy(F.coalesce("df", F.lit(0)), "word")
+    prefix = words.join(df, ["query_id", "word"], "left").withColumn("nth", F.row_number().over(rare)).where("nth <= first and df is not null")
+    prefix = staged(prefix.select("query_id", "word", "named", "df"), "prefix")
+    held = held.join(df, ["query_id", "word"]).withColumn("bucket", F.pmod(F.xxhash64("named"), F.floor(F.col("df") / WORD_SOURCES) + 1).cast("int"))
+    rare, often = F.col("df") <= RARE, F.col("df") > RARE
+    found = None
+    for tier in (rare, often):  # what few sources can tell is told first
+        asked = prefix.where(tier) if found is None else prefix.where(tier).join(found, ["query_id", "named"], "left_anti")
+        asked = asked.select("query_id", "word", "named", F.explode(F.sequence(F.lit(0), F.floor(F.col("df") / WORD_SOURCES).cast("int"))).alias("bucket"))
+        pairs = asked.join(held.where(tier).select("query_id", "word", "bucket", F.col("named").alias("source")), ["query_id", "word", "bucket"])
+        pairs = pairs.select("query_id", "named", "source").distinct().join(claimed, ["query_id", "named"])
+        met = pairs.join(sources.select("query_id", F.col("named").alias("source"), F.col("set").alias("source_set")), ["query_id", "source"])
+        good = met.where(F.size(F.array_intersect("set", "source_set")) / F.size("set") >= least).select("query_id", "named").distinct()
+        found = staged(good if found is None else found.unionByName(good), "supported")
+    return found
+
+
 def groundedness(answers: DataFrame, sources: DataFrame, least: float = 0.5) -> DataFrame:
-    """(query_id, supported, unsupported, score, passed); ``sources`` has query_id and text."""
-    said = sources.select("query_id", T.grounded_words("text").alias("source_words"))
-    support = F.max(F.size(F.array_intersect("words", "source_words")) / F.size("words"))
-    checked = claims(answers).join(said, "query_id", "left").groupBy("query_id", "n").agg(F.coalesce(support, F.lit(0.0)).alias("support"))
-    per = checked.groupBy("query_id").agg(F.count_if(F.col("support") >= least).alias("supported"), F.count_if(F.col("support") < least).alias("unsupported"))
+    """(query_id, supported, unsupported, score, passed); ``sources`` has query_id and text.
+
+    A claim is supported if one source holds the share ``least`` of its words.  Claims and sources with the same words count once.
+    """
+    claimed = staged(claims(answers).select("query_id", *_word_set(F.col("words"))).groupBy("query_id", "named").agg(F.first("set").alias("set"), F.count(F.lit(1)).alias("n")), "claims")
+    said = staged(sources.select("query_id", *_word_set(T.grounded_words("text"))).where(F.size("set") > 0).dropDuplicates(["query_id", "named"]), "sources")
+    if least > 0:
+        good = supported_sets(claimed.select("query_id", "named", "set"), said, least).withColumn("good", F.lit(True))
+        checked = claimed.join(good, ["query_id", "named"], "left")
+    else:
+        checked = claimed.withColumn("good", F.lit(True))
+    n = F.coalesce(F.sum(F.when(F.coalesce("good", F.lit(False)), F.col("n"))), F.lit(0))
+    per = checked.groupBy("query_id").agg(n.alias("supported"), (F.sum("n") - n).alias("unsupported"))
     rows = answers.select("query_id").join(per, "query_id", "left").na.fill(0, ["supported", "unsupported"])
     score = F.coalesce(F.bround(F.try_divide(F.col("supported").cast("double"), F.col("supported") + F.col("unsupported")), 3), F.lit(1.0))
     return rows.withColumns({"score": score, "passed": F.col("unsupported") == 0})

@@ -161,7 +161,7 @@ def _texts(order: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["text"]), "\n\n")
 
 
-CHUNK = "doc_id long, chunk_index int, text string, token_count int, keep_whole boolean, heading_path array<string>, pages array<int>, element_types array<string>"
+CHUNK = ("doc_id", "chunk_index", "text", "token_count", "keep_whole", "heading_path", "pages", "element_types")
 
 
 def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MIN_CHUNK, similar=cohesion) -> DataFrame:
@@ -193,7 +193,7 @@ def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MI
         F.min_by("heading_path", F.struct("group", "part")).alias("heading_path"), F.collect_set("pages").alias("pages"), F.collect_set("element_types").alias("element_types"),
     )
     merged = {c: F.array_sort(F.array_distinct(F.flatten(c))) for c in ("pages", "element_types")}
-    return made.withColumns(merged).select(*[f.split()[0] for f in CHUNK.split(", ")])
+    return made.withColumns(merged).select(*CHUNK)
 
 
 def _split_chunks(docs: DataFrame, cut, tokenizer=token_spans) -> DataFrame:

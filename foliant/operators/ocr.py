@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_GAP, BLOCK_GAP, TABLE_SHARE, LOW_CONFIDENCE = 1.5, 1.8, 0.6, 60.0
-LINED = "doc_id long, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
+LINED = "page int, line int, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
 #: Patterns of receipt fields in order of preference; the group is the value.
 FIELDS = {
@@ -32,6 +32,11 @@ def receipt_field(text: Column, name: str) -> Column:
     return F.coalesce(*[F.when(F.size(m) > 0, F.element_at(m, -1 if name == "total" else 1)) for m in found])
 
 
+def _with_id(rows: DataFrame, fields: str) -> str:
+    """Fields after a doc_id of the type that ``rows`` has."""
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {fields}"
+
+
 def usable(words: DataFrame) -> DataFrame:
     return words.where((F.trim("text") != "") & (F.col("confidence") >= 0))
 
@@ -48,9 +53,9 @@ def lines(words: DataFrame) -> DataFrame:
             centres.append(centre)
             heights.append(height)
             out.append(number)
-        return rows.assign(line=out)[[f.split()[0] for f in LINED.split(", ")]]
+        return rows.assign(line=out)[["doc_id", *(f.split()[0] for f in LINED.split(", "))]]
 
-    return usable(words).groupBy("doc_id", "page").applyInPandas(fold, LINED)
+    return usable(words).groupBy("doc_id", "page").applyInPandas(fold, _with_id(words, LINED))
 
 
 def cells(lined: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def table_rows(lined: DataFrame) -> DataFrame:
             out.append({"doc_id": own["doc_id"].iloc[0], "page": own["page"].iloc[0], "block": own["block"].iloc[0], "line": line, "cells": [cell.get(i, "") for i in range(len(centres))]})
         return pd.DataFrame(out)
 
-    return rows.groupBy("doc_id", "page", "block").applyInPandas(align, "doc_id long, page int, block long, line int, cells array<string>")
+    return rows.groupBy("doc_id", "page", "block").applyInPandas(align, _with_id(lined, "page int, block long, line int, cells array<string>"))
 
 
 def confidence(words: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions import text as T
-from ..staging import new_folder
+from ..staging import new_folder, staged
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -82,7 +82,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
     blocks = -(-asked.count() // TERM_BLOCK)
     folder = new_folder(spark, "bm25")
     if blocks <= 1:
-        return ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score")
+        return staged(ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score"), "hits")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
     numbered = spark.read.parquet(f"{folder}/asked")
     for i in range(blocks):
@@ -175,14 +175,16 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return q[held], doc[held]
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """Exact top k by cosine.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, filters: dict | None = None) -> DataFrame:
+    """Exact top k by cosine among the vectors that the filters match; ids are of any type.
 
     A block of query vectors is broadcast; each task multiplies its batches with it
     and keeps its own k best per query, so little more than the result is shuffled.
     Several blocks take turns: the driver holds one, and its hits are written before the next.
     """
     asked = queries.select("query_id", "vector")
+    if filters:
+        vectors = vectors.where(metadata_filter(filters))
     blocks = -(-asked.count() // QUERY_BLOCK)
     if blocks <= 1:
         return ranked(_best_of_block(asked, vectors, k, id_col, vector, exclude_self)[0], k).select("query_id", "rank", "id", "score")
@@ -205,20 +207,26 @@ def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
+        asked_ids = np.array(ids)
         for batch in batches:
             if not len(batch) or not ids:
                 continue
-            own = batch["id"].to_numpy()
-            score = np.round(matrix @ _unit(np.array(batch["v"].tolist(), np.float64)).T, 6) + 0.0
-            if exclude_self:
-                score[np.array(ids)[:, None] == own[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            found = pd.DataFrame({"query_id": np.array(ids)[q], "id": own[order.ravel()], "score": score[q, order.ravel()]})
-            yield found[np.isfinite(found["score"])]
+            at_once = max(1, SCORES // len(ids))
+            for first in range(0, len(batch), at_once):
+                part = batch.iloc[first : first + at_once]
+                own = part["id"].to_numpy()
+                score = np.round(matrix @ _unit(np.array(part["v"].tolist(), np.float64)).T, 6) + 0.0
+                if exclude_self:
+                    score[asked_ids[:, None] == own[None, :]] = -np.inf
+                place = np.unique(own, return_inverse=True)[1]
+                order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+                q = np.repeat(np.arange(len(ids)), order.shape[1])
+                found = pd.DataFrame({"query_id": asked_ids[q], "id": own[order.ravel()], "score": score[q, order.ravel()]})
+                yield found[np.isfinite(found["score"])]
 
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
-    return rows.mapInPandas(best, "query_id long, id long, score double"), shared
+    schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("id", rows.schema["id"].dataType).add("score", "double")
+    return rows.mapInPandas(best, schema), shared
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -249,9 +257,9 @@ def normalized(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("score") / F.when(best != 0, best).otherwise(1.0), 4))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 8, candidates: int = 50) -> DataFrame:
-    """BM25 and vectors, 50 candidates each, fused and normalized."""
-    legs = {"bm25": bm25(queries, docs, candidates), "dense": vector_topk(query_vectors, vectors, candidates)}
+def hybrid(queries: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, k: int = 8, candidates: int = 50, filters: dict | None = None) -> DataFrame:
+    """BM25 and vectors, 50 candidates each, fused and normalized; the filters hold on either leg, so both tables have their columns."""
+    legs = {"bm25": bm25(queries, docs, candidates, filters=filters), "dense": vector_topk(query_vectors, vectors, candidates, filters=filters)}
     return normalized(fuse(legs, k))
 
 
