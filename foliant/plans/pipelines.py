@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..functions import text as T
 from ..functions.vectors import hash_embedding
 from ..operators import answers as A
-from ..operators import chunking, cleaning, evaluation, graph, retrieval, stores
+from ..operators import chunking, cleaning, evaluation, graph, recognition, retrieval, stores
+from ..sources import files as scan
 from ..staging import staged
 
 
@@ -115,3 +118,62 @@ def evaluate_answers(cases: DataFrame, answered: DataFrame, hits: DataFrame) ->
 def report_json(report: DataFrame) -> DataFrame:
     """(value): each row as JSON, to write as text."""
     return report.select(F.to_json(F.struct("*")).alias("value"))
+
+
+#: Kinds of files without text of their own, for which a recognition engine is asked.
+SCANNED = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")
+
+
+def ingest(spark: SparkSession, folder: str, versions_path: str, parsers: dict | None = None, make_engine=None, render=None, clean: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scan, recognise, clean and register a folder: elements, one row of metadata per file, cleaning counters.
+
+    Files of a scanned kind that have no text (or no parser) go through ``make_engine``'s engine, page by
+    page as ``render`` cuts them (bytes to a list of page images; the file itself is the page without
+    it).  ``warnings`` tells of each file what was recovered, unsure or impossible; a file that can't be
+    read keeps its ``error``.  Versions are numbered over all uploads that ``versions_path`` has seen, by file name and digest.
+    """
+    files = staged(scan.scan(spark, folder, parsers), "files")
+    empty = files.where(F.col("ext").isin(*SCANNED) & (F.coalesce(F.size("elements"), F.lit(0)) == 0)).select(F.col("path").alias("doc_id"))
+    named = scan.explode_elements(files.where("error is null"), "path").withColumnRenamed("path", "doc_id").drop("extra")
+    notes = empty.withColumns({"warnings": F.array(F.lit("no text, and no recognition engine")), "recovered": F.lit(False)})
+    if make_engine is not None:
+
+        @F.pandas_udf("array<binary>")
+        def pages(contents: pd.Series) -> pd.Series:
+            return contents.map(lambda data: [bytes(data)] if render is None else [bytes(p) for p in render(bytes(data))])
+
+        content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("doc_id"), "content")
+        scanned = content.join(empty, "doc_id", "left_semi").select("doc_id", F.posexplode(pages("content")).alias("page", "content")).withColumn("page", F.col("page") + 1)
+        found, counts = recognition.recognised(scanned, make_engine)
+        found, counts = staged(found, "recognised"), staged(counts, "recognised")
+        named = named.unionByName(found.select(named.columns))
+        told = [F.when(F.col("words") > 0, F.lit("text recovered by recognition")), F.when(F.col("low"), F.concat(F.lit("low confidence: "), F.col("confidence").cast("string"))), F.when(F.col("errors") > 0, F.concat(F.col("errors").cast("string"), F.lit(" pages failed"))), F.when(F.col("words") == 0, F.lit("no word was recognised"))]
+        notes = counts.select("doc_id", F.array_compact(F.array(*told)).alias("warnings"), (F.col("words") > 0).alias("recovered"))
+    kept, stats = cleaning.clean(named) if clean else (named, None)
+    known = tables.manifest(spark, versions_path)
+    batch = known["version"] + 1
+    fresh = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("document_key"), "sha256", F.struct(F.lit(batch).alias("batch"), "modified", "path").alias("seq"))
+    uploads = fresh if batch == 1 else tables.load(spark, versions_path).unionByName(fresh)
+    tables.save(uploads, versions_path)
+    numbered = stores.versions(tables.load(spark, versions_path)).where(F.col("seq.batch") == batch).select(F.col("seq.path").alias("path"), "version", "is_duplicate", "is_new_version")
+    described = scan.document_metadata(files).join(files.select("path", "error"), "path").join(numbered, "path").join(notes.withColumnRenamed("doc_id", "path"), "path", "left")
+    described = described.withColumns({"warnings": F.coalesce("warnings", F.array().cast("array<string>")), "error": F.when(~F.coalesce("recovered", F.lit(False)), F.col("error"))}).drop("recovered")
+    return kept, described, stats
+
+
+def messages(questions: DataFrame, answered: DataFrame) -> DataFrame:
+    """What a conversation keeps of ``ask``, for ``memory.append_messages``: (conv_id, turn, role, text) of each question and its answer.
+
+    ``questions`` has query_id, conv_id and text; a refused question is kept without an answer, an answer as it was masked.
+    Turns count within these questions, in the order of query_id.
+    """
+    both = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("said")), F.struct(F.lit("assistant").alias("role"), F.col("masked").alias("said")))
+    rows = questions.join(answered.select("query_id", "masked"), "query_id", "left").select("conv_id", "query_id", F.posexplode(both).alias("part", "m")).where("m.said is not null")
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("query_id", "part"))
+    return rows.select("conv_id", turn.alias("turn"), "m.role", F.col("m.said").alias("text"))
+
+
+def usage(answered: DataFrame, model: str) -> DataFrame:
+    """Tokens and cost of ``ask``'s answers by agent."""
+    rows = A.cost(answered.select("agent_id", F.lit(model).alias("model"), "prompt_tokens", "completion_tokens"))
+    return rows.groupBy("agent_id", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum("usd"), 6).alias("usd"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
+import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -35,17 +37,70 @@ def element(kind: str, text: str, position: int | None = None, level: int | None
     return {"type": kind, "text": text, "position": position, "level": level, "extra": {k: str(v) for k, v in extra.items()}}
 
 
-def decode(data: bytes) -> str:
-    """UTF-8, or Western European where that fails; Unix line ends."""
+#: Byte order marks, and single-byte code pages that are told apart by what they make of a text.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe\x00\x00": "utf-32", b"\x00\x00\xfe\xff": "utf-32", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+PAGES = ("cp1252", "cp1250", "cp1251", "koi8_r", "cp1253", "iso8859_7")
+
+
+def _plausible(text: str) -> float:
+    """How much a text looks like words: letters beyond ASCII of one script that stand as they do in it, less what seldom occurs."""
+    score = 0.0
+    for before, c, after in zip(" " + text, text, text[1:] + " ", strict=False):
+        if ord(c) < 128:
+            continue
+        kind = unicodedata.category(c)
+        if kind[0] != "L":
+            score -= 1.5 if kind[0] in "CS" else 0.5 if kind[0] != "P" else 0.2
+            continue
+        latin = ord(c) < 0x250
+        near_latin = any(x.isascii() and x.isalpha() for x in (before, after))
+        if latin:  # an accented letter stands among plain ones
+            score += 1.0 if near_latin else -0.3 if before.isalpha() else 0.3
+        else:  # letters of another script stand among their like
+            score += -1.0 if near_latin else 1.0 if before.isalpha() else 0.4
+        score -= 0.4 if c in SELDOM else 0.0
+        if before.isalpha() and before.islower() and c.isupper():
+            score -= 1.5
+    return score
+
+
+#: Letters that seldom occur in the languages of these code pages.
+SELDOM = "ŔŕĹĺŐőÐÞÝðþýЂЃѓЉЊЌЋЏђљњќћџЎўЈҐґΐΰ"
+#: Bytes by which a code page is chosen; the whole text is decoded by it.
+TRIED = 65_536
+
+
+def detect(data: bytes) -> str:
+    """The character set of a text: by its mark, UTF-8 if it is valid, UTF-16 by its zero bytes, else the code page that makes most sense."""
+    for mark, name in MARKS.items():
+        if data.startswith(mark):
+            return name
     try:
-        text = data.decode("utf-8-sig")
+        data.decode("utf-8")
+        if b"\0" not in data:
+            return "utf-8"
     except UnicodeDecodeError:
-        text = data.decode("cp1252", "replace")
-    return text.replace("\r\n", "\n").replace("\r", "\n")
+        pass
+    sample = data[:TRIED]
+    zeros = [sample[k::2].count(0) / max(1, len(sample[k::2])) for k in (0, 1)]
+    if max(zeros) > 0.2 and min(zeros) < 0.05:
+        return "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
+    tried = [(_plausible(sample.decode(page, "replace")), -i, page) for i, page in enumerate(PAGES)]
+    return max(tried)[2]
+
+
+def decode(data: bytes, charset: str | None = None) -> str:
+    """A text in its character set, Unix line ends."""
+    return data.decode(charset or detect(data), "replace").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def parse_text(data: bytes) -> list[Element]:
-    return [element("paragraph", p.strip()) for p in decode(data).split("\n\n") if p.strip()]
+    """Paragraphs; the first one names the character set unless it is UTF-8."""
+    charset = detect(data)
+    found = [element("paragraph", p.strip()) for p in decode(data, charset).split("\n\n") if p.strip()]
+    if found and not charset.startswith("utf-8"):
+        found[0]["extra"] = {"charset": charset}
+    return found
 
 
 class _Html(HTMLParser):
@@ -168,6 +223,7 @@ def parse_csv(data: bytes) -> list[Element]:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _cells(table, row: str, cell: str, text: str) -> str:
@@ -179,6 +235,7 @@ def parse_docx(data: bytes) -> list[Element]:
     """The body in order: headings by style, list items, paragraphs, tables."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        core = _core(z)
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     for node in body if body is not None else ():
         if node.tag == f"{_W}tbl":
@@ -195,34 +252,79 @@ def parse_docx(data: bytes) -> list[Element]:
                 out.append(element("heading", text, level=int(level[1]) if level else 1))
             else:
                 out.append(element("list_item" if style.startswith("list") else "paragraph", text))
-    return out
+    return _described(out, core)
+
+
+def _core(archive: zipfile.ZipFile) -> dict[str, str]:
+    """Title, author and times of an office file."""
+    if "docProps/core.xml" not in archive.namelist():
+        return {}
+    named = {"title": "title", "creator": "author", "created": "created", "modified": "modified"}
+    root = ElementTree.fromstring(archive.read("docProps/core.xml"))
+    found = {named[tag]: (node.text or "").strip() for node in root.iter() if (tag := node.tag.rpartition("}")[2]) in named}
+    return {k: v for k, v in found.items() if v}
+
+
+def _described(found: list[Element], core: dict[str, str]) -> list[Element]:
+    """Elements, of which the first tells the file's own properties."""
+    if found and core:
+        found[0]["extra"] = found[0]["extra"] | core
+    return found
+
+
+def _related(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, target part) by id of the parts that a part refers to."""
+    folder, name = posixpath.split(part)
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in archive.namelist():
+        return {}
+    return {r.get("Id"): (r.get("Type", "").rpartition("/")[2], posixpath.normpath(posixpath.join("/", folder, r.get("Target", ""))).lstrip("/")) for r in ElementTree.fromstring(archive.read(rels))}
+
+
+def _slides(archive: zipfile.ZipFile) -> list[str]:
+    """The slides' parts in the order of the presentation; by number where it doesn't list them."""
+    names = set(archive.namelist())
+    if "ppt/presentation.xml" in names:
+        parts = _related(archive, "ppt/presentation.xml")
+        listed = [parts.get(s.get(f"{_R}id"), ("", ""))[1] for s in ElementTree.fromstring(archive.read("ppt/presentation.xml")).iter(f"{_P}sldId")]
+        if listed and all(n in names for n in listed):
+            return listed
+    numbered = [(int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))]
+    return [n for _, n in sorted(numbered)]
+
+
+def _paragraphs(node) -> str:
+    return "\n".join(t for p in node.iter(f"{_A}p") if (t := "".join(x.text or "" for x in p.iter(f"{_A}t")).strip()))
+
+
+def _notes(root) -> str:
+    """The text of a notes page's body; its other shapes repeat the slide's number or picture."""
+    bodies = [s for s in root.iter(f"{_P}sp") if any(h.get("type") == "body" for h in s.iter(f"{_P}ph"))]
+    return "\n".join(t for s in bodies if (t := _paragraphs(s))) if bodies else _paragraphs(root)
 
 
 def parse_pptx(data: bytes) -> list[Element]:
-    """Per slide: title, bodies and tables, speaker notes."""
+    """Per slide, in the order of the presentation: title, bodies and tables, and the notes that belong to it."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        slides = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-        for number, name in slides:
+        core = _core(z)
+        for number, name in enumerate(_slides(z), 1):
             root = ElementTree.fromstring(z.read(name))
             for shape in root.iter():
                 if shape.tag == f"{_A}tbl":
                     text, kind = _cells(shape, f"{_A}tr", f"{_A}tc", f"{_A}t"), "table"
                 elif shape.tag == f"{_P}sp":
-                    text = "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in shape.iter(f"{_A}p")).strip()
                     holder = next(iter(shape.iter(f"{_P}ph")), None)
                     kind = "slide_title" if holder is not None and holder.get("type") in ("title", "ctrTitle") else "slide_body"
+                    text = _paragraphs(shape)
                 else:
                     continue
                 if text:
                     out.append(element(kind, text, number, 1 if kind == "slide_title" else None))
-            notes = f"ppt/notesSlides/notesSlide{number}.xml"
-            if notes in names:
-                text = "\n".join("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in ElementTree.fromstring(z.read(notes)).iter(f"{_A}p")).strip()
-                if text:
+            for kind, part in _related(z, name).values():
+                if kind == "notesSlide" and part in z.namelist() and (text := _notes(ElementTree.fromstring(z.read(part)))):
                     out.append(element("speaker_notes", text, number))
-    return out
+    return _described(out, core)
 
 
 PARSERS: dict[str, Parser] = {

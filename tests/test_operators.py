@@ -252,7 +252,7 @@ def test_parsers():
     assert [(e["type"], e["text"], e["level"]) for e in docx] == [("heading", "H", 2), ("paragraph", "P", None), ("table", "a | b", None)]
     ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
     shape = lambda kind, t: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
-    pptx = files.parse_pptx(office({"ppt/slides/slide1.xml": f"<p:sld {ns}>{shape('title', 'T')}{shape('body', 'B')}</p:sld>", "ppt/notesSlides/notesSlide1.xml": f"<p:notes {ns}>{shape('body', 'N')}</p:notes>"}))
+    pptx = files.parse_pptx(office({"ppt/slides/slide1.xml": f"<p:sld {ns}>{shape('title', 'T')}{shape('body', 'B')}</p:sld>", "ppt/slides/_rels/slide1.xml.rels": '<Relationships><Relationship Id="rId1" Type="http://x/notesSlide" Target="../notesSlides/notesSlide9.xml"/></Relationships>', "ppt/notesSlides/notesSlide9.xml": f"<p:notes {ns}>{shape('sldNum', '1')}{shape('body', 'N')}</p:notes>"}))
     assert [(e["type"], e["text"], e["position"]) for e in pptx] == [("slide_title", "T", 1), ("slide_body", "B", 1), ("speaker_notes", "N", 1)]
 
 
