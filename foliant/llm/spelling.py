@@ -13,7 +13,7 @@ together by band and length and sorted; in each group arrays of masks are compar
 most two flipped bits are verified letter by letter, and only true pairs leave.  A
 pair is given by its first equal band, so it appears once.  Groups with more than
 ``BUCKET`` words are dealt over buckets: a word lies in one of them and is compared in
-each, in blocks, so a task holds one bucket and one block.
+others, in blocks, so a task holds one bucket and one block.
 
 Forms: a word's form is its near word of largest count, if that is at least ``LEAD``
 times its own; roots are found by doubling the steps along forms, whose counts grow
@@ -45,9 +45,9 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 #: Different words that a task counts before it passes the counts on; words in a bucket of a join key.
 HELD, BUCKET = 200_000, 2048
 #: Bits of a band; pairs of masks, or letters of pairs, that are compared at once.
-BAND, CELLS = 21, 1 << 20
+BAND, CELLS, BLOCK_CELLS = 21, 1 << 20, 1 << 17
 #: Pairs of a group from which it is compared by itself.
-LARGE = 1 << 14
+LARGE = 1 << 11
 #: How often a form must be as frequent as the word that it leads.
 LEAD = 2
 
@@ -143,12 +143,29 @@ def _few(groups: np.ndarray, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarra
         yield i[held], j[held]
 
 
-def _many(start: int, probe: int, end: int, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Alike pairs of one large group, block by block."""
-    own, most = rows["mask"][start:probe], 1 if rows["longer"][start] else 2
-    step = max(1, CELLS // len(own))
+def _codes(rows: dict) -> np.ndarray:
+    """32 bits of what may differ within a row's group: two bands side by side (their seldom ends on one another), or the one that isn't equal."""
+    value = lambda k: rows["mask"] >> (BAND * k) & np.int64((1 << BAND) - 1)
+    bands = np.stack([value(k) for k in (0, 1, 2)])
+    at, here = rows["band"], np.arange(len(rows["band"]))
+    both = bands[(at + 1) % 3, here] ^ (bands[(at + 2) % 3, here] << 11)
+    return np.where(rows["longer"] == 1, bands[at, here], both).astype(np.uint32)
+
+
+def _many(start: int, probe: int, end: int, rows: dict, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike pairs of one large group, block by block; words of one length are compared with those of lower rank."""
+    own, longer, one = codes[start:probe], rows["longer"][start] == 1, np.uint32(1)
+    step = max(1, BLOCK_CELLS // len(own))
     for at in range(probe, end, step):
-        i, j = np.nonzero(np.bitwise_count(own[:, None] ^ rows["mask"][None, at : min(end, at + step)]) <= most)
+        upto = min(end, at + step)
+        n = len(own) if longer else int(np.searchsorted(rows["rank"][start:probe], rows["rank"][upto - 1]))
+        if not n:
+            continue
+        flips = codes[at:upto, None] ^ own[None, :n]
+        flips &= flips - one  # the lowest bit goes
+        if not longer:
+            flips &= flips - one
+        j, i = np.divmod(np.flatnonzero(flips == 0), n)
         held = _alike(i + start, j + at, rows)
         yield i[held] + start, j[held] + at
 
@@ -169,7 +186,7 @@ def _verified(i: np.ndarray, j: np.ndarray, rows: dict, words: np.ndarray) -> It
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, other_n), both ways: the words that one insertion, deletion or replacement of a letter tells apart."""
-    rows = staged(words.select("word", "n", F.char_length("word").alias("len"), parity_mask("word").alias("mask"), F.xxhash64("word").alias("rank")), "masks")
+    rows = staged(words.select("word", "n", F.char_length("word").alias("len"), parity_mask("word").alias("mask"), F.xxhash64("word").bitwiseAND(F.lit((1 << 63) - 1)).alias("rank")), "masks")
     value = lambda k: F.shiftright("mask", BAND * k).bitwiseAND(F.lit((1 << BAND) - 1))
     one = lambda side: [F.struct(F.lit(0).alias("longer"), F.lit(k).alias("band"), value(k).alias("value"), F.col("len").alias("size"), F.lit(side).alias("side")) for k in range(3)]
     two = lambda side: [F.struct(F.lit(1).alias("longer"), F.lit(k).alias("band"), F.shiftleft(value((k + 1) % 3), BAND).bitwiseOR(value((k + 2) % 3)).alias("value"), (F.col("len") - side).alias("size"), F.lit(side).alias("side")) for k in range(3)]
@@ -178,9 +195,12 @@ def near_words(words: DataFrame) -> DataFrame:
     probe = rows.select(*fields, F.explode(F.array(*one(1), *two(1))).alias("k")).select(*fields, "k.*")
     parts = staged(index.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts")), "parts")
     many = parts.where("parts > 1")
-    index = index.join(many, place, "left").withColumn("bucket", F.coalesce(F.pmod(F.xxhash64("word", F.lit(1)), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    probe = probe.join(many, place, "left").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    met = index.unionByName(probe).repartition(*place, "bucket").sortWithinPartitions(*place, "bucket", "side")
+    # a bucket is a range of ranks: words of one length are compared with buckets up to their own
+    own = F.coalesce(F.shiftright(F.shiftright("rank", 32) * F.col("parts"), 31).cast("int"), F.lit(0))
+    index = index.join(many, place, "left").withColumn("bucket", own).drop("parts")
+    last = F.when(F.col("longer") == 1, F.coalesce("parts", F.lit(1)) - 1).otherwise(own)
+    probe = probe.join(many, place, "left").withColumn("bucket", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    met = index.unionByName(probe).repartition(*place, "bucket").sortWithinPartitions(*place, "bucket", "side", "rank")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n", "mask", "rank", *place, "bucket", "side")
@@ -200,7 +220,8 @@ def near_words(words: DataFrame) -> DataFrame:
             kept = ({c: rows[c][starts[-1] : probes[-1]] for c in names}, words[starts[-1] : probes[-1]])
             groups = np.stack([starts, probes, ends], axis=1)[(probes > starts) & (ends > probes)]
             large = (groups[:, 1] - groups[:, 0]) * (groups[:, 2] - groups[:, 1]) > LARGE
-            alike = chain(_few(groups[~large], rows) if (~large).any() else (), *(_many(*g, rows) for g in groups[large].tolist()))
+            codes = _codes(rows) if large.any() else None
+            alike = chain(_few(groups[~large], rows) if (~large).any() else (), *(_many(*g, rows, codes) for g in groups[large].tolist()))
             for x, y in ((x, y) for i, j in alike for x, y in _verified(i, j, rows, words)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((words[x], words[y]), (words[y], words[x]), (rows["n"][y], rows["n"][x]))], names=["word", "other", "other_n"])
 
