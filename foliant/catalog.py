@@ -207,11 +207,13 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_elements(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as paginated documents: a turn is a page."""
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("elem_idx"), F.lit("paragraph").alias("type"), "text", F.col("turn").cast("int").alias("position"), F.lit(None).cast("int").alias("level"))
+    """Conversations as paginated documents: a turn is a page, with a running head and, on most pages, a foot."""
+    text = F.concat(F.lit("Transcript of "), F.col("conv_id"), F.lit("\n"), "text", F.when(F.col("turn") % 4 != 3, F.concat(F.lit("\nPage "), F.col("turn"), F.lit(" of 99"))).otherwise(""))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("elem_idx"), F.lit("paragraph").alias("type"), text.alias("text"), F.col("turn").cast("int").alias("position"), F.lit(None).cast("int").alias("level"))
 
 
-@query(r"""with pages as (select conv_id doc_id, turn, list_filter(string_split(string_agg(text, chr(10)), chr(10)), lambda x: trim(x) <> '') l from conversations group by all),
+@query(r"""with said as (select conv_id, turn, 'Transcript of ' || conv_id || chr(10) || text || case when turn % 4 <> 3 then chr(10) || 'Page ' || turn || ' of 99' else '' end text from conversations),
+pages as (select conv_id doc_id, turn, list_filter(string_split(string_agg(text, chr(10)), chr(10)), lambda x: trim(x) <> '') l from said group by all),
 edge as (select doc_id, turn, unnest(list_distinct(list_transform(list_filter(case when len(l) <= 2 then l else list_concat(l[1:2], l[-2:]) end, lambda x: len(trim(x)) <= 80), lambda x: regexp_replace(lower(trim(x)), '[0-9]+', '#', 'g')))) fingerprint from pages),
 total as (select doc_id, count(*) n from pages group by doc_id having count(*) >= 3)
 select doc_id, fingerprint, count(*)::bigint pages from edge join total using (doc_id) group by doc_id, fingerprint, n having count(*) >= greatest(3, ceil(n * 0.6))""")
@@ -225,10 +227,12 @@ def line_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(T.line_fingerprint("line").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(r"""select lower(trim(line)) line, count(*)::bigint n from (select unnest(string_split(text, chr(10))) line from documents)
+@query(r"""select lower(trim(line)) line, count(*)::bigint n from (select unnest(string_split(text || chr(10) || case doc_id % 5 when 0 then ' Page ' || doc_id || ' of 9' when 1 then '3/14' when 2 then '-- * --' when 3 then 'CONFIDENTIAL ' else 'Confidential notes' end, chr(10))) line from documents)
 where regexp_matches(trim(line), '(?i)^page [0-9]+( of [0-9]+)?$') or regexp_matches(trim(line), '^[0-9]+ ?/ ?[0-9]+$') or regexp_matches(trim(line), '^[-_=*.·•\s]+$') or regexp_matches(trim(line), '(?i)^(confidential|draft|internal use only)$') group by 1""")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(cleaning.is_boilerplate("line"))
+    kind = F.col("doc_id") % 5
+    foot = F.when(kind == 0, F.concat(F.lit(" Page "), F.col("doc_id"), F.lit(" of 9"))).when(kind == 1, "3/14").when(kind == 2, "-- * --").when(kind == 3, "CONFIDENTIAL ").otherwise("Confidential notes")
+    lines = table(spark, d, "documents").select(F.explode(F.split(F.concat("text", F.lit("\n"), foot), "\n")).alias("line")).where(cleaning.is_boilerplate("line"))
     return lines.groupBy(F.lower(F.trim("line")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,21 +310,22 @@ def chunk_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as recognised pages: ten words a line in two columns, twenty lines a page in two blocks."""
+    """Documents as recognised pages: ten words a line in two columns, twenty lines a page in two blocks; words drift up and down and differ in height."""
     words = table(spark, d, "documents").select("doc_id", F.posexplode(T.extract("text", "[!-~]+")).alias("i", "text"))
     row, col, n = F.floor(F.col("i") % 200 / 10), F.col("i") % 10, F.char_length("text")
     x0 = (col * 50 + F.when(col >= 5, 200).otherwise(0)).cast("double")
-    y0 = (row * 30 + F.when(row >= 10, 100).otherwise(0)).cast("double")
+    drift = (F.col("i") * 7 % 13 % 7 - 3).cast("double") / 2
+    y0 = (row * 30 + F.when(row >= 10, 100).otherwise(0)).cast("double") + drift
     sure = F.when(n % 7 == 0, -1).otherwise(n * 13 % 101).cast("double")
-    return words.select("doc_id", F.floor(F.col("i") / 200).cast("int").alias("page"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 20).alias("y1"), sure.alias("confidence"))
+    return words.select("doc_id", F.floor(F.col("i") / 200).cast("int").alias("page"), "text", x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 19 + F.col("i") % 3).alias("y1"), sure.alias("confidence"))
 
 
 _OCR = """w as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 i from (select doc_id, regexp_extract_all(text, '[!-~]+') w from documents)),
 words as (select doc_id, (i // 200)::int page, (i % 10 * 50 + case when i % 10 >= 5 then 200 else 0 end)::double x0,
-  ((i % 200) // 10 * 30 + case when (i % 200) // 10 >= 10 then 100 else 0 end)::double y0, (case when length(word) % 7 = 0 then -1 else length(word) * 13 % 101 end)::double confidence from w),
-placed as (select *, (dense_rank() over (partition by doc_id, page order by y0) - 1)::int line from words where confidence >= 0),
+  (i % 200) // 10 at_row, ((i % 200) // 10 * 30 + case when (i % 200) // 10 >= 10 then 100 else 0 end)::double + ((i * 7 % 13 % 7) - 3)::double / 2 y0, 19 + i % 3 h, (case when length(word) % 7 = 0 then -1 else length(word) * 13 % 101 end)::double confidence from w),
+placed as (select *, y0 + h y1, (dense_rank() over (partition by doc_id, page order by at_row) - 1)::int line from words where confidence >= 0),
 gaps as (select *, case when x0 - lag(x0) over (partition by doc_id, page, line order by x0) - 40 > 30 then 1 else 0 end wide from placed),
-cells as (select doc_id, page, line, any_value(y0) y0, count(*)::bigint words, (1 + sum(wide))::bigint cells from gaps group by doc_id, page, line)"""
+cells as (select doc_id, page, line, min(y0) y0, max(y1) y1, count(*)::bigint words, (1 + sum(wide))::bigint cells from gaps group by doc_id, page, line)"""
 
 
 @query(f"with {_OCR} select doc_id, page, line, words, cells from cells")
@@ -330,7 +335,7 @@ def ocr_cells(spark: SparkSession, d: str) -> DataFrame:
     return ocr.cells(lined).groupBy("doc_id", "page", "line").agg(F.count(F.lit(1)).alias("cells")).join(counts, ["doc_id", "page", "line"])
 
 
-@query(f"""with {_OCR}, far as (select *, case when y0 - lag(y0) over (partition by doc_id, page order by line) - 20 > 36 then 1 else 0 end far from cells),
+@query(f"""with {_OCR}, far as (select *, case when y0 - lag(y1) over (partition by doc_id, page order by line) > 1.8 * greatest(y1 - y0, lag(y1 - y0) over (partition by doc_id, page order by line)) then 1 else 0 end far from cells),
 numbered as (select *, sum(far) over (partition by doc_id, page order by line) block from far)
 select doc_id, page, block::bigint block, case when count(*) >= 2 and count(*) filter (where cells >= 2) / count(*) >= 0.6 then 'table' else 'paragraph' end kind from numbered group by doc_id, page, block""")
 def ocr_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -454,7 +459,7 @@ def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    vertices, edges = (t.persist() for t in pipelines.build_graph(docs))  # read at every step of the walk
+    vertices, edges = (staging.staged(t, "graph") for t in pipelines.build_graph(docs))  # read at every step of the walk
     return pipelines.graph_search(asked(spark, d), docs, vertices, edges).select("query_id", "rank", "id", "score")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import staged
 
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 #: What marks an organisation, a department, and words that no person's name holds.
@@ -154,16 +155,50 @@ def search_nodes(vertices: DataFrame, term: str, limit: int | None = None) -> Da
     return found.orderBy("key").limit(limit) if limit else found
 
 
-def neighbors(seeds: DataFrame, edges: DataFrame, depth: int = 1, a: str = "source_key", b: str = "target_key") -> DataFrame:
-    """(seed, key, level) of all vertices within ``depth`` undirected steps; ``seeds`` has seed."""
+#: Edges at one vertex that a task of a step takes, about.
+HUB_EDGES = 4096
+
+
+def _steps(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(at, to, part) of all edges, both ways, staged; a hub's edges are dealt over parts."""
     both = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).unionByName(edges.select(F.col(b).alias("at"), F.col(a).alias("to"))).distinct()
-    visited = seeds.select("seed", F.col("seed").alias("key"), F.lit(0).alias("level"))
-    frontier = visited
+    both = staged(both, "steps")
+    hubs = both.groupBy("at").agg(F.floor(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("last")).where("last > 0")
+    return staged(both.join(hubs, "at", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("to"), F.col("last") + 1), F.lit(0)).cast("int")).drop("last"), "steps")
+
+
+def _walk(seeds: DataFrame, edges: DataFrame, depth: int, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """(key, block, bits, level) of all that is reached, and (seed, block, bit): 64 seeds walk as the bits of one number.
+
+    A step joins the last level with the edges and merges what arrives by bitwise or, so it costs
+    in proportion to edges and blocks of seeds, whatever the seeds have in common; each level is staged.
+    """
+    numbered = staged(seeds.select("seed").distinct().withColumn("n", F.monotonically_increasing_id()), "seeds")
+    numbered = numbered.select("seed", F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    steps = _steps(edges, a, b)
+    parts = steps.groupBy("at").agg(F.max("part").alias("last")).where("last > 0")
+    bits = F.expr("bit_or(shiftleft(1L, bit))")
+    frontier = staged(numbered.groupBy(F.col("seed").alias("key"), "block").agg(bits.alias("bits")).withColumn("level", F.lit(0)), "level")
+    visited = frontier
     for level in range(1, depth + 1):
-        stepped = frontier.select("seed", F.col("key").alias("at")).join(both, "at").select("seed", F.col("to").alias("key")).distinct()
-        frontier = stepped.join(visited, ["seed", "key"], "left_anti").withColumn("level", F.lit(level))
+        here = frontier.select(F.col("key").alias("at"), "block", "bits").join(parts, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
+        met = here.join(steps, ["at", "part"]).groupBy(F.col("to").alias("key"), "block").agg(F.bit_or("bits").alias("bits"))
+        seen = visited.groupBy("key", "block").agg(F.bit_or("bits").alias("seen"))
+        fresh = met.join(seen, ["key", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long")))))
+        frontier = staged(fresh.where("bits <> 0").select("key", "block", "bits", F.lit(level).alias("level")), "level")
         visited = visited.unionByName(frontier)
-    return visited
+    return visited, numbered
+
+
+def _named(walked: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Rows with bits as one row per seed."""
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1) = 1)"))
+    return walked.withColumn("bit", bit).drop("bits").join(numbered, ["block", "bit"]).drop("block", "bit")
+
+
+def neighbors(seeds: DataFrame, edges: DataFrame, depth: int = 1, a: str = "source_key", b: str = "target_key") -> DataFrame:
+    """(seed, key, level) of all vertices within ``depth`` undirected steps; ``seeds`` has seed."""
+    return _named(*_walk(seeds, edges, depth, a, b)).select("seed", "key", "level")
 
 
 def incident_edges(reached: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -203,12 +238,31 @@ def graph_relations(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, dep
     return found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("related"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("relations"))
 
 
-def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2, reached: DataFrame | None = None) -> DataFrame:
-    """(query_id, source): documents that the neighbourhood of a query's vertices implicates; ``reached`` if it is known."""
-    if reached is None:
-        reached = neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth)
-    touched = incident_edges(reached, edges, depth).select("seed", F.col("source_document").alias("source"))
-    nodes = reached.join(vertices.where("type = 'document'").select("key", "source"), "key").select("seed", "source")
-    per_seed = touched.unionByName(nodes).distinct()
-    return seeds.join(per_seed, seeds["key"] == per_seed["seed"]).select("query_id", "source").distinct()
+def _of_queries(rows: DataFrame, by: str, numbered: DataFrame, of_seed: DataFrame) -> DataFrame:
+    """(by, block, bits of queries) of rows (by, block, bits of seeds); ``of_seed`` has seed and the queries' q_block and q_bit."""
+    of_bit = numbered.join(of_seed, "seed").groupBy("block", "bit", "q_block").agg(F.expr("bit_or(shiftleft(1L, q_bit))").alias("q_bits"))
+    merged = rows.groupBy(by, "block").agg(F.bit_or("bits").alias("bits"))
+    single = merged.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1) = 1)")))
+    return single.join(of_bit, ["block", "bit"]).groupBy(by, F.col("q_block").alias("block")).agg(F.bit_or("q_bits").alias("bits"))
+
 
+def graph_scope(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(query_id, source): documents that the neighbourhood of a query's vertices implicates; (query_id, name): entities there beside the vertex itself.
+
+    Until the last step what a hub leads to is one row for 64 queries.
+    """
+    asked = staged(seeds.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()), "asked")
+    asked = asked.select(F.col("query_id").alias("seed"), F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    of_seed = seeds.join(asked.withColumnRenamed("seed", "query_id"), "query_id").select(F.col("key").alias("seed"), F.col("block").alias("q_block"), F.col("bit").alias("q_bit")).distinct()
+    reached, numbered = _walk(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth, "source_key", "target_key")
+    ends = edges.select(F.explode(F.array("source_key", "target_key")).alias("key"), F.col("source_document").alias("source")).distinct()
+    touched = reached.where(F.col("level") < depth).join(ends, "key").select("source", "block", "bits")
+    nodes = reached.join(vertices.where("type = 'document'").select("key", "source"), "key").select("source", "block", "bits")
+    names = reached.where("level > 0").join(vertices.where("type <> 'document'").select("key", "name"), "key").select("name", "block", "bits")
+    documents = _named(_of_queries(touched.unionByName(nodes), "source", numbered, of_seed), asked)
+    return documents.select(F.col("seed").alias("query_id"), "source"), _named(_of_queries(names, "name", numbered, of_seed), asked).select(F.col("seed").alias("query_id"), "name")
+
+
+def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, source): documents that the neighbourhood of a query's vertices implicates."""
+    return graph_scope(seeds, vertices, edges, depth)[0]

@@ -26,7 +26,7 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that one broadcast holds, about; more go in blocks.
 QUERY_BLOCK = 4096
-#: (query, term) rows that one broadcast of BM25 weights holds, about; scores held at once in a task.
+#: (query, term) rows that one broadcast of BM25 weights holds, about; scores, or their terms, held at once in a task.
 TERM_BLOCK = 1_000_000
 SCORES = 2_000_000
 
@@ -131,28 +131,37 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, starts, to, weights, avg_len = shared.value
-        at_once = max(1, SCORES // max(1, len(queries)))
         place = {q: i for i, q in enumerate(queries)}
         for batch in batches:
             batch = batch.filter(batch.column("ok"))
-            for first in range(0, len(batch), at_once):
-                part = batch.slice(first, at_once)
-                score = _scores(part, starts, to, weights, avg_len, len(queries))
+            for part in _slices(batch, starts):
+                cell, score = _scores(part, starts, to, weights, avg_len)
                 only = part.column("only").to_pylist()
                 if any(x is not None for x in only):
-                    may = np.zeros(score.shape, bool)
-                    for i, named in enumerate(only):
-                        may[[place[q] for q in named or () if q in place], i] = True
-                    score[~may] = 0
-                q, doc = _best(score, part.column("id").to_numpy(zero_copy_only=False), k)
+                    may = [place[q] * len(part) + i for i, named in enumerate(only) for q in named or () if q in place]
+                    held = np.isin(cell, np.array(may, np.int64))
+                    cell, score = cell[held], score[held]
+                q, doc, score = _best(cell, score, part.column("id").to_numpy(zero_copy_only=False), k)
                 found = pa.array([queries[i] for i in q.tolist()], to_arrow_type(hits["query_id"].dataType))
-                yield pa.RecordBatch.from_arrays([found, part.column("id").take(pa.array(doc)), pa.array(score[q, doc])], names=["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([found, part.column("id").take(pa.array(doc)), pa.array(score)], names=["query_id", "id", "score"])
 
     return index.where("ok").mapInArrow(scored, hits)
 
 
-def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: np.ndarray, avg_len: float, n_queries: int) -> np.ndarray:
-    """Rounded scores, a row for each query and a column for each document."""
+def _slices(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of documents that meet about ``SCORES`` query terms; at least one document each."""
+    codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False))))
+    met = np.concatenate(([0], np.cumsum(starts[codes + 1] - starts[codes])))[ends]
+    first = 0
+    while first < len(batch):
+        upto = max(first + 1, int(np.searchsorted(met, met[first] + SCORES, "right")) - 1)
+        yield batch.slice(first, upto - first)
+        first = upto
+
+
+def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: np.ndarray, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending cells (query times documents, plus document) that share a term, and their rounded scores."""
     length = part.column("len").to_numpy().astype(np.float64)
     codes, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "tfs"))
     doc = np.repeat(np.arange(len(length)), pc.list_value_length(part.column("codes")).to_numpy(zero_copy_only=False))
@@ -161,18 +170,20 @@ def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: n
     many = starts[codes + 1] - starts[codes]
     entry = np.repeat(starts[codes] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(codes) else np.zeros(0, np.int64)
     cell = to[entry].astype(np.int64) * len(length) + np.repeat(doc, many)
-    sums = np.bincount(cell, weights[entry] * np.repeat(gain, many), n_queries * len(length))
-    return np.round(sums.reshape(n_queries, len(length)), 6)
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each row's k best positive scores, ties by id."""
-    place = np.unique(ids, return_inverse=True)[1]
-    order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
-    q = np.repeat(np.arange(len(score)), order.shape[1])
-    doc = order.ravel()
-    held = score[q, doc] > 0
-    return q[held], doc[held]
+    cell, place = np.unique(cell, return_inverse=True)
+    return cell, np.round(np.bincount(place, weights[entry] * np.repeat(gain, many), len(cell)), 6)
+
+
+def _best(cell: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, document and score of each query's k best positive scores, ties by id."""
+    q, doc = np.divmod(cell, max(1, len(ids)))
+    held = score > 0
+    q, doc, score = q[held], doc[held], score[held]
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1][doc], -score, q))
+    q, doc, score = q[order], doc[order], score[order]
+    first = np.searchsorted(q, q)  # where each row's query begins
+    held = np.arange(len(q)) - first < k
+    return q[held], doc[held], score[held]
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, filters: dict | None = None) -> DataFrame:

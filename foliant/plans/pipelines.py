@@ -51,10 +51,9 @@ def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges
     asked = queries.select("query_id", embed(F.col("text")).alias("vector"))
     first = retrieval.vector_topk(asked, docs.select("doc_id", embed(F.col("text")).alias("embedding")), candidates, id_col="doc_id")
     seeds = staged(graph.query_seeds(queries, vertices), "seeds")
-    reached = staged(graph.neighbors(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth), "reached")
-    scope = staged(graph.graph_documents(seeds, vertices, edges, depth, reached), "scope")
-    related = reached.where("level > 0").join(vertices.where("type <> 'document'").select("key", "name"), "key").select("seed", "name")
-    names = seeds.join(related, seeds["key"] == related["seed"]).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("more"))
+    scope, related = graph.graph_scope(seeds, vertices, edges, depth)
+    scope = staged(scope, "scope")
+    names = related.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("more"))
     richer = queries.join(names, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
     second = retrieval.bm25(richer, docs, candidates, scope=scope.withColumnRenamed("source", "id"))
     return retrieval.normalized(retrieval.fuse({"vector": first, "graph": second}, k))
