@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,5 +40,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, label)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders of all tables that ``staged`` has written in this application."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, tables: list[str], needed: DataFrame) -> None:
+    """Delete these staged tables, but for those that ``needed`` reads.
+
+    For programs that have written what the tables were staged for, and read them no more.
+    """
+    bare = lambda path: path.split(":", 1)[-1].lstrip("/")
+    read = {bare(f.rsplit("/", 1)[0]) for f in needed.inputFiles()}
+    for table in tables:
+        if bare(table) not in read:
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

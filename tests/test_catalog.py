@@ -39,7 +39,7 @@ def test_equals_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).count() >= 0
+    assert all(len(r) for r in catalog.QUERIES[name](spark, SMALL).collect())  # values: test_values.py
 
 
 def test_entry(spark):

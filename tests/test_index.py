@@ -119,3 +119,15 @@ def test_dimension_is_recorded_and_enforced(spark, tmp_path):
         with pytest.raises(ValueError):
             stores.save(bad, path, vector="vector")
     assert stores.load(spark, path).count() == 2
+
+
+def test_released_tables_are_gone_but_for_what_is_read(spark):
+    from foliant import staging
+
+    before = set(staging.made(spark))
+    one, two = staging.staged(spark.range(3), "one"), staging.staged(spark.range(4), "two")
+    own = [t for t in staging.made(spark) if t not in before]
+    staging.release(spark, own, two.where("id > 0"))
+    assert two.count() == 4
+    with pytest.raises(Exception):
+        one.count()
