@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..staging import shared_dir, staged
+from ..staging import made, release, shared_dir, staged
 
-__all__ = ["held_by_worker", "shared_dir", "staged"]
+__all__ = ["held_by_worker", "made", "release", "shared_dir", "staged"]
 
 _held: dict = {}
 
