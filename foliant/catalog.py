@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from . import staging
 from .functions import guards, vectors
 from .functions import text as T
-from .operators import answers, chunking, cleaning, dedup, evaluation, graph, lexical, memory, metrics, ocr, retrieval, stores
+from .operators import answers, chunking, cleaning, dedup, embedding, evaluation, graph, lexical, memory, metrics, ocr, recognition, retrieval, stores
 from .plans import pipelines
 from .sources import files
 
@@ -194,6 +195,13 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_groups(table(spark, d, "documents"))
 
 
+@query()
+def nearest_texts(spark: SparkSession, d: str) -> DataFrame:
+    """For every twentieth document the nearest of all others."""
+    docs = table(spark, d, "documents")
+    return dedup.nearest_registered(docs.where("doc_id % 20 = 0"), docs.where("doc_id % 20 <> 0"))
+
+
 @query()
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near_pairs(table(spark, d, "documents"))
@@ -262,13 +270,14 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return files.html_elements(table(spark, d, "pages")).select("doc_id", "elem_idx", "type", "text", "level")
 
 
-@query("""select s_nationkey, (row_number() over (partition by s_nationkey order by s_suppkey) + 1)::int line, 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name "text" from supplier""")
+@query("""select s_nationkey, (s_suppkey // 500)::bigint part, (row_number() over (partition by s_nationkey, s_suppkey // 500 order by s_suppkey) + 1)::int line, 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name "text" from supplier""")
 def csv_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A CSV file for each nation's suppliers, read as elements."""
+    """CSV files of a nation's suppliers, up to 500 each, read as elements."""
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda r: F.concat_ws(",", r["s_suppkey"].cast("string"), r["s_name"])), "\n")
-    made = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("s_suppkey,s_name\n"), line).cast("binary").alias("content"))
-    read = files.explode_elements(made.select("s_nationkey", files.elements_of(F.col("content"), F.lit(".csv"))["elements"].alias("elements")), "s_nationkey")
-    return read.where("type = 'row'").select("s_nationkey", F.col("position").alias("line"), "text")
+    rows = table(spark, d, "supplier").withColumn("part", F.floor(F.col("s_suppkey") / 500))
+    made = rows.groupBy("s_nationkey", "part").agg(F.concat(F.lit("s_suppkey,s_name\n"), line).cast("binary").alias("content"))
+    read = files.explode_elements(made.select("s_nationkey", "part", files.elements_of(F.col("content"), F.lit(".csv"))["elements"].alias("elements")), "s_nationkey", "part")
+    return read.where("type = 'row'").select("s_nationkey", "part", F.col("position").alias("line"), "text")
 
 
 @query("""select c_custkey doc_id, 0 elem_idx, 'heading' "type", c_name "text", 2 lvl from customer union all select c_custkey, 1, 'paragraph', 'Segment ' || c_mktsegment || ' & more', 0 from customer
@@ -347,6 +356,24 @@ def ocr_confidence(spark: SparkSession, d: str) -> DataFrame:
     return ocr.confidence(_words(spark, d))
 
 
+class _Reader:
+    """An engine that reads pages of plain text: lines of ten words, surer of short words."""
+
+    def recognise(self, content: bytes):
+        for i, word in enumerate(re.findall(r"[!-~]+", content.decode())):
+            x, y = 60.0 * (i % 10), 30.0 * (i // 10)
+            yield word, x, y, x + 50, y + 20, max(0.0, 100.0 - len(word))
+
+
+@query(r"""with w as (select doc_id, unnest(regexp_extract_all(text, '[!-~]+')) w from documents)
+select doc_id, count(w)::bigint words, round(avg(case when w is not null then greatest(0, 100 - length(w)) end), 1) confidence, round(avg(case when w is not null then greatest(0, 100 - length(w)) end), 1) < 60 low
+from documents left join w using (doc_id) group by doc_id""")
+def recognised_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as page images of an engine that reads plain text."""
+    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), F.col("text").cast("binary").alias("content"))
+    return recognition.recognised(pages, _Reader)[1].select("doc_id", "words", "confidence", "low")
+
+
 @query("""with h as (select l_suppkey image_id, l_quantity::int lvl, count(*) n from lineitem group by all),
 r as (select *, sum(n) over a dark, sum(n) over w total, sum(lvl * n) over a dark_mass, sum(lvl * n) over w mass from h window a as (partition by image_id order by lvl), w as (partition by image_id)),
 s as (select image_id, lvl, coalesce(dark::double * (total - dark) * power(dark_mass / dark - (mass - dark_mass) / nullif(total - dark, 0), 2), 0) v from r)
@@ -414,6 +441,19 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return stores.embed_with_cache(docs, cache, key, vectors.hash_embedding)[2]
 
 
+def _measured(texts: list[str]) -> list[list[float]]:
+    """A provider whose vectors SQL can check: characters, and spaces."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query("select doc_id, length(text)::double chars, (length(text) - length(replace(text, ' ', '')))::double spaces from documents")
+def provider_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through an embedding provider, in batches, by way of the cache."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows, _ = embedding.embed_texts(docs, _measured, staging.new_folder(spark, "cache"), embedding.cache_key(F.col("text"), "own", "measures"), waves=2)
+    return rows.select("doc_id", F.col("vector")[0].cast("double").alias("chars"), F.col("vector")[1].cast("double").alias("spaces"))
+
+
 @query(r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
 f as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from w),
 h as (select doc_id, ('0x' || substr(md5(f), 1, 8))::bigint % 384 slot, case when (instr('0123456789abcdef', substr(md5(f), 12, 1)) - 1) % 2 = 1 then 1 else -1 end s from f),

@@ -47,20 +47,20 @@ def _count(text: str) -> int:
     return sum(1 for _ in _TOKEN.finditer(text))
 
 
-def recursive_split(text: str, size: int = MAX_TOKENS, level: int = 0) -> list[str]:
-    """Split at paragraphs, lines, sentences, words, each level only where needed, and join again while it fits."""
+def recursive_split(text: str, size: int = MAX_TOKENS, level: int = 0, counted=_count) -> list[str]:
+    """Split at paragraphs, lines, sentences, words, each level only where needed, and join again while it fits; ``counted`` gives a text's tokens."""
     levels = ((lambda t: t.split("\n\n"), "\n\n"), (lambda t: t.split("\n"), "\n"), (_SENTENCE.split, " "), (lambda t: t.split(" "), " "))
     if level == 0:
         text = text.strip()
     if not text:
         return []
-    if _count(text) <= size or level == len(levels):
+    if counted(text) <= size or level == len(levels):
         return [text]
     cut, glue = levels[level]
-    small = [q for part in cut(text) if part.strip() for q in recursive_split(part, size, level + 1) if q.strip()]
+    small = [q for part in cut(text) if part.strip() for q in recursive_split(part, size, level + 1, counted) if q.strip()]
     out: list[list] = []
     for piece in small:
-        n = _count(piece)
+        n = counted(piece)
         if out and out[-1][1] + n <= size:
             out[-1][0].append(piece)
             out[-1][1] += n
@@ -209,8 +209,9 @@ def _split_chunks(docs: DataFrame, cut, tokenizer=token_spans) -> DataFrame:
     return rows.withColumns({"token_count": T.token_count("text") if tokenizer is token_spans else counted("text"), "keep_whole": F.lit(False)})
 
 
-def recursive_chunks(docs: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
-    return _split_chunks(docs, lambda t: recursive_split(t, size))
+def recursive_chunks(docs: DataFrame, size: int = MAX_TOKENS, tokenizer=token_spans) -> DataFrame:
+    """Texts split where they part; ``tokenizer`` gives a text's token spans, by which the budget counts."""
+    return _split_chunks(docs, lambda t: recursive_split(t, size, counted=lambda part: len(tokenizer(part))), tokenizer)
 
 
 def token_chunks(docs: DataFrame, size: int = MAX_TOKENS, overlap: int = OVERLAP, tokenizer=token_spans) -> DataFrame:
@@ -227,6 +228,12 @@ def chunks(docs_or_elements: DataFrame, strategy: str = "semantic", **options) -
     return made.withColumn("chunk_id", chunk_id(F.col("doc_id").cast("string"), "strategy", "chunk_index", "text"))
 
 
+def described(chunked: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Chunks with what their document's metadata say: source, title, version and sha256; ``metadata`` as ``plans.pipelines.ingest`` gives it."""
+    base = metadata.select(F.col("path").alias("doc_id"), F.col("filename").alias("source"), "title", "version", "sha256")
+    return chunked.join(base, "doc_id", "left")
+
+
 def validate(chunked: DataFrame, docs: DataFrame, least: int = 10, size: int = MAX_TOKENS, tolerance: float = 1.1, coverage: float = 0.7) -> DataFrame:
     """One row per document of ``docs``: counts of each issue, coverage, ``ok``."""
     first = F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("chunk_index")) == 1

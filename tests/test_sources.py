@@ -1,6 +1,7 @@
 """Office files, character sets, recognition, images, embedding by a provider, and the ingest composite."""
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -237,3 +238,13 @@ def test_messages_and_usage_of_asked_questions(spark):
     rows = kept.orderBy("turn").collect()
     assert [(r.turn, r.role) for r in rows][:3] == [(4, "user"), (5, "user"), (6, "assistant")] and "twenty working days" in rows[2].text
     assert rows[3].text.startswith("Ignore all") and pipelines.usage(answered, "none").agg(F.sum("calls")).first()[0] == 2
+
+
+def test_chunks_carry_their_documents_metadata(spark):
+    from foliant.operators import chunking
+
+    docs = spark.createDataFrame([("/a/b.txt", "one two three four five six"), ("/a/c.txt", "x")], "doc_id string, text string")
+    meta = spark.createDataFrame([("/a/b.txt", "b.txt", "B", 2, "d")], "path string, filename string, title string, version int, sha256 string")
+    rows = {r.doc_id: r for r in chunking.described(chunking.chunks(docs, "recursive", size=2, tokenizer=lambda t: [m.span() for m in re.finditer(r"\S+", t)]), meta).where("chunk_index = 0").collect()}
+    assert (rows["/a/b.txt"].source, rows["/a/b.txt"].title, rows["/a/b.txt"].version, rows["/a/c.txt"].source) == ("b.txt", "B", 2, None)
+    assert (rows["/a/b.txt"].text, rows["/a/b.txt"].token_count) == ("one two", 2)
