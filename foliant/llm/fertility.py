@@ -123,13 +123,18 @@ class Tokenizers:
 
     def fertility(self, text: str) -> tuple[float, float, float]:
         """Characters per token, byte-fallback share and bits of token entropy of a text that isn't empty."""
-        counts, n_pieces, n_bytes = np.zeros(self.bpe.n_vocab, np.int64), 0, 0
+        found, n_pieces, n_bytes = [], 0, 0
         for part in parts(text):
-            counts += np.bincount(self.bpe.encode_to_numpy(part, disallowed_special=()), minlength=len(counts))
-            pieces = np.array(self.pieces.encode(part), np.int64)
+            found.append(np.unique(self.bpe.encode_to_numpy(part, disallowed_special=()), return_counts=True))
+            pieces = self.pieces.encode_as_numpy(part)
             n_pieces += len(pieces)
             n_bytes += int(self.single[pieces].sum())
-        total, filled = int(counts.sum()), counts[counts > 0]
+        if len(found) == 1:
+            filled = found[0][1]
+        else:
+            counts = np.bincount(np.concatenate([ids for ids, _ in found]), np.concatenate([n for _, n in found]))
+            filled = counts[counts > 0]
+        total = int(filled.sum())
         entropy = math.log2(total) - float((filled * np.log2(filled)).sum()) / total
         return len(text) / total, n_bytes / max(1, n_pieces), max(0.0, entropy)
 
