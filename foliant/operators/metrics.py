@@ -34,12 +34,27 @@ def snapshot(observations: DataFrame, most: int = RING) -> DataFrame:
     return held.select("name", "labels", F.size("v").cast("long").alias("count"), F.round(nearest_rank(F.col("v"), 50), 3).alias("p50"), F.round(nearest_rank(F.col("v"), 95), 3).alias("p95"), F.round(F.array_max("v"), 3).alias("max"))
 
 
+def number_text(number: Column) -> Column:
+    """A double in text form: digits from 0.0001 to below 1e16, else with an exponent of two digits or more.
+
+    Spark's own cast turns to exponents at ten millions and below a thousandth.
+    """
+    cast, size = number.cast("string"), F.abs(number)
+    digits = F.regexp_replace(F.regexp_replace(cast.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.substring_index(cast, "E", -1).try_cast("int")
+    exponent = F.concat(F.regexp_replace(F.substring_index(cast, "E", 1), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    special = F.when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    return F.coalesce(special, F.when(~cast.contains("E"), cast).when((size >= 1e-4) & (size < 1e16), digits).otherwise(exponent))
+
+
 def exposition(counted: DataFrame, observed: DataFrame) -> DataFrame:
     """(line): counters, then counts and quantiles of histograms, in text form."""
     with_quantile = lambda q: F.when(F.col("labels") == "", f'{{quantile="{q}"}}').otherwise(F.concat(F.regexp_replace("labels", r"\}$", ""), F.lit(f',quantile="{q}"}}')))
     lines = [F.concat("name", F.lit("_count"), "labels", F.lit(" "), F.col("count").cast("string"))]
-    lines += [F.concat(F.col("name"), with_quantile(q), F.lit(" "), F.col(q).cast("string")) for q in ("p50", "p95")]
-    first = counted.select(F.concat("name", "labels", F.lit(" "), F.col("value").cast("string")).alias("line"))
+    lines += [F.concat(F.col("name"), with_quantile(q), F.lit(" "), number_text(F.col(q).cast("double"))) for q in ("p50", "p95")]
+    value = F.col("value")
+    value = number_text(value) if counted.schema["value"].dataType.typeName() == "double" else value.cast("string")
+    first = counted.select(F.concat("name", "labels", F.lit(" "), value).alias("line"))
     return first.unionByName(observed.select(F.explode(F.array(*lines)).alias("line")))
 
 
