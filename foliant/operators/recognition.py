@@ -2,9 +2,8 @@
 
 An engine is made by a function without arguments, once per worker, and has
 ``recognise(content: bytes)``, which gives (text, x0, y0, x1, y1, confidence) for each word
-(confidence 0 to 100, negative for none).  It is called by a table function that is joined
-laterally, so each page's words are rows beside the page.  A page on which the engine raises
-gives one row with ``error``; the others are read.
+(confidence 0 to 100, negative for none).  Tasks call it page by page and give each word as a
+row beside its page.  A page on which the engine raises gives one row with ``error``; the others are read.
 
 Preparation works on Spark's own image rows (``spark.read.format("image")`` decodes PNG
 and JPEG on the JVM): grey levels, contrast stretched over the levels that occur, small pages
@@ -19,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import ocr
 
 WORDS = "text string, x0 double, y0 double, x1 double, y1 double, confidence double, error string"
 _engines: dict = {}
+#: Words in one batch that a task gives, about.
+AT_ONCE = 20_000
 #: Pages whose longer side has fewer pixels are enlarged to it.
 LONG_EDGE = 1500
 PREPARED = "width int, height int, threshold int, pixels binary, error string"
@@ -45,24 +47,50 @@ def _recognise(make_engine: Callable, data: bytes | None) -> Iterator[tuple]:
 
 
 def words(pages: DataFrame, make_engine: Callable, content: str = "content") -> DataFrame:
-    """The words of each page: the other columns of ``pages``, then WORDS; pages without a word have no row."""
+    """The words of each page: the other columns of ``pages``, then WORDS; pages without a word have no row.
 
-    class Recognise:
-        def eval(self, data: bytes) -> Iterator[tuple]:
-            yield from _recognise(make_engine, data)
-
-    found = F.udtf(Recognise, returnType=WORDS)
+    Tasks turn batches of pages into batches of about ``AT_ONCE`` words.
+    """
     others = [c for c in pages.columns if c != content]
-    return pages.lateralJoin(found(F.col(content).outer())).select(*others, *[f.split()[0] for f in WORDS.split(", ")])
+    names = [f.split()[0] for f in WORDS.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *[pa.float64()] * 5, pa.string()]
+
+        def made(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+            place = pa.array(at, pa.int32())
+            columns = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*[batch.column(c).take(place) for c in others], *columns], names=[*others, *names])
+
+        for batch in batches:
+            data, at, found = batch.column(content), [], []
+            for i in range(batch.num_rows):
+                for word in _recognise(make_engine, data[i].as_py()):
+                    at.append(i)
+                    found.append(word)
+                    if len(found) >= AT_ONCE:
+                        yield made(batch, at, found)
+                        at, found = [], []
+            if found:
+                yield made(batch, at, found)
+
+    kinds = StructType([pages.schema[c] for c in others])
+    for name, kind in (f.split() for f in WORDS.split(", ")):
+        kinds = kinds.add(name, kind)
+    return pages.select(*others, content).mapInArrow(work, kinds)
 
 
 def recognised(pages: DataFrame, make_engine: Callable) -> tuple[DataFrame, DataFrame]:
-    """Elements of pages (doc_id, page, content) as ``ocr.elements`` gives them, and (doc_id, words, confidence, low, errors)."""
+    """Elements of pages (doc_id, page, content) as ``ocr.elements`` gives them, and (doc_id, words, confidence, low, errors).
+
+    Each of the two recognises the pages once.
+    """
     found = words(pages.select("doc_id", "page", "content"), make_engine)
-    read = found.where("error is null").drop("error")
-    sure = ocr.confidence(read)
-    counts = pages.select("doc_id").distinct().join(found.groupBy("doc_id").agg(F.count("text").alias("words"), F.count("error").alias("errors")), "doc_id", "left")
-    return ocr.elements(read), counts.na.fill(0, ["words", "errors"]).join(sure, "doc_id", "left")
+    sure = F.round(F.avg(F.when(ocr.is_usable(), F.col("confidence"))), 1)
+    counts = found.groupBy("doc_id").agg(F.count("text").alias("words"), F.count("error").alias("errors"), sure.alias("confidence"))
+    all_counts = pages.select("doc_id").distinct().join(counts, "doc_id", "left").na.fill(0, ["words", "errors"])
+    report = all_counts.select("doc_id", "words", "errors", "confidence", (F.col("confidence") < ocr.LOW_CONFIDENCE).alias("low"))
+    return ocr.elements(found.where("error is null").drop("error")), report
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
