@@ -9,6 +9,8 @@ from .evaluation import nearest_rank
 
 #: Observations that a series keeps.
 RING = 5000
+#: Rows that a task sorts, about, where the number of partitions follows the table.
+ROWS_A_TASK = 500_000
 
 
 def series_labels(labels: Column) -> Column:
@@ -75,12 +77,20 @@ def root_total(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.round(F.sum(F.when(F.col("parent").isNull(), F.col("ms"))), 3).alias("total_ms"))
 
 
-def span_tree(marks: DataFrame) -> DataFrame:
+def parts_for(rows: int) -> int:
+    """Partitions that hold about ``ROWS_A_TASK`` rows each, so that what a task sorts doesn't grow with the table."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
+def span_tree(marks: DataFrame, parts: int | None = None) -> DataFrame:
     """(trace_id, name, parent, ms, depth) of spans from their open and close marks (trace_id, seq, ts, name, opens).
 
     A span's depth is the number of open ones; its close is the next mark of that
     depth, its parent the last span opened one level up.  Times are in milliseconds.
+    The traces are dealt over ``parts`` partitions if given (``parts_for`` the number of marks), else over the session's.
     """
+    if parts is not None:
+        marks = marks.repartition(parts, "trace_id")
     along = Window.partitionBy("trace_id").orderBy("seq")
     rows = marks.withColumn("depth", F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(along) + F.when(F.col("opens"), 0).otherwise(1))
     level = Window.partitionBy("trace_id", "depth").orderBy("seq")
