@@ -8,6 +8,7 @@ what went before, two short folds run over a document's numbers, never its texts
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,8 +110,9 @@ def _numbered(step) -> Column:
     """A pandas UDF over arrays of structs that numbers each array's entries by ``step(entries)``."""
 
     @F.pandas_udf("array<int>")
-    def numbers(rows: pd.Series) -> pd.Series:
-        return rows.map(step)
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in T.slices(batches):
+            yield rows.map(step)
 
     return numbers
 
@@ -181,8 +183,9 @@ def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MI
     )
 
     @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else recursive_split(t, size))
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in T.slices(batches):
+            yield texts.map(lambda t: None if t is None else recursive_split(t, size))
 
     large = (F.col("n") > size) & ~F.col("keep_whole")
     parts = groups.withColumn("parts", split(F.when(large, F.col("text")))).withColumn("parts", F.when(large, F.col("parts")).otherwise(F.array("text")))
@@ -198,8 +201,9 @@ def semantic_chunks(elements: DataFrame, size: int = MAX_TOKENS, least: int = MI
 
 def _split_chunks(docs: DataFrame, cut, tokenizer=token_spans) -> DataFrame:
     @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut(t) if t else [])
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in T.slices(batches):
+            yield texts.map(lambda t: cut(t) if t else [])
 
     @F.pandas_udf("int")
     def counted(texts: pd.Series) -> pd.Series:

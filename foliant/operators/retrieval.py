@@ -29,6 +29,8 @@ QUERY_BLOCK = 4096
 #: (query, term) rows that one broadcast of BM25 weights holds, about; scores, or their terms, held at once in a task.
 TERM_BLOCK = 1_000_000
 SCORES = 2_000_000
+#: Words of documents that a task codes at a time.
+WORDS = 500_000
 
 
 def metadata_filter(filters: dict) -> Column:
@@ -101,7 +103,7 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(shared_terms.value, pa.string())
-        for batch in batches:
+        for batch in (part for whole in batches for part in _short(whole)):
             words = batch.column("w")
             length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
             code = pc.index_in(words.flatten(), value_set=known)
@@ -148,6 +150,16 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
     return index.where("ok").mapInArrow(scored, hits)
 
 
+def _short(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of documents that hold about ``WORDS`` words; at least one document each."""
+    upto = np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(batch):
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + WORDS, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def _slices(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of documents that meet about ``SCORES`` query terms; at least one document each."""
     codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False)
