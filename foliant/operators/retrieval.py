@@ -26,11 +26,15 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Query vectors that one broadcast holds, about; more go in blocks.
 QUERY_BLOCK = 4096
-#: (query, term) rows that one broadcast of BM25 weights holds, about; scores, or their terms, held at once in a task.
+#: (query, term) rows that one broadcast of BM25 weights holds, about; scores of vectors held at once in a task.
 TERM_BLOCK = 1_000_000
 SCORES = 2_000_000
 #: Words of documents that a task codes at a time.
 WORDS = 500_000
+#: Share of a block's queries from which a term is scored by a matrix product.
+OFTEN = 1 / 32
+#: (query, document) scores that a task holds at a time: few, so that they stay in the processor's cache.
+CELLS = 250_000
 
 
 def metadata_filter(filters: dict) -> Column:
@@ -72,7 +76,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
     those that no query has are dropped, the others' codes and counts are written as
     postings.  Scoring is a map over these with the queries' weights as a broadcast; each
     task keeps its own k best per query, so no (query, document) pair is shuffled but
-    those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows.
+    those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows; with several the
+    words are written first, for all blocks.
     """
     spark = queries.sparkSession
     asked = queries.select("query_id", F.explode(T.terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -87,6 +92,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
         return staged(ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score"), "hits")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
     numbered = spark.read.parquet(f"{folder}/asked")
+    rows = staged(rows, "words")
     for i in range(blocks):
         found = _block_scores(numbered.where(F.col("block") == i), rows, k, f"{folder}/postings-{i}")
         ranked(found, k).write.mode("append").parquet(f"{folder}/hits")
@@ -134,18 +140,30 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, starts, to, weights, avg_len = shared.value
         place = {q: i for i, q in enumerate(queries)}
+        often = _often(starts, to, weights, len(queries))
+        best = _Best(len(queries), k)
+        kind = to_arrow_type(hits["query_id"].dataType)
+
+        def rows() -> pa.RecordBatch:
+            q, ids, score = best.take()
+            return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()], kind), pa.array(ids, to_arrow_type(types["id"])), pa.array(score)], names=["query_id", "id", "score"])
+
         for batch in batches:
             batch = batch.filter(batch.column("ok"))
-            for part in _slices(batch, starts):
-                cell, score = _scores(part, starts, to, weights, avg_len)
+            at_once = max(1, CELLS // max(1, len(queries)))
+            for first in range(0, len(batch), at_once):
+                part = batch.slice(first, at_once)
+                score = _scores(part, starts, to, weights, avg_len, len(queries), often)
                 only = part.column("only").to_pylist()
                 if any(x is not None for x in only):
-                    may = [place[q] * len(part) + i for i, named in enumerate(only) for q in named or () if q in place]
-                    held = np.isin(cell, np.array(may, np.int64))
-                    cell, score = cell[held], score[held]
-                q, doc, score = _best(cell, score, part.column("id").to_numpy(zero_copy_only=False), k)
-                found = pa.array([queries[i] for i in q.tolist()], to_arrow_type(hits["query_id"].dataType))
-                yield pa.RecordBatch.from_arrays([found, part.column("id").take(pa.array(doc)), pa.array(score)], names=["query_id", "id", "score"])
+                    may = np.zeros(score.shape, bool)
+                    for i, named in enumerate(only):
+                        may[[place[q] for q in named or () if q in place], i] = True
+                    score[~may] = 0
+                best.add(score, part.column("id").to_numpy(zero_copy_only=False))
+                if best.full():
+                    yield rows()
+        yield rows()
 
     return index.where("ok").mapInArrow(scored, hits)
 
@@ -160,42 +178,87 @@ def _short(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = end
 
 
-def _slices(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Runs of documents that meet about ``SCORES`` query terms; at least one document each."""
-    codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False)
-    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False))))
-    met = np.concatenate(([0], np.cumsum(starts[codes + 1] - starts[codes])))[ends]
-    first = 0
-    while first < len(batch):
-        upto = max(first + 1, int(np.searchsorted(met, met[first] + SCORES, "right")) - 1)
-        yield batch.slice(first, upto - first)
-        first = upto
+def _often(starts: np.ndarray, to: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each term that a share ``OFTEN`` of the queries have (-1: of none), and their weights as a matrix, queries by columns."""
+    terms = np.flatnonzero(np.diff(starts) > OFTEN * n)
+    matrix = np.zeros((n, len(terms)))
+    for i, t in enumerate(terms):
+        matrix[to[starts[t] : starts[t + 1]], i] = weights[starts[t] : starts[t + 1]]
+    column = np.full(len(starts), -1)
+    column[terms] = np.arange(len(terms))
+    return column, matrix
 
 
-def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: np.ndarray, avg_len: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending cells (query times documents, plus document) that share a term, and their rounded scores."""
+def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: np.ndarray, avg_len: float, n: int, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The scores of all queries and a few documents, queries by documents; 0 where they share no term."""
     length = part.column("len").to_numpy().astype(np.float64)
     codes, tf = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "tfs"))
     doc = np.repeat(np.arange(len(length)), pc.list_value_length(part.column("codes")).to_numpy(zero_copy_only=False))
     norm = tf + K1 * (1 - B + B * (length[doc] / avg_len if avg_len else 0.0))
     gain = tf * (K1 + 1) / norm
-    many = starts[codes + 1] - starts[codes]
-    entry = np.repeat(starts[codes] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(codes) else np.zeros(0, np.int64)
-    cell = to[entry].astype(np.int64) * len(length) + np.repeat(doc, many)
-    cell, place = np.unique(cell, return_inverse=True)
-    return cell, np.round(np.bincount(place, weights[entry] * np.repeat(gain, many), len(cell)), 6)
-
-
-def _best(cell: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, document and score of each query's k best positive scores, ties by id."""
-    q, doc = np.divmod(cell, max(1, len(ids)))
-    held = score > 0
-    q, doc, score = q[held], doc[held], score[held]
-    order = np.lexsort((np.unique(ids, return_inverse=True)[1][doc], -score, q))
-    q, doc, score = q[order], doc[order], score[order]
-    first = np.searchsorted(q, q)  # where each row's query begins
-    held = np.arange(len(q)) - first < k
-    return q[held], doc[held], score[held]
+    column, matrix = often
+    met = column[codes] >= 0
+    gains = np.zeros((matrix.shape[1], len(length)))
+    gains[column[codes[met]], doc[met]] = gain[met]
+    score = matrix @ gains
+    codes, doc, gain = codes[~met], doc[~met], gain[~met]
+    many = (starts[codes + 1] - starts[codes]).astype(np.int64)
+    upto = np.cumsum(many)
+    first = 0
+    while first < len(codes):  # of the other terms about ``CELLS`` entries at a time
+        done = upto[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(upto, done + CELLS, "right")))
+        n_of = many[first:end]
+        entry = np.repeat(starts[codes[first:end]] - (upto[first:end] - n_of - done), n_of) + np.arange(n_of.sum())
+        cell = to[entry].astype(np.int64) * len(length) + np.repeat(doc[first:end], n_of)
+        np.add.at(score.reshape(-1), cell, weights[entry] * np.repeat(gain[first:end], n_of))
+        first = end
+    return score
+
+
+class _Best:
+    """The k best positive scores of each query that a task has seen, ties by id.
+
+    A score below a query's k-th best so far can't enter; what may enter is gathered and ranked
+    when there is much of it, so that few are ever sorted.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.zeros(queries)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.ranked = 0, 0
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        q, doc = np.nonzero((score >= self.floor[:, None] - 1e-6) & (score > 0))
+        rounded = np.round(score[q, doc], 6)
+        may = (rounded > 0) & (rounded >= self.floor[q])
+        if may.any():
+            self.rows.append((q[may], ids[doc[may]], rounded[may]))
+            self.held += int(may.sum())
+        if self.held - self.ranked > max(self.ranked, CELLS):
+            self.rank()
+
+    def rank(self) -> None:
+        q, ids, score = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)  # from where each row's query begins
+        last = nth == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last])
+        kept = nth < self.k
+        self.rows = [(q[kept], ids[kept], score[kept])]
+        self.held = self.ranked = int(kept.sum())
+
+    def full(self) -> bool:
+        return self.ranked > SCORES
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is held; the least scores that may enter stay."""
+        if self.rows:
+            self.rank()
+        found = self.rows[0] if self.rows else (np.zeros(0, int), np.zeros(0, object), np.zeros(0))
+        self.rows, self.held, self.ranked = [], 0, 0
+        return found
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, filters: dict | None = None) -> DataFrame:
