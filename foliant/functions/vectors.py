@@ -55,15 +55,30 @@ def cache_key(provider: str, model: str, input_type: str, text: Column | str) ->
 
 
 _WORD = re.compile("[a-z0-9]+")
+#: Features whose hashes a worker keeps, at most.
+KNOWN_FEATURES = 200_000
+
+
+class _Hashes(dict):
+    """Of a word or a word pair the first four bytes of its MD5, and the sixth's last bit beneath."""
+
+    def __missing__(self, feature: str) -> int:
+        digest = hashlib.md5(feature.encode(), usedforsecurity=False).digest()
+        made = int.from_bytes(digest[:4], "big") << 1 | (digest[5] & 1)
+        if len(self) < KNOWN_FEATURES:
+            self[feature] = made
+        return made
+
+
+_hashes = _Hashes()
 
 
 def _embed(text: str | None, dimension: int) -> np.ndarray:
     """Signed feature hashing of words and word pairs, at unit length; zero without words."""
-    vector = np.zeros(dimension)
     words = _WORD.findall((text or "").lower())
-    for feature in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-        digest = hashlib.md5(feature.encode()).digest()
-        vector[int.from_bytes(digest[:4], "big") % dimension] += 1.0 if digest[5] & 1 else -1.0
+    features = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+    coded = np.fromiter(map(_hashes.__getitem__, features), np.int64, len(features))
+    vector = np.bincount((coded >> 1) % dimension, (coded & 1) * 2.0 - 1.0, dimension)
     length = np.linalg.norm(vector)
     return (vector / length if length else vector).astype(np.float32)
 
