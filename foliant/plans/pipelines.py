@@ -87,7 +87,8 @@ def ask(questions: DataFrame, docs: DataFrame, k: int = 6, model=None) -> DataFr
     """
     screened = A.screen_input(questions)
     open_ = screened.where("verdict.allowed").select("query_id", "text")
-    hits = retrieval.bm25(open_, docs, k).join(docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source")), "id")
+    # written once: it is read six times, and a filter on its texts would be pushed below the join, onto all documents
+    hits = staged(retrieval.bm25(open_, docs, k).join(docs.select(F.col("doc_id").alias("id"), F.col("text"), F.col("source")), "id"), "hits")
     answered = A.extractive_answers(open_, hits) if model is None else prompts(open_, hits).select("query_id", model(F.col("prompt")).alias("answer"))
     out = A.screen_output(answered, hits).withColumnRenamed("score", "faithfulness")
     rows = screened.join(out, "query_id", "left")
