@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import staged
 from .dedup import fold_repeats
 
 EDGE_LINES, PAGE_SHARE, MIN_PAGES, MAX_CHROME = 2, 0.6, 3, 80
@@ -69,12 +70,13 @@ def exact_repeats(elements: DataFrame) -> DataFrame:
 
 def clean(elements: DataFrame, near: float = 0.92) -> tuple[DataFrame, DataFrame]:
     """Cleaned elements, and one row of counters per document."""
-    start = elements.withColumn("text", T.normalize_text("text"))
+    start = staged(elements.withColumn("text", T.normalize_text("text")), "normalized")  # read five times
     counted = start.groupBy("doc_id").agg(F.count(F.lit(1)).alias("elements_in"))
     stripped = strip_chrome(start.where(F.col("text") != ""))
     chrome = stripped.groupBy("doc_id").agg(F.sum("removed").alias("chrome_lines_removed"))
     full = stripped.where(F.col("text") != "").drop("removed").withColumn("boilerplate", is_boilerplate("text"))
-    judged = fold_repeats(full.where("not boilerplate").drop("boilerplate"), near, NEAR_TYPES)
+    full = staged(full, "stripped")
+    judged = staged(fold_repeats(full.where("not boilerplate").drop("boilerplate"), near, NEAR_TYPES), "judged")
     stats = counted.join(chrome, "doc_id", "left")
     stats = stats.join(full.groupBy("doc_id").agg(F.count_if("boilerplate").alias("boilerplate_dropped")), "doc_id", "left")
     fates = [F.count_if(F.col("fate") == f).alias(n) for f, n in (("exact", "exact_duplicates_dropped"), ("near", "near_duplicates_dropped"), ("kept", "elements_out"))]
