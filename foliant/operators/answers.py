@@ -126,16 +126,16 @@ def citation_rows(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.join(cited, ["query_id", "rank"], "left_semi").withColumn("excerpt", F.substring("text", 1, EXCERPT))
 
 
-def claims(answers: DataFrame) -> DataFrame:
-    """(query_id, n, claim, words): sentences with four content words or more, citations aside."""
+def claims(answers: DataFrame, *keep: str) -> DataFrame:
+    """(query_id, kept columns, n, claim, words): sentences with four content words or more, citations aside."""
     clean = F.regexp_replace("answer", r"\[[0-9]+\]", "")
-    rows = answers.select("query_id", F.posexplode(T.sentences(clean)).alias("n", "claim")).withColumn("words", T.grounded_words("claim"))
+    rows = answers.select("query_id", *keep, F.posexplode(T.sentences(clean)).alias("n", "claim")).withColumn("words", T.grounded_words("claim"))
     return rows.where(F.size("words") >= 4)
 
 
 def _word_set(words: Column) -> list[Column]:
     """The words in order, and a digest that names the set."""
-    return [F.array_sort(words).alias("set"), F.md5(F.array_join(F.array_sort(words), " ").cast("binary")).alias("named")]
+    return [F.array_sort(words).alias("set"), F.unhex(F.md5(F.array_join(F.array_sort(words), " ").cast("binary"))).alias("named")]
 
 
 def supported_sets(claimed: DataFrame, sources: DataFrame, least: float) -> DataFrame:
@@ -167,20 +167,23 @@ def supported_sets(claimed: DataFrame, sources: DataFrame, least: float) -> Data
     return found
 
 
-def groundedness(answers: DataFrame, sources: DataFrame, least: float = 0.5) -> DataFrame:
-    """(query_id, supported, unsupported, score, passed); ``sources`` has query_id and text.
+def groundedness(answers: DataFrame, sources: DataFrame, least: float = 0.5, scope: str = "query_id") -> DataFrame:
+    """(query_id, supported, unsupported, score, passed); ``sources`` has the column ``scope`` and text.
 
     A claim is supported if one source holds the share ``least`` of its words.  Claims and sources with the same words count once.
+    Answers with one ``scope`` (a conversation, say) share their sources, which are held and asked once.
     """
-    claimed = staged(claims(answers).select("query_id", *_word_set(F.col("words"))).groupBy("query_id", "named").agg(F.first("set").alias("set"), F.count(F.lit(1)).alias("n")), "claims")
-    said = staged(sources.select("query_id", *_word_set(T.grounded_words("text"))).where(F.size("set") > 0).dropDuplicates(["query_id", "named"]), "sources")
+    keys = list(dict.fromkeys(("query_id", scope)))
+    claimed = staged(claims(answers, *keys[1:]).select(*keys, *_word_set(F.col("words"))), "claims")
+    said = staged(sources.select(F.col(scope).alias("query_id"), *_word_set(T.grounded_words("text"))).where(F.size("set") > 0).dropDuplicates(["query_id", "named"]), "sources")
     if least > 0:
-        good = supported_sets(claimed.select("query_id", "named", "set"), said, least).withColumn("good", F.lit(True))
-        checked = claimed.join(good, ["query_id", "named"], "left")
+        asked = staged(claimed.select(F.col(scope).alias("query_id"), "named", "set").dropDuplicates(["query_id", "named"]), "asked")
+        good = supported_sets(asked, said, least).withColumnRenamed("query_id", scope).withColumn("good", F.lit(True))
+        checked = claimed.drop("set").join(good, [scope, "named"], "left")
     else:
         checked = claimed.withColumn("good", F.lit(True))
-    n = F.coalesce(F.sum(F.when(F.coalesce("good", F.lit(False)), F.col("n"))), F.lit(0))
-    per = checked.groupBy("query_id").agg(n.alias("supported"), (F.sum("n") - n).alias("unsupported"))
+    n = F.count_if(F.coalesce("good", F.lit(False)))
+    per = checked.groupBy("query_id").agg(n.alias("supported"), (F.count(F.lit(1)) - n).alias("unsupported"))
     rows = answers.select("query_id").join(per, "query_id", "left").na.fill(0, ["supported", "unsupported"])
     score = F.coalesce(F.bround(F.try_divide(F.col("supported").cast("double"), F.col("supported") + F.col("unsupported")), 3), F.lit(1.0))
     return rows.withColumns({"score": score, "passed": F.col("unsupported") == 0})
