@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,23 @@ ENTITY_PATTERNS = (
     ("person", re.compile(r"\b([A-Z][a-z]{2,})\s([A-Z][a-z]{2,})\b"), 0),
     ("department", re.compile(rf"\b({'|'.join(map(re.escape, DEPARTMENTS))})\b(?:\s+department)?", re.I), 1),
 )
+_SPACE, _DIGIT = r"[\s\x0b\x1c-\x1f\x85\p{Z}]", r"[0-9\x{80}-\x{10ffff}]"
+_LONGER = "|".join(d.replace("i", "[i\u0131\u0130]") for d in DEPARTMENTS if len(d) > 2)
+#: What a text must hold for each of these patterns to find something, for Arrow's regular expressions (linear, on bytes).
+#: They ask for less, never for more: where Unicode tables may differ, any character beyond ASCII will do.
+ENTITY_SIGNS = (
+    r"@\S+\.",
+    rf"[$€£]{_SPACE}?{_DIGIT}|(?:{_DIGIT}|,){_SPACE}?(?:USD|EUR|GBP|PKR)",
+    rf"{_DIGIT}{{4}}-{_DIGIT}{{2}}-{_DIGIT}{{2}}|{_DIGIT}{{1,2}}[/.]{_DIGIT}{{1,2}}[/.]{_DIGIT}{{2}}|(?:^|[^a-zA-Z])(?i:{MONTHS})[a-zA-Z\x{{80}}-\x{{10ffff}}]*{_SPACE}+{_DIGIT}",
+    rf"[A-Z]\S*{_SPACE}(?:{ORG_ENDINGS})",
+    rf"(?:Mr|Ms|Mrs|Dr|Prof)\.?{_SPACE}+[A-Z][a-z]",
+    rf"[A-Z][a-z]{{2,}}{_SPACE}[A-Z][a-z]{{2}}",
+    rf"(?i:{_LONGER})|HR|[I\x{{130}}]T",
+)
+#: Letters that a pattern takes for i and s, case aside; a dotted capital I is lower-cased to an i and a dot.
+_ODD_LETTERS = {0x131: "i", 0x17F: "s", 0x307: None}
+#: With ``compat`` two letters name a department in any case.
+_SHORTER = r"(?i:hr|[i\x{131}\x{130}]t)"
 #: Fixed values: (cue between two mentions, relation, type before, type after), first match wins.
 CUES = (
     (r"(?i)\breports?\s+to\b", "REPORTS_TO", "person", "person"),
@@ -52,11 +71,11 @@ def entity_key(kind: Column, text: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.lower(F.regexp_replace(bare, r"\s+", " ")))
 
 
-def _claims(text: str, compat: bool) -> list[tuple[str, str, int]]:
+def _claims(text: str, compat: bool, patterns=ENTITY_PATTERNS) -> list[tuple[str, str, int]]:
     """(type, name, place) of every entity; earlier patterns claim their spans."""
     taken: list[tuple[int, int]] = []
     out = []
-    for kind, pattern, group in ENTITY_PATTERNS:
+    for kind, pattern, group in patterns:
         for m in pattern.finditer(text):
             start, end = m.span()
             if kind == "person" and group == 0 and (m[1] in NAME_STOP or m[2] in NAME_STOP):
@@ -67,24 +86,46 @@ def _claims(text: str, compat: bool) -> list[tuple[str, str, int]]:
             if kind == "department":
                 if not compat and len(name) <= 2 and not name.isupper():
                     continue  # "it" is mostly a pronoun
-                name = DEPARTMENTS[name.lower()]
+                name = DEPARTMENTS[name.lower().translate(_ODD_LETTERS)]
             else:
                 taken.append((start, end))
             out.append((kind, name.strip().rstrip("."), start))
     return out
 
 
-def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
-    """(source, key, type, name, place): every mention in every document."""
-
-    @F.pandas_udf("array<struct<type:string,name:string,place:int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"type": k, "name": n, "place": p} for k, n, p in _claims(t or "", compat)])
+def entity_lists(docs: DataFrame, id_col: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
+    """(source, text, found): each document's mentions in a list; the text only of documents that mention two names, which may be related.
 
-    rows = docs.select(F.col(id_col).alias("source"), F.explode(found(text)).alias("e"))
+    Most texts hold nothing that a pattern could find; Python sees a text only with the patterns whose sign it bears.
+    """
+    signs = [*ENTITY_SIGNS[:-1], f"{ENTITY_SIGNS[-1]}|{_SHORTER}"] if compat else ENTITY_SIGNS
+    kind = pa.list_(pa.struct([("type", pa.string()), ("name", pa.string()), ("place", pa.int32())]))
+
+    @F.arrow_udf("array<struct<type:string,name:string,place:int>>")
+    def found(texts: pa.Array) -> pa.Array:
+        borne = np.array([pc.match_substring_regex(texts, sign).fill_null(False).to_numpy(zero_copy_only=False) for sign in signs])
+        lists = [[]] * len(texts)
+        for i in np.flatnonzero(borne.any(axis=0)).tolist():
+            patterns = [p for p, b in zip(ENTITY_PATTERNS, borne[:, i], strict=True) if b]
+            lists[i] = [{"type": k, "name": n, "place": p} for k, n, p in _claims(texts[i].as_py(), compat, patterns)]
+        return pa.array(lists, kind)
+
+    rows = docs.select(F.col(id_col).alias("source"), F.col(text).alias("text"), found(text).alias("found"))
+    names = F.array_distinct(F.transform("found", lambda e: F.struct(e["type"], e["name"])))
+    return rows.select("source", F.when(F.size(names) > 1, F.col("text")).alias("text"), "found")
+
+
+def listed_mentions(lists: DataFrame) -> DataFrame:
+    """(source, key, type, name, place) of ``entity_lists``."""
+    rows = lists.select("source", F.explode("found").alias("e"))
     return rows.select("source", entity_key(F.col("e.type"), F.col("e.name")).alias("key"), F.col("e.type").alias("type"), F.col("e.name").alias("name"), F.col("e.place").alias("place"))
 
 
+def entity_mentions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
+    """(source, key, type, name, place): every mention in every document."""
+    return listed_mentions(entity_lists(docs, id_col, text, compat))
+
+
 def entities(mentions: DataFrame) -> DataFrame:
     """Vertices: mentions add up, the first name and source stay."""
     first = F.struct("source", "place", "name")
@@ -170,6 +211,7 @@ def _steps(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _walk(seeds: DataFrame, edges: DataFrame, depth: int, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """(key, block, bits, level) of all that is reached, and (seed, block, bit): 64 seeds walk as the bits of one number.
 
+    A seed starts at the vertex of its name, or with a column ``key`` at all of these.
     A step joins the last level with the edges and merges what arrives by bitwise or, so it costs
     in proportion to edges and blocks of seeds, whatever the seeds have in common; each level is staged.
     """
@@ -178,7 +220,8 @@ def _walk(seeds: DataFrame, edges: DataFrame, depth: int, a: str, b: str) -> tup
     steps = _steps(edges, a, b)
     parts = steps.groupBy("at").agg(F.max("part").alias("last")).where("last > 0")
     bits = F.expr("bit_or(shiftleft(1L, bit))")
-    frontier = staged(numbered.groupBy(F.col("seed").alias("key"), "block").agg(bits.alias("bits")).withColumn("level", F.lit(0)), "level")
+    starts = numbered.withColumn("key", F.col("seed")) if "key" not in seeds.columns else numbered.join(seeds, "seed")
+    frontier = staged(starts.groupBy("key", "block").agg(bits.alias("bits")).withColumn("level", F.lit(0)), "level")
     visited = frontier
     for level in range(1, depth + 1):
         here = frontier.select(F.col("key").alias("at"), "block", "bits").join(parts, "at", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
@@ -238,29 +281,37 @@ def graph_relations(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, dep
     return found.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("related"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("edges")))).alias("relations"))
 
 
-def _of_queries(rows: DataFrame, by: str, numbered: DataFrame, of_seed: DataFrame) -> DataFrame:
-    """(by, block, bits of queries) of rows (by, block, bits of seeds); ``of_seed`` has seed and the queries' q_block and q_bit."""
-    of_bit = numbered.join(of_seed, "seed").groupBy("block", "bit", "q_block").agg(F.expr("bit_or(shiftleft(1L, q_bit))").alias("q_bits"))
-    merged = rows.groupBy(by, "block").agg(F.bit_or("bits").alias("bits"))
-    single = merged.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1) = 1)")))
-    return single.join(of_bit, ["block", "bit"]).groupBy(by, F.col("q_block").alias("block")).agg(F.bit_or("q_bits").alias("bits"))
+def _beside_another(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """The seeds (query_id, key) that have another of their query's seeds within ``depth`` steps.
+
+    Two such seeds have a vertex between them, ``depth // 2`` steps or fewer from one and the rest from the other; there two
+    seeds meet, so the least and the greatest that come by differ.  Nothing is made for each pair of seeds.
+    """
+    both = edges.select(F.col("source_key").alias("at"), F.col("target_key").alias("to")).unionByName(edges.select(F.col("target_key").alias("at"), F.col("source_key").alias("to"))).distinct()
+    balls = [seeds.select("query_id", "key", F.col("key").alias("at"))]
+    for _ in range(depth - depth // 2):
+        balls.append(balls[-1].unionByName(balls[-1].join(both, "at").select("query_id", "key", F.col("to").alias("at"))).distinct())
+    met = balls[depth // 2].groupBy("query_id", "at").agg(F.min("key").alias("least"), F.max("key").alias("greatest"))
+    near = balls[-1].join(met, ["query_id", "at"]).where((F.col("least") != F.col("key")) | (F.col("greatest") != F.col("key")))
+    return near.select("query_id", "key").distinct()
 
 
 def graph_scope(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """(query_id, source): documents that the neighbourhood of a query's vertices implicates; (query_id, name): entities there beside the vertex itself.
 
-    Until the last step what a hub leads to is one row for 64 queries.
+    Queries walk, each from all its vertices: vertices that a query's words name grow in number with the corpus, queries
+    don't.  Until the last step what a hub leads to is one row for 64 queries.
     """
-    asked = staged(seeds.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()), "asked")
-    asked = asked.select(F.col("query_id").alias("seed"), F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    of_seed = seeds.join(asked.withColumnRenamed("seed", "query_id"), "query_id").select(F.col("key").alias("seed"), F.col("block").alias("q_block"), F.col("bit").alias("q_bit")).distinct()
-    reached, numbered = _walk(seeds.select(F.col("key").alias("seed")).distinct(), edges, depth, "source_key", "target_key")
+    seeds = staged(seeds.select("query_id", "key").distinct(), "starts")
+    reached, asked = _walk(seeds.withColumnRenamed("query_id", "seed"), edges, depth, "source_key", "target_key")
     ends = edges.select(F.explode(F.array("source_key", "target_key")).alias("key"), F.col("source_document").alias("source")).distinct()
     touched = reached.where(F.col("level") < depth).join(ends, "key").select("source", "block", "bits")
     nodes = reached.join(vertices.where("type = 'document'").select("key", "source"), "key").select("source", "block", "bits")
-    names = reached.where("level > 0").join(vertices.where("type <> 'document'").select("key", "name"), "key").select("name", "block", "bits")
-    documents = _named(_of_queries(touched.unionByName(nodes), "source", numbered, of_seed), asked)
-    return documents.select(F.col("seed").alias("query_id"), "source"), _named(_of_queries(names, "name", numbered, of_seed), asked).select(F.col("seed").alias("query_id"), "name")
+    entities_ = vertices.where("type <> 'document'").select("key", "name")
+    names = reached.where("level > 0").join(entities_, "key").select("name", "block", "bits")
+    own = _beside_another(seeds, edges, depth).join(entities_, "key").select("query_id", "name")  # vertices of a query that another of them leads to
+    per_query = lambda rows, by: _named(rows.groupBy(by, "block").agg(F.bit_or("bits").alias("bits")), asked).select(F.col("seed").alias("query_id"), by)
+    return per_query(touched.unionByName(nodes), "source"), per_query(names, "name").unionByName(own).distinct()
 
 
 def graph_documents(seeds: DataFrame, vertices: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

@@ -74,33 +74,32 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
 
     A query term that occurs twice counts twice.  A document is cut into words once:
     those that no query has are dropped, the others' codes and counts are written as
-    postings.  Scoring is a map over these with the queries' weights as a broadcast; each
+    postings; a scope is joined with these, not with texts.  Scoring is a map over these with the queries' weights as a broadcast; each
     task keeps its own k best per query, so no (query, document) pair is shuffled but
     those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows; with several the
     words are written first, for all blocks.
     """
     spark = queries.sparkSession
     asked = queries.select("query_id", F.explode(T.terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    rows = docs.select(F.col(id_col).alias("id"), T.terms(text).alias("w"), metadata_filter(filters).alias("ok"))
-    if scope is None:
-        rows = rows.withColumn("only", F.lit(None).cast(ArrayType(queries.schema["query_id"].dataType)))
-    else:
-        rows = rows.join(scope.groupBy("id").agg(F.collect_set("query_id").alias("only")), "id", "left").withColumn("ok", F.col("ok") & F.col("only").isNotNull())
+    # a document's terms go to Python as one text, as no term has a space: millions of short strings cost more than cutting it again
+    rows = docs.select(F.col(id_col).alias("id"), F.array_join(T.terms(text), " ").alias("w"), metadata_filter(filters).alias("ok"))
+    only = None if scope is None else scope.groupBy("id").agg(F.collect_set("query_id").alias("only"))
     blocks = -(-asked.count() // TERM_BLOCK)
     folder = new_folder(spark, "bm25")
     if blocks <= 1:
-        return staged(ranked(_block_scores(asked, rows, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score"), "hits")
+        return staged(ranked(_block_scores(asked, rows, only, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score"), "hits")
     asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
     numbered = spark.read.parquet(f"{folder}/asked")
     rows = staged(rows, "words")
+    only = None if only is None else staged(only, "only")
     for i in range(blocks):
-        found = _block_scores(numbered.where(F.col("block") == i), rows, k, f"{folder}/postings-{i}")
+        found = _block_scores(numbered.where(F.col("block") == i), rows, only, k, f"{folder}/postings-{i}")
         ranked(found, k).write.mode("append").parquet(f"{folder}/hits")
     return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
 
 
-def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataFrame:
-    """Each task's k best (query_id, id, score) for one block of queries."""
+def _block_scores(asked: DataFrame, rows: DataFrame, only: DataFrame | None, k: int, path: str) -> DataFrame:
+    """Each task's k best (query_id, id, score) for one block of queries; ``only`` (id, only) lists who may find a document."""
     spark = rows.sparkSession
     block = asked.select("query_id", "term", "qtf").collect()
     query_ids = sorted({r.query_id for r in block})
@@ -109,8 +108,8 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(shared_terms.value, pa.string())
-        for batch in (part for whole in batches for part in _short(whole)):
-            words = batch.column("w")
+        for batch in (part for whole in batches for part in _short(whole, pc.add(pc.count_substring(whole.column("w"), " "), 1))):
+            words = _cut(batch.column("w"))
             length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
             code = pc.index_in(words.flatten(), value_set=known)
             doc = np.repeat(np.arange(len(length)), length)
@@ -119,10 +118,10 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
             doc, code = np.divmod(pair, max(1, len(known)))
             ends = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(length))))).astype(np.int32)
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (code, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(length.astype(np.int32)), batch.column("ok"), batch.column("only"), *lists], names=["id", "len", "ok", "only", "codes", "tfs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(length.astype(np.int32)), batch.column("ok"), *lists], names=["id", "len", "ok", "codes", "tfs"])
 
-    types = {c: rows.schema[c].dataType for c in ("id", "only")}
-    schema = StructType().add("id", types["id"]).add("len", "integer").add("ok", "boolean").add("only", types["only"]).add("codes", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    id_type = rows.schema["id"].dataType
+    schema = StructType().add("id", id_type).add("len", "integer").add("ok", "boolean").add("codes", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
     rows.mapInArrow(coded, schema).write.parquet(path)
     index = spark.read.schema(schema).parquet(path)
     totals = index.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len")).first()
@@ -135,7 +134,8 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
     weights = entries[:, 2] * idf[entries[:, 0]]
     starts = np.searchsorted(entries[:, 0], np.arange(len(vocabulary) + 1))
     shared = spark.sparkContext.broadcast((query_ids, starts, entries[:, 1].astype(np.int32), weights, float(totals.avg_len)))
-    hits = StructType().add("query_id", asked.schema["query_id"].dataType).add("id", types["id"]).add("score", "double")
+    hits = StructType().add("query_id", asked.schema["query_id"].dataType).add("id", id_type).add("score", "double")
+    scoped = only is not None
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, starts, to, weights, avg_len = shared.value
@@ -146,7 +146,7 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
 
         def rows() -> pa.RecordBatch:
             q, ids, score = best.take()
-            return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()], kind), pa.array(ids, to_arrow_type(types["id"])), pa.array(score)], names=["query_id", "id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q.tolist()], kind), pa.array(ids, to_arrow_type(id_type)), pa.array(score)], names=["query_id", "id", "score"])
 
         for batch in batches:
             batch = batch.filter(batch.column("ok"))
@@ -154,23 +154,34 @@ def _block_scores(asked: DataFrame, rows: DataFrame, k: int, path: str) -> DataF
             for first in range(0, len(batch), at_once):
                 part = batch.slice(first, at_once)
                 score = _scores(part, starts, to, weights, avg_len, len(queries), often)
-                only = part.column("only").to_pylist()
-                if any(x is not None for x in only):
+                if scoped:
                     may = np.zeros(score.shape, bool)
-                    for i, named in enumerate(only):
-                        may[[place[q] for q in named or () if q in place], i] = True
+                    for i, named in enumerate(part.column("only").to_pylist()):
+                        may[[place[q] for q in named if q in place], i] = True
                     score[~may] = 0
                 best.add(score, part.column("id").to_numpy(zero_copy_only=False))
                 if best.full():
                     yield rows()
         yield rows()
 
-    return index.where("ok").mapInArrow(scored, hits)
+    may_hit = index.where("ok")
+    return (may_hit if only is None else may_hit.join(only, "id")).mapInArrow(scored, hits)
 
 
-def _short(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of documents that hold about ``WORDS`` words; at least one document each."""
-    upto = np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False))
+def _cut(joined: pa.StringArray) -> pa.ListArray:
+    """Lists of words of words joined by spaces; nothing is cut to no word."""
+    lists = pc.split_pattern(joined, " ")
+    empty = pc.equal(joined, "").to_numpy(zero_copy_only=False)
+    if not empty.any():
+        return lists
+    many = np.where(empty, 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(many))).astype(np.int32), words.filter(pc.not_equal(words, "")))
+
+
+def _short(batch: pa.RecordBatch, many: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of documents that hold about ``WORDS`` words (``many`` each, or as listed); at least one document each."""
+    upto = np.cumsum((pc.list_value_length(batch.column("w")) if many is None else many).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(batch):
         end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + WORDS, "right")))
@@ -297,7 +308,7 @@ def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
         for batch in batches:
             if not len(batch) or not ids:
                 continue
-            at_once = max(1, SCORES // len(ids))
+            at_once = max(1, 2 * CELLS // len(ids))  # a task's vectors and scores, as doubles, beside those of its other process
             for first in range(0, len(batch), at_once):
                 part = batch.iloc[first : first + at_once]
                 own = part["id"].to_numpy()

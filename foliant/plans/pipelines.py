@@ -38,12 +38,13 @@ def valid_only(chunks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def build_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of a corpus, documents among them; texts are searched for entities once."""
-    mentions = staged(graph.entity_mentions(docs), "mentions")
+    """Vertices and edges of a corpus, documents among them; texts are searched for entities once, and those of two names are kept for relations."""
+    lists = staged(graph.entity_lists(docs), "mentions")
+    mentions, several = graph.listed_mentions(lists), lists.where("text is not null").select(F.col("source").alias("doc_id"), "text")
     documents, mentioned = graph.document_edges(mentions)
     columns = ["key", "name", "type", "source", "mentions"]
     edge = ["source_key", "target_key", "type", "evidence", "source_document"]
-    return graph.entities(mentions).select(columns).unionByName(documents.select(columns)), graph.relations(docs, mentions).select(edge).unionByName(mentioned.select(edge))
+    return graph.entities(mentions).select(columns).unionByName(documents.select(columns)), graph.relations(several, mentions).select(edge).unionByName(mentioned.select(edge))
 
 
 def graph_search(queries: DataFrame, docs: DataFrame, vertices: DataFrame, edges: DataFrame, k: int = 8, candidates: int = 30, depth: int = 2, embed=hash_embedding) -> DataFrame:
