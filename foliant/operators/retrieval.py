@@ -28,11 +28,13 @@ RRF_K = 60
 QUERY_BLOCK = 4096
 #: (query, term) rows that one broadcast of BM25 weights holds, about; scores of vectors held at once in a task.
 TERM_BLOCK = 1_000_000
+#: Blocks whose terms are known at once when documents are coded.
+CODED_BLOCKS = 16
 SCORES = 2_000_000
 #: Words of documents that a task codes at a time.
 WORDS = 500_000
 #: Share of a block's queries from which a term is scored by a matrix product.
-OFTEN = 1 / 32
+OFTEN = 1 / 16
 #: (query, document) scores that a task holds at a time: few, so that they stay in the processor's cache.
 CELLS = 250_000
 
@@ -76,38 +78,36 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id
     those that no query has are dropped, the others' codes and counts are written as
     postings; a scope is joined with these, not with texts.  Scoring is a map over these with the queries' weights as a broadcast; each
     task keeps its own k best per query, so no (query, document) pair is shuffled but
-    those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows; with several the
-    words are written first, for all blocks.
+    those.  Queries go in blocks of about ``TERM_BLOCK`` (query, term) rows; postings are
+    made once for ``CODED_BLOCKS`` of these, with the terms of all of them.
     """
     spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode(T.terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = staged(queries.select("query_id", F.explode(T.terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "asked")
     # a document's terms go to Python as one text, as no term has a space: millions of short strings cost more than cutting it again
     rows = docs.select(F.col(id_col).alias("id"), F.array_join(T.terms(text), " ").alias("w"), metadata_filter(filters).alias("ok"))
     only = None if scope is None else scope.groupBy("id").agg(F.collect_set("query_id").alias("only"))
     blocks = -(-asked.count() // TERM_BLOCK)
     folder = new_folder(spark, "bm25")
     if blocks <= 1:
-        return staged(ranked(_block_scores(asked, rows, only, k, f"{folder}/postings"), k).select("query_id", "rank", "id", "score"), "hits")
-    asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).write.parquet(f"{folder}/asked")
-    numbered = spark.read.parquet(f"{folder}/asked")
-    rows = staged(rows, "words")
+        return staged(ranked(_block_scores(asked, *_coded(asked, rows, f"{folder}/postings"), only, k), k).select("query_id", "rank", "id", "score"), "hits")
+    rows = rows if blocks <= CODED_BLOCKS else staged(rows, "words")
     only = None if only is None else staged(only, "only")
-    for i in range(blocks):
-        found = _block_scores(numbered.where(F.col("block") == i), rows, only, k, f"{folder}/postings-{i}")
-        ranked(found, k).write.mode("append").parquet(f"{folder}/hits")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for first in range(0, blocks, CODED_BLOCKS):
+        coded = _coded(asked.where(block.between(first, first + CODED_BLOCKS - 1)), rows, f"{folder}/postings-{first}")
+        for i in range(first, min(blocks, first + CODED_BLOCKS)):
+            ranked(_block_scores(asked.where(block == i), *coded, only, k), k).write.mode("append").parquet(f"{folder}/hits")
     return ranked(spark.read.parquet(f"{folder}/hits").drop("rank"), k).select("query_id", "rank", "id", "score")
 
 
-def _block_scores(asked: DataFrame, rows: DataFrame, only: DataFrame | None, k: int, path: str) -> DataFrame:
-    """Each task's k best (query_id, id, score) for one block of queries; ``only`` (id, only) lists who may find a document."""
+def _coded(asked: DataFrame, rows: DataFrame, path: str) -> tuple[DataFrame, dict[str, int], np.ndarray, float]:
+    """Postings of documents, written: codes and counts of the terms asked for; the terms' codes and idf, and the mean length."""
     spark = rows.sparkSession
-    block = asked.select("query_id", "term", "qtf").collect()
-    query_ids = sorted({r.query_id for r in block})
-    vocabulary = sorted({r.term for r in block})
-    shared_terms = spark.sparkContext.broadcast(vocabulary)
+    vocabulary = sorted(r.term for r in asked.select("term").distinct().collect())
+    shared_terms = spark.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(shared_terms.value, pa.string())
+        known = shared_terms.value
         for batch in (part for whole in batches for part in _short(whole, pc.add(pc.count_substring(whole.column("w"), " "), 1))):
             words = _cut(batch.column("w"))
             length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
@@ -128,12 +128,19 @@ def _block_scores(asked: DataFrame, rows: DataFrame, only: DataFrame | None, k:
     df = np.zeros(len(vocabulary))
     for r in index.select(F.explode("codes").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("df")).toLocalIterator():
         df[r.c] = r.df
-    idf = np.log((totals.n - df + 0.5) / (df + 0.5) + 1)
-    term_of, query_of = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(query_ids)}
+    return index, {t: i for i, t in enumerate(vocabulary)}, np.log((totals.n - df + 0.5) / (df + 0.5) + 1), float(totals.avg_len)
+
+
+def _block_scores(asked: DataFrame, index: DataFrame, term_of: dict[str, int], idf: np.ndarray, avg_len: float, only: DataFrame | None, k: int) -> DataFrame:
+    """Each task's k best (query_id, id, score) for one block of queries; ``only`` (id, only) lists who may find a document."""
+    block = asked.select("query_id", "term", "qtf").collect()
+    query_ids = sorted({r.query_id for r in block})
+    query_of = {q: i for i, q in enumerate(query_ids)}
     entries = np.array(sorted((term_of[r.term], query_of[r.query_id], r.qtf) for r in block), np.int64).reshape(-1, 3)
     weights = entries[:, 2] * idf[entries[:, 0]]
-    starts = np.searchsorted(entries[:, 0], np.arange(len(vocabulary) + 1))
-    shared = spark.sparkContext.broadcast((query_ids, starts, entries[:, 1].astype(np.int32), weights, float(totals.avg_len)))
+    starts = np.searchsorted(entries[:, 0], np.arange(len(term_of) + 1))
+    shared = index.sparkSession.sparkContext.broadcast((query_ids, starts, entries[:, 1].astype(np.int32), weights, avg_len))
+    id_type = index.schema["id"].dataType
     hits = StructType().add("query_id", asked.schema["query_id"].dataType).add("id", id_type).add("score", "double")
     scoped = only is not None
 
@@ -222,27 +229,34 @@ def _scores(part: pa.RecordBatch, starts: np.ndarray, to: np.ndarray, weights: n
         n_of = many[first:end]
         entry = np.repeat(starts[codes[first:end]] - (upto[first:end] - n_of - done), n_of) + np.arange(n_of.sum())
         cell = to[entry].astype(np.int64) * len(length) + np.repeat(doc[first:end], n_of)
-        np.add.at(score.reshape(-1), cell, weights[entry] * np.repeat(gain[first:end], n_of))
+        score += np.bincount(cell, weights[entry] * np.repeat(gain[first:end], n_of), score.size).reshape(score.shape)
         first = end
     return score
 
 
 class _Best:
-    """The k best positive scores of each query that a task has seen, ties by id.
+    """The k best scores ``above`` a bound of each query that a task has seen, to six places, ties by id.
 
-    A score below a query's k-th best so far can't enter; what may enter is gathered and ranked
-    when there is much of it, so that few are ever sorted.
+    A score below a query's k-th best so far can't enter, nor one below the k-th of those it comes
+    with; what may enter is gathered and ranked when there is much of it, so that few are ever sorted.
     """
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.floor = k, np.zeros(queries)
+    def __init__(self, queries: int, k: int, above: float = 0.0):
+        self.k, self.above, self.floor = k, above, np.full(queries, above)
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held, self.ranked = 0, 0
 
+    def _may(self, score: np.ndarray) -> np.ndarray:
+        return score >= np.maximum(self.floor - 1e-6, np.nextafter(self.above, np.inf))[:, None]
+
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
-        q, doc = np.nonzero((score >= self.floor[:, None] - 1e-6) & (score > 0))
-        rounded = np.round(score[q, doc], 6)
-        may = (rounded > 0) & (rounded >= self.floor[q])
+        may = self._may(score)
+        if score.shape[1] > self.k and np.count_nonzero(may) * 8 > may.size:
+            self.floor = np.maximum(self.floor, np.round(np.partition(score, -self.k, axis=1)[:, -self.k], 6))
+            may = self._may(score)
+        q, doc = np.divmod(np.flatnonzero(may), max(1, score.shape[1]))
+        rounded = np.round(score[q, doc], 6) + 0.0
+        may = (rounded > self.above) & (rounded >= self.floor[q])
         if may.any():
             self.rows.append((q[may], ids[doc[may]], rounded[may]))
             self.held += int(may.sum())
@@ -305,6 +319,12 @@ def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
         asked_ids = np.array(ids)
+        held = _Best(len(ids), k, -np.inf)
+
+        def rows() -> pd.DataFrame:
+            q, own, score = held.take()
+            return pd.DataFrame({"query_id": asked_ids[q], "id": own, "score": score})
+
         for batch in batches:
             if not len(batch) or not ids:
                 continue
@@ -312,14 +332,14 @@ def _best_of_block(queries: DataFrame, vectors: DataFrame, k: int, id_col: str,
             for first in range(0, len(batch), at_once):
                 part = batch.iloc[first : first + at_once]
                 own = part["id"].to_numpy()
-                score = np.round(matrix @ _unit(np.array(part["v"].tolist(), np.float64)).T, 6) + 0.0
+                score = matrix @ _unit(np.array(part["v"].tolist(), np.float64)).T
                 if exclude_self:
                     score[asked_ids[:, None] == own[None, :]] = -np.inf
-                place = np.unique(own, return_inverse=True)[1]
-                order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                found = pd.DataFrame({"query_id": asked_ids[q], "id": own[order.ravel()], "score": score[q, order.ravel()]})
-                yield found[np.isfinite(found["score"])]
+                held.add(score, own)
+                if held.full():
+                    yield rows()
+        if held.rows:
+            yield rows()
 
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
     schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("id", rows.schema["id"].dataType).add("score", "double")
